@@ -4,17 +4,39 @@ from __future__ import annotations
 
 from quire.session import table
 
-from . import bpe, decontam, langid, linededup, simhash
+from . import bpe, decontam, langid, linededup, quality, rules, shards, simhash, tokencount, toxicity
 
 
 def _docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
+def _labels(spark, sf_dir):
+    return table(spark, sf_dir, "labels")
+
+
+def op1_quality_nbsvm(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return quality.score(docs, quality.fit(docs, _labels(spark, sf_dir)))
+
+
 def op2_simhash_dedup(spark, sf_dir):
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
 
+def op3_shard(spark, sf_dir):
+    return shards.shard_documents(_docs(spark, sf_dir))
+
+
+def op4_token_counts(spark, sf_dir):
+    return tokencount.token_counts(_docs(spark, sf_dir))
+
+
+def op5_quality_rules(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return rules.judge(docs, rules.fit(docs, _labels(spark, sf_dir)))
+
+
 def op6_decontaminate(spark, sf_dir):
     return decontam.contaminated(_docs(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
@@ -27,10 +49,18 @@ def op8_byte_bpe(spark, sf_dir):
     return bpe.round_trip(_docs(spark, sf_dir))
 
 
+def op9_toxicity(spark, sf_dir):
+    docs = _docs(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, _labels(spark, sf_dir)))
+
+
 def op10_language_id(spark, sf_dir):
     docs = _docs(spark, sf_dir)
     return langid.identify(docs, langid.fit(docs))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_dedup, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op10_language_id)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_quality_nbsvm, op2_simhash_dedup, op3_shard, op4_token_counts, op5_quality_rules, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_toxicity, op10_language_id)
+}
 ORACLES = {"op7_line_dedup": linededup.SQL}
