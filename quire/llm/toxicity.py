@@ -79,7 +79,8 @@ def character_counts(docs: DataFrame) -> np.ndarray:
             for t in texts(b):
                 cps = np.frombuffer(t.lower().encode("utf-32-le"), np.uint32)
                 c = np.concatenate([[0, 0], classes[np.minimum(cps, 0xFFFF)], [0, 0]])
-                key = (c[:-2] * N + c[1:-1]) * N + c[2:]
+                # after an edge stands another one: words don't see the word before
+                key = (np.where(c[1:-1] > 0, c[:-2], 0) * N + c[1:-1]) * N + c[2:]
                 held.append(key[(c[1:-1] > 0) | (c[2:] > 0)])
                 size += len(key)
                 if size > 1_000_000:
