@@ -209,21 +209,30 @@ def _telling(rows: list[np.ndarray], y: np.ndarray, most: int = 2_000, least: in
 
 
 def _logistic(rows: list[np.ndarray], y: np.ndarray, keys: np.ndarray, l1: float = 0.0005, rounds: int = 800) -> tuple[np.ndarray, float]:
-    """Sparse logistic regression over indicators by accelerated proximal steps."""
+    """Sparse logistic regression over indicators by accelerated proximal steps. The
+    indicators are kept as pairs of row and column; the step follows from the
+    largest singular value, found by power iteration."""
     order = np.argsort(keys)
-    x = np.zeros((len(rows), len(keys)), np.float32)
-    for i, r in enumerate(rows):
-        at = np.searchsorted(keys, r, sorter=order)
-        hit = at[at < len(keys)]
-        r = r[at < len(keys)]
-        x[i, order[hit[keys[order[hit]] == r]]] = 1
+    ranked = keys[order]
+    i = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    found = np.concatenate(rows)
+    at = np.minimum(np.searchsorted(ranked, found), max(0, len(keys) - 1))
+    hit = ranked[at] == found if len(keys) else np.zeros(len(found), bool)
+    i, j = i[hit], order[at[hit]] if len(keys) else at[hit]
+    times = lambda v: np.bincount(i, v[j], minlength=len(rows))
+    back = lambda v: np.bincount(j, v[i], minlength=len(keys))
+    u = np.ones(len(keys))
+    for _ in range(30 if len(keys) else 0):
+        u = back(times(u))
+        u /= np.sqrt(u @ u) or 1.0
+    largest = float(times(u) @ times(u)) if len(keys) else 0.0
     w, b = np.zeros(len(keys)), float(np.log(y.mean() / (1 - y.mean())))
     v, c, t = w.copy(), b, 1.0
-    step = 4.0 / max(1.0, float(np.linalg.norm(x, 2)) ** 2 / len(y) + 1) if len(keys) else 1.0
+    step = 4.0 / (1.2 * largest / len(y) + 1)
     for _ in range(rounds if len(keys) else 0):
-        p = 1 / (1 + np.exp(-np.clip(x @ v + c, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(times(v) + c, -30, 30)))
         g = p - y
-        w2 = v - step * (x.T @ g) / len(y)
+        w2 = v - step * back(g) / len(y)
         w2 = np.sign(w2) * np.maximum(np.abs(w2) - step * l1, 0)
         b2 = c - step * float(g.mean())
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
@@ -245,17 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
     def run(batches):
         restorer = Restorer(shared.value)
         for b in batches:
-            found = [sorted({k for w in restorer.words(t) for k in names(w)}) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["id", "y", "found"])
+            found = [np.unique(np.array([k for w in restorer.words(t) for k in names(w)], np.int64)).tobytes() for t in texts(b)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "found"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
-    got = [(r["id"], r["y"], np.array(r["found"], np.int64)) for r in sample.mapInArrow(run, "id long, y int, found array<long>").toLocalIterator()]
-    got.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    got = sorted((r["id"], r["y"], bytes(r["found"])) for r in sample.mapInArrow(run, "id long, y int, found binary").collect())
     y = np.array([r[1] == 1 for r in got], bool)
     if not len(y) or y.all() or not y.any():
         share = n.get(1, 0) / sum(n.values()) if sum(n.values()) else 0.5
         return Model(chars, {}, math.log(max(share, 1e-6) / max(1 - share, 1e-6)))
-    rows = [r[2] for r in got]
+    rows = [np.frombuffer(r[2], np.int64) for r in got]
     keys, positive = _telling(rows, y)
     # what tells the classes apart among texts that hold a suspect word: its harmless uses
     suspect = np.array([bool(len(r)) and bool(np.isin(r, positive).any()) for r in rows]) if len(positive) else np.zeros(len(y), bool)
