@@ -12,9 +12,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Bounded, column, texts
+from .common import Bounded, Recent, column, hold, long_rows, slices, texts
 
-#: Pre-tokens that long go through the transducer each time instead of the cache.
+#: Pre-tokens longer than that go through the transducer each time instead of the cache.
 LONG = 64
 
 
@@ -29,10 +29,11 @@ class MergeTransducer:
     A prefix of a pre-token has one BPE encoding, and a sequence of tokens is an
     encoding exactly if each adjacent pair of tokens stays a pair when their
     joined bytes are merged from scratch. A state holds, for every earlier cut
-    that a token still being read may start from, the place in the token trie,
-    the last token before the cut and the tokens not yet emitted. What all cuts
-    agree on is emitted at once, so lookahead is at most the longest token.
-    States and transitions are made when first met and kept in tables of
+    that a token still being read may start from, the place in the token trie and
+    the last token before the cut. A move names the cuts that stay, the cut that a
+    token ends from and that token. Each cut has a register with its tokens not yet
+    emitted; what all registers agree on is emitted, so lookahead is bounded by the
+    longest token. States and moves are made when first met and kept in tables of
     bounded size."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
@@ -52,18 +53,19 @@ class MergeTransducer:
                     self.inner.append(False)
                 node = after
             self.ends[node] = i
-        self.pairs = Bounded(1_000_000, self._stays)
+        self.pairs = Bounded(300_000, self._stays)
         self._reset()
 
     def _reset(self) -> None:
-        start = ((0, -1, ()),)
+        start = ((0, -1),)
         self.states: list[tuple] = [start]
         self.number: dict[tuple, int] = {start: 0}
-        self.moves: dict[int, tuple[int, tuple]] = {}
+        self.moves: dict[int, tuple[int, tuple, int, int]] = {}
 
-    def _stays(self, pair: tuple[int, int]) -> bool:
-        """Whether merging the joined bytes of two tokens gives these two back."""
-        left, right = self.token[pair[0]], self.token[pair[1]]
+    def _stays(self, pair: int) -> bool:
+        """Whether merging the joined bytes of two tokens (the first in the upper 32
+        bits) gives these two back."""
+        left, right = self.token[pair >> 32], self.token[pair & 0xFFFFFFFF]
         data, cut = left + right, len(left)
         edges = list(range(len(data) + 1))
         while len(edges) > 3:
@@ -77,44 +79,52 @@ class MergeTransducer:
             del edges[at + 1]
         return edges[1] == cut and data not in self.ranks
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple]:
-        live, newest = [], None
-        for node, last, held in self.states[state]:
+    def _move(self, state: int, byte: int) -> tuple[int, tuple, int, int]:
+        live, stay, source, token = [], [], -1, -1
+        for k, (node, last) in enumerate(self.states[state]):
             after = self.child.get(node << 8 | byte)
             if after is None:
                 continue
             t = self.ends[after]
-            if t >= 0 and newest is None and (last < 0 or self.pairs[last, t]):
-                newest = (0, t, (*held, t))
+            if t >= 0 and source < 0 and (last < 0 or self.pairs[last << 32 | t]):
+                source, token = k, t
             if self.inner[after]:
-                live.append((after, last, held))
-        if newest is None:
+                live.append((after, last))
+                stay.append(k)
+        if source < 0:
             raise ValueError("these ranks have no token for some byte or some merge")
-        live.append(newest)
-        agreed = 0
-        for same in zip(*(held for _, _, held in live)):
-            if same.count(same[0]) != len(same):
-                break
-            agreed += 1
-        after = tuple((node, last, held[agreed:]) for node, last, held in live)
+        after = (*live, (0, token))
         number = self.number.get(after)
         if number is None:
             number = self.number[after] = len(self.states)
             self.states.append(after)
-        return number, newest[2][:agreed]
+        return number, tuple(stay), source, token
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > self.max_states:
             self._reset()
-        state, out, moves = 0, [], self.moves
+        state, out, held, moves = 0, [], [()], self.moves
         for b in data:
-            step = moves.get(state << 8 | b)
-            if step is None:
-                step = moves[state << 8 | b] = self._move(state, b)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        out += self.states[state][-1][2]
+            move = moves.get(state << 8 | b)
+            if move is None:
+                move = moves[state << 8 | b] = self._move(state, b)
+            state, stay, source, token = move
+            newest = (*held[source], token)
+            if not stay:
+                out += newest
+                held = [()]
+                continue
+            held = [held[k] for k in stay]
+            held.append(newest)
+            if len(newest) > 32:
+                agreed = 0
+                for same in zip(*held):
+                    if same.count(same[0]) != len(same):
+                        break
+                    agreed += 1
+                out += newest[:agreed]
+                held = [h[agreed:] for h in held]
+        out += held[-1]
         return out
 
 
@@ -151,7 +161,7 @@ class Codec:
         ranks = read_ranks(path)
         self.fst = MergeTransducer(ranks)
         self.split = regex.compile(pattern)
-        self.packed = Bounded(cached, self._pack)
+        self.packed = Recent(cached, self._pack)
         tokens = [self.fst.token.get(i) for i in range(max(ranks.values()) + 1)]
         self.token = np.array(tokens, dtype=object)
 
@@ -177,16 +187,10 @@ class Codec:
         return "".join(self.decode_stream(np.asarray(ids, dtype="<u4")))
 
 
-_codecs: dict[tuple, Codec] = {}
-
-
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each vocabulary and Python process: the tables that it fills
     serve all tasks of the process."""
-    key = path, pattern
-    if key not in _codecs:
-        _codecs[key] = Codec(path, pattern)
-    return _codecs[key]
+    return hold("bpe", (path, pattern), lambda: Codec(path, pattern))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -206,10 +210,10 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([c.encode(t) for t in texts(b)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def detokenize(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -219,7 +223,7 @@ def detokenize(encoded: DataFrame, path: str | None = None, pattern: str | None
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([c.decode(i or []) for i in column(b, "ids")], pa.string())], ["doc_id", "text"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
@@ -236,7 +240,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
 
     def run(batches):
         c = codec(path, pattern)
-        for b in batches:
+        for b in slices(batches):
             n, ids, back = [], [], []
             for t in texts(b):
                 packed = c.encode_packed(t)
@@ -248,4 +252,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 back.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

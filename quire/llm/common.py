@@ -31,8 +31,44 @@ def in_fold(key: object, mod: int, fold: int) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % mod == fold
 
 
-def map_batches(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+#: Rows that scans decode and Python gets at a time, where the session has Spark's
+#: own values: those are for short rows, and texts run to megabytes.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "256")}
+
+
+def long_rows(docs: DataFrame) -> DataFrame:
+    """docs; the session from now on handles rows in smaller batches, so that memory
+    follows a few hundred texts and not thousands. Own settings stay."""
+    conf = docs.sparkSession.conf
+    for key, (default, small) in LONG_ROWS.items():
+        if conf.get(key) == default:
+            conf.set(key, small)
+    return docs
+
+
+#: Rows that are turned into Python objects at a time.
+SLICE = 500
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, so that long texts are not all copied at once."""
+    for b in batches:
+        for k in range(0, b.num_rows, rows):
+            yield b.slice(k, rows)
+
+
+_held: dict = {}
+
+
+def hold(owner: str, key: object, make: Callable):
+    """A table that all tasks of a Python process share. A process holds the tables
+    of one operator at a time: those of another are given up when this one asks."""
+    if _held.get("owner") != owner:
+        _held.clear()
+        _held["owner"] = owner
+    if key not in _held:
+        _held[key] = make()
+    return _held[key]
 
 
 class Bounded(dict):
@@ -47,3 +83,22 @@ class Bounded(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+class Recent(dict):
+    """A cache of two generations, `limit` entries together at most: when the young
+    one is full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, limit: int, make: Callable):
+        super().__init__()
+        self.half, self.make, self.old = limit // 2, make, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.half:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize
 
-from .common import column, texts
+from .common import column, hold, long_rows, slices, texts
 
 SEED_WORDS, RARE, MIN_SCORE, BLOCK = 3, 8, 0.5, 5000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -142,15 +142,16 @@ def _frequencies(docs: DataFrame, index: Index) -> dict[int, int]:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        hold("decontam", "", dict)
         x, total = shared.value, defaultdict(int)
-        for b in batches:
+        for b in slices(batches):
             for t in texts(b):
                 ids, found = x.read(t)
                 for key in set(x.seeds(ids)[found].tolist()):
                     total[key] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    rows = long_rows(docs).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
     return {r["key"]: r["n"] for r in rows}
 
 
@@ -158,8 +159,9 @@ def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
+        hold("decontam", "", dict)
         x = shared.value
-        for b in batches:
+        for b in slices(batches):
             rows: dict[tuple, tuple] = {}
             pairs: list = []
 
@@ -180,7 +182,7 @@ def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
             s, doc, item, end = zip(*rows.values()) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(s, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
+    return long_rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: int = RARE, block: int = BLOCK) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import types as T
 
 from quire.session import materialize, release
 
-from .common import WHITE, column, texts
+from .common import WHITE, column, hold, long_rows, slices, texts
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
+#: So many common keys (24 bytes each) go to every executor; more are joined.
+BROADCAST = 200_000
 
 
 def line_key(line: str, min_chars: int = MIN_CHARS) -> bytes | None:
@@ -26,7 +28,8 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """key, doc_id: each long-enough line key once for each row that has it."""
 
     def run(batches):
-        for b in batches:
+        hold("linededup", "", dict)
+        for b in slices(batches):
             keys, ids = [], []
             for i, t in zip(column(b, "doc_id"), texts(b)):
                 if i is not None and len(t) >= min_chars:
@@ -35,7 +38,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     ids += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "key binary, doc_id long")
+    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "key binary, doc_id long")
 
 
 class LineRuns:
@@ -98,62 +101,81 @@ def new_lines(store: LineRuns, docs: DataFrame, min_chars: int = MIN_CHARS) -> D
     return fresh
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """doc_id, keys array<binary>: the keys whose lines a document loses.
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
+    """key, last_doc of the keys found in min_docs documents or more, and key, doc_id
+    of all lines. A common key stays in last_doc, its largest doc_id, alone.
 
     The hashes are extracted in one pass and dealt to batches by document; each
-    batch becomes a run. A key in min_docs documents or more stays only in the
-    largest doc_id. The joins with the runs are by key and can be split by AQE
-    where one line is very common; a document's list holds no more than its own
-    lines."""
-    staged = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "hashes")
+    batch becomes a run."""
+    staged = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "hashes", even=True)
     store = LineRuns(fanout)
     for k in range(batches):
         store.add(staged.where(F.col("batch") == k).select("key", "doc_id"))
-    common = store.entries().where(F.col("n_docs") >= min_docs).select("key", "last_doc")
-    lost = staged.select("key", "doc_id").join(common, "key").where("doc_id <> last_doc")
-    return lost.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
+    common = materialize(store.entries().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "common", even=True)
+    return common, staged.select("key", "doc_id")
 
 
-def _cut(text: str, keys: set[bytes], min_chars: int) -> tuple[list[str], int]:
+def _cut(text: str, lost, min_chars: int) -> tuple[list[str], int]:
     lines = text.split("\n")
-    return [x for x in lines if (k := line_key(x, min_chars)) is None or k not in keys], len(lines)
+    return [x for x in lines if (k := line_key(x, min_chars)) is None or not lost(k)], len(lines)
 
 
-def without_lines(docs: DataFrame, lost: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """All columns of docs, the text without its lost lines, and two last columns
-    n_lines (before) and n_dropped. lost: doc_id, keys."""
+def _rewritten(df: DataFrame, docs: DataFrame, losing, min_chars: int) -> DataFrame:
+    """df: all columns of docs and one that `losing` makes, with the row's doc_id, a
+    test of keys from (None: nothing is lost). n_lines and n_dropped are added."""
     counts = ("n_lines", "n_dropped")
-    at = docs.columns.index("text")
+    if {c.lower() for c in docs.columns} & set(counts):
+        raise ValueError(f"columns named {counts} would clash; rename or drop them")
+    at, key = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
-        for b in batches:
+        hold("linededup", "", dict)
+        test = losing()
+        for b in slices(batches):
             kept, n, dropped = [], [], []
-            for t, keys in zip(texts(b), b.column(b.num_columns - 1).to_pylist()):
-                lines, total = _cut(t, set(keys), min_chars) if keys else (None, t.count("\n") + 1)
-                kept.append(t if lines is None else "\n".join(lines))
+            for t, i, x in zip(texts(b), b.column(key).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                lost = test(i, x)
+                lines, total = _cut(t, lost, min_chars) if lost else (None, t.count("\n") + 1)
+                kept.append(t if lines is None or len(lines) == total else "\n".join(lines))
                 n.append(total)
                 dropped.append(0 if lines is None else total - len(lines))
             arrays = b.columns[:-1]
             arrays[at] = pa.array(kept, pa.string())
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(dropped, pa.int64())], [*b.schema.names[:-1], *counts])
 
-    kept = [c for c in docs.columns if c.lower() not in counts]
-    if kept != docs.columns:
-        raise ValueError(f"columns named {counts} would clash; rename or drop them")
-    both = docs.alias("d").join(lost.select(F.col("doc_id").alias("_of"), F.col("keys").alias("_keys")), F.col("d.doc_id") == F.col("_of"), "left").select("d.*", "_keys")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
-    return both.mapInArrow(run, schema)
+    return df.mapInArrow(run, schema)
+
+
+def without_lines(docs: DataFrame, common: DataFrame, staged: DataFrame, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST) -> DataFrame:
+    """All columns of docs, the text without its lost lines, and two last columns
+    n_lines (before) and n_dropped. common and staged are from repeated_lines.
+
+    Up to `broadcast` common keys are counted and sent to the executors, and texts
+    stay where they are. More are joined with the lines by key (AQE splits a key
+    that is in very many) and the lost keys with their documents; a document's list
+    holds no more than its own lines."""
+    if common.count() <= broadcast:
+        keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["last_doc"] for r in common.collect()})
+
+        def everywhere():
+            last = keys.value
+            return (lambda i, _: (lambda k: last.get(k, i) != i) if i is not None else None) if last else (lambda i, _: None)
+
+        return _rewritten(docs.withColumn("_keys", F.lit(None).cast("boolean")), docs, everywhere, min_chars)
+    lost = staged.join(common, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
+    both = docs.alias("d").join(lost.select(F.col("doc_id").alias("_of"), "_keys"), F.col("d.doc_id") == F.col("_of"), "left").select("d.*", "_keys")
+    return _rewritten(both, docs, lambda: lambda i, keys: set(keys).__contains__ if keys else None, min_chars)
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped for every document.
 
     A null or empty text is one empty line. A row with a null doc_id counts for
     no key and keeps its lines. Rows that share a doc_id are one document when
     documents are counted; each keeps its own row. Extra columns are ignored."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return without_lines(own, repeated_lines(own, min_chars, min_docs, batches, fanout), min_chars)
+    return without_lines(own, *repeated_lines(own, min_chars, min_docs, batches, fanout), min_chars, broadcast)
 
 
 def digest(deduped: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod
+from .common import crc_mod, long_rows
 
 WINDOW, MIN_WORDS, REPEATED_PERCENT = 5, 10, 20
 #: At most so many labelled rows are used to learn the list.
@@ -40,7 +40,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     a scan over these adds up the words covered. Texts without a repeat, nearly
     all, skip that. No lambda reads a column from outside, so a filter that is
     pushed down can't make a step run once for each word."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
+    d = long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.select(
         "doc_id",
         F.filter(F.split("t", BLANKS), lambda w: w != "").alias("w"),

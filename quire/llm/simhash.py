@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.plans.components import connected_components
 from quire.session import materialize
 
-from .common import texts
+from .common import hold, long_rows, slices, texts
 
 WORDS, SEED, DISTANCE, HOT = 3, 42, 2, 512
 #: Shingles whose bits are counted at a time.
@@ -36,11 +36,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every whole text."""
 
     def run(batches):
-        for b in batches:
+        hold("simhash", "", dict)
+        for b in slices(batches):
             fp = np.array([fingerprint(t) for t in texts(b)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,12 +77,10 @@ def _replicas(distinct: DataFrame) -> DataFrame:
     """anchor, fp, rep, home: every fingerprint at every anchor near it."""
 
     def run(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 2000):
-                part = b.slice(k, 2000)
-                fp, rep = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
-                row, anchor, home = anchors(fp.view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(rep[row]), pa.array(home)], ["anchor", "fp", "rep", "home"])
+        for part in slices(batches, 2000):
+            fp, rep = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_numpy(zero_copy_only=False)
+            row, anchor, home = anchors(fp.view(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), pa.array(rep[row]), pa.array(home)], ["anchor", "fp", "rep", "home"])
 
     return distinct.select("fp", "rep").mapInArrow(run, "anchor long, fp long, rep long, home boolean")
 
@@ -161,7 +160,9 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """u, v: links that connect exactly the fingerprints (fp, rep) at DISTANCE or
     fewer differing bits, by their reps. An anchor with over `hot` fingerprints
     is not compared in one place: its fingerprints go another exact way."""
-    replicas = _replicas(distinct)
+    # a few rows a fingerprint make many: dealt out first, so that no task makes them all
+    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    replicas = _replicas(distinct.repartition(n, "fp"))
     crowded = materialize(replicas.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "crowded")
     calm = _within_anchors(replicas.join(crowded, "anchor", "left_anti"), DISTANCE)
     dense = replicas.join(crowded, "anchor", "left_semi").select("fp", "rep").distinct()
@@ -178,7 +179,7 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     null doc_id belongs to the component of its fingerprint but never names it
     (null if it stands alone). Extra columns are ignored. Links are never
     expanded into all pairs, and nothing but counts reaches the driver."""
-    fps = materialize(fingerprints(docs), "fingerprints")
+    fps = materialize(fingerprints(docs), "fingerprints", even=True)
     distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     roots = connected_components(links(distinct.where("rep is not null"), hot))
     named = distinct.join(roots, distinct["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
@@ -189,5 +190,5 @@ def keep_one(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """The documents without those that another of their component stands for.
     The smallest doc_id of a component stays, with all rows that carry it; rows
     with a null doc_id stay."""
-    gone = near_duplicates(docs, hot).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = near_duplicates(long_rows(docs), hot).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(materialize(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
