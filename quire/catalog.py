@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from quire.plans.queries import ORACLES, QUERIES
+
 FLAGSHIP = "text_stream"
-QUERIES: dict = {}
-ORACLES: dict = {}
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -34,12 +34,14 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, even: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back. This cuts the
-    lineage and, unlike a local checkpoint, survives the loss of executors."""
+    lineage and, unlike a local checkpoint, survives the loss of executors. even:
+    a narrow table made from wide rows is dealt anew first, into files of the size
+    that adaptive execution aims at instead of one small file a task."""
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.parquet(path)
+    (df.hint("rebalance") if even else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.quire_path = path
     return out
