@@ -73,15 +73,17 @@ class Index:
 
     def keep_rare(self, frequency: dict[int, int], rare: int) -> Index:
         """Of each item the seeds found in at most `rare` times as many documents as
-        its median seed: half of its seeds at least. However often an item was
-        copied, its own copies don't make its seeds common."""
+        the median of those that are found at all: half of these at least. However
+        often an item was copied, whole or with the same edits, its own copies
+        don't make its seeds common."""
         counts = defaultdict(list)
         for key, where in self.places.items():
             for k, p in where:
-                counts[k].append((frequency.get(key, 0), key, p))
+                if n := frequency.get(key, 0):
+                    counts[k].append((n, key, p))
         places = defaultdict(list)
         for k, seeds in counts.items():
-            most = rare * max(1, float(np.median([n for n, _, _ in seeds])))
+            most = rare * float(np.median([n for n, _, _ in seeds]))
             for n, key, p in seeds:
                 if n <= most:
                     places[key].append((k, p))
