@@ -20,14 +20,14 @@ def json_documents(files: DataFrame) -> DataFrame:
     rect = F.array(*(F.round(c, 1) for c in ("x0", "y0", "x1", "y1"))).alias("rect")
     text = structured(extract(files, "page_all"))
     labels = page_labels(extract(files, "pages"), extract(files, "label_ranges"))
-    links = extract(files, "links").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct("uri", "dest_page", rect).alias("v")))).alias("links"))
-    images = extract(files, "images").groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("ord", F.struct(rect, "width", "height").alias("v")))).alias("images"))
+    links = extract(files, "links").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct("uri", "dest_page", rect).alias("v")))).alias("links"))
+    images = extract(files, "images").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct(rect, "width", "height").alias("v")))).alias("images"))
     pages = text.join(labels, ["doc_id", "page"], "left").join(links, ["doc_id", "page"], "left").join(images, ["doc_id", "page"], "left")
     values = lambda name, kind: F.coalesce(F.transform(name, lambda s: s["v"]), empty(kind)).alias(name)
     page = F.struct((F.col("page") + 1).alias("page"), "label", "text", values("links", link), values("images", image))
-    pages = pages.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page", page.alias("v")))).alias("p"))
+    pages = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", page.alias("v")))).alias("p"))
     item = F.struct("title", F.coalesce("dest_page", F.lit(-1)).alias("page"), "level")
-    outline = extract(files, "outline").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("ord", item.alias("v")))).alias("o"))
+    outline = extract(files, "outline").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", item.alias("v")))).alias("o"))
     meta = extract(files, "metadata")
     whole = extract(files, "document").join(meta, "doc_id").join(outline, "doc_id", "left").join(pages, "doc_id", "left")
     body = F.struct(
@@ -46,5 +46,5 @@ def write_text(texts: DataFrame, path: str, column: str = "text") -> None:
 
 def error_report(parse_errors: DataFrame, shown: int = 10) -> DataFrame:
     """doc_id, n_errors and the first `shown` messages."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct("offset", "kind", "message"))), 1, shown)
+    first = F.slice(F.sort_array(F.collect_list(F.struct("offset", "kind", "message"))), 1, shown)
     return parse_errors.groupBy("doc_id").agg(F.count("*").alias("n_errors"), first.alias("first"))

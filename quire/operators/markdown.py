@@ -39,12 +39,16 @@ def elements(spans: DataFrame, options: MarkdownOptions = MarkdownOptions()) ->
     exchange by page."""
     page = Window.partitionBy(*PAGE)
     order = page.orderBy((-(F.col("y0") / GEOMETRIC).cast("long")), "x0", "seq")
-    s = spans.join(body_size(spans).select(*PAGE, "body_size"), PAGE)
+    # the body size by windows too, so the spans are made and dealt out once
+    s = spans.repartition(*PAGE).withColumn("k", (F.col("font_size") * 10).cast("int"))
+    s = s.withColumn("n", F.sum(F.octet_length("text")).over(Window.partitionBy(*PAGE, "k")))
+    best = F.max_by("k", F.struct("n", -F.col("k"))).over(page)
+    s = s.withColumn("body_size", F.when(F.max("n").over(page) > 0, best).otherwise(120) / 10).drop("k", "n")
     s = s.withColumn("at", F.row_number().over(order)).withColumn("move", F.abs(F.col("y0") - F.lag("y0").over(order))).withColumn("px1", F.lag("x1").over(order)).withColumn("psize", F.lag("font_size").over(order))
     s = s.withColumn("starts", (F.coalesce(F.col("move"), F.lit(0.0)) > GEOMETRIC).cast("int"))
     s = s.withColumn("line", F.sum("starts").over(page.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
     gap = (F.col("starts") == 0) & (F.col("x0") - F.col("px1") > F.col("psize") * 0.15)
-    pieces = F.array_sort(F.collect_list(F.struct("at", F.when(gap, F.lit(" ")).otherwise(F.lit("")).alias("sep"), "text")))
+    pieces = F.sort_array(F.collect_list(F.struct("at", F.when(gap, F.lit(" ")).otherwise(F.lit("")).alias("sep"), "text")))
     text = F.aggregate(pieces, F.lit(""), lambda a, p: F.concat(a, F.when(a == "", F.lit("")).otherwise(p["sep"]), p["text"]))
     lines = s.groupBy(*PAGE, "line").agg(
         F.min_by("font_size", "at").alias("size"), F.min_by("text", "at").alias("head"), F.min_by("x0", "at").alias("x"),
@@ -89,5 +93,5 @@ def render(elements: DataFrame) -> DataFrame:
         .otherwise(text)
     )
     piece = F.concat(F.when(before.isNotNull() & blank, F.lit("\n")).otherwise(F.lit("")), body, F.lit("\n"))
-    parts = F.array_sort(F.collect_list(F.struct("elem_no", "piece")))
+    parts = F.sort_array(F.collect_list(F.struct("elem_no", "piece")))
     return elements.withColumn("piece", piece).groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))

@@ -40,7 +40,7 @@ def page_labels(pages: DataFrame, ranges: DataFrame) -> DataFrame:
     """doc_id, page, label: an as-of join, the range with the greatest start up to
     the page. A document's ranges are gathered (they are few) and searched in each
     page's row, so pages are not multiplied. Pages before all ranges have none."""
-    held = ranges.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "style", "prefix", "first"))).alias("ranges"))
+    held = ranges.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "style", "prefix", "first"))).alias("ranges"))
     own = pages.select("doc_id", "page").join(held, "doc_id").withColumn("r", F.try_element_at(F.filter("ranges", lambda r: r["start"] <= F.col("page")), F.lit(-1)))
     return own.where(F.col("r").isNotNull()).select("doc_id", "page", page_label("page", "r.start", "r.style", "r.prefix", "r.first").alias("label"))
 

@@ -13,7 +13,7 @@ FORM_FEED = "\f"
 
 def join_pages(page_text: DataFrame, separator: str = FORM_FEED, text: str = "text") -> DataFrame:
     """doc_id, text: pages in order; a page without text leaves its separator."""
-    pages = F.array_sort(F.collect_list(F.struct("page", F.coalesce(text, F.lit("")).alias("t"))))
+    pages = F.sort_array(F.collect_list(F.struct("page", F.coalesce(text, F.lit("")).alias("t"))))
     return page_text.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda p: p["t"]), separator).alias("text"))
 
 
@@ -38,7 +38,7 @@ def from_operators(content_ops: DataFrame, forms: bool = True) -> DataFrame:
     )
     shown = F.array_join(F.transform("parts", lambda p: F.when(p["text"].isNotNull(), p["text"]).when(p["adjust"] < -100, F.lit(" ")).otherwise(F.lit(""))), "")
     s = s.withColumn("piece", F.concat(F.when(breaks, F.lit("\n")).otherwise(F.lit("")), F.coalesce(shown, F.lit(""))))
-    pieces = F.array_sort(F.collect_list(F.struct("seq", "piece")))
+    pieces = F.sort_array(F.collect_list(F.struct("seq", "piece")))
     return s.groupBy(*PAGE).agg(F.array_join(F.transform(pieces, lambda p: p["piece"]), "").alias("text"))
 
 
@@ -59,5 +59,5 @@ def structured_by_join(mcid_refs: DataFrame, mcid_text: DataFrame) -> DataFrame:
     """doc_id, page, text of marked content in tree order, as a join of the marks
     with their text."""
     both = mcid_refs.join(mcid_text, ["doc_id", "page", "mcid"]).where("text <> ''")
-    parts = F.array_sort(F.collect_list(F.struct("ord", "text")))
+    parts = F.sort_array(F.collect_list(F.struct("ord", "text")))
     return both.groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda s: s["text"]), " ").alias("text"))

@@ -108,9 +108,9 @@ def text_differences(spark, d):
 def _tounicode_pdf(r):
     """The text's characters by bfchar entries of a composite font, with codes that
     mean nothing else; `the` is one code."""
-    text = (r["text"] or "").replace("the", "")
+    text = (r["text"] or "").replace("the", "\ue000")
     codes = {c: 0x4000 + k for k, c in enumerate(sorted(set(text) - {"\n"}))}
-    entries = b"\n".join(b"<%04X> <%s>" % (n, ("the" if c == "" else c).encode("utf-16-be").hex().encode()) for c, n in codes.items())
+    entries = b"\n".join(b"<%04X> <%s>" % (n, ("the" if c == "\ue000" else c).encode("utf-16-be").hex().encode()) for c, n in codes.items())
     w = W.Writer()
     root, tree, page, body, font, cmap = (w.reserve() for _ in range(6))
     pages = _chunks(text.split("\n"), LINES)
@@ -158,7 +158,7 @@ SELECT CAST(conv_id AS VARCHAR) AS doc_id, string_agg(coalesce(text, ''), chr(12
 FROM conversations GROUP BY conv_id
 """)
 def text_all_formfeed(spark, d):
-    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("turns"))
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("turns"))
     files = synthesize(turns, lambda r: W.simple_pdf([W.show_lines(t["t"].split("\n")) for t in r["turns"]]), "conv_id")
     return X.join_pages(X.structured(extract(files, "page_all")))
 
@@ -170,7 +170,7 @@ _ORDERS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_order
 
 def _customers(spark, d):
     orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice"), 2).alias("price"))
-    return orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "price"))).alias("orders"))
+    return orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "price"))).alias("orders"))
 
 
 def _order_pages(r):
@@ -293,7 +293,7 @@ def fonts(spark, d):
 
 def _orders_of_lines(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).alias("t"))
-    return li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "t"))).alias("rows"))
+    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "t"))).alias("rows"))
 
 
 #: Lines of an order, numbered from 0: line numbers repeat in the test tables.
@@ -338,7 +338,7 @@ def visual_two_columns(spark, d):
         shown = [b"1 0 0 1 %d %d Tm (%s) Tj" % (x, 40_000 - 20 * k, W.escape(t)) for k, s in enumerate(r["s"]) for x, t in ((350, f"key {s['s_suppkey']}"), (72, s["s_name"]))]
         return W.simple_pdf([b"BT /F1 12 Tf " + b"\n".join(shown) + b" ET"])
 
-    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "s_name"))).alias("s"))
     return layout.visual(extract(synthesize(rows, make, "s_nationkey"), "page_spans")).select("doc_id", "two_columns", "text")
 
 
@@ -462,7 +462,7 @@ def metadata(spark, d):
 
 def _regions(spark, d):
     n = table(spark, d, "nation").select(F.col("n_regionkey").cast("long").alias("r_regionkey"), "n_nationkey", "n_name")
-    return table(spark, d, "region").join(n, "r_regionkey").groupBy("r_regionkey", "r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
+    return table(spark, d, "region").join(n, "r_regionkey").groupBy("r_regionkey", "r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("nations"))
 
 
 def _outlined(r):

@@ -134,7 +134,7 @@ def test_page_numbers(spark, spec, want):
 def test_empty_pages(spark):
     df = spark.createDataFrame([("d", 0, 612.0, [])], f"doc_id string, page int, width double, spans array<{__import__('quire.schemas').schemas.SPAN}>")
     assert layout.geometric(df).first()["text"] == "" and layout.visual(df).first()["text"] == "" and layout.lines(df).count() == 0
-    assert df.select(LF.two_columns("spans", "width").alias("t")).first()["t"] is False
+    assert df.select(LF.two_columns(LF.anchored_lines("spans", LF.LAYOUT), "width").alias("t")).first()["t"] is False
 
 
 def test_files_streams_and_sql(spark, tmp_path):
