@@ -14,6 +14,8 @@ from quire.session import materialize
 from .common import hold, long_rows, slices, texts
 
 WORDS, SEED, DISTANCE, HOT = 3, 42, 2, 512
+#: Distinct fingerprints that are worth a task, up to the session's shuffle partitions.
+PER_TASK = 5_000
 #: Shingles whose bits are counted at a time.
 CHUNK = 65_536
 
@@ -160,9 +162,9 @@ def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """u, v: links that connect exactly the fingerprints (fp, rep) at DISTANCE or
     fewer differing bits, by their reps. An anchor with over `hot` fingerprints
     is not compared in one place: its fingerprints go another exact way."""
-    # a few rows a fingerprint make many: dealt out first, so that no task makes them all
+    # a fingerprint makes 31 rows: dealt out first, so that a few tasks don't make them all
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    replicas = _replicas(distinct.repartition(n, "fp"))
+    replicas = _replicas(distinct.repartition(min(n, distinct.count() // PER_TASK + 1), "fp"))
     crowded = materialize(replicas.groupBy("anchor").count().where(F.col("count") > hot).select("anchor"), "crowded")
     calm = _within_anchors(replicas.join(crowded, "anchor", "left_anti"), DISTANCE)
     dense = replicas.join(crowded, "anchor", "left_semi").select("fp", "rep").distinct()
