@@ -33,6 +33,8 @@ class Index:
     items: list[tuple[int, np.ndarray]]
     places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    #: Seeds (key, item) that are too frequent to call for an alignment by themselves.
+    common: set[tuple[int, int]] = field(default_factory=set)
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Index:
@@ -71,47 +73,53 @@ class Index:
         at = np.searchsorted(self.keys, found)
         return ids, np.flatnonzero((found >= 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found))
 
-    def keep_rare(self, frequency: dict[int, int], rare: int) -> Index:
-        """Of each item the seeds found in at most `rare` times as many documents as
-        the median of those that are found at all: half of these at least. However
-        often an item was copied, whole or with the same edits, its own copies
-        don't make its seeds common."""
+    def mark_common(self, frequency: dict[int, int], rare: int) -> Index:
+        """Of each item the seeds found in more than `rare` times as many documents as
+        the median of those that are found at all are common. They are not given up:
+        what holds no other seed is aligned if its words can reach the score."""
         counts = defaultdict(list)
-        for key, where in self.places.items():
-            for k, p in where:
-                if n := frequency.get(key, 0):
-                    counts[k].append((n, key, p))
-        places = defaultdict(list)
-        for k, seeds in counts.items():
-            most = rare * float(np.median([n for n, _, _ in seeds]))
-            for n, key, p in seeds:
-                if n <= most:
-                    places[key].append((k, p))
+        places = {key: where for key, where in self.places.items() if frequency.get(key, 0)}
+        for key, where in places.items():
+            for k, _ in where:
+                counts[k].append((frequency[key], key))
         out = Index(self.vocabulary, self.items)
+        for k, seeds in counts.items():
+            most = rare * float(np.median([n for n, _ in seeds]))
+            out.common.update((key, k) for n, key in seeds if n > most)
         out.limit_to(places)
         return out
 
-    def windows(self, found: np.ndarray, ids: np.ndarray) -> list[tuple[int, int, int]]:
+    def can_reach(self, k: int, ordered: np.ndarray, min_score: float) -> bool:
+        """Whether sorted words hold enough of the item's, in whatever order: an
+        alignment's score is the share of matched words at most."""
+        ids, n = np.unique(self.items[k][1], return_counts=True)
+        held = np.searchsorted(ordered, ids, "right") - np.searchsorted(ordered, ids)
+        return int(np.minimum(held, n).sum()) >= min_score * len(self.items[k][1])
+
+    def windows(self, found: np.ndarray, ids: np.ndarray, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
         """item, start and end of the passages worth aligning with it: around each
-        seed as long as the item and a quarter of it more on both sides."""
+        seed as long as the item and a quarter of it more on both sides. Passages
+        with common seeds only are left out if their words can't reach the score."""
         ranges = defaultdict(list)
         keys = self.seeds(ids)
         for p in found.tolist():
-            for k, q in self.places[int(keys[p])]:
+            key = int(keys[p])
+            for k, q in self.places[key]:
                 n = len(self.items[k][1])
-                ranges[k].append((max(0, p - q - n // 4 - 2), min(len(ids), p - q + n + n // 4 + 2)))
+                ranges[k].append((max(0, p - q - n // 4 - 2), min(len(ids), p - q + n + n // 4 + 2), (key, k) not in self.common))
         out = []
+        ordered = np.sort(ids) if ranges else ids
         for k, spans in ranges.items():
+            if not any(sure for *_, sure in spans) and not self.can_reach(k, ordered, min_score):
+                continue
             longest = 3 * len(self.items[k][1]) + 8
-            start, end = None, None
-            for a, b in sorted(set(spans)):
-                if start is not None and a <= end and b - start <= longest:
-                    end = max(end, b)
+            own: list[list] = []
+            for a, b, sure in sorted(set(spans)):
+                if own and a <= own[-1][1] and b - own[-1][0] <= longest:
+                    own[-1][1:] = max(own[-1][1], b), own[-1][2] or sure
                 else:
-                    if start is not None:
-                        out.append((k, start, end))
-                    start, end = a, b
-            out.append((k, start, end))
+                    own.append([a, b, sure])
+            out += [(k, a, b) for a, b, sure in own if sure or self.can_reach(k, np.sort(ids[a:b]), min_score)]
         return out
 
 
@@ -176,7 +184,7 @@ def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
 
             for row, (doc, t) in enumerate(zip(column(b, "doc_id"), texts(b))):
                 ids, found = x.read(t)
-                for k, start, end in x.windows(found, ids):
+                for k, start, end in x.windows(found, ids, min_score):
                     pairs.append((row, doc, k, start, ids[start:end]))
                     if len(pairs) >= 512:
                         settle()
@@ -205,7 +213,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_S
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).distinct().collect() if n_blocks > 1 else items.distinct().collect()
         index = Index.of(sorted((r["item_id"], r["text"]) for r in own))
         if index.items:
-            parts.append(_matches(docs, index.keep_rare(_frequencies(docs, index), rare), min_score))
+            parts.append(_matches(docs, index.mark_common(_frequencies(docs, index), rare), min_score))
     if not parts:
         return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
     return reduce(DataFrame.unionAll, parts)

@@ -60,6 +60,18 @@ def test_copies_do_not_make_an_item_common(spark):
     assert {r.doc_id for r in D.contaminated(df, bench).collect()} == set(range(400))
 
 
+def test_a_crowd_of_equal_edited_copies_is_found(spark):
+    rng = random.Random(9)
+    item = passage(rng, 15)
+    w = item.split()
+    for k in (3, 7, 11):
+        w[k] = "changed"
+    docs = [(0, passage(rng, 20) + " " + item)] + [(1 + i, f"{passage(rng, 20)} {' '.join(w)} {passage(rng, 20)}") for i in range(1000)]
+    docs += [(2000 + i, f"{passage(rng, 20)} {' '.join(w[4:7])} {passage(rng, 20)}") for i in range(20)]
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], BENCH)
+    assert {r.doc_id for r in D.contaminated(df, bench).collect()} == set(range(1001))
+
+
 def test_same_as_plain_search(documents, spark):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     items = {r.item_id: " ".join(D.words(r.text)) for r in bench.collect()}
