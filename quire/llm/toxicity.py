@@ -20,8 +20,6 @@ MOD, FOLD, THRESHOLD = 5, 0, 0.5
 SAMPLE = 3_000
 #: The score reads prefixes of words of these lengths, and whole words.
 PREFIXES = range(4, 9)
-#: Longer tokens are not disguised words.
-LONGEST = 40
 
 #: Letters that a character may stand for.
 DISGUISES = {
@@ -38,8 +36,11 @@ ALPHABET = "\x00abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF
 N = len(ALPHABET) + 1
 _PLACE = {c: k for k, c in enumerate(ALPHABET)}
 _WORD = re.compile(r"[^\W\d_]+")
-_THRICE = re.compile(r"(.)\1\1")
+_TWICE = re.compile(r"(.)\1")
+_RUN = re.compile(r"(.)\1{3,}", re.S)
 _EDGE = ".,;:!?\"'()[]{}<>…“”„«»-–—_*#%&~`=/\\^"
+#: Signs at the edge of a token that stand for no letter.
+_CLEAR = "".join(c for c in _EDGE if c not in DISGUISES)
 
 
 def letter_classes() -> np.ndarray:
@@ -103,65 +104,85 @@ class Restorer:
     A token's characters make a lattice: a letter stands for itself, a figure or
     sign for the letters it looks like, or it was put between letters, and a letter
     said again may be one letter. Viterbi finds the path that channel and character
-    model together make most likely. A state is the last two letters."""
+    model together make most likely. A state is the last two letters; a path is kept
+    as its last letter and the path before. Letters said more than three times in a
+    row are read as three: no word has more."""
 
     def __init__(self, model: CharModel, cached: int = 200_000):
         self.logp = model.logp
         self.decoded = Bounded(cached, self._decode)
         self.parts = Bounded(cached, self._parts)
+        self.spaced = Bounded(cached, lambda t: self._decode(t, breaks=True))
+        self.single = Bounded(cached, lambda t: next((c for c in (t.strip(_EDGE), t.strip(_CLEAR), t) if len(c) == 1), ""))
 
-    def _decode(self, token: str) -> str:
+    def _decode(self, token: str, breaks: bool = False) -> str:
+        """The likeliest reading. Where a token has no letter, its signs that look like
+        letters are read and not passed over. breaks: words may end between signs."""
         logp, place = self.logp, _PLACE
-        states = {(0, 0): (0.0, "")}
+        token = _RUN.sub(r"\1\1\1", token)
+        bare = not any(map(str.isalpha, token))
+        states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for c in token:
-            after: dict[tuple[int, int], tuple[float, str]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple]] = {}
 
-            def offer(key, value):
-                if key not in after or value > after[key]:
-                    after[key] = value
+            def offer(key, s, path):
+                if key not in after or s > after[key][0]:
+                    after[key] = s, path
 
             letter = c.isalpha()
             readings = ((c, PLAIN),) if letter else tuple((x, DISGUISED) for x in DISGUISES.get(c, ""))
-            for (a, b), (s, text) in states.items():
+            for (a, b), (s, path) in states.items():
+                end = s + float(logp[a, b, 0])
                 for x, cost in readings:
                     k = place.get(x, N - 1)
-                    offer((b, k), (s + cost + float(logp[a, b, k]), text + x))
-                if letter and text and text[-1] == c:
-                    offer((a, b), (s + AGAIN, text))
-                if not letter:
-                    offer((a, b), (s + BETWEEN, text))
+                    offer((b, k), s + cost + float(logp[a, b, k]), (x, path))
+                    if breaks and path:
+                        offer((0, k), end + cost + float(logp[0, 0, k]), (x, (" ", path)))
+                if letter and path and path[0] == c:
+                    offer((a, b), s + AGAIN, path)
+                if not letter and not (bare and readings):
+                    offer((a, b), s + BETWEEN, path)
             states = after
-        return max((s + float(logp[a, b, 0]), text) for (a, b), (s, text) in states.items())[1]
+        path = max(((s + float(logp[a, b, 0]), path) for (a, b), (s, path) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while path:
+            out.append(path[0])
+            path = path[1]
+        return "".join(reversed(out))
 
     def _parts(self, token: str) -> tuple[str, ...]:
         """The words of a white-space token, lower-case; disguised ones restored
-        beside what they show."""
-        core = token.strip(_EDGE).lower()
-        if not core:
-            return ()
-        if core.isalpha() and not _THRICE.search(core):
-            return (core,)
-        shown = tuple(_WORD.findall(core))
-        if len(core) > LONGEST or not shown or core.isnumeric():
+        beside what they show. Only letters, none of them said twice in a row, have
+        one reading: themselves. A number, or asterisks alone, says no letter."""
+        core, kept = token.strip(_EDGE).lower(), token.strip(_CLEAR).lower()
+        if kept.isalpha() and not _TWICE.search(kept):
+            return (kept,)
+        shown = (core,) if core.isalpha() else tuple(_WORD.findall(core))
+        if not kept.strip("*") or kept.strip(_EDGE).isnumeric():
             return shown
-        return (*shown, self.decoded[token.lower().strip(".,;:?\"'()[]{}…“”„«»")[:LONGEST]])
+        return (*shown, self.decoded[kept])
 
     def words(self, text: str) -> set[str]:
-        """The distinct words of a text. Three single letters or more in a row are
-        read as one spaced word too."""
+        """The distinct words of a text. Three single letters or more in a row, with or
+        without punctuation, are read as one spaced word too, and as several."""
         tokens = text.split()
         out: set[str] = set()
+        single = {}
         for t in set(tokens):
             out.update(self.parts[t])
-        if any(len(t) == 1 for t in tokens):
+            if c := self.single[t]:
+                single[t] = c
+        if single:
             run: list[str] = []
-            for t in [*tokens, "   "]:
-                if len(t) == 1 and len(run) < LONGEST:
-                    run.append(t)
+            for t in [*tokens, ""]:
+                if c := single.get(t):
+                    run.append(c)
                 else:
-                    if len(run) >= 3:
-                        out.add(self.decoded["".join(run).lower()])
-                    run = [t] if len(t) == 1 else []
+                    spaced = "".join(run).lower()
+                    if len(run) >= 3 and spaced.strip("*") and not spaced.isnumeric():
+                        out.add(self.decoded[spaced])
+                        out.update(self.spaced[spaced].split())
+                    run = []
         out.discard("")
         return out
 

@@ -92,6 +92,27 @@ def test_disguises(restorer, shown, word):
     assert word in restorer.parts[shown]
 
 
+@pytest.mark.parametrize("shown, word", [("stuupid", "stupid"), ("idioot", "idiot"), ("!diot", "idiot"), ("*diot,", "idiot"), ("(!diot)", "idiot"), ("s" + "tu" + "u" * 60 + "pid", "stupid"), ("i.d.i.o.t." * 20, "idiot" * 20)])
+def test_disguises_that_no_gate_keeps_out(restorer, shown, word):
+    assert word in restorer.parts[shown]
+
+
+def test_words_of_signs_alone(restorer):
+    assert restorer.parts["@$"] == ("as",) and restorer.parts["1$"] == ("is",)
+    assert restorer.parts["***"] == restorer.parts["12"] == restorer.parts["--"] == ()
+
+
+def test_spaced_words_with_punctuation_and_breaks(restorer):
+    assert "idiot" in restorer.words("you: i d i o t.") and "idiot" in restorer.words("(i d i o t), now")
+    assert {"you", "are", "an", "idiot"} <= restorer.words("y o u a r e a n i d i o t")
+    assert {"you", "idiot"} <= restorer.words(" ".join("youareanidiot" * 5))
+
+
+def test_long_tokens_take_time_in_proportion(restorer):
+    long = "stup1d" * 20_000
+    assert len(restorer.parts[long][-1]) == len(long)
+
+
 def test_spaced_words_and_plain_text(restorer):
     assert "idiot" in restorer.words("you i d i o t now")
     assert restorer.words("Plain, words (only).") == {"plain", "words", "only"}
