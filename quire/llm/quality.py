@@ -18,23 +18,26 @@ BITS, MOD, FOLD, THRESHOLD = 18, 5, 0, 0.3
 SAMPLE = 4_000
 #: Words of a text that are looked at together; a longer text is taken in parts.
 PART = 50_000
+#: Characters of a word that are looked at together; a longer word is taken in parts.
+LONG = 40
 
 _RUN = re.compile(r"([A-ZÀ-ÖØ-Þ]+)|([^\W\d_A-ZÀ-ÖØ-Þ]+)|(\d+)|(.)\4*", re.S)
 
 
 def _shape(word: str) -> str:
     """Letters by case and digits as one mark a run, other characters as they are."""
-    return _RUN.sub(lambda m: "A" if m[1] else "a" if m[2] else "9" if m[3] else m[4] * min(len(m[0]), 3), word[:40])
+    return _RUN.sub(lambda m: "A" if m[1] else "a" if m[2] else "9" if m[3] else m[4] * min(len(m[0]), 3), word)
 
 
 class Features:
     """Indices of the n-gram indicators of a text, without repeats: words, shapes of
     words in runs of one to three, words that follow themselves, and how large a
-    share of the text each shape and each repeat has (in powers of two)."""
+    share of the text each shape and each repeat has (in powers of two). A word of
+    over LONG characters is an indicator as a whole, and its parts count as words."""
 
     def __init__(self, bits: int = BITS, cached: int = 300_000):
         self.mask = (1 << bits) - 1
-        self.words = Bounded(cached, lambda w: (_shape(w), self.index("w" + w.lower()[:40])))
+        self.words = Bounded(cached, lambda w: (_shape(w), self.index("w" + w.lower())))
         self.grams = Bounded(cached, self.index)
         self.shares = Bounded(50_000, lambda k: self.index(f"s{k[0]}/{k[1]}"))
 
@@ -46,6 +49,9 @@ class Features:
         counts: dict[str, int] = {}
         same = total = 0
         words = text.split()
+        if long := {w for w in words if len(w) > LONG}:
+            found.update(self.index("w" + w.lower()) for w in long)
+            words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
         for k in range(0, len(words), PART):
             part = words[k : k + PART]
             known = [self.words[w] for w in part]

@@ -45,6 +45,15 @@ def test_quality_held_out(small):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows)
 
 
+def test_words_without_white_space_are_read_to_their_end():
+    x, start = Q.Features(), "日本語のテキスト" * 5
+    a, b = (set(x.of(start + end).tolist()) for end in ("です。" * 30, "<a1/>" * 30))
+    assert a - b and b - a
+    # more than the indicator of the whole word: the shapes of the later parts too
+    assert len(a ^ b) > 2
+    assert set(x.of(start).tolist()) == set(Q.Features().of(start).tolist()) and len(x.of("x" * 200_000)) < 20
+
+
 def test_toxicity_held_out(small):
     docs, labels = small
     rows = X.score(docs, X.fit(docs, labels)).join(labels, "doc_id").collect()
