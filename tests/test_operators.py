@@ -168,3 +168,20 @@ def test_components(spark):
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100: 100, 101: 100, 102: 100, 499: 499, 500: 499}
     assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_metrics_cover_whole_texts(spark):
+    from quire.functions.metrics import char_accuracy, similarity, word_error_rate
+
+    want = " ".join(f"w{k}x{k * k}" for k in range(3_000))
+    lost = " ".join(want.split()[:2_500])
+    assert len(lost) > 15_000
+    df = spark.createDataFrame([(0, lost, want), (1, want, want), (2, None, want), (3, None, None)], "k int, got string, want string")
+    rows = df.select("k", char_accuracy("got", "want").alias("a"), word_error_rate("got", "want").alias("e"), similarity("got", "want").alias("s"),
+                     char_accuracy("got", "want", 15_000).alias("a1"), word_error_rate("got", "want", 2_000).alias("e1")).orderBy("k").collect()
+    assert rows[0].a == rows[0].s == pytest.approx(2 * len(lost) / (len(lost) + len(want))) and rows[0].e == pytest.approx(1 - 2 * 2_500 / 5_500)
+    assert rows[0].a1 == 1 and rows[0].e1 == 0
+    few = spark.createDataFrame([("a b c d " * 300 + "x", "a b c d " * 300 + "y")], "got string, want string")
+    r = few.select(char_accuracy("got", "want").alias("a"), word_error_rate("got", "want").alias("e")).first()
+    assert r.a > 0.999 and 0 < r.e < 0.001
+    assert [tuple(r)[1:4] for r in rows[1:]] == [(1, 0, 1), (0, 1, 0), (1, 0, 1)]
