@@ -10,6 +10,8 @@ from pyspark.sql import types as T
 
 from quire.session import materialize
 
+from .common import long_rows
+
 SHARDS, SEED, OVERHEAD = 40, 11, 16
 #: Rows of a shard that are exchanged together.
 BLOCK = 1 << 18
@@ -126,11 +128,10 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -
     row goes depends on seed and input order alone, so equal texts, repeated rows
     and null doc_ids are rows like any other. grown_shard is null: under this law
     a further shard deals all rows anew. Empty table: no rows. Extra columns are
-    ignored."""
+    ignored. The texts are moved; size and text_crc32 are of what arrives."""
+    dealt = assign(long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_shards, seed)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
-    dealt = assign(slim, n_shards, seed)
-    return dealt.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return dealt.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED) -> None:

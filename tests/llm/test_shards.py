@@ -66,3 +66,9 @@ def test_written_shards(spark, documents, tmp_path):
     S.write_shards(documents, str(tmp_path / "out"), 5)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == documents.count() and back.select("shard").distinct().count() == 5
+
+
+def test_the_query_moves_the_texts(documents, monkeypatch):
+    moved, assign = [], S.assign
+    monkeypatch.setattr(S, "assign", lambda rows, *a: moved.append(rows.columns) or assign(rows, *a))
+    assert S.shard_documents(documents).count() == documents.count() and moved == [["doc_id", "text"]]
