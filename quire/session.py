@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,11 +20,14 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where that is unset (single machine, tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that
+    is unset, a temporary one on a single machine (tests), and an error on a
+    cluster, whose executors would each write to their own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="quire-")
@@ -30,8 +35,53 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own[app]}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path of the folder that new_path made for a path."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+#: Paths made since each `scratch` that is open began.
+_scratch: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
+    """A path in the shared folder. What is written there goes with the application,
+    or earlier by release() or scratch()."""
+    path = f"{shared_dir(spark)}/quire-{uuid.uuid4().hex}/{label}"
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    if _scratch:
+        _scratch[-1].append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialized inside are deleted at its end, but for those that are
+    passed to the function that it gives."""
+    kept: set[str] = set()
+    _scratch.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(df.quire_path)
+        return df
+
+    try:
+        yield keep
+    finally:
+        made = _scratch.pop()
+        for path in made:
+            if path in kept:
+                if _scratch:
+                    _scratch[-1].append(path)
+            else:
+                _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, folder = _folder(spark, path)
+    fs.delete(folder, True)
 
 
 def materialize(df: DataFrame, label: str, even: bool = False) -> DataFrame:
@@ -47,13 +97,24 @@ def materialize(df: DataFrame, label: str, even: bool = False) -> DataFrame:
     return out
 
 
+def materialize_sorted(df: DataFrame, label: str, key: str, buckets: int) -> DataFrame:
+    """Like materialize, in buckets by key, each sorted by it: tables with the same
+    number of buckets are joined by key without an exchange. df is dealt by key
+    unless it is so already. Only the path is kept; the catalog is left as it was."""
+    spark = df.sparkSession
+    path, name = new_path(spark, label), f"quire_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"drop table {name}")
+    out.quire_path = path
+    return out
+
+
 def release(df: DataFrame) -> None:
     """Delete the files behind a materialized table that nothing reads any more."""
     path = getattr(df, "quire_path", None)
     if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path).getParent()
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(df.sparkSession, path)
 
 
 def ship(spark: SparkSession) -> None:
