@@ -12,7 +12,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import Bounded, Recent, column, hold, long_rows, slices, texts
+from .common import Bounded, Recent, column, hold, slices, texts
 
 #: Pre-tokens longer than that go through the transducer each time instead of the cache.
 LONG = 64
@@ -213,7 +213,7 @@ def tokenize(docs: DataFrame, path: str | None = None, pattern: str | None = Non
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([c.encode(t) for t in texts(b)], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
 def detokenize(encoded: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
@@ -252,4 +252,4 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 back.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

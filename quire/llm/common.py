@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,30 +33,47 @@ def in_fold(key: object, mod: int, fold: int) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % mod == fold
 
 
-#: Rows that scans decode and Python gets at a time, where the session has Spark's
-#: own values: those are for short rows, and texts run to megabytes.
-LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "256")}
+#: Rows and bytes of text that are turned into Python objects at a time.
+SLICE, SLICE_BYTES = 500, 16 << 20
 
 
-def long_rows(docs: DataFrame) -> DataFrame:
-    """docs; the session from now on handles rows in smaller batches, so that memory
-    follows a few hundred texts and not thousands. Own settings stay."""
-    conf = docs.sparkSession.conf
-    for key, (default, small) in LONG_ROWS.items():
-        if conf.get(key) == default:
-            conf.set(key, small)
-    return docs
-
-
-#: Rows that are turned into Python objects at a time.
-SLICE = 500
-
-
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
-    """Batches cut small, so that long texts are not all copied at once."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches cut small, by rows and by bytes of their column `text`, so that long
+    texts are not all copied at once. A row is never cut."""
     for b in batches:
-        for k in range(0, b.num_rows, rows):
-            yield b.slice(k, rows)
+        at = b.schema.get_field_index("text")
+        if at < 0 or b.num_rows < 2:
+            ends = None
+        else:
+            ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        k = 0
+        while k < b.num_rows:
+            n = rows
+            if ends is not None:
+                before = int(ends[k - 1]) if k else 0
+                n = min(n, max(1, int(np.searchsorted(ends, before + size, side="right")) - k))
+            yield b.slice(k, n)
+            k += n
+
+
+def free(name: str, taken: Iterable[str]) -> str:
+    """name, with as many underscores after it as it takes to be none of `taken`."""
+    taken = {t.lower() for t in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_hash(df: DataFrame) -> Column:
+    """With the doc_id it tells rows of a table apart that hold different texts."""
+    return F.xxhash64(df["text"])
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id (null like any other) and text are not in gone
+    (_id, _h: doc_id and text_hash). Repeated rows stay or go together."""
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (text_hash(docs) == gone["_h"])
+    return docs.join(gone, same, "left_anti")
 
 
 _held: dict = {}

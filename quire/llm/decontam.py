@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize
 
-from .common import column, hold, long_rows, slices, texts
+from .common import hold, slices, text_hash, texts, without_rows
 
-SEED_WORDS, RARE, MIN_SCORE, BLOCK = 3, 8, 0.5, 5000
+SEED_WORDS, RARE, MIN_SCORE = 3, 8, 0.5
+#: Bytes of test items that are sent to executors at a time.
+BLOCK_BYTES = 8 << 20
+#: Words of passages, padded, that are aligned at a time.
+CELLS = 1 << 18
 MATCH, MISMATCH, GAP = 2, -1, -1
 WORD = re.compile(r"[^\W_]+")
 
@@ -25,16 +29,28 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+_MIX = (np.int64(-0x61C8864680B583EB), np.int64(-0x4B47D0C5A1A2B3D5))
+
+
 @dataclass
 class Index:
-    """The items of a block: their words by number, and where each seed stands."""
+    """The items of a block: their words by number, and where each seed stands. A
+    seed is a run of three words; all words of an item that has fewer are its one
+    seed. Seeds go by 64-bit hashes of the numbers: an alignment, not the seed,
+    decides, so equal hashes of different seeds do no harm."""
 
     vocabulary: dict[str, int]
     items: list[tuple[int, np.ndarray]]
-    places: dict[int, list[tuple[int, int]]] = field(default_factory=dict)
+    #: Lengths of the seeds that occur.
+    sizes: tuple[int, ...] = ()
+    #: Distinct seeds, sorted; of the k-th the entries from starts[k] to starts[k + 1].
     keys: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
-    #: Seeds (key, item) that are too frequent to call for an alignment by themselves.
-    common: set[tuple[int, int]] = field(default_factory=set)
+    starts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    #: Item and place in it of each entry, and whether the seed is too frequent to call
+    #: for an alignment of that item by itself.
+    item: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    place: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
+    common: np.ndarray = field(default_factory=lambda: np.empty(0, bool))
 
     @classmethod
     def of(cls, rows: list[tuple[int, str | None]]) -> Index:
@@ -42,51 +58,69 @@ class Index:
         items = []
         for item_id, text in rows:
             w = words(text or "")
-            if item_id is not None and len(w) >= SEED_WORDS:
+            if item_id is not None and w:
                 items.append((item_id, np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64)))
         out = cls(vocabulary, items)
-        places = defaultdict(list)
-        for k, (_, ids) in enumerate(items):
-            for p, key in enumerate(out.seeds(ids).tolist()):
-                places[key].append((k, p))
-        out.limit_to(places)
+        found = [cls.seeds(ids, min(SEED_WORDS, len(ids))) for _, ids in items]
+        out.sizes = tuple(sorted({min(SEED_WORDS, len(ids)) for _, ids in items}))
+        if items:
+            key = np.concatenate(found)
+            item = np.repeat(np.arange(len(items)), [len(x) for x in found])
+            place = np.concatenate([np.arange(len(x)) for x in found])
+            out._sort(key, item, place, np.zeros(len(key), bool))
         return out
 
-    def seeds(self, ids: np.ndarray) -> np.ndarray:
-        """A key for each run of three numbers, -1 where one is unknown."""
-        if len(ids) < SEED_WORDS:
+    def _sort(self, key, item, place, common) -> None:
+        order = np.lexsort((place, item, key))
+        self.item, self.place, self.common = item[order], place[order], common[order]
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.starts = np.append(first, len(order))
+
+    @staticmethod
+    def seeds(ids: np.ndarray, size: int) -> np.ndarray:
+        """A key for each run of `size` numbers, -1 where one is unknown."""
+        n = len(ids) - size + 1
+        if n < 1:
             return np.empty(0, np.int64)
-        a, b, c = ids[:-2], ids[1:-1], ids[2:]
-        v = len(self.vocabulary) + 1
-        return np.where((a >= 0) & (b >= 0) & (c >= 0), (a * v + b) * v + c, -1)
-
-    def limit_to(self, places: dict) -> None:
-        self.places, self.keys = dict(places), np.array(sorted(places), np.int64)
-
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """A text's word numbers (-1: in no item) and the positions of seeds."""
+        key, known = np.full(n, size, np.int64), np.ones(n, bool)
+        with np.errstate(over="ignore"):
+            for k in range(size):
+                part = ids[k : k + n]
+                known &= part >= 0
+                key = (key ^ (key >> np.int64(31))) * _MIX[0] + (part + 1) * _MIX[1]
+        return np.where(known, key & np.int64((1 << 63) - 1), -1)
+
+    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A text's word numbers (-1: in no item), and for each seed that it holds
+        where, and its place in `keys`."""
         get = self.vocabulary.get
         ids = np.array([get(w, -1) for w in words(text)], np.int64)
-        found = self.seeds(ids)
-        if not len(found) or not len(self.keys):
-            return ids, np.empty(0, np.int64)
-        at = np.searchsorted(self.keys, found)
-        return ids, np.flatnonzero((found >= 0) & (self.keys[np.minimum(at, len(self.keys) - 1)] == found))
-
-    def mark_common(self, frequency: dict[int, int], rare: int) -> Index:
-        """Of each item the seeds found in more than `rare` times as many documents as
-        the median of those that are found at all are common. They are not given up:
-        what holds no other seed is aligned if its words can reach the score."""
-        counts = defaultdict(list)
-        places = {key: where for key, where in self.places.items() if frequency.get(key, 0)}
-        for key, where in places.items():
-            for k, _ in where:
-                counts[k].append((frequency[key], key))
-        out = Index(self.vocabulary, self.items)
-        for k, seeds in counts.items():
-            most = rare * float(np.median([n for n, _ in seeds]))
-            out.common.update((key, k) for n, key in seeds if n > most)
-        out.limit_to(places)
+        where, which = [], []
+        for size in self.sizes:
+            found = self.seeds(ids, size)
+            if len(found) and len(self.keys):
+                at = np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)
+                hit = np.flatnonzero((found >= 0) & (self.keys[at] == found))
+                where.append(hit)
+                which.append(at[hit])
+        none = np.empty(0, np.int64)
+        return (ids, np.concatenate(where), np.concatenate(which)) if where else (ids, none, none)
+
+    def mark_common(self, frequency: np.ndarray, rare: int) -> Index:
+        """frequency: of each of `keys` the number of documents. Of each item the seeds
+        found in more than `rare` times as many documents as the median of those that
+        are found at all are common. They are not given up: what holds no other seed
+        is aligned if its words can reach the score."""
+        n = np.repeat(frequency, np.diff(self.starts))
+        met = n > 0
+        median = np.zeros(len(self.items))
+        order = np.lexsort((n[met], self.item[met]))
+        item, count = self.item[met][order], n[met][order]
+        own, first, size = np.unique(item, return_index=True, return_counts=True)
+        median[own] = (count[first + (size - 1) // 2] + count[first + size // 2]) / 2
+        out = Index(self.vocabulary, self.items, self.sizes)
+        key = np.repeat(self.keys, np.diff(self.starts))
+        out._sort(key[met], self.item[met], self.place[met], (n > rare * median[self.item])[met])
         return out
 
     def can_reach(self, k: int, ordered: np.ndarray, min_score: float) -> bool:
@@ -96,17 +130,21 @@ class Index:
         held = np.searchsorted(ordered, ids, "right") - np.searchsorted(ordered, ids)
         return int(np.minimum(held, n).sum()) >= min_score * len(self.items[k][1])
 
-    def windows(self, found: np.ndarray, ids: np.ndarray, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
+    def windows(self, ids: np.ndarray, where: np.ndarray, which: np.ndarray, min_score: float = MIN_SCORE) -> list[tuple[int, int, int]]:
         """item, start and end of the passages worth aligning with it: around each
         seed as long as the item and a quarter of it more on both sides. Passages
         with common seeds only are left out if their words can't reach the score."""
+        if not len(where):
+            return []
+        n = self.starts[which + 1] - self.starts[which]
+        entry = np.repeat(self.starts[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        item = self.item[entry]
+        size = np.array([len(x) for _, x in self.items])[item] if len(item) > len(self.items) else np.array([len(self.items[k][1]) for k in item.tolist()], np.int64)
+        begin = np.repeat(where, n) - self.place[entry]
+        low, high = np.maximum(begin - size // 4 - 2, 0), np.minimum(begin + size + size // 4 + 2, len(ids))
         ranges = defaultdict(list)
-        keys = self.seeds(ids)
-        for p in found.tolist():
-            key = int(keys[p])
-            for k, q in self.places[key]:
-                n = len(self.items[k][1])
-                ranges[k].append((max(0, p - q - n // 4 - 2), min(len(ids), p - q + n + n // 4 + 2), (key, k) not in self.common))
+        for k, *span in zip(item.tolist(), low.tolist(), high.tolist(), (~self.common[entry]).tolist()):
+            ranges[k].append(tuple(span))
         out = []
         ordered = np.sort(ids) if ranges else ids
         for k, spans in ranges.items():
@@ -147,25 +185,30 @@ def align(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarr
     return best / (MATCH * np.array([len(x) for x in items])), end
 
 
-def _frequencies(docs: DataFrame, index: Index) -> dict[int, int]:
-    """In how many rows each seed is found; no more entries than seeds."""
+def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
+    """In how many rows each of the index's seeds is found. A task adds up its own, so
+    no more numbers are shuffled than a task has seeds, and the driver gets one for
+    each seed of the block."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
         hold("decontam", "", dict)
-        x, total = shared.value, defaultdict(int)
+        x = shared.value
+        total = np.zeros(len(x.keys), np.int64)
         for b in slices(batches):
             for t in texts(b):
-                ids, found = x.read(t)
-                for key in set(x.seeds(ids)[found].tolist()):
-                    total[key] += 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["key", "n"])
+                total[np.unique(x.read(t)[2])] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["key", "n"])
 
-    rows = long_rows(docs).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).collect()
-    return {r["key"]: r["n"] for r in rows}
+    got = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(index.keys), np.int64)
+    out[got["key"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
+    """doc_id, h (hash of the text), item_id, score, end_word."""
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
@@ -174,53 +217,68 @@ def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
         for b in slices(batches):
             rows: dict[tuple, tuple] = {}
             pairs: list = []
+            widest = 0
 
             def settle():
-                scores, ends = align([x.items[k][1] for _, _, k, _, _ in pairs], [w for *_, w in pairs])
-                for (row, doc, k, start, _), s, e in zip(pairs, scores.tolist(), ends.tolist()):
+                scores, ends = align([x.items[k][1] for _, k, _, _ in pairs], [w for *_, w in pairs])
+                for (row, k, start, _), s, e in zip(pairs, scores.tolist(), ends.tolist()):
                     if s >= min_score and s > rows.get((row, k), (0,))[0]:
-                        rows[row, k] = s, doc, x.items[k][0], start + e
+                        rows[row, k] = s, start + e
                 pairs.clear()
 
-            for row, (doc, t) in enumerate(zip(column(b, "doc_id"), texts(b))):
-                ids, found = x.read(t)
-                for k, start, end in x.windows(found, ids, min_score):
-                    pairs.append((row, doc, k, start, ids[start:end]))
-                    if len(pairs) >= 512:
+            for row, t in enumerate(texts(b)):
+                ids, where, which = x.read(t)
+                for k, start, end in x.windows(ids, where, which, min_score):
+                    widest = max(widest, end - start, len(x.items[k][1]))
+                    if pairs and (len(pairs) + 1) * widest > CELLS:
                         settle()
+                        widest = max(end - start, len(x.items[k][1]))
+                    pairs.append((row, k, start, ids[start:end]))
             settle()
-            s, doc, item, end = zip(*rows.values()) if rows else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(item, pa.int64()), pa.array(s, pa.float64()), pa.array(end, pa.int64())], ["doc_id", "item_id", "score", "end_word"])
+            at = pa.array([row for row, _ in rows], pa.int64())
+            got = [pa.array([x.items[k][0] for _, k in rows], pa.int64()), pa.array([s for s, _ in rows.values()], pa.float64()), pa.array([e for _, e in rows.values()], pa.int64())]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *got], ["doc_id", "h", "item_id", "score", "end_word"])
 
-    return long_rows(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, item_id long, score double, end_word long")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("h"), "text")
+    return own.mapInArrow(run, "doc_id long, h long, item_id long, score double, end_word long")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: int = RARE, block: int = BLOCK) -> DataFrame:
-    """doc_id, item_id, score, end_word: each document row with each test item that
-    it holds a copy of, whole or edited; the best alignment's score as a share of
-    a full match, and the number of words before its end.
-
-    Test items are taken in blocks of `block`, so what is sent to executors has a
-    bound; a block's documents frequencies come from all documents. Items with
-    fewer than three words, or a null id, and null or empty texts match nothing. A
-    repeated row gives its results again, with its doc_id (null if that is null);
-    items with equal texts are each reported. Extra columns are ignored."""
+def _found(docs: DataFrame, benchmark: DataFrame, min_score: float, rare: int, block: int) -> DataFrame:
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null")
-    n_blocks = max(1, -(-items.count() // block))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null and text is not null").distinct()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = max(1, -(-size // block))
     parts = []
     for k in range(n_blocks):
-        own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k).distinct().collect() if n_blocks > 1 else items.distinct().collect()
+        own = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == k).collect()
         index = Index.of(sorted((r["item_id"], r["text"]) for r in own))
         if index.items:
             parts.append(_matches(docs, index.mark_common(_frequencies(docs, index), rare), min_score))
     if not parts:
-        return spark.createDataFrame([], "doc_id long, item_id long, score double, end_word long")
+        return spark.createDataFrame([], "doc_id long, h long, item_id long, score double, end_word long")
     return reduce(DataFrame.unionAll, parts)
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents that hold no test item; rows with a null doc_id are judged
-    only if they have an id, and stay."""
-    gone = materialize(contaminated(docs, benchmark, min_score).where("doc_id is not null").select("doc_id").distinct(), "leaks")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+def contaminated(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: int = RARE, block: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, item_id, score, end_word: each document row with each test item that
+    it holds a copy of, whole or edited; the best alignment's score as a share of
+    a full match, and the number of words before its end (of equal scores the first
+    passage's).
+
+    Test items are taken in blocks of about `block` bytes of text (their size is
+    counted first), so what is sent to executors has a bound; a block costs two passes
+    over the documents, one that counts its seeds and one that aligns. A copy is found
+    if it keeps three words of the item in a row; items of one or two words are found
+    where these stand together. Items without a word or with
+    a null id, and null or empty texts, match nothing; empty tables give no rows.
+    Texts and items of any length are taken whole: alignments are batched by their
+    cells. A repeated row gives its results again, with its doc_id (null if that is
+    null); items with equal texts are each reported. Extra columns are ignored."""
+    return _found(docs, benchmark, min_score, rare, block).drop("h")
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCORE, rare: int = RARE, block: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of docs whose text holds no test item, all their columns unchanged.
+    Each row is judged by its own text, whether its doc_id is null or repeated."""
+    gone = _found(docs, benchmark, min_score, rare, block).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
+    return without_rows(docs, materialize(gone, "leaks"))

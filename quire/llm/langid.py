@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, crc_mod, hold, in_fold, long_rows, slices, texts
+from .common import Bounded, column, crc_mod, hold, in_fold, slices, texts
 
 DIM, SEED, MOD, FOLD = 1024, 7, 4, 2
 UNKNOWN = "und"
@@ -52,26 +53,27 @@ class Space:
             at[k] = p
         return self.table[at]
 
-    def trigrams(self, text: str) -> np.ndarray:
-        """Trigrams of the lower-cased letters; every run of other characters is
-        one space, and the text stands between spaces. Empty if it has no letter."""
-        cps = np.frombuffer(text.lower().encode("utf-32-le"), np.int32)
-        new = cps[~self.known[cps]]
-        for cp in np.unique(new).tolist():
-            self.known[cp] = True
-            self.code[cp] = cp if chr(cp).isalpha() else 32
-        c = self.code[cps]
-        c = np.concatenate([[32], c, [32]]).astype(np.int64)
-        c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
-        if len(c) < 3:
-            return np.empty(0, np.int64)
-        return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
-
-    def bundle(self, text: str) -> np.ndarray | None:
+    def trigrams(self, text: str, chunk: int = CHUNK) -> Iterator[np.ndarray]:
+        """Trigrams of the lower-cased letters, as many arrays as it takes; every run of
+        other characters is one space, and the text stands between spaces. None if it
+        has no letter. Chunks run into each other, so where they end doesn't matter."""
+        text, last = text.lower() + " ", np.array([32], np.int64)
+        for k in range(0, len(text), chunk):
+            cps = np.frombuffer(text[k : k + chunk].encode("utf-32-le", "surrogatepass"), np.int32)
+            for cp in np.unique(cps[~self.known[cps]]).tolist():
+                self.known[cp] = True
+                self.code[cp] = cp if chr(cp).isalpha() else 32
+            c = np.concatenate([last, self.code[cps]])
+            c = c[np.concatenate([[True], (c[1:] != 32) | (c[:-1] != 32)])]
+            if len(c) > 2:
+                yield (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+            last = c[-2:]
+
+    def bundle(self, text: str, chunk: int = CHUNK) -> np.ndarray | None:
         """The sum of the vectors of a text's trigrams; None without a letter."""
         total = None
-        for k in range(0, max(1, len(text)), CHUNK):
-            grams, n = np.unique(self.trigrams(text[k : k + CHUNK + 2] if len(text) > CHUNK else text), return_counts=True)
+        for found in self.trigrams(text, chunk):
+            grams, n = np.unique(found, return_counts=True)
             for j in range(0, len(grams), 8192):
                 part = n[j : j + 8192].astype(np.float32) @ self.vectors(grams[j : j + 8192]).astype(np.float32)
                 total = part.astype(np.float64) if total is None else total + part
@@ -118,7 +120,7 @@ def fit(docs: DataFrame, dim: int = DIM, seed: int = SEED, mod: int = MOD, fold:
         langs = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([np.rint(sums[x]).astype(np.int64).tolist() for x in langs], pa.list_(pa.int64()))], ["lang", "v"])
 
-    learn = long_rows(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != fold))
+    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != fold))
     rows = learn.select("lang", "text").mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).collect()
     langs = sorted({r["lang"] for r in rows})
     vectors = np.zeros((len(langs), dim))
@@ -132,23 +134,30 @@ def identify(docs: DataFrame, profiles: Profiles, mod: int = MOD, fold: int = FO
     """doc_id, held_out, lang_pred, score (cosine with the prototype, 0 to 1).
 
     A null text or one without a letter is `und` with score 0, and so is every
-    text if no language was learned. Ties go to the first language by name. Every
-    row is judged on its own; a null doc_id is not held out. Extra columns are
-    ignored."""
+    text if no language was learned. Ties go to the first language by name. A text
+    of any length is bundled whole; an empty table gives no rows. Every row is
+    judged on its own, so repeated rows give repeated results; a null doc_id is not
+    held out. Extra columns are ignored."""
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
         for b in slices(batches):
             found = [model.value.predict(t) for t in texts(b)]
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(held, pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataFrame:
-    """The documents with a known language and a score of at least `least`, all
-    their columns unchanged."""
+def keep_known(docs: DataFrame, profiles: Profiles, least: float | None = None) -> DataFrame:
+    """The rows with a known language and a score of at least `least`, all their
+    columns unchanged. By default that is twice the standard deviation that the
+    cosine of a prototype with random letters has, one over the root of the
+    dimension: a text below it resembles no learned language more than chance would
+    have it. Null and empty texts and those without a letter go; rows are judged on
+    their own, whatever their doc_id; an empty table gives no rows."""
+    if least is None:
+        least = 2 / profiles.dim**0.5
     model = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def run(batches):
@@ -156,4 +165,4 @@ def keep_known(docs: DataFrame, profiles: Profiles, least: float = 0.0) -> DataF
             found = [model.value.predict(t) for t in texts(b)]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
-    return long_rows(docs).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import materialize, release
+from quire.session import materialize, materialize_sorted, release, scratch
 
-from .common import WHITE, column, hold, long_rows, slices, texts
+from .common import WHITE, column, free, hold, slices, texts
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 #: So many common keys (24 bytes each) go to every executor; more are joined.
@@ -38,80 +40,99 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     ids += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    return long_rows(docs).select("doc_id", "text").mapInArrow(run, "key binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
 class LineRuns:
     """A log-structured store of line keys: (key, n_docs, last_doc).
 
-    add() puts a batch in as a run of level 0, sorted by key. As soon as a level
-    holds `fanout` runs they are merged into one of the next level, so a key is
-    rewritten about log(batches) times, not once a batch. Batches must not share
-    documents. A run is a Parquet table in the shared folder."""
-
-    def __init__(self, fanout: int = FANOUT):
-        self.fanout, self.levels = fanout, {}
-
-    @staticmethod
-    def _merged(entries: DataFrame) -> DataFrame:
-        return entries.groupBy("key").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc")).sortWithinPartitions("key")
-
-    def add(self, hashes: DataFrame) -> None:
+    add() splits a batch by merge anti-joins with the runs: keys that no run holds
+    become a run of level 0, so each key is in one run, and what the batch adds to
+    known keys becomes a run of increments. As soon as a level holds `fanout` runs
+    they are merged into one of the next level, so a key is rewritten about
+    log(batches) times, not once a batch. Batches must not share documents. Runs
+    are Parquet in the shared folder, in the same buckets of the key and sorted by
+    it: joins and merges go bucket by bucket and exchange nothing."""
+
+    def __init__(self, fanout: int = FANOUT, buckets: int | None = None):
+        self.fanout, self.buckets = fanout, buckets
+        self.levels: dict[int, list[DataFrame]] = {}
+        self.increments: dict[int, list[DataFrame]] = {}
+
+    def _write(self, df: DataFrame) -> DataFrame:
+        if self.buckets is None:
+            self.buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return materialize_sorted(df, "run", "key", self.buckets)
+
+    def add(self, hashes: DataFrame) -> DataFrame:
         """hashes: key, doc_id of one batch. A document counts once for a key, even
-        if its row is repeated."""
-        run = hashes.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc")).sortWithinPartitions("key")
-        self.levels.setdefault(0, []).append(materialize(run, "run"))
+        if its row is repeated. Gives the run of the batch's fresh keys."""
+        counts = hashes.distinct().groupBy("key").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
+        if not self.levels:
+            fresh = self._write(counts)
+        else:
+            batch = self._write(counts)
+            unseen = batch
+            for r in self.runs():
+                unseen = unseen.join(r.select("key").hint("merge"), "key", "left_anti")
+            fresh = self._write(unseen)
+            self._put(self.increments, self._write(batch.join(fresh.select("key").hint("merge"), "key", "left_anti")))
+            release(batch)
+        self._put(self.levels, fresh)
+        return fresh
+
+    def _put(self, levels: dict[int, list[DataFrame]], run: DataFrame) -> None:
         level = 0
-        while len(self.levels.get(level, [])) >= self.fanout:
-            self._compact(self.levels.pop(level), level + 1)
+        levels.setdefault(level, []).append(run)
+        while len(levels[level]) >= self.fanout:
+            levels.setdefault(level + 1, []).append(self._merged(levels.pop(level)))
             level += 1
 
-    def _compact(self, runs: list[DataFrame], level: int) -> None:
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """One run of several, by full merge joins."""
         out = runs[0]
         for r in runs[1:]:
-            out = out.unionAll(r)
-        self.levels.setdefault(level, []).append(materialize(self._merged(out), "run"))
-        for r in runs:
-            release(r)
-
-    def unseen(self, hashes: DataFrame) -> DataFrame:
-        """Rows of hashes whose key is in no run: a merge anti-join with each run."""
-        for runs in self.levels.values():
-            for r in runs:
-                hashes = hashes.join(r.select("key"), "key", "left_anti")
-        return hashes
-
-    def entries(self) -> DataFrame:
-        """All keys with the counts of all runs."""
-        runs = [r for level in self.levels.values() for r in level]
-        if len(runs) > 1:
-            self.levels = {}
-            self._compact(runs, max(1, len(runs)))
-            runs = [r for level in self.levels.values() for r in level]
-        return runs[0]
+            a, b = out, r.hint("merge")
+            n = F.coalesce(a["n_docs"], F.lit(0)) + F.coalesce(b["n_docs"], F.lit(0))
+            out = a.join(b, a["key"] == b["key"], "full_outer").select(F.coalesce(a["key"], b["key"]).alias("key"), n.alias("n_docs"), F.greatest(a["last_doc"], b["last_doc"]).alias("last_doc"))
+        return self._write(out)
+
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels.values() for r in level]
+
+    def common(self, min_docs: int) -> DataFrame:
+        """key, n_docs, last_doc of the keys in min_docs documents or more: each run
+        of keys merged with the increments."""
+        known = [r for level in self.increments.values() for r in level]
+        more = (self._merged(known) if len(known) > 1 else known[0]).hint("merge") if known else None
+        parts = []
+        for r in self.runs():
+            if more is not None:
+                n = r["n_docs"] + F.coalesce(more["n_docs"], F.lit(0))
+                r = r.join(more, r["key"] == more["key"], "left").select(r["key"], n.alias("n_docs"), F.greatest(r["last_doc"], more["last_doc"]).alias("last_doc"))
+            parts.append(r.where(F.col("n_docs") >= min_docs))
+        return reduce(DataFrame.unionAll, parts)
 
 
 def new_lines(store: LineRuns, docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """Incremental use: key, doc_id of the batch's lines that no earlier batch
-    holds; the batch is then added to the runs. The result is written first, so
-    it does not change when the runs do."""
-    hashes = materialize(line_hashes(docs, min_chars), "hashes")
-    fresh = materialize(store.unseen(hashes), "fresh")
-    store.add(hashes)
-    return fresh
+    """Incremental use: key, n_docs, last_doc of the batch's lines that no earlier
+    batch holds; the batch is then part of the runs. The result is a written run, so
+    it does not change when later batches come."""
+    return store.add(line_hashes(docs, min_chars))
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT) -> tuple[DataFrame, DataFrame]:
     """key, last_doc of the keys found in min_docs documents or more, and key, doc_id
     of all lines. A common key stays in last_doc, its largest doc_id, alone.
 
-    The hashes are extracted in one pass and dealt to batches by document; each
-    batch becomes a run."""
+    The hashes are extracted in one pass and dealt to batches by document; one batch
+    after the other goes through the runs."""
     staged = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "hashes", even=True)
-    store = LineRuns(fanout)
-    for k in range(batches):
-        store.add(staged.where(F.col("batch") == k).select("key", "doc_id"))
-    common = materialize(store.entries().where(F.col("n_docs") >= min_docs).select("key", "last_doc"), "common", even=True)
+    with scratch(docs.sparkSession) as keep:
+        store = LineRuns(fanout)
+        for k in range(batches):
+            store.add(staged.where(F.col("batch") == k).select("key", "doc_id"))
+        common = keep(materialize(store.common(min_docs).select("key", "last_doc"), "common", even=True))
     return common, staged.select("key", "doc_id")
 
 
@@ -123,9 +144,7 @@ def _cut(text: str, lost, min_chars: int) -> tuple[list[str], int]:
 def _rewritten(df: DataFrame, docs: DataFrame, losing, min_chars: int) -> DataFrame:
     """df: all columns of docs and one that `losing` makes, with the row's doc_id, a
     test of keys from (None: nothing is lost). n_lines and n_dropped are added."""
-    counts = ("n_lines", "n_dropped")
-    if {c.lower() for c in docs.columns} & set(counts):
-        raise ValueError(f"columns named {counts} would clash; rename or drop them")
+    counts = [free(c, docs.columns) for c in ("n_lines", "n_dropped")]
     at, key = docs.columns.index("text"), docs.columns.index("doc_id")
 
     def run(batches):
@@ -133,7 +152,8 @@ def _rewritten(df: DataFrame, docs: DataFrame, losing, min_chars: int) -> DataFr
         test = losing()
         for b in slices(batches):
             kept, n, dropped = [], [], []
-            for t, i, x in zip(texts(b), b.column(key).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+            for t, i, x in zip(b.column(at).to_pylist(), b.column(key).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
+                t = t or ""
                 lost = test(i, x)
                 lines, total = _cut(t, lost, min_chars) if lost else (None, t.count("\n") + 1)
                 kept.append(t if lines is None or len(lines) == total else "\n".join(lines))
@@ -149,12 +169,14 @@ def _rewritten(df: DataFrame, docs: DataFrame, losing, min_chars: int) -> DataFr
 
 def without_lines(docs: DataFrame, common: DataFrame, staged: DataFrame, min_chars: int = MIN_CHARS, broadcast: int = BROADCAST) -> DataFrame:
     """All columns of docs, the text without its lost lines, and two last columns
-    n_lines (before) and n_dropped. common and staged are from repeated_lines.
+    n_lines (before) and n_dropped (with an underscore more where docs has a column
+    of that name). common and staged are from repeated_lines.
 
     Up to `broadcast` common keys are counted and sent to the executors, and texts
     stay where they are. More are joined with the lines by key (AQE splits a key
     that is in very many) and the lost keys with their documents; a document's list
     holds no more than its own lines."""
+    extra = free("_keys", docs.columns)
     if common.count() <= broadcast:
         keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["last_doc"] for r in common.collect()})
 
@@ -162,18 +184,20 @@ def without_lines(docs: DataFrame, common: DataFrame, staged: DataFrame, min_cha
             last = keys.value
             return (lambda i, _: (lambda k: last.get(k, i) != i) if i is not None else None) if last else (lambda i, _: None)
 
-        return _rewritten(docs.withColumn("_keys", F.lit(None).cast("boolean")), docs, everywhere, min_chars)
-    lost = staged.join(common, "key").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
-    both = docs.alias("d").join(lost.select(F.col("doc_id").alias("_of"), "_keys"), F.col("d.doc_id") == F.col("_of"), "left").select("d.*", "_keys")
+        return _rewritten(docs.select("*", F.lit(None).cast("boolean").alias(extra)), docs, everywhere, min_chars)
+    lost = staged.join(common, "key").where("doc_id <> last_doc").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set("key").alias(extra))
+    both = docs.join(lost, docs["doc_id"].cast("long") == lost["_of"], "left").drop(lost["_of"])
     return _rewritten(both, docs, lambda: lambda i, keys: set(keys).__contains__ if keys else None, min_chars)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, batches: int = BATCHES, fanout: int = FANOUT, broadcast: int = BROADCAST) -> DataFrame:
     """doc_id, text (the lines that stay), n_lines, n_dropped for every document.
 
-    A null or empty text is one empty line. A row with a null doc_id counts for
-    no key and keeps its lines. Rows that share a doc_id are one document when
-    documents are counted; each keeps its own row. Extra columns are ignored."""
+    A null or empty text is one empty line; an empty table gives no rows; texts and
+    lines of any length are taken whole. A row with a null doc_id counts for no key
+    and keeps its lines. Rows that share a doc_id are one document when documents
+    are counted; each keeps its own row. Ties can't arise: of a common key the
+    largest doc_id keeps all its lines. Extra columns are ignored."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return without_lines(own, *repeated_lines(own, min_chars, min_docs, batches, fanout), min_chars, broadcast)
 

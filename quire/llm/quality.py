@@ -11,11 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, crc_mod, in_fold, long_rows, texts
+from quire.session import materialize
+
+from .common import Bounded, column, crc_mod, in_fold, slices, texts
 
 BITS, MOD, FOLD, THRESHOLD = 18, 5, 0, 0.3
-#: At most so many labelled rows of each class are used to fit the model.
-SAMPLE = 4_000
+#: At most so many labelled rows of each class are used to fit the model, and of
+#: these no more than have so many bytes of indicators together.
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 #: Words of a text that are looked at together; a longer text is taken in parts.
 PART = 50_000
 #: Characters of a word that are looked at together; a longer word is taken in parts.
@@ -52,6 +55,7 @@ class Features:
         if long := {w for w in words if len(w) > LONG}:
             found.update(self.index("w" + w.lower()) for w in long)
             words = [w[k : k + LONG] for w in words for k in range(0, len(w), LONG)]
+        last: list[str] = []
         for k in range(0, len(words), PART):
             part = words[k : k + PART]
             known = [self.words[w] for w in part]
@@ -59,8 +63,10 @@ class Features:
             shapes = [s for s, _ in known]
             for s in shapes:
                 counts[s] = counts.get(s, 0) + 1
-            same += sum(map(str.__eq__, part, part[1:]))
+            same += sum(map(str.__eq__, part, part[1:])) + (k > 0 and words[k - 1] == part[0])
             total += len(part)
+            shapes = last + shapes  # runs of shapes go on from the part before
+            last = shapes[-2:]
             grams = self.grams
             found.update([grams[g] for g in set(zip(shapes, shapes[1:]))])
             found.update([grams[g] for g in set(zip(shapes, shapes[1:], shapes[2:]))])
@@ -164,9 +170,27 @@ def chosen(labels: DataFrame, label: str, each: int, mod: int, fold: int) -> tup
     return parts[0].unionAll(parts[1]), n
 
 
+def gathered(found: DataFrame, most: int = SAMPLE_BYTES) -> list[tuple[int, int, bytes]]:
+    """found: id, y, found (binary). Its rows on the driver, ordered: of each class, in
+    the order of a hash of the id, as many as have `most` bytes together."""
+    held = materialize(found, "features")
+    sizes = held.select("id", "y", F.xxhash64("id").alias("h"), F.octet_length("found").alias("n")).orderBy("y", "h", "id", "n").collect()
+    total, taken, all_of_them = {0: 0, 1: 0}, [], True
+    for r in sizes:
+        total[r["y"]] += r["n"]
+        if total[r["y"]] <= most:
+            taken.append((r["id"],))
+        else:
+            all_of_them = False
+    if not all_of_them:
+        held = held.join(F.broadcast(found.sparkSession.createDataFrame(taken, "id long").distinct()), "id", "left_semi")
+    return sorted((r["id"], r["y"], bytes(r["found"])) for r in held.collect())
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int = SAMPLE, bits: int = BITS, mod: int = MOD, fold: int = FOLD, cost: float = 1.0) -> Model:
-    """Fit on at most `each` labelled rows of each class. Their texts are turned
-    into indicators on the executors; the driver gets the indices. One row in four
+    """Fit on at most `each` labelled rows of each class, and SAMPLE_BYTES of their
+    indicators. Their texts are turned into indicators on the executors; the driver
+    gets the indices. One row in four
     is left out of the descent and fits the curve to probabilities. Classes are
     weighted by their true shares there. No labels, or one class only: every text
     gets the share of label 1 (a half without any label)."""
@@ -174,18 +198,18 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int =
 
     def run(batches):
         f = features(bits)
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f.of(t) for t in texts(b)], pa.list_(pa.int32()))], ["id", "y", "found"])
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(f.of(t)).tobytes() for t in texts(b)], pa.binary())], ["id", "y", "found"])
 
-    sample = long_rows(docs).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
-    got = sorted(((r["id"], r["y"], sorted(r["found"])) for r in sample.mapInArrow(run, "id long, y int, found array<int>").collect()))
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+    got = gathered(sample.mapInArrow(run, "id long, y int, found binary"))
     size = 1 << bits
     y = np.array([r[1] == 1 for r in got], bool)
     if not len(y) or y.all() or not y.any():
         share = n.get(1, 0) / sum(n.values()) if sum(n.values()) else 0.5
         z = float(np.log(max(share, 1e-6) / max(1 - share, 1e-6)))
         return Model(np.zeros(size, np.float32), np.ones(size, np.float32), 0.0, 1.0, z, bits)
-    rows = [np.array(r[2], np.int64) for r in got]
+    rows = [np.frombuffer(r[2], np.int32).astype(np.int64) for r in got]
     weight = np.where(y, n[1] / y.sum(), n[0] / (~y).sum())
     order = np.random.default_rng(1).permutation(len(y))
     aside = np.zeros(len(y), bool)
@@ -198,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int =
         for r in own:
             v = scale[r]
             values.append(v / (np.sqrt(v @ v) or 1.0))
-        w, bias = dual_descent(own, values, y[use], size, cost * np.where(y[use], 1.0, 1.0) * 4)
+        w, bias = dual_descent(own, values, y[use], size, np.full(int(use.sum()), 4 * cost))
         return Model(w.astype(np.float32), scale.astype(np.float32), bias, 1.0, 0.0, bits)
 
     part = model(~aside) if y[~aside].any() and not y[~aside].all() else model(np.ones(len(y), bool))
@@ -211,17 +235,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int =
 def score(docs: DataFrame, model: Model, mod: int = MOD, fold: int = FOLD, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text.
 
-    A null or empty text has no indicators and gets the score of the bias alone.
-    Every row is scored on its own, so repeated rows give repeated results; a null
-    doc_id is not held out. Extra columns, label, language and source among them,
-    are never read. The model has a fixed size of 2^bits weights."""
+    A null or empty text has no indicators and gets the score of the bias alone; an
+    empty table gives no rows; texts of any length are read whole, in parts that run
+    into each other. Every row is scored on its own, so repeated rows give repeated
+    results and equal texts tie; a null doc_id is not held out. Extra columns, label,
+    language and source among them, are never read. The model has a fixed size of
+    2^bits weights."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             s = [m.score(t) for t in texts(b)]
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, long_rows
+from .common import crc_mod
 
 WINDOW, MIN_WORDS, REPEATED_PERCENT = 5, 10, 20
 #: At most so many labelled rows are used to learn the list.
@@ -40,7 +40,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     a scan over these adds up the words covered. Texts without a repeat, nearly
     all, skip that. No lambda reads a column from outside, so a filter that is
     pushed down can't make a step run once for each word."""
-    d = long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("t"))
     d = d.select(
         "doc_id",
         F.filter(F.split("t", BLANKS), lambda w: w != "").alias("w"),
@@ -110,25 +110,26 @@ class Rule:
         return " and ".join(f"{n} {'>' if a else '<='} {t:.4g}" for n, a, t in self.tests)
 
 
-def _gain(pos: float, neg: float, pos0: float, neg0: float) -> float:
+def _gain(pos: np.ndarray, neg: np.ndarray, pos0: float, neg0: float) -> np.ndarray:
     """FOIL's information gain of narrowing a rule from (pos0, neg0) to (pos, neg)."""
-    return pos * (np.log2((pos + 1e-9) / (pos + neg + 1e-9)) - np.log2((pos0 + 1e-9) / (pos0 + neg0 + 1e-9))) if pos else -1.0
+    return np.where(pos > 0, pos * (np.log2((pos + 1e-9) / (pos + neg + 1e-9)) - np.log2((pos0 + 1e-9) / (pos0 + neg0 + 1e-9))), -1.0)
 
 
 def _best_test(x: dict, y: np.ndarray) -> tuple | None:
-    """The test with the highest gain over the rows given; y is 1 where rejected."""
+    """The test with the highest gain over the rows given, of all that tell two values
+    apart (of equal ones the first feature's, `<=` before `>`, the lowest threshold);
+    y is 1 where rejected."""
     best, pos0, neg0 = (1e-6, None), y.sum(), (1 - y).sum()
     for name, v in x.items():
         order = np.argsort(v, kind="stable")
         s, upto = v[order], np.cumsum(y[order])
-        for c in np.flatnonzero(s[1:] > s[:-1]).tolist() if len(s) < 2000 else np.unique(np.searchsorted(s, np.quantile(s, np.linspace(0, 1, 201)), side="right") - 1).tolist():
-            if c + 1 >= len(s) or s[c + 1] <= s[c]:
-                continue
-            p, n = float(upto[c]), float(c + 1 - upto[c])
-            at = float((s[c] + s[c + 1]) / 2)
-            for above, (a, b) in ((False, (p, n)), (True, (pos0 - p, neg0 - n))):
-                if (g := _gain(a, b, pos0, neg0)) > best[0]:
-                    best = g, (name, above, at)
+        cuts = np.flatnonzero(s[1:] > s[:-1])
+        p = upto[cuts].astype(float)
+        n = cuts + 1 - p
+        for above, gains in ((False, _gain(p, n, pos0, neg0)), (True, _gain(pos0 - p, neg0 - n, pos0, neg0))):
+            if len(cuts) and (g := float(gains.max())) > best[0]:
+                c = int(cuts[gains.argmax()])
+                best = g, (name, above, float((s[c] + s[c + 1]) / 2))
     return best[1]
 
 
@@ -191,8 +192,10 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, kept, rule (1.. of the rule that rejected; 0: none) for every text.
 
-    A null or empty text has no words and fails the base checks. Every row is
-    judged on its own, so repeated rows give repeated results; doc_id may be null.
+    A null or empty text has no words and fails the base checks; texts of any length
+    are taken whole; an empty table gives no rows. Every row is judged on its own, so
+    repeated rows give repeated results; doc_id may be null. Of several rules that
+    hold the first counts.
     Without rules all that pass the base checks are kept. Extra columns are
     ignored. The verdict is one ordered conditional expression; nothing is
     shuffled and no Python runs on executors."""

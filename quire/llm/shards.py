@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -10,7 +12,8 @@ from pyspark.sql import types as T
 
 from quire.session import materialize
 
-from .common import long_rows
+from .common import free
+
 
 SHARDS, SEED, OVERHEAD = 40, 11, 16
 #: Rows of a shard that are exchanged together.
@@ -38,18 +41,37 @@ def communication_matrix(rows: np.ndarray, shards: np.ndarray, seed: int) -> np.
     return out
 
 
+def _log_chances(k: int, good: int, bad: int, n: int) -> float:
+    """Log of the chance of k good ones among n drawn, up to a constant."""
+    return -(math.lgamma(k + 1) + math.lgamma(good - k + 1) + math.lgamma(n - k + 1) + math.lgamma(bad - n + k + 1))
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """numpy's draw holds for fewer than 10**9 on either side; beyond that the normal
-    approximation is rounded and kept within the possible range."""
+    """How many of n drawn without replacement are good, for numbers of any size. Where
+    numpy's draw holds (fewer than 10**9 on either side) it is that; beyond, the same
+    law by rejection: a point is drawn evenly from a rectangle around the region
+    u <= sqrt(chance(center + v / u)), and counts if it lies inside."""
     if not n or not good:
         return 0
     if not bad:
         return n
     if max(good, bad) < 10**9:
         return int(rng.hypergeometric(good, bad, n))
-    total = good + bad
-    mean, spread = n * good / total, np.sqrt(n * (good / total) * (bad / total) * (total - n) / max(1, total - 1))
-    return int(min(good, n, max(0, n - bad, round(rng.normal(mean, spread)))))
+    return _by_rejection(rng, good, bad, n)
+
+
+def _by_rejection(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    total, low, high = good + bad, max(0, n - bad), min(good, n)
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    spread = math.sqrt(n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1)) + 0.5)
+    top = _log_chances(mode, good, bad, n)
+    # half the width of the region: at u = 1 and beyond the hat of a log-concave law
+    width = 2.0 * spread + 2.0
+    while True:
+        u, v = 1.0 - rng.random(), rng.random() - 0.5
+        k = math.floor(mode + 0.5 + 2 * width * v / u)
+        if low <= k <= high and 2 * math.log(u) <= _log_chances(k, good, bad, n) - top:
+            return k
 
 
 def keyed_permutation(at: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
@@ -79,7 +101,8 @@ def keyed_permutation(at: np.ndarray, size: np.ndarray, key: np.ndarray, rounds:
 
 def assign(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """All columns of rows and shard, slot (0.. without gaps): a uniform shuffle with
-    shard sizes that differ by one at most.
+    shard sizes that differ by one at most. Where rows has a column shard or slot,
+    the new one has an underscore more.
 
     The rows are written first with their partition and place in it, so a task
     that runs again finds the same rows in the same places. The driver sees one
@@ -88,10 +111,9 @@ def assign(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
     the shard is permuted again; the exchange moves rows by shard in blocks, so a
     task holds no more than a block."""
     spark, columns = rows.sparkSession, rows.columns
-    if taken := {"shard", "slot", "_place"} & {c.lower() for c in columns}:
-        raise ValueError(f"columns {sorted(taken)} would clash; rename or drop them")
-    placed = materialize(rows.withColumn("_place", F.monotonically_increasing_id()), "placed")
-    counts = {r["p"]: r["n"] for r in placed.groupBy(F.expr("shiftright(_place, 33)").alias("p")).agg(F.count("*").alias("n")).collect()}
+    shard_name, slot_name, place_name = (free(c, columns) for c in ("shard", "slot", "_place"))
+    placed = materialize(rows.select("*", F.monotonically_increasing_id().alias(place_name)), "placed")
+    counts = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright(place_name, 33).alias("p")).agg(F.count("*").alias("n")).collect()}
     parts = sorted(counts)
     sizes = capacities(sum(counts.values()), n_shards)
     matrix = communication_matrix(np.array([counts[p] for p in parts], np.int64), sizes, seed)
@@ -113,11 +135,11 @@ def assign(rows: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFra
                 first = np.concatenate([[0], ends[k][:-1]])[shard[own]]
                 at[own] = local - first + offsets[k][shard[own]]
             slot = keyed_permutation(at, sizes[shard], shard.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(seed))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shard.astype(np.int32)), pa.array(slot)], [*columns, "shard", "slot"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(shard.astype(np.int32)), pa.array(slot)], [*columns, shard_name, slot_name])
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    schema = T.StructType([*rows.schema.fields, T.StructField(shard_name, T.IntegerType()), T.StructField(slot_name, T.LongType())])
     sent = placed.mapInArrow(run, schema)
-    return sent.repartition("shard", F.expr(f"slot div {BLOCK}")).sortWithinPartitions("shard", "slot")
+    return sent.repartition(shard_name, F.floor(F.col(slot_name) / BLOCK)).sortWithinPartitions(shard_name, slot_name)
 
 
 def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -> DataFrame:
@@ -129,11 +151,11 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -
     and null doc_ids are rows like any other. grown_shard is null: under this law
     a further shard deals all rows anew. Empty table: no rows. Extra columns are
     ignored. The texts are moved; size and text_crc32 are of what arrives."""
-    dealt = assign(long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_shards, seed)
+    dealt = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_shards, seed)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return dealt.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED) -> None:
     """Whole documents as Parquet, a folder for each shard, in slot order."""
-    assign(docs, n_shards, seed).write.partitionBy("shard").parquet(path)
+    assign(docs, n_shards, seed).write.partitionBy(free("shard", docs.columns)).parquet(path)

@@ -8,13 +8,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import long_rows, texts
+from .common import slices, texts
 
 SPACE = "▁"
 #: Words of a worker's count table; it starts anew when full.
 CACHED = 600_000
-#: Words longer than that are scored in pieces of the text, without the trie.
-LONG = 64
+#: The trie has so many characters of a word; what follows is scored from its last
+#: node on, in parts.
+LONG, PART = 64, 4_096
 
 
 class Unigram:
@@ -56,27 +57,31 @@ class Unigram:
             forward.append(best)
             count.append(tokens)
 
-    def count(self, word: str) -> int:
-        """Tokens of one word, without sharing. Memory grows with the word only by
-        two numbers a character."""
-        forward, count = [0.0], [0]
-        self.extend(word, forward, count)
+    def count(self, word: str, forward: tuple = (0.0,), count: tuple = (0,), before: str = "") -> int:
+        """Tokens of a word that `before`, with these forward scores and counts, stands
+        in front of. No more is held than a part and the longest piece."""
+        forward, count = list(forward), list(count)
+        for k in range(0, len(word), PART):
+            text = before + word[k : k + PART]
+            self.extend(text, forward, count)
+            before, forward, count = text[-self.longest :], forward[-self.longest - 1 :], count[-self.longest - 1 :]
         return count[-1]
 
 
 class Trie:
     """Distinct pre-tokens, character by character; a node holds the forward score
     and the token count of its prefix, so a prefix that many words share is scored
-    once. A word's count is what its last node holds."""
+    once. A word's count is what its last node holds; a word of over LONG characters
+    goes on from there by itself."""
 
     def __init__(self, model: Unigram):
-        self.model, self.child, self.ends = model, {}, {}
+        self.model, self.child = model, {}
 
     def insert(self, word: str) -> None:
         node = self.child
-        for c in word:
+        for c in word[:LONG]:
             node = node.setdefault(c, {})
-        node[""] = None
+        node.setdefault("", []).append(word[LONG:])
 
     def fill(self) -> dict[str, int]:
         """Walk the trie depth first, with one stack of forward scores for the path
@@ -95,8 +100,10 @@ class Trie:
                     count.pop()
                 continue
             c, below = step
-            if below is None:
-                out["".join(path)] = count[-1]
+            if not c:
+                word, n = "".join(path), self.model.longest
+                for rest in below:
+                    out[word + rest] = self.model.count(rest, forward[-n - 1 :], count[-n - 1 :], word[-n:]) if rest else count[-1]
                 continue
             path.append(c)
             extend("".join(path), forward, count)
@@ -132,30 +139,29 @@ def token_counts(docs: DataFrame, path: str | None = None, slice_rows: int = 500
     Pre-tokens are the words between white space (as str.split() has it), each
     with a mark before it for the space. The distinct ones of a slice of rows that
     have no count yet go into a trie together. A null or empty text has no words
-    and no tokens. Every row is counted on its own: repeated rows give repeated
+    and no tokens; texts and words of any length are counted whole; an empty table
+    gives no rows. Of equally likely segmentations the one with the shorter last
+    piece counts. Every row is counted on its own: repeated rows give repeated
     results, a null doc_id stays null, extra columns are ignored. Nothing is
     shuffled; a worker's tables have a bounded size."""
     path = path or default_vocabulary()
 
     def run(batches):
         model, known = _model(path)
-        for whole in batches:
-            for k in range(0, whole.num_rows, slice_rows):
-                b = whole.slice(k, slice_rows)
-                split = [t.split() for t in texts(b)]
-                new = {w for ws in split for w in ws}.difference(known)
+        for b in slices(batches, slice_rows):
+            split = [t.split() for t in texts(b)]
+            new = {w for ws in split for w in ws}.difference(known)
+            long = {w for w in new if len(w) > LONG}
+            if len(known) + len(new) > CACHED:
+                known.clear()
+                new = {w for ws in split for w in ws}
                 long = {w for w in new if len(w) > LONG}
-                if len(known) + len(new) > CACHED:
-                    known.clear()
-                    new = {w for ws in split for w in ws}
-                    long = {w for w in new if len(w) > LONG}
-                counts = count_words(model, {SPACE + w for w in new - long})
-                known.update((w[1:], n) for w, n in counts.items())
-                known.update((w, model.count(SPACE + w)) for w in long)
-                n_words = [len(ws) for ws in split]
-                n_tokens = [sum(map(known.__getitem__, ws)) for ws in split]
-                for w in long:
-                    del known[w]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
-
-    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+            counts = count_words(model, {SPACE + w for w in new})
+            known.update((w[1:], n) for w, n in counts.items())
+            n_words = [len(ws) for ws in split]
+            n_tokens = [sum(map(known.__getitem__, ws)) for ws in split]
+            for w in long:
+                del known[w]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_tokens long")

@@ -12,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, in_fold, long_rows, texts
-from .quality import chosen
+from .common import Bounded, column, in_fold, slices, texts
+from .quality import chosen, gathered
 
 MOD, FOLD, THRESHOLD = 5, 0, 0.5
 #: At most so many labelled rows of each class are used to fit the score.
 SAMPLE = 3_000
+#: Longer tokens are decoded each time and not kept.
+LONG = 64
 #: The score reads prefixes of words of these lengths, and whole words.
 PREFIXES = range(4, 9)
 
@@ -76,7 +78,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         classes, total, held, size = letter_classes(), np.zeros(N**3, np.int64), [], 0
-        for b in batches:
+        for b in slices(batches):
             for t in texts(b):
                 cps = np.frombuffer(t.lower().encode("utf-32-le"), np.uint32)
                 c = np.concatenate([[0, 0], classes[np.minimum(cps, 0xFFFF)], [0, 0]])
@@ -93,7 +95,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["key", "n"])
 
     out = np.zeros(N**3, np.int64)
-    for r in long_rows(docs).select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         out[r["key"]] = r["n"]
     return out
 
@@ -111,7 +113,7 @@ class Restorer:
     def __init__(self, model: CharModel, cached: int = 200_000):
         self.logp = model.logp
         self.decoded = Bounded(cached, self._decode)
-        self.parts = Bounded(cached, self._parts)
+        self.known = Bounded(cached, self._parts)
         self.spaced = Bounded(cached, lambda t: self._decode(t, breaks=True))
         self.single = Bounded(cached, lambda t: next((c for c in (t.strip(_EDGE), t.strip(_CLEAR), t) if len(c) == 1), ""))
 
@@ -160,7 +162,10 @@ class Restorer:
         shown = (core,) if core.isalpha() else tuple(_WORD.findall(core))
         if not kept.strip("*") or kept.strip(_EDGE).isnumeric():
             return shown
-        return (*shown, self.decoded[kept])
+        return (*shown, self.decoded[kept] if len(kept) <= LONG else self._decode(kept))
+
+    def parts(self, token: str) -> tuple[str, ...]:
+        return self.known[token] if len(token) <= LONG else self._parts(token)
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text. Three single letters or more in a row, with or
@@ -169,7 +174,7 @@ class Restorer:
         out: set[str] = set()
         single = {}
         for t in set(tokens):
-            out.update(self.parts[t])
+            out.update(self.parts(t))
             if c := self.single[t]:
                 single[t] = c
         if single:
@@ -264,8 +269,9 @@ def _logistic(rows: list[np.ndarray], y: np.ndarray, keys: np.ndarray, l1: float
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SAMPLE, mod: int = MOD, fold: int = FOLD) -> Model:
     """The character model from all documents, the score from at most `each`
-    labelled rows of each class outside the held-out fold. The driver gets hashes
-    of the sample's words and prefixes, no texts. The intercept is moved from the
+    labelled rows of each class outside the held-out fold, and quality.SAMPLE_BYTES
+    of their features. The driver gets hashes of the sample's words and prefixes, no
+    texts. The intercept is moved from the
     sample's shares of the classes to the true ones. No labels, or one class only:
     every text gets the share of label 1 (a half without any label)."""
     chars = CharModel.of(character_counts(docs))
@@ -274,12 +280,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
 
     def run(batches):
         restorer = Restorer(shared.value)
-        for b in batches:
+        for b in slices(batches):
             found = [np.unique(np.array([k for w in restorer.words(t) for k in names(w)], np.int64)).tobytes() for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "found"])
 
     sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
-    got = sorted((r["id"], r["y"], bytes(r["found"])) for r in sample.mapInArrow(run, "id long, y int, found binary").collect())
+    got = gathered(sample.mapInArrow(run, "id long, y int, found binary"))
     y = np.array([r[1] == 1 for r in got], bool)
     if not len(y) or y.all() or not y.any():
         share = n.get(1, 0) / sum(n.values()) if sum(n.values()) else 0.5
@@ -298,18 +304,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
 def score(docs: DataFrame, model: Model, mod: int = MOD, fold: int = FOLD, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for every whole text.
 
-    A null or empty text has no words and gets the score of the intercept alone.
-    Every row is scored on its own, so repeated rows give repeated results; a null
-    doc_id is not held out. Extra columns, label, language and source among them,
+    A null or empty text has no words and gets the score of the intercept alone; an
+    empty table gives no rows; texts and tokens of any length are decoded whole, in
+    time in proportion. Of equally likely readings the first found counts. Every row
+    is scored on its own, so repeated rows give repeated results; a null doc_id is
+    not held out. Extra columns, label, language and source among them,
     are never read. The model has a few thousand weights at most and a table of
     letter trigrams."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         of = shared.value.scorer()
-        for b in batches:
+        for b in slices(batches):
             s = [of(t) for t in texts(b)]
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

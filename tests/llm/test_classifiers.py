@@ -1,5 +1,10 @@
+import itertools
+import math
+import re
+
 import numpy as np
 import pytest
+import xxhash
 
 from quire.llm import quality as Q
 from quire.llm import toxicity as X
@@ -54,6 +59,56 @@ def test_words_without_white_space_are_read_to_their_end():
     assert set(x.of(start).tolist()) == set(Q.Features().of(start).tolist()) and len(x.of("x" * 200_000)) < 20
 
 
+def indicators(text):
+    """The indicators of a text of short words, by their definition."""
+    words = text.split()
+    runs = lambda w: re.sub(r"[A-Z]+|[a-z]+|[0-9]+|(.)\1*", lambda m: "A" if m[0][0].isupper() else "a" if m[0].isalpha() else "9" if m[0].isdigit() else m[0][:3], w)
+    shapes = [runs(w) for w in words]
+    names = {"w" + w.lower() for w in words}
+    names |= {"g" + "\0".join(shapes[k : k + n]) for n in (2, 3) for k in range(len(shapes) - n + 1)}
+    power = lambda n: (len(words) // n).bit_length() if n else -1
+    names |= {f"s{x}/{power(shapes.count(x))}" for x in shapes}
+    if words:
+        names.add(f"s=/{power(sum(a == b for a, b in zip(words, words[1:])))}")
+    return {xxhash.xxh64_intdigest(n) & (1 << Q.BITS) - 1 for n in names}
+
+
+def test_indicators_by_their_definition():
+    for text in ("", "One two TWO 12ab ab12 !!!! a-b a-b", "x " * 40 + "End. ###", "same same same other Same"):
+        assert set(Q.Features().of(text).tolist()) == indicators(text)
+
+
+def test_parts_of_long_texts_run_into_each_other(monkeypatch):
+    text = "One two 33 four, five! five! six7 8 nine-ten Eleven eleven eleven 12 !! thirteen"
+    want = indicators(text)
+    for part in (1, 2, 3, 5, 7):
+        monkeypatch.setattr(Q, "PART", part)
+        assert set(Q.Features().of(text).tolist()) == want
+
+
+def test_scores_by_dense_algebra(spark):
+    """The margin as dense algebra has it: indicators times log ratios, to length 1."""
+    rng = np.random.default_rng(2)
+    docs = [(k, " ".join(rng.choice(["good", "fine", "text", "##", "buy", "now"], 12, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.1] if k % 2 else [0.1, 0.1, 0.2, 0.2, 0.2, 0.2]))) for k in range(120)]
+    df, labels = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(120)], "doc_id long, quality int")
+    model = Q.fit(df, labels)
+    got = {r.doc_id: r.score for r in Q.score(df, model).collect()}
+    for k, text in docs:
+        x = np.zeros(1 << Q.BITS)
+        x[list(indicators(text))] = 1
+        x *= model.scale
+        z = model.slope * (x @ model.weights / np.sqrt(x @ x) + model.bias) + model.offset
+        assert got[k] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-5)
+    assert auc([k % 2 for k in got], list(got.values())) > 0.85
+
+
+def test_the_sample_is_bounded_in_bytes(spark):
+    df = spark.createDataFrame([(k, k % 2, b"x" * 1000) for k in range(40)], "id long, y int, found binary")
+    got = Q.gathered(df, 5_500)
+    assert sorted(y for _, y, _ in got) == [0] * 5 + [1] * 5 and got == Q.gathered(df.repartition(3), 5_500)
+    assert len(Q.gathered(df)) == 40
+
+
 def test_toxicity_held_out(small):
     docs, labels = small
     rows = X.score(docs, X.fit(docs, labels)).join(labels, "doc_id").collect()
@@ -98,17 +153,54 @@ def restorer():
 
 @pytest.mark.parametrize("shown, word", [("1d10t", "idiot"), ("idi0t!", "idiot"), ("l0s3r", "loser"), ("$tup1d", "stupid"), ("stuuuupid", "stupid"), ("i.d.i.o.t", "idiot"), ("m*ron", "moron"), ("TR@SH", "trash")])
 def test_disguises(restorer, shown, word):
-    assert word in restorer.parts[shown]
+    assert word in restorer.parts(shown)
 
 
 @pytest.mark.parametrize("shown, word", [("stuupid", "stupid"), ("idioot", "idiot"), ("!diot", "idiot"), ("*diot,", "idiot"), ("(!diot)", "idiot"), ("s" + "tu" + "u" * 60 + "pid", "stupid"), ("i.d.i.o.t." * 20, "idiot" * 20)])
 def test_disguises_that_no_gate_keeps_out(restorer, shown, word):
-    assert word in restorer.parts[shown]
+    assert word in restorer.parts(shown)
+
+
+def readings(token):
+    """All ways to read a token: (letters, log chance of the channel)."""
+    bare = not any(map(str.isalpha, token))
+    options = []
+    for k, c in enumerate(token):
+        if c.isalpha():
+            own = [(c, X.PLAIN)] + ([("again", X.AGAIN)] if k else [])
+        else:
+            own = [(x, X.DISGUISED) for x in X.DISGUISES.get(c, "")]
+            if not (bare and own):
+                own.append(("", X.BETWEEN))
+        options.append([(c, *o) for o in own])
+    for path in itertools.product(*options):
+        out, cost, possible = "", 0.0, True
+        for c, letter, price in path:
+            cost += price
+            if letter == "again":
+                possible &= out[-1:] == c
+            else:
+                out += letter
+        if possible:
+            yield out, cost
+
+
+@pytest.mark.parametrize("token", ["1d10t", "stuupid", "l0ser", "@$$", "m*ron", "tr@sh", "i.d.i", "aa", "b00", "s+up1d", "!diot", "x1!"])
+def test_viterbi_finds_the_best_of_all_readings(restorer, token):
+    def language(word):
+        at = [0, 0, *(X._PLACE.get(c, X.N - 1) for c in word), 0]
+        return sum(float(restorer.logp[a, b, c]) for a, b, c in zip(at, at[1:], at[2:]))
+
+    total = {}
+    for word, cost in readings(token):
+        total[word] = max(total.get(word, -math.inf), cost + language(word))
+    got = restorer._decode(token)
+    assert total[got] == pytest.approx(max(total.values()))
 
 
 def test_words_of_signs_alone(restorer):
-    assert restorer.parts["@$"] == ("as",) and restorer.parts["1$"] == ("is",)
-    assert restorer.parts["***"] == restorer.parts["12"] == restorer.parts["--"] == ()
+    assert restorer.parts("@$") == ("as",) and restorer.parts("1$") == ("is",)
+    assert restorer.parts("***") == restorer.parts("12") == restorer.parts("--") == ()
 
 
 def test_spaced_words_with_punctuation_and_breaks(restorer):
@@ -119,7 +211,7 @@ def test_spaced_words_with_punctuation_and_breaks(restorer):
 
 def test_long_tokens_take_time_in_proportion(restorer):
     long = "stup1d" * 20_000
-    assert len(restorer.parts[long][-1]) == len(long)
+    assert len(restorer.parts(long)[-1]) == len(long)
 
 
 def test_spaced_words_and_plain_text(restorer):

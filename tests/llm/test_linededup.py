@@ -57,10 +57,38 @@ def test_later_batches_see_earlier_ones(spark):
     for n, fresh in ((0, 4), (2, 2), (4, 2), (1, 0)):
         batch = spark.createDataFrame([(100 * n + k, line.format(n + k)) for k in range(4)], "doc_id long, text string")
         assert L.new_lines(store, batch).select("key").distinct().count() == fresh
-    assert sum(len(v) for v in store.levels.values()) <= 2
-    assert {r.n_docs for r in store.entries().collect()} == {1, 2, 3}
+    assert len(store.runs()) <= 2
+    assert {r.n_docs for r in store.common(1).collect()} == {1, 2, 3} and store.common(1).count() == 8
+    assert {(r.n_docs, r.last_doc) for r in store.common(3).collect()} == {(3, 200), (3, 201), (3, 400)}
+
+
+def test_batches_merge_with_the_runs_without_an_exchange(spark, documents):
+    store = L.LineRuns(fanout=9)
+    hashes = L.line_hashes(documents)
+    for k in range(2):
+        store.add(hashes.where(f"doc_id % 3 = {k}"))
+    batch = store._write(hashes.where("doc_id % 3 = 2").distinct().groupBy("key").count())
+    joined = batch
+    for r in store.runs():
+        joined = joined.join(r.select("key").hint("merge"), "key", "left_anti")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "Exchange" not in plan
+    merged = store._merged(store.runs())
+    keys = {bytes(r.key) for r in hashes.where("doc_id % 3 < 2").collect()}
+    assert {bytes(r.key) for r in merged.collect()} == keys and merged.count() == len(keys)
+    want = {k: n for k, n in hashes.where("doc_id % 3 < 2").distinct().groupBy("key").count().rdd.map(lambda r: (bytes(r[0]), r[1])).collect() if n >= 3}
+    assert {bytes(r.key): r.n_docs for r in store.common(3).collect()} == want
+    assert spark.catalog.listTables() == []
 
 
 def test_columns_stay(sample):
     out = L.without_lines(sample, *L.repeated_lines(sample))
     assert out.columns == [*sample.columns, "n_lines", "n_dropped"]
+
+
+def test_columns_of_the_same_names_stay(sample):
+    odd = sample.selectExpr("*", "'a' as n_lines", "'b' as n_dropped", "'c' as _keys", "'d' as _of")
+    for broadcast in (0, 10):
+        out = L.without_lines(odd, *L.repeated_lines(odd), broadcast=broadcast)
+        assert out.columns == [*odd.columns, "n_lines_", "n_dropped_"]
+        assert {(r.n_lines, r.n_dropped, r._keys, r._of) for r in out.collect()} == {("a", "b", "c", "d")}

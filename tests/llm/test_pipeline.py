@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import corpus_pipeline
 import public_tokenizers
@@ -6,7 +7,8 @@ import tiktoken
 
 from quire.llm import bpe, decontam, langid
 from quire.llm.registry import ORACLES, QUERIES
-from test_simhash import components, fp
+from quire.session import shared_dir
+from test_resemblance import survivors
 
 
 def dropped_lines(rows):
@@ -27,10 +29,9 @@ def test_against_brute_force(spark):
     d = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{d}/documents.parquet")
     model = langid.fit(docs)
-    rows = sorted((r.doc_id, r.text) for r in docs.collect() if model.predict(r.text or "")[0] != "und")
+    rows = sorted((r.doc_id, r.text) for r in docs.collect() if model.predict(r.text or "")[1] >= 2 / model.dim**0.5)
     rows = dropped_lines(rows)
-    comp = components([i for i, _ in rows], [fp(t) for _, t in rows])
-    rows = [(i, t) for i, t in rows if comp[i] == i]
+    rows = survivors(rows)
     items = [decontam.words(r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
     joined = [f" {' '.join(x)} " for x in items]
     rows = [(i, t) for i, t in rows if not any(x in f" {' '.join(decontam.words(t))} " for x in joined)]
@@ -51,6 +52,20 @@ def test_stages_on_edge_cases(spark, sample, nothing):
     assert docs.count() > 0
 
 
+def test_clashing_columns_and_released_tables(spark, sample, tmp_path):
+    d = tmp_path / "sf"
+    odd = sample.selectExpr("*", "'a' as n_lines", "'b' as n_dropped", "'c' as _keys", "'d' as _id", "'e' as _h", "'f' as set")
+    odd.write.parquet(str(d / "documents.parquet"))
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(str(d / "benchmark.parquet"))
+    before = set(shared(spark))
+    out = corpus_pipeline.run(spark, str(d))
+    assert out.count() > 0 and len(set(shared(spark)) - before) == 1
+
+
+def shared(spark):
+    return os.listdir(shared_dir(spark).removeprefix("file://"))
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
     assert 4 <= len(corpus_pipeline.STAGES) <= 5

@@ -1,3 +1,4 @@
+import math
 import zlib
 from collections import Counter, defaultdict
 
@@ -17,11 +18,19 @@ def test_matrix_has_exact_sums_and_a_uniform_law():
     assert np.abs(total / 400 - want).max() < 0.6
 
 
-def test_large_draws_stay_in_range():
+def test_large_draws_follow_the_law():
     rng = np.random.default_rng(1)
-    for _ in range(50):
-        k = S._hypergeometric(rng, 3 * 10**9, 10**9, 2 * 10**9)
-        assert 10**9 <= k <= 2 * 10**9
+    for good, bad, n in ((5, 7, 6), (1, 30, 1), (40, 3, 20), (200, 300, 90), (3, 500, 499)):
+        draws = Counter(S._by_rejection(rng, good, bad, n) for _ in range(6000))
+        total = math.comb(good + bad, n)
+        law = {k: math.comb(good, k) * math.comb(bad, n - k) / total for k in range(max(0, n - bad), min(good, n) + 1)}
+        chi = sum((draws[k] - 6000 * p) ** 2 / (6000 * p) for k, p in law.items() if 6000 * p > 5)
+        assert set(draws) <= set(law) and chi < len(law) + 4 * (2 * len(law)) ** 0.5 + 6
+    good, bad, n = 3 * 10**9, 10**9, 2 * 10**9
+    draws = np.array([S._hypergeometric(rng, good, bad, n) for _ in range(600)], float)
+    assert ((10**9 <= draws) & (draws <= n)).all()
+    spread = math.sqrt(n * 0.75 * 0.25 * 0.5)
+    assert abs(draws.mean() - 1.5e9) < 5 * spread / math.sqrt(600) and 0.85 < draws.std() / spread < 1.15
 
 
 def test_keyed_permutation_is_one_to_one():
@@ -72,3 +81,9 @@ def test_the_query_moves_the_texts(documents, monkeypatch):
     moved, assign = [], S.assign
     monkeypatch.setattr(S, "assign", lambda rows, *a: moved.append(rows.columns) or assign(rows, *a))
     assert S.shard_documents(documents).count() == documents.count() and moved == [["doc_id", "text"]]
+
+
+def test_columns_of_the_same_names_stay(sample):
+    odd = sample.selectExpr("*", "'p' as _place", "'q' as slot")
+    out = S.assign(odd, 4)
+    assert out.columns == [*odd.columns, "shard_", "slot_"] and {(r.shard, r.slot, r._place) for r in out.collect()} == {(1, "q", "p")}
