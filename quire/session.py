@@ -117,6 +117,22 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
+def with_settings(df: DataFrame, settings: dict[str, tuple[str, str]]) -> DataFrame:
+    """df in a session of its own, a clone of its session in which the settings (name:
+    Spark's own value, other value) have the other value where they have Spark's.
+    The session that df came from stays as it is. df itself if nothing changes or it
+    isn't run by this process (a remote session)."""
+    spark = df.sparkSession
+    new = {k: other for k, (own, other) in settings.items() if spark.conf.get(k, None) == own}
+    if not new or not hasattr(spark, "_jsparkSession"):
+        return df
+    clone = type(spark)(spark.sparkContext, spark._jsparkSession.cloneSession())
+    for k, v in new.items():
+        clone.conf.set(k, v)
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(clone._jsparkSession, plan), clone)
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable on executors that don't have it on their path."""
     sc = spark.sparkContext
