@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import with_settings
+
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -33,6 +35,18 @@ def in_fold(key: object, mod: int, fold: int) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % mod == fold
 
 
+#: Rows that scans decode and Python gets at a time, where the session has Spark's
+#: own values: those are for short rows, and texts run to megabytes.
+LONG_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": ("4096", "256"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "256")}
+
+
+def long_rows(docs: DataFrame) -> DataFrame:
+    """docs in a session of its own that handles rows in smaller batches, so that memory
+    follows a few hundred texts and not thousands. The caller's session and its own
+    settings stay."""
+    return with_settings(docs, LONG_ROWS)
+
+
 #: Rows and bytes of text that are turned into Python objects at a time.
 SLICE, SLICE_BYTES = 500, 16 << 20
 

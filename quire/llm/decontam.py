@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize
 
-from .common import hold, slices, text_hash, texts, without_rows
+from .common import hold, long_rows, slices, text_hash, texts, without_rows
 
 SEED_WORDS, RARE, MIN_SCORE = 3, 8, 0.5
 #: Bytes of test items that are sent to executors at a time.
@@ -201,7 +201,7 @@ def _frequencies(docs: DataFrame, index: Index) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["key", "n"])
 
-    got = docs.select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    got = long_rows(docs).select("text").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(index.keys), np.int64)
     out[got["key"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -239,6 +239,7 @@ def _matches(docs: DataFrame, index: Index, min_score: float) -> DataFrame:
             got = [pa.array([x.items[k][0] for _, k in rows], pa.int64()), pa.array([s for s, _ in rows.values()], pa.float64()), pa.array([e for _, e in rows.values()], pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at), *got], ["doc_id", "h", "item_id", "score", "end_word"])
 
+    docs = long_rows(docs)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("h"), "text")
     return own.mapInArrow(run, "doc_id long, h long, item_id long, score double, end_word long")
 
@@ -281,4 +282,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, min_score: float = MIN_SCO
     """The rows of docs whose text holds no test item, all their columns unchanged.
     Each row is judged by its own text, whether its doc_id is null or repeated."""
     gone = _found(docs, benchmark, min_score, rare, block).select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    return without_rows(docs, materialize(gone, "leaks"))
+    return without_rows(long_rows(docs), materialize(gone, "leaks"))

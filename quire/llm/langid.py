@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, crc_mod, hold, in_fold, slices, texts
+from .common import Bounded, column, crc_mod, hold, in_fold, long_rows, slices, texts
 
 DIM, SEED, MOD, FOLD = 1024, 7, 4, 2
 UNKNOWN = "und"
@@ -120,7 +120,7 @@ def fit(docs: DataFrame, dim: int = DIM, seed: int = SEED, mod: int = MOD, fold:
         langs = sorted(sums)
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array([np.rint(sums[x]).astype(np.int64).tolist() for x in langs], pa.list_(pa.int64()))], ["lang", "v"])
 
-    learn = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != fold))
+    learn = long_rows(docs).where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (crc_mod(F.col("doc_id"), mod) != fold))
     rows = learn.select("lang", "text").mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v")).groupBy("lang", "pos").agg(F.sum("col").alias("x")).collect()
     langs = sorted({r["lang"] for r in rows})
     vectors = np.zeros((len(langs), dim))
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, profiles: Profiles, mod: int = MOD, fold: int = FO
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, profiles: Profiles, least: float | None = None) -> DataFrame:
@@ -165,4 +165,4 @@ def keep_known(docs: DataFrame, profiles: Profiles, least: float | None = None)
             found = [model.value.predict(t) for t in texts(b)]
             yield b.filter(pa.array([x != UNKNOWN and s >= least for x, s in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return long_rows(docs).mapInArrow(run, docs.schema)

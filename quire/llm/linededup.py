@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quire.session import materialize, materialize_sorted, release, scratch
 
-from .common import WHITE, column, free, hold, slices, texts
+from .common import WHITE, column, free, hold, long_rows, slices, texts
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
 #: So many common keys (24 bytes each) go to every executor; more are joined.
@@ -40,7 +40,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                     ids += [i] * len(found)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], ["key", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "key binary, doc_id long")
 
 
 class LineRuns:
@@ -176,7 +176,7 @@ def without_lines(docs: DataFrame, common: DataFrame, staged: DataFrame, min_cha
     stay where they are. More are joined with the lines by key (AQE splits a key
     that is in very many) and the lost keys with their documents; a document's list
     holds no more than its own lines."""
-    extra = free("_keys", docs.columns)
+    docs, extra = long_rows(docs), free("_keys", docs.columns)
     if common.count() <= broadcast:
         keys = docs.sparkSession.sparkContext.broadcast({bytes(r["key"]): r["last_doc"] for r in common.collect()})
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quire.session import materialize
 
-from .common import Bounded, column, crc_mod, in_fold, slices, texts
+from .common import Bounded, column, crc_mod, in_fold, long_rows, slices, texts
 
 BITS, MOD, FOLD, THRESHOLD = 18, 5, 0, 0.3
 #: At most so many labelled rows of each class are used to fit the model, and of
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", each: int =
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.sort(f.of(t)).tobytes() for t in texts(b)], pa.binary())], ["id", "y", "found"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+    sample = long_rows(docs).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
     got = gathered(sample.mapInArrow(run, "id long, y int, found binary"))
     size = 1 << bits
     y = np.array([r[1] == 1 for r in got], bool)
@@ -250,4 +250,4 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, fold: int = FOLD, thres
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

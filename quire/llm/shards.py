@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from quire.session import materialize
 
-from .common import free
+from .common import free, long_rows
 
 
 SHARDS, SEED, OVERHEAD = 40, 11, 16
@@ -151,11 +151,11 @@ def shard_documents(docs: DataFrame, n_shards: int = SHARDS, seed: int = SEED) -
     and null doc_ids are rows like any other. grown_shard is null: under this law
     a further shard deals all rows anew. Empty table: no rows. Extra columns are
     ignored. The texts are moved; size and text_crc32 are of what arrives."""
-    dealt = assign(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_shards, seed)
+    dealt = assign(long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text"), n_shards, seed)
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return dealt.select("doc_id", (F.octet_length(raw) + OVERHEAD).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = SHARDS, seed: int = SEED) -> None:
     """Whole documents as Parquet, a folder for each shard, in slot order."""
-    assign(docs, n_shards, seed).write.partitionBy(free("shard", docs.columns)).parquet(path)
+    assign(long_rows(docs), n_shards, seed).write.partitionBy(free("shard", docs.columns)).parquet(path)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.plans.components import connected_components
 from quire.session import materialize
 
-from .common import hold, slices, texts
+from .common import hold, long_rows, slices, texts
 
 WORDS, SEED, DISTANCE, HOT = 3, 42, 2, 512
 #: Distinct fingerprints that are worth a task, up to the session's shuffle partitions.
@@ -53,7 +53,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in texts(b)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

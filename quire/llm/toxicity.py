@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, in_fold, slices, texts
+from .common import Bounded, column, in_fold, long_rows, slices, texts
 from .quality import chosen, gathered
 
 MOD, FOLD, THRESHOLD = 5, 0, 0.5
@@ -95,7 +95,7 @@ def character_counts(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["key", "n"])
 
     out = np.zeros(N**3, np.int64)
-    for r in docs.select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
+    for r in long_rows(docs).select("text").mapInArrow(run, "key int, n long").groupBy("key").agg(F.sum("n").alias("n")).collect():
         out[r["key"]] = r["n"]
     return out
 
@@ -284,7 +284,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", each: int = SA
             found = [np.unique(np.array([k for w in restorer.words(t) for k in names(w)], np.int64)).tobytes() for t in texts(b)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["id", "y", "found"])
 
-    sample = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
+    sample = long_rows(docs).select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id")).select("_id", "_y", "text")
     got = gathered(sample.mapInArrow(run, "id long, y int, found binary"))
     y = np.array([r[1] == 1 for r in got], bool)
     if not len(y) or y.all() or not y.any():
@@ -320,4 +320,4 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, fold: int = FOLD, thres
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(held, pa.bool_()), pa.array(s, pa.float64()), pa.array([int(x >= threshold) for x in s], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return long_rows(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
