@@ -83,9 +83,21 @@ def text_hash(df: DataFrame) -> Column:
     return F.xxhash64(df["text"])
 
 
+#: So many rows of two numbers go to every executor (16 bytes each); more are joined.
+BROADCAST = 1 << 20
+
+
+def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
+    """df, which is written, to be broadcast in a join if it has no more than `rows`
+    rows; else to be merged, whatever its size is thought to be."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+
+
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id (null like any other) and text are not in gone
-    (_id, _h: doc_id and text_hash). Repeated rows stay or go together."""
+    (_id, _h: doc_id and text_hash), which is written. Repeated rows stay or go
+    together. The texts stay where they are if gone is small."""
+    gone = small(gone)
     same = docs["doc_id"].cast("long").eqNullSafe(gone["_id"]) & (text_hash(docs) == gone["_h"])
     return docs.join(gone, same, "left_anti")
 
