@@ -54,7 +54,8 @@ class PdfCorpus:
         return X.join_pages(self.text({"accuracy": "structured", "fast": "plain"}[mode]))
 
     def spans(self) -> DataFrame:
-        return layout.span_rows(self.table("page_spans"))
+        """Flat spans, with width and height."""
+        return layout.with_sizes(layout.span_rows(self.table("page_spans")))
 
     def words(self) -> DataFrame:
         return layout.words(self.table("page_spans"))
@@ -66,10 +67,10 @@ class PdfCorpus:
         return layout.paragraphs(self.table("page_spans"))
 
     def markdown_elements(self, options: M.MarkdownOptions = M.MarkdownOptions()) -> DataFrame:
-        return M.elements(self.spans(), options)
+        return M.elements(self.table("page_spans"), options)
 
     def markdown(self, options: M.MarkdownOptions = M.MarkdownOptions()) -> DataFrame:
-        return M.render(self.markdown_elements(options))
+        return M.pages(self.table("page_spans"), options)
 
     def full_markdown(self, options: M.MarkdownOptions = M.MarkdownOptions()) -> DataFrame:
         return X.join_pages(self.markdown(options), M.PAGE_BREAK if options.page_breaks_as_hr else "\n")

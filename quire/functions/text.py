@@ -84,7 +84,7 @@ def strip_number(c) -> Column:
 
 def indent_level(x) -> Column:
     """Steps of 36 points, 6 at most."""
-    return F.least(F.lit(6), F.greatest(F.lit(0.0), _col(x) / 36).cast("int"))
+    return F.least(F.lit(6.0), F.greatest(F.lit(0.0), _col(x) / 36)).cast("int")
 
 
 #: What structure types become in Markdown; others are paragraphs.

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.layout import GEOMETRIC
+from quire.functions.arrays import fixed, grouped, shifted
+from quire.functions.layout import GEOMETRIC, by_rows, whole
 from quire.functions.text import indent_level, is_bullet, is_numbered, strip_bullet, strip_number
 
 PAGE = ["doc_id", "page"]
@@ -24,74 +25,94 @@ class MarkdownOptions:
     page_breaks_as_hr: bool = True
 
 
-def body_size(spans: DataFrame) -> DataFrame:
-    """doc_id, page, body_size, min_size, max_size: the font size (to a tenth) with
-    the most bytes of text; of equal ones the smallest; 12 where no span has text."""
-    sizes = spans.groupBy(*PAGE, (F.col("font_size") * 10).cast("int").alias("k")).agg(F.sum(F.octet_length("text")).alias("n"), F.min("font_size").alias("lo"), F.max("font_size").alias("hi"))
-    best = F.max_by("k", F.struct("n", -F.col("k")))
-    return sizes.groupBy(*PAGE).agg((F.when(F.max("n") > 0, best).otherwise(120) / 10).alias("body_size"), F.min("lo").alias("min_size"), F.max("hi").alias("max_size"))
-
-
-def elements(spans: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
-    """doc_id, page, elem_no, kind, indent_level, text. Spans by rows; a line starts
-    where y moves over 3 points from the span before; its first span decides what
-    it is. A move over 1.2 body sizes puts a line_break before it. Windows share one
-    exchange by page."""
-    page = Window.partitionBy(*PAGE)
-    order = page.orderBy((-(F.col("y0") / GEOMETRIC).cast("long")), "x0", "seq")
-    # the body size by windows too, so the spans are made and dealt out once
-    s = spans.repartition(*PAGE).withColumn("k", (F.col("font_size") * 10).cast("int"))
-    s = s.withColumn("n", F.sum(F.octet_length("text")).over(Window.partitionBy(*PAGE, "k")))
-    best = F.max_by("k", F.struct("n", -F.col("k"))).over(page)
-    s = s.withColumn("body_size", F.when(F.max("n").over(page) > 0, best).otherwise(120) / 10).drop("k", "n")
-    s = s.withColumn("at", F.row_number().over(order)).withColumn("move", F.abs(F.col("y0") - F.lag("y0").over(order))).withColumn("px1", F.lag("x1").over(order)).withColumn("psize", F.lag("font_size").over(order))
-    s = s.withColumn("starts", (F.coalesce(F.col("move"), F.lit(0.0)) > GEOMETRIC).cast("int"))
-    s = s.withColumn("line", F.sum("starts").over(page.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)))
-    gap = (F.col("starts") == 0) & (F.col("x0") - F.col("px1") > F.col("psize") * 0.15)
-    pieces = F.sort_array(F.collect_list(F.struct("at", F.when(gap, F.lit(" ")).otherwise(F.lit("")).alias("sep"), "text")))
-    text = F.aggregate(pieces, F.lit(""), lambda a, p: F.concat(a, F.when(a == "", F.lit("")).otherwise(p["sep"]), p["text"]))
-    lines = s.groupBy(*PAGE, "line").agg(
-        F.min_by("font_size", "at").alias("size"), F.min_by("text", "at").alias("head"), F.min_by("x0", "at").alias("x"),
-        F.min_by(F.coalesce("move", F.lit(0.0)), "at").alias("move"), F.first("body_size").alias("body_size"), text.alias("text"),
-    )
-    ratio, kind = F.col("size") / F.col("body_size"), F.when(F.lit(False), "")
-    if options.detect_headings:
-        kind = kind.when(ratio >= options.h1_ratio, "heading1").when(ratio >= options.h2_ratio, "heading2").when(ratio >= options.h3_ratio, "heading3")
-    if options.detect_lists:
-        kind = kind.when(is_bullet("head"), "list_item_bullet").when(is_numbered("head"), "list_item_number")
-    lines = lines.where("text <> ''").withColumn("kind", kind.otherwise("paragraph"))
-    by_line = page.orderBy("line")
-    breaks = (F.col("move") > F.col("body_size") * 1.2) & (F.lag("line").over(by_line).isNotNull())
-    own = F.struct("kind", indent_level("x").alias("indent_level"), "text")
-    blank = F.struct(F.lit("line_break").alias("kind"), F.lit(0).alias("indent_level"), F.lit("").alias("text"))
-    rows = lines.withColumn("e", F.when(breaks, F.array(blank, own)).otherwise(F.array(own))).select(*PAGE, "line", F.posexplode("e").alias("k", "e"))
-    number = F.row_number().over(page.orderBy("line", "k")) - 1
-    return rows.select(*PAGE, number.alias("elem_no"), "e.*")
+def _body(spans: str):
+    """The font size (to a tenth) with the most bytes of text; of equal ones the
+    smallest; 12 where no span has text."""
+    sized = F.sort_array(F.transform(F.col(spans), lambda s: F.struct(whole(s["font_size"] * 10).alias("k"), F.octet_length(s["text"]).cast("long").alias("n"))))
+    zero = F.lit(0).cast("long")
+    start = F.struct(zero.alias("k"), zero.alias("n"), F.lit(120).cast("long").alias("best"), zero.alias("most"))
 
+    def step(a, s):
+        n = F.when(s["k"] == a["k"], a["n"]).otherwise(0) + s["n"]
+        more = n > a["most"]
+        return F.struct(s["k"].alias("k"), n.alias("n"), F.when(more, s["k"]).otherwise(a["best"]).alias("best"), F.when(more, n).otherwise(a["most"]).alias("most"))
 
-def render(elements: DataFrame) -> DataFrame:
-    """doc_id, page, text: elements as Markdown, blank lines between those of
+    return F.aggregate(sized, start, step, lambda a: a["best"]) / 10
+
+
+def body_size(page_spans: DataFrame) -> DataFrame:
+    """doc_id, page, body_size, min_size, max_size of pages with spans."""
+    sizes = F.transform("spans", lambda s: s["font_size"])
+    return page_spans.where(F.size("spans") > 0).select(*PAGE, fixed(_body("spans")).alias("body_size"), F.array_min(sizes).alias("min_size"), F.array_max(sizes).alias("max_size"))
+
+
+def _elements(page_spans: DataFrame, options: MarkdownOptions) -> DataFrame:
+    """Pages with an array `elements` of kind, indent_level, text, folded in their row.
+    Spans by rows, those without text left out; a line starts where y moves over 3
+    points from the span before; its first span decides what it is. A move over 1.2
+    body sizes puts a line_break before it."""
+    shown = page_spans.select(*PAGE, fixed(F.filter("spans", lambda s: s["text"] != "")).alias("shown"))
+    pages = shown.select(*PAGE, fixed(_body("shown")).alias("body"), fixed(by_rows("shown", GEOMETRIC)).alias("spans"))
+    item = lambda s, p: F.struct(F.coalesce(F.abs(s["y0"] - p["y0"]), F.lit(0.0)).alias("move"), (s["x0"] - p["x1"] > p["font_size"] * 0.15).alias("gap"), *(s[c].alias(c) for c in ("x0", "font_size", "text")))
+    pages = pages.select(*PAGE, "body", fixed(F.zip_with("spans", shifted("spans"), item)).alias("items"))
+    text = lambda part: F.array_join(F.transform(part, lambda s, i: F.concat(F.when((i > 0) & s["gap"], F.lit(" ")).otherwise(F.lit("")), s["text"])), "")
+    make = lambda part: F.struct(*(F.get(part, 0)[c].alias(c) for c in ("move", "x0", "font_size")), F.get(part, 0)["text"].alias("head"), text(part).alias("text"))
+    pages = grouped(pages, "items", lambda x, _: x["move"] > GEOMETRIC, make, "lines")
+
+    def of(line, i):
+        ratio, kind = line["font_size"] / F.col("body"), F.when(F.lit(False), "")
+        if options.detect_headings:
+            kind = kind.when(ratio >= options.h1_ratio, "heading1").when(ratio >= options.h2_ratio, "heading2").when(ratio >= options.h3_ratio, "heading3")
+        if options.detect_lists:
+            kind = kind.when(is_bullet(line["head"]), "list_item_bullet").when(is_numbered(line["head"]), "list_item_number")
+        own = F.struct(kind.otherwise("paragraph").alias("kind"), indent_level(line["x0"]).alias("indent_level"), line["text"].alias("text"))
+        blank = F.struct(F.lit("line_break").alias("kind"), F.lit(0).alias("indent_level"), F.lit("").alias("text"))
+        return F.when((i > 0) & (line["move"] > F.col("body") * 1.2), F.array(blank, own)).otherwise(F.array(own))
+
+    return pages.select(*PAGE, fixed(F.flatten(F.transform("lines", of))).alias("elements"))
+
+
+def elements(page_spans: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
+    """doc_id, page, elem_no, kind, indent_level, text."""
+    return _elements(page_spans, options).select(*PAGE, F.posexplode_outer("elements").alias("elem_no", "e")).where("e is not null").select(*PAGE, "elem_no", "e.*")
+
+
+def _rendered(pages: DataFrame) -> DataFrame:
+    """Pages with their array `elements` as Markdown, blank lines between those of
     different kinds."""
-    order = Window.partitionBy(*PAGE).orderBy("elem_no")
-    before, kind = F.lag("kind").over(order), F.col("kind")
     items = ("list_item_bullet", "list_item_number")
-    blank = (
-        F.when(kind.startswith("heading") | (kind == "code_block"), True)
-        .when(kind == "paragraph", ~before.isin("paragraph", "line_break"))
-        .when(kind.isin(*items), ~before.isin(*items))
-        .otherwise(False)
-    )
-    indent, text = F.repeat(F.lit("  "), F.col("indent_level")), F.col("text")
-    body = (
-        F.when(kind.startswith("heading"), F.concat(F.repeat(F.lit("#"), F.substr(kind, F.lit(8)).cast("int")), F.lit(" "), text))
-        .when(kind == "list_item_bullet", F.concat(indent, F.lit("- "), strip_bullet("text")))
-        .when(kind == "list_item_number", F.concat(indent, F.lit("1. "), strip_number("text")))
-        .when(kind == "table_row", F.concat(F.lit("| "), text, F.lit(" |")))
-        .when(kind == "code_block", F.concat(F.lit("```\n"), text, F.lit("\n```")))
-        .when(kind == "blockquote", F.concat(F.lit("> "), text))
-        .when(kind == "horizontal_rule", F.lit("\n---\n"))
-        .otherwise(text)
-    )
-    piece = F.concat(F.when(before.isNotNull() & blank, F.lit("\n")).otherwise(F.lit("")), body, F.lit("\n"))
-    parts = F.sort_array(F.collect_list(F.struct("elem_no", "piece")))
-    return elements.withColumn("piece", piece).groupBy(*PAGE).agg(F.array_join(F.transform(parts, lambda p: p["piece"]), "").alias("text"))
+
+    def piece(e, before):
+        kind, text, was = e["kind"], e["text"], before["kind"]
+        blank = (
+            F.when(kind.startswith("heading") | (kind == "code_block"), True)
+            .when(kind == "paragraph", ~was.isin("paragraph", "line_break"))
+            .when(kind.isin(*items), ~was.isin(*items))
+            .otherwise(False)
+        )
+        indent = F.repeat(F.lit("  "), e["indent_level"])
+        body = (
+            F.when(kind.startswith("heading"), F.concat(F.repeat(F.lit("#"), F.substr(kind, F.lit(8)).cast("int")), F.lit(" "), text))
+            .when(kind == "list_item_bullet", F.concat(indent, F.lit("- "), strip_bullet(text)))
+            .when(kind == "list_item_number", F.concat(indent, F.lit("1. "), strip_number(text)))
+            .when(kind == "table_row", F.concat(F.lit("| "), text, F.lit(" |")))
+            .when(kind == "code_block", F.concat(F.lit("```\n"), text, F.lit("\n```")))
+            .when(kind == "blockquote", F.concat(F.lit("> "), text))
+            .when(kind == "horizontal_rule", F.lit("\n---\n"))
+            .otherwise(text)
+        )
+        return F.concat(F.when(was.isNotNull() & blank, F.lit("\n")).otherwise(F.lit("")), body, F.lit("\n"))
+
+    return pages.select(*PAGE, fixed(F.array_join(F.zip_with("elements", shifted("elements"), piece), "")).alias("text"))
+
+
+def pages(page_spans: DataFrame, options: MarkdownOptions = MarkdownOptions()) -> DataFrame:
+    """doc_id, page, text: every page as Markdown, without an exchange; a page without
+    text gives the empty one."""
+    return _rendered(_elements(page_spans, options))
+
+
+def render(elements: DataFrame) -> DataFrame:
+    """doc_id, page, text of elements that are rows of a table."""
+    one = F.struct("elem_no", "kind", "indent_level", "text")
+    return _rendered(elements.groupBy(*PAGE).agg(F.sort_array(F.collect_list(one)).alias("elements")))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import scan
 from quire.functions.text import ascii_lower, page_label
 
 CONTEXT = 50
@@ -21,8 +22,8 @@ def search(page_text: DataFrame, query: str, context: int = CONTEXT) -> DataFram
     size = len(query.encode())
     low = page_text.where(F.contains(ascii_lower("text"), F.lit(q))).select("doc_id", "page", "text", F.split(ascii_lower("text"), _quoted(q), -1).alias("pieces"))
     lengths = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p: F.octet_length(p).cast("long"))
-    fold = F.aggregate(lengths, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out")), lambda a, n: F.struct((a["at"] + n + size).alias("at"), F.concat(a["out"], F.array(a["at"] + n)).alias("out")), lambda a: a["out"])
-    hits = low.select("doc_id", "page", "text", F.explode(fold).alias("offset"))
+    fold = scan(lengths, F.struct(F.lit(-size).cast("long").alias("at")), lambda a, n: F.struct((a["at"] + size + n).alias("at")), lambda a: a["at"], "bigint")
+    hits = low.select("doc_id", "page", "text", F.explode_outer(fold).alias("offset")).where("offset is not null")
     raw = F.col("text").cast("binary")
     start = F.greatest(F.col("offset") - context, F.lit(0))
     end = F.least(F.col("offset") + size + context, F.octet_length("text"))

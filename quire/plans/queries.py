@@ -385,7 +385,7 @@ SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(arg_max(size, n * 1000 - size
 """)
 def body_font_mode(spark, d):
     files = synthesize(_orders_of_lines(spark, d), _grid(lambda k: (72, 700 - 20 * k), lambda k: 8 + k % 3 * 2), "l_orderkey")
-    return markdown.body_size(layout.span_rows(extract(files, "page_spans"))).select("doc_id", "body_size", "min_size", "max_size")
+    return markdown.body_size(extract(files, "page_spans")).select("doc_id", "body_size", "min_size", "max_size")
 
 
 # Marked content
@@ -431,12 +431,12 @@ def _page_of_part(r):
 
 def _part_spans(spark, d):
     files = synthesize(table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), _page_of_part, "p_partkey")
-    return layout.span_rows(extract(files, "page_spans"))
+    return extract(files, "page_spans")
 
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, '# ' || p_brand || chr(10) || chr(10) || p_name || chr(10) || p_type || ' ' || p_name || chr(10) || chr(10) || '    - ' || p_type || chr(10) || '    1. size ' || p_size || chr(10) AS text FROM part")
 def markdown_page(spark, d):
-    return markdown.render(markdown.elements(_part_spans(spark, d))).select("doc_id", "text")
+    return markdown.pages(_part_spans(spark, d)).select("doc_id", "text")
 
 
 @query("""

@@ -105,9 +105,8 @@ def test_paragraphs(spark):
 
 def test_markdown(spark):
     page = spans(spark, [(72, 720, "Title", 24), (72, 690, "Body text that is long enough", 12), (72, 676, "• item", 12), (72, 662, "a) next", 12), (72, 600, "After", 12), (108, 600, "more", 12)])
-    flat = layout.span_rows(page)
-    assert markdown.render(markdown.elements(flat)).first()["text"] == "# Title\n\nBody text that is long enough\n\n    - item\n    1. next\n\nAfter more\n"
-    plain = markdown.elements(flat, markdown.MarkdownOptions(detect_headings=False, detect_lists=False))
+    assert markdown.render(markdown.elements(page)).first()["text"] == markdown.pages(page).first()["text"] == "# Title\n\nBody text that is long enough\n\n    - item\n    1. next\n\nAfter more\n"
+    plain = markdown.elements(page, markdown.MarkdownOptions(detect_headings=False, detect_lists=False))
     assert {r.kind for r in plain.collect()} == {"paragraph", "line_break"}
 
 
