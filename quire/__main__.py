@@ -1,20 +1,51 @@
-"""python -m quire extract|info|search ...: the library on the command line."""
+"""python -m quire extract|info|search|bench ...: the library on the command line."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+import time
+from statistics import mean, pstdev
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quire.api import read_pdf
 from quire.functions.text import page_numbers
-from quire.operators.export import error_report
+from quire.operators.export import METADATA, error_report
 from quire.operators.markdown import PAGE_BREAK
 from quire.operators.text import FORM_FEED, join_pages
 
 
+def described(r, pages: int = 10, items: int = 50) -> list[str]:
+    """A row of `info` as lines: the first page sizes and outline items."""
+    out = [f"File: {r['doc_id']}", f"Size: {r['size']} bytes", f"Pages: {r['n_pages']}", f"XRef entries: {r['n_xref']}", f"Encrypted: {'yes' if r['is_encrypted'] else 'no'}"]
+    names = {"creation_date": "Created", "mod_date": "Modified"}
+    meta = [f"  {names.get(k, k.title())}: {r[k]}" for k in METADATA if r[k] is not None]
+    out += ["Metadata:", *meta] if meta else []
+    out += ["Page sizes:", *(f"  Page {k + 1}: {p['width']:.0f} x {p['height']:.0f} pts" + f" (rotated {p['rotation']} degrees)" * bool(p["rotation"]) for k, p in enumerate(r["page_sizes"][:pages]))]
+    out += [f"  ... and {len(r['page_sizes']) - pages} more pages"] if len(r["page_sizes"]) > pages else []
+    if r["outline"]:
+        out += ["Outline:", *("  " * (o["level"] + 1) + o["title"] + (f" (page {o['dest_page'] + 1})" if o["dest_page"] is not None else "") for o in r["outline"][:items])]
+        out += [f"  ... and {len(r['outline']) - items} more entries"] if len(r["outline"]) > items else []
+    return out + ([f"Form fields: {r['n_fields']}"] if r["n_fields"] else [])
+
+
+def timed(corpus, runs: int) -> list[str]:
+    """Mean, least, most and population deviation of `runs` times of each order."""
+    corpus.files = corpus.files.cache()
+    n = corpus.pages().count()
+    out = [f"{n} pages, {runs} runs"]
+    for name, read in (("sequential", lambda: corpus.text("plain")), ("structured", lambda: corpus.text("structured")), ("visual", lambda: corpus.text("visual")), ("markdown", corpus.markdown)):
+        took = []
+        for _ in range(runs):
+            began = time.perf_counter()
+            read().write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        out.append(f"{name}: mean {mean(took):.3f} s, min {min(took):.3f}, max {max(took):.3f}, stddev {pstdev(took):.3f}, {n / mean(took):.0f} pages/s")
+    return out
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="quire")
     commands = parser.add_subparsers(dest="command", required=True)
@@ -31,6 +62,9 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--permissive", action="store_true")
     i = commands.add_parser("info")
     i.add_argument("path")
+    b = commands.add_parser("bench", help="times of reading all text, in each order")
+    b.add_argument("path")
+    b.add_argument("--runs", type=int, default=5)
     s = commands.add_parser("search")
     s.add_argument("query")
     s.add_argument("path")
@@ -39,7 +73,10 @@ def main(argv: list[str] | None = None) -> int:
     corpus = read_pdf(spark, a.path, "FAILFAST" if getattr(a, "strict", False) else "PERMISSIVE")
     if a.command == "info":
         for r in corpus.info().orderBy("doc_id").toLocalIterator():
-            print(r.asDict())
+            print("\n".join(described(r)))
+    elif a.command == "bench":
+        for line in timed(corpus, a.runs):
+            print(line)
     elif a.command == "search":
         for r in corpus.search(a.query).orderBy("doc_id", "page", "offset").toLocalIterator():
             print(f"{r['doc_id']}: page {r['page'] + 1}, offset {r['offset']}: {r['context']}")

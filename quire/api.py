@@ -18,11 +18,11 @@ class PdfCorpus:
     """Files (doc_id, content) and what can be read from them. Everything is lazy;
     each table runs the kernel for that table alone. Pages count from 0."""
 
-    def __init__(self, files: DataFrame, mode: str = "PERMISSIVE", pages: Sequence[int] | None = None):
-        self.files, self.mode, self.only = files, mode, pages
+    def __init__(self, files: DataFrame, mode: str = "PERMISSIVE", pages: Sequence[int] | None = None, rebuild: bool = False):
+        self.files, self.mode, self.only, self.rebuild = files, mode, pages, rebuild
 
     def table(self, name: str) -> DataFrame:
-        return extract(self.files, name, pages=self.only, mode=self.mode)
+        return extract(self.files, name, pages=self.only, mode=self.mode, rebuild=self.rebuild)
 
     def page_count(self) -> DataFrame:
         return self.table("document").select("doc_id", "n_pages")
@@ -31,7 +31,7 @@ class PdfCorpus:
         return self.table("document").select("doc_id", "is_encrypted")
 
     def info(self) -> DataFrame:
-        return search.info(self.table("document"), self.table("metadata"), self.files)
+        return self.table("info")
 
     def pages(self) -> DataFrame:
         return self.table("pages")
@@ -96,6 +96,10 @@ class PdfCorpus:
     def fonts(self) -> DataFrame:
         return self.table("fonts")
 
+    def font_widths(self) -> DataFrame:
+        """Widths of codes or CIDs, by ranges, and the glyph index of the first."""
+        return self.table("font_widths")
+
     def parse_errors(self) -> DataFrame:
         return self.table("parse_errors")
 
@@ -103,7 +107,7 @@ class PdfCorpus:
         return search.search(self.text("structured"), query)
 
     def json(self) -> DataFrame:
-        return export.json_documents(self.files)
+        return export.json_documents(self.files, self.mode)
 
     # One document, on the driver
 

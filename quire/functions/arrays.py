@@ -7,9 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Results that are gathered in a short array before it joins the others: appending to
-#: a long one copies it each time.
-PART = 64
+#: Numbers that are added up together.
+BLOCK = 256
 
 
 def _col(c) -> Column:
@@ -24,17 +23,29 @@ def fixed(c: Column) -> Column:
     return F.when(F.rand(0) >= 0.0, c)
 
 
-def scan(items, start: Column, step: Callable[[Column, Column], Column], emit: Callable[[Column], Column], kind: str) -> Column:
-    """array<kind>: for each item what `emit` makes of the state (a struct) after it."""
-    first = F.struct(start.alias("s"), F.array().cast(f"array<{kind}>").alias("part"), F.array().cast(f"array<array<{kind}>>").alias("parts"))
+def positions(items, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) of the items after which the state, a struct, has a true `new`.
+    A fold copies what it holds at each item, so it holds these places only."""
+    first = F.struct(start.alias("s"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
 
     def one(a, x):
         s = step(a["s"], x)
-        full, value = F.size(a["part"]) >= PART, F.array(emit(s).cast(kind))
-        part = F.when(full, value).otherwise(F.concat(a["part"], value))
-        return F.struct(s.alias("s"), part.alias("part"), F.when(full, F.concat(a["parts"], F.array(a["part"]))).otherwise(a["parts"]).alias("parts"))
+        return F.struct(s.alias("s"), (a["i"] + 1).alias("i"), F.when(s["new"], F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
 
-    return F.aggregate(_col(items), first, one, lambda a: F.flatten(F.concat(a["parts"], F.array(a["part"]))))
+    return F.aggregate(_col(items), first, one, lambda a: a["at"])
+
+
+def running_sums(df: DataFrame, items: str, out: str) -> DataFrame:
+    """df with the sums of the long array `items` (fixed or read) up to each item."""
+    n = F.size(items)
+    block = lambda b: F.slice(F.col(items), b * BLOCK + 1, F.lit(BLOCK))
+    zero = F.lit(0).cast("long")
+    sums = lambda a: F.aggregate(a, F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")), lambda a: a["out"])
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: sums(block(b)))).otherwise(F.array().cast("array<array<bigint>>"))
+    df = df.withColumn(f"{out}_in", fixed(blocks))
+    df = df.withColumn(f"{out}_upto", fixed(F.concat(F.array(zero), sums(F.transform(f"{out}_in", lambda b: F.element_at(b, -1))))))
+    added = F.transform(f"{out}_in", lambda b, k: F.transform(b, lambda v: v + F.get(f"{out}_upto", k)))
+    return df.withColumn(out, fixed(F.flatten(added))).drop(f"{out}_in", f"{out}_upto")
 
 
 def shifted(items: str) -> Column:
@@ -42,15 +53,18 @@ def shifted(items: str) -> Column:
     return F.transform(F.col(items), lambda _, i: F.get(F.col(items), i - 1))
 
 
-def grouped(df: DataFrame, items: str, starts: Callable[[Column, Column], Column], make: Callable[[Column], Column], out: str) -> DataFrame:
-    """df with an array column `out` more: the array `items` cut where `starts` (of an
-    item and the one before) is true, and of each piece what `make` gives.
+def cut(df: DataFrame, items: str, at: Column, make: Callable[[Column], Column], out: str) -> DataFrame:
+    """df with an array column `out` more: the array `items` cut at the places `at` (from
+    0, which is one), and of each piece what `make` gives. `items` must be the name of a
+    column that is `fixed` or read, not an expression: lambdas refer to it."""
+    places = f"{out}_at"
+    df = df.withColumn(places, fixed(at))
+    ends = F.slice(F.concat(F.slice(F.col(places), F.lit(2), F.greatest(F.size(places) - 1, F.lit(0))), F.array(F.size(items))), F.lit(1), F.size(places))
+    pieces = F.zip_with(F.col(places), ends, lambda a, b: F.slice(F.col(items), a + 1, b - a))
+    return df.withColumn(out, fixed(F.transform(pieces, make))).drop(places)
 
-    `items` must be the name of a column that is `fixed` or read, not an expression:
-    lambdas refer to it."""
-    at = f"{out}_at"
+
+def grouped(df: DataFrame, items: str, starts: Callable[[Column, Column], Column], make: Callable[[Column], Column], out: str) -> DataFrame:
+    """cut() where `starts`, of an item and the one before, is true."""
     places = F.transform(F.col(items), lambda x, i: F.when((i == 0) | starts(x, F.get(F.col(items), i - 1)), i))
-    df = df.withColumn(at, fixed(F.filter(places, lambda i: i.isNotNull())))
-    ends = F.slice(F.concat(F.slice(F.col(at), F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.array(F.size(items))), F.lit(1), F.size(at))
-    pieces = F.zip_with(F.col(at), ends, lambda a, b: F.slice(F.col(items), a + 1, b - a))
-    return df.withColumn(out, fixed(F.transform(pieces, make))).drop(at)
+    return cut(df, items, F.filter(places, lambda i: i.isNotNull()), make, out)

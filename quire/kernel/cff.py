@@ -2,36 +2,42 @@
 
 from __future__ import annotations
 
-from .fonts import STANDARD_UPPER
-
-#: Names of string ids 150 to 228, in order.
-MORE_STRINGS = """onesuperior logicalnot mu trademark Eth onehalf plusminus Thorn onequarter divide brokenbar degree thorn threequarters
-twosuperior registered minus eth multiply threesuperior copyright Aacute Acircumflex Adieresis Agrave Aring Atilde Ccedilla Eacute
-Ecircumflex Edieresis Egrave Iacute Icircumflex Idieresis Igrave Ntilde Oacute Ocircumflex Odieresis Ograve Otilde Scaron Uacute
-Ucircumflex Udieresis Ugrave Yacute Ydieresis Zcaron aacute acircumflex adieresis agrave aring atilde ccedilla eacute ecircumflex
-edieresis egrave iacute icircumflex idieresis igrave ntilde oacute ocircumflex odieresis ograve otilde scaron uacute ucircumflex
-udieresis ugrave yacute ydieresis zcaron""".split()
-
-#: Names of ASCII's characters other than letters, in code order.
-ASCII_SIGNS = """space exclam quotedbl numbersign dollar percent ampersand quoteright parenleft parenright asterisk plus comma hyphen period
-slash zero one two three four five six seven eight nine colon semicolon less equal greater question at / bracketleft backslash bracketright
-asciicircum underscore quoteleft / braceleft bar braceright asciitilde""".split()
-
-#: The number of predefined strings; those from 229 on name expert glyphs.
-N_STRINGS = 391
-
-
-def _standard_strings() -> list[str]:
-    """Strings 1 to 149 follow the standard encoding; 0 is .notdef."""
-    cut = ASCII_SIGNS.index("/")
-    rest = ASCII_SIGNS[cut + 1 :]
-    second = rest.index("/")
-    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-    out = [".notdef", *ASCII_SIGNS[:cut], *letters, *rest[:second], *letters.lower(), *rest[second + 1 :]]
-    return out + [STANDARD_UPPER[c] for c in sorted(STANDARD_UPPER)] + MORE_STRINGS
-
-
-STRINGS = _standard_strings()
+#: The standard strings of the CFF specification, in order of their ids.
+#: The first 229 are the glyphs of the ISOAdobe set.
+STRINGS = """.notdef space exclam quotedbl numbersign dollar percent ampersand quoteright parenleft parenright asterisk plus comma hyphen period
+slash zero one two three four five six seven eight nine colon semicolon less equal greater question at A B C D E F G H I J K L M N O P Q R S
+T U V W X Y Z bracketleft backslash bracketright asciicircum underscore quoteleft a b c d e f g h i j k l m n o p q r s t u v w x y z
+braceleft bar braceright asciitilde exclamdown cent sterling fraction yen florin section currency quotesingle quotedblleft guillemotleft
+guilsinglleft guilsinglright fi fl endash dagger daggerdbl periodcentered paragraph bullet quotesinglbase quotedblbase quotedblright
+guillemotright ellipsis perthousand questiondown grave acute circumflex tilde macron breve dotaccent dieresis ring cedilla hungarumlaut
+ogonek caron emdash AE ordfeminine Lslash Oslash OE ordmasculine ae dotlessi lslash oslash oe germandbls onesuperior logicalnot mu trademark
+Eth onehalf plusminus Thorn onequarter divide brokenbar degree thorn threequarters twosuperior registered minus eth multiply threesuperior
+copyright Aacute Acircumflex Adieresis Agrave Aring Atilde Ccedilla Eacute Ecircumflex Edieresis Egrave Iacute Icircumflex Idieresis Igrave
+Ntilde Oacute Ocircumflex Odieresis Ograve Otilde Scaron Uacute Ucircumflex Udieresis Ugrave Yacute Ydieresis Zcaron aacute acircumflex
+adieresis agrave aring atilde ccedilla eacute ecircumflex edieresis egrave iacute icircumflex idieresis igrave ntilde oacute ocircumflex
+odieresis ograve otilde scaron uacute ucircumflex udieresis ugrave yacute ydieresis zcaron exclamsmall Hungarumlautsmall dollaroldstyle
+dollarsuperior ampersandsmall Acutesmall parenleftsuperior parenrightsuperior twodotenleader onedotenleader zerooldstyle oneoldstyle
+twooldstyle threeoldstyle fouroldstyle fiveoldstyle sixoldstyle sevenoldstyle eightoldstyle nineoldstyle commasuperior threequartersemdash
+periodsuperior questionsmall asuperior bsuperior centsuperior dsuperior esuperior isuperior lsuperior msuperior nsuperior osuperior
+rsuperior ssuperior tsuperior ff ffi ffl parenleftinferior parenrightinferior Circumflexsmall hyphensuperior Gravesmall Asmall Bsmall Csmall
+Dsmall Esmall Fsmall Gsmall Hsmall Ismall Jsmall Ksmall Lsmall Msmall Nsmall Osmall Psmall Qsmall Rsmall Ssmall Tsmall Usmall Vsmall Wsmall
+Xsmall Ysmall Zsmall colonmonetary onefitted rupiah Tildesmall exclamdownsmall centoldstyle Lslashsmall Scaronsmall Zcaronsmall
+Dieresissmall Brevesmall Caronsmall Dotaccentsmall Macronsmall figuredash hypheninferior Ogoneksmall Ringsmall Cedillasmall
+questiondownsmall oneeighth threeeighths fiveeighths seveneighths onethird twothirds zerosuperior foursuperior fivesuperior sixsuperior
+sevensuperior eightsuperior ninesuperior zeroinferior oneinferior twoinferior threeinferior fourinferior fiveinferior sixinferior
+seveninferior eightinferior nineinferior centinferior dollarinferior periodinferior commainferior Agravesmall Aacutesmall Acircumflexsmall
+Atildesmall Adieresissmall Aringsmall AEsmall Ccedillasmall Egravesmall Eacutesmall Ecircumflexsmall Edieresissmall Igravesmall Iacutesmall
+Icircumflexsmall Idieresissmall Ethsmall Ntildesmall Ogravesmall Oacutesmall Ocircumflexsmall Otildesmall Odieresissmall OEsmall Oslashsmall
+Ugravesmall Uacutesmall Ucircumflexsmall Udieresissmall Yacutesmall Thornsmall Ydieresissmall 001.000 001.001 001.002 001.003 Black Bold
+Book Light Medium Regular Roman Semibold""".split()
+
+#: String ids of the two predefined expert charsets, as first-last.
+EXPERT = "0-1 229-238 13-15 99-99 239-248 27-28 249-266 109-110 267-318 158-158 155-155 163-163 319-326 150-150 164-164 169-169 327-378"
+EXPERT_SUBSET = "0-1 231-232 235-238 13-15 99-99 239-248 27-28 249-251 253-266 109-110 267-270 272-272 300-302 305-305 314-315 158-158 155-155 163-163 320-326 150-150 164-164 169-169 327-346"
+
+
+def _ids(ranges: str) -> list[int]:
+    return [k for r in ranges.split() for k in range(int(r.split("-")[0]), int(r.split("-")[1]) + 1)]
 
 
 def _index(data: bytes, at: int) -> tuple[list[bytes], int]:
@@ -86,8 +92,7 @@ def top_dict(data: bytes) -> dict[int, list[int]]:
 
 
 def glyph_names(data: bytes) -> list[str] | None:
-    """The name of every glyph by index; None if the program can't be read. Names
-    of the expert sets are left empty."""
+    """The name of every glyph by index; None if the program can't be read."""
     try:
         _, at = _index(data, data[2])
         tops, at = _index(data, at)
@@ -106,13 +111,13 @@ def glyph_names(data: bytes) -> list[str] | None:
                 left = int.from_bytes(data[at + 2 : at + 2 + size], "big")
                 sids += range(first, first + left + 1)
                 at += 2 + size
-        elif charset == 0:
-            sids = list(range(len(glyphs)))
+        else:
+            sids = (list(range(229)), _ids(EXPERT), _ids(EXPERT_SUBSET))[charset]
 
         def name(sid: int) -> str:
             if sid < len(STRINGS):
                 return STRINGS[sid]
-            return strings[sid - N_STRINGS].decode("latin-1") if 0 <= sid - N_STRINGS < len(strings) else ""
+            return strings[sid - len(STRINGS)].decode("latin-1") if 0 <= sid - len(STRINGS) < len(strings) else ""
 
         return [name(s) for s in sids[: len(glyphs)]]
     except (IndexError, KeyError, ValueError):

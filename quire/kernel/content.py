@@ -11,12 +11,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
-from .document import Document, Page
+from .document import FAILURES, Document, Page
 from .fonts import Font, decode_without_font, page_fonts
-from .objects import Name, PdfError, Stream, hex_bytes, literal_string, unescape_name
+from .objects import Name, PdfError, Stream, hex_bytes, int32, literal_string, real, unescape_name
 
-#: More operands of an operator, or of an array, are left out; forms nest no deeper.
-OPERANDS, ARRAY, FORMS = 128, 512, 10
+#: Forms nest no deeper, and a page paints no more of them: an error row says so.
+FORMS, PAINTED = 10, 20_000
 
 _TOKEN = re.compile(
     rb"(?P<gap>[\x00\t\n\x0c\r ]+|%[^\r\n]*)"
@@ -40,8 +40,7 @@ def operations(data: bytes) -> Iterator[tuple[bytes, list]]:
         kind, at = m.lastgroup, m.end()
         if kind == "gap" or kind == "skip" or kind == "other":
             if array is not None and m[0] == b"]":
-                if len(operands) < OPERANDS:
-                    operands.append(array)
+                operands.append(array)
                 array = None
             continue
         if kind == "op":
@@ -56,7 +55,7 @@ def operations(data: bytes) -> Iterator[tuple[bytes, list]]:
             operands = []
             continue
         if kind == "number":
-            value: Any = float(m["number"])
+            value: Any = real(m["number"])
         elif kind == "name":
             value = unescape_name(m["name"])
         elif kind == "string":
@@ -73,11 +72,7 @@ def operations(data: bytes) -> Iterator[tuple[bytes, list]]:
             if array is None:
                 array = []
             continue
-        if array is not None:
-            if len(array) < ARRAY:
-                array.append(value)
-        elif len(operands) < OPERANDS:
-            operands.append(value)
+        (operands if array is None else array).append(value)
 
 
 def _num(value: Any) -> float:
@@ -116,7 +111,7 @@ class PageReader:
         out: list[Op] = []
         content = self.doc.contents(page)
         if content:
-            self._frames = 0
+            self._frames, self._page = 0, page.number
             self._run(content, page.resources, self.fonts(page), 0, 0, out, forms)
         return out
 
@@ -126,7 +121,8 @@ class PageReader:
             return None
         try:
             return self.doc.stream_data(s), self.doc.get(s.dict, "Resources", dict) or resources
-        except (ValueError, MemoryError):
+        except FAILURES as e:
+            self.doc.cut(f"a form can't be read: {e}", self._page)
             return None
 
     def _run(self, content: bytes, resources: dict, fonts: dict[str, Font], frame: int, depth: int, out: list[Op], forms: bool) -> None:
@@ -170,8 +166,11 @@ class PageReader:
             elif raw == b"EMC":
                 if marks:
                     marks.pop()
-            elif raw == b"Do" and forms and n >= 1 and isinstance(operands[0], str) and depth < FORMS:
+            elif raw == b"Do" and forms and n >= 1 and isinstance(operands[0], str):
                 if form := self._form(operands[0], resources):
+                    if depth >= FORMS or self._frames >= PAINTED:
+                        self.doc.cut("forms nest too deep or are too many", self._page)
+                        continue
                     self._frames += 1
                     self._run(form[0], form[1], fonts, self._frames, depth + 1, out, forms)
 
@@ -187,7 +186,7 @@ class PageReader:
                 s = self.doc.resolve(named.get(operands[0]))
                 if isinstance(s, Stream) and self.doc.get(s.dict, "Subtype", Name) == "Image":
                     w, h = self.doc.get(s.dict, "Width", int), self.doc.get(s.dict, "Height", int)
-                    if w is not None and h is not None:
+                    if w is not None and h is not None and int32(w) is not None and int32(h) is not None:
                         yield [m[4], m[5], m[4] + m[0], m[5] + m[3]], w, h
 
 
@@ -203,7 +202,7 @@ def _mcid(properties: list) -> int | None:
     """The number after an inline /MCID; named property lists have none."""
     for key, value in zip(properties, properties[1:]):
         if key == "MCID" and isinstance(value, float):
-            return int(value)
+            return int32(int(value))
     return None
 
 

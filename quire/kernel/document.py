@@ -1,24 +1,30 @@
 """One PDF: cross references, objects, pages and document-level features.
 
 Nothing here knows Spark. In permissive mode a document never raises: what goes
-wrong is kept in `errors` and whatever could be read is given."""
+wrong is kept in `errors` (kind, offset, message, page) and whatever could be read
+is given."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
 from . import filters
-from .objects import Name, Parser, PdfError, Ref, Stream
+from .objects import Name, Parser, PdfError, Ref, Stream, int32
 
-OUTLINE_ITEMS, STRUCT_DEPTH, FIELD_DEPTH = 10_000, 256, 64
+#: Nodes of an outline or a tree that are looked at; more are an error row. Cycles end
+#: by themselves, so only a file that shares nodes without end gets there.
+VISITS = 1_000_000
+#: What a damaged document may make the code below raise.
+FAILURES = (ArithmeticError, AttributeError, LookupError, MemoryError, RecursionError, TypeError, ValueError)
 DEFAULT_BOX = [0.0, 0.0, 612.0, 792.0]
 
 _GAP = rb"[\x00\t\n\x0c\r ]+"
 _SECTION = re.compile(rb"[\x00\t\n\x0c\r ]*(\d+)[ \t]+(\d+)[ \t]*[\r\n]+")
 _ENTRY = re.compile(rb"[\x00\t\n\x0c\r ]*(\d{1,10})[ ]+(\d{1,5})[ ]+([nf])")
+_OBJECT = re.compile(rb"(?<![0-9])(\d{1,10})[\x00\t\n\x0c\r ]+(\d{1,5})[\x00\t\n\x0c\r ]+obj\b")
 _START = re.compile(rb"startxref[\x00\t\n\x0c\r ]*(\d+)")
 
 
@@ -67,7 +73,9 @@ def raw_text(raw: bytes) -> str:
 
 
 class Document:
-    def __init__(self, data: bytes | memoryview, strict: bool = False):
+    def __init__(self, data: bytes | memoryview, strict: bool = False, rebuild: bool = False):
+        """rebuild: where the cross references can't be read, the file is searched for
+        objects."""
         self.data = bytes(data)
         self.strict, self.errors = strict, []
         self.xref: dict[int, Entry] = {}
@@ -81,24 +89,39 @@ class Document:
             self._fail("invalid_header", 0, "no %PDF- at the start")
         try:
             self._read_xref()
-        except (PdfError, RecursionError) as e:
+        except FAILURES as e:
             self.xref, self.trailer = {}, {}
             self._fail("invalid_xref", getattr(e, "offset", 0), str(e))
-            return
+            if not rebuild or not self._search_objects():
+                return
         self.encrypted = "Encrypt" in self.trailer
         if self.encrypted:
             self._fail("encrypted", 0, "the document is encrypted")
         try:
             self._read_pages()
-        except (PdfError, RecursionError) as e:
+        except FAILURES as e:
             self.pages = []
             self._fail("invalid_page_tree", getattr(e, "offset", 0), str(e))
 
-    def _fail(self, kind: str, offset: int, message: str) -> None:
-        self.errors.append((kind, offset, message))
+    def _fail(self, kind: str, offset: int, message: str, page: int | None = None) -> None:
+        if (error := (kind, offset, message, page)) not in self.errors:
+            self.errors.append(error)
         if self.strict:
             raise PdfError(kind, offset, message)
 
+    def attempt(self, read: Callable, default: Any, page: int | None = None, kind: str = "invalid_stream") -> Any:
+        """What read() gives; where it fails, an error of the page (or the document) and
+        the default."""
+        try:
+            return read()
+        except FAILURES as e:
+            self._fail(kind, getattr(e, "offset", 0), f"{type(e).__name__}: {e}", page)
+            return default
+
+    def cut(self, what: str, page: int | None = None) -> None:
+        """Note that a guard left out a part."""
+        self._fail("limit", 0, what, page)
+
     # Cross references
 
     def _read_xref(self) -> None:
@@ -162,6 +185,22 @@ class Document:
                     self.xref.setdefault(num, Entry(("free", "in_use", "compressed")[kind], a, b))
         return s.dict
 
+    def _search_objects(self) -> bool:
+        """Cross references from every `N G obj` of the file, later ones first; the
+        trailer from the last dictionary after `trailer`, or a catalog."""
+        for m in _OBJECT.finditer(self.data):
+            self.xref[int(m[1])] = Entry("in_use", m.start(1), int(m[2]))
+        for at in reversed([m.end() for m in re.finditer(rb"trailer", self.data)]):
+            found = self.attempt(Parser(self.data, at).parse, None, kind="invalid_xref")
+            if isinstance(found, dict) and "Root" in found:
+                self.trailer = found
+                break
+        else:
+            roots = [n for n in self.xref if self.get(self._object(n), "Type", Name) == "Catalog"]
+            if roots:
+                self.trailer = {"Root": Ref(roots[-1], 0)}
+        return bool(self.trailer)
+
     # Objects
 
     def resolve(self, value: Any) -> Any:
@@ -183,7 +222,7 @@ class Document:
                 value = Parser(self.data, entry.offset).indirect()[1] if entry.offset < len(self.data) else None
             else:
                 value = self._compressed(num, entry)
-        except (PdfError, RecursionError, ValueError, OverflowError):
+        except FAILURES:
             value = None
         self._busy.discard(num)
         self._cache[num] = value
@@ -238,6 +277,9 @@ class Document:
             ref, inherited, above = walk.pop()
             node = self.resolve(ref)
             if not isinstance(node, dict):
+                if not isinstance(ref, Ref):
+                    self._fail("invalid_page_tree", 0, "a kid is no reference")
+                    continue
                 raise PdfError("invalid_page_tree", 0, "a node is no dictionary")
             if isinstance(ref, Ref):
                 if ref.num in above:
@@ -247,7 +289,7 @@ class Document:
             for key in ("MediaBox", "CropBox"):
                 if box := self._box(node, key):
                     own[key] = box
-            if (turn := self.get(node, "Rotate", int)) is not None:
+            if (turn := self.get(node, "Rotate", int)) is not None and int32(turn) is not None:
                 own["Rotate"] = turn
             if (resources := self.get(node, "Resources", dict)) is not None:
                 own["Resources"] = resources
@@ -255,8 +297,11 @@ class Document:
             if kind == "Pages":
                 kids = self.get(node, "Kids", list)
                 if kids is None:
-                    raise PdfError("invalid_page_tree", 0, "a node has no kids")
+                    self._fail("invalid_page_tree", 0, "a node has no kids")
+                    continue
                 walk += [(k, own, above) for k in reversed(kids)]
+            elif kind != "Page":
+                self._fail("invalid_page_tree", 0, f"a node of type {kind} is no page")
             else:
                 media = own.get("MediaBox", DEFAULT_BOX)
                 self.pages.append(Page(len(self.pages), ref if isinstance(ref, Ref) else None, node, media, own.get("CropBox", media), own.get("Rotate", 0), own.get("Resources", {})))
@@ -274,7 +319,7 @@ class Document:
     def _content(self, s: Stream) -> bytes:
         try:
             return self.stream_data(s)
-        except (PdfError, ValueError, MemoryError):
+        except FAILURES:
             return s.data
 
     def page_of(self, ref: Any) -> int | None:
@@ -314,12 +359,16 @@ class Document:
         out: list = []
         top = self.get(self.catalog, "Outlines", dict)
         stack, seen = [(top.get("First"), 0)] if top else [], set()
-        while stack and len(out) < OUTLINE_ITEMS:
+        while stack:
+            if len(out) >= VISITS:
+                self.cut("the outline goes on")
+                break
             ref, level = stack.pop()
             item = self.resolve(ref)
             if not isinstance(item, dict) or (isinstance(ref, Ref) and ref in seen):
                 continue
-            seen.add(ref if isinstance(ref, Ref) else None)
+            if isinstance(ref, Ref):
+                seen.add(ref)
             title = self.get(item, "Title", bytes)
             out.append((decode_text_string(title or b""), self._target(item), level))
             stack.append((item.get("Next"), level))
@@ -332,16 +381,23 @@ class Document:
         tree = self.get(self.catalog, "PageLabels", dict)
         if tree is None:
             return None
-        out, stack, seen = [], [tree], 0
-        while stack and seen < 10_000:
-            node, seen = stack.pop(), seen + 1
+        out, stack, seen = [], [tree], set()
+        while stack:
+            node = stack.pop()
+            if isinstance(node, Ref):
+                if node in seen:
+                    continue
+                seen.add(node)
+                node = self.resolve(node)
+            if not isinstance(node, dict):
+                continue
             nums = self.get(node, "Nums", list) or []
             for start, value in zip(nums[::2], nums[1::2]):
                 label = self.resolve(value)
-                if isinstance(start, int) and start >= 0 and isinstance(label, dict):
+                if isinstance(start, int) and 0 <= start < 1 << 31 and isinstance(label, dict):
                     prefix, first = self.get(label, "P", bytes), self.get(label, "St", int)
-                    out.append((start, self.get(label, "S", Name), None if prefix is None else raw_text(prefix), max(0, first if first is not None else 1)))
-            stack += [k for v in reversed(self.get(node, "Kids", list) or []) if isinstance(k := self.resolve(v), dict)]
+                    out.append((start, self.get(label, "S", Name), None if prefix is None else raw_text(prefix), max(0, first if first is not None and int32(first) is not None else 1)))
+            stack += reversed(self.get(node, "Kids", list) or [])
         return out
 
     def _rect(self, entries: dict) -> list[float] | None:
@@ -372,17 +428,20 @@ class Document:
     def form_fields(self) -> list[tuple[str, str | None, str, list[float] | None]]:
         """name (dotted), value, type, rectangle of each field without kids."""
         form, out = self.get(self.catalog, "AcroForm", dict), []
-        stack = [(f, "", 0, frozenset()) for f in reversed(self.get(form, "Fields", list) or [])] if form else []
+        stack, visits = [(f, "", frozenset()) for f in reversed(self.get(form, "Fields", list) or [])] if form else [], 0
         while stack:
-            ref, parent, depth, above = stack.pop()
-            entries = self.resolve(ref)
-            if not isinstance(entries, dict) or depth > FIELD_DEPTH or ref in above if isinstance(ref, Ref) else not isinstance(entries, dict):
+            ref, parent, above = stack.pop()
+            entries, visits = self.resolve(ref), visits + 1
+            if not isinstance(entries, dict) or isinstance(ref, Ref) and ref in above:
                 continue
+            if visits > VISITS:
+                self.cut("form fields go on")
+                break
             own = raw_text(self.get(entries, "T", bytes) or b"")
             name = f"{parent}.{own}" if parent and own else own or parent
             if "Kids" in entries:
                 kids = self.get(entries, "Kids", list) or []
-                stack += [(k, name, depth + 1, above | {ref} if isinstance(ref, Ref) else above) for k in reversed(kids)]
+                stack += [(k, name, above | {ref} if isinstance(ref, Ref) else above) for k in reversed(kids)]
                 continue
             value = self.get(entries, "V", bytes)
             out.append((name, None if value is None else raw_text(value), self.KINDS.get(self.get(entries, "FT", Name), "unknown"), self._rect(entries)))
@@ -395,26 +454,31 @@ class Document:
         out: list[tuple[int, int, str]] = []
         if root is None:
             return out
-        stack: list[tuple[Any, Any, str, int, frozenset]] = [(root.get("K"), None, "", 0, frozenset())]
+        stack: list[tuple[Any, Any, str, frozenset]] = [(root.get("K"), None, "", frozenset())]
+        visits = 0
         while stack:
-            value, page, kind, depth, above = stack.pop()
-            if depth > STRUCT_DEPTH or (isinstance(value, Ref) and value in above):
+            value, page, kind, above = stack.pop()
+            if isinstance(value, Ref) and value in above:
                 continue
+            visits += 1
+            if visits > VISITS:
+                self.cut("the structure tree goes on")
+                break
             inside = above | {value} if isinstance(value, Ref) else above
             node = self.resolve(value)
             if isinstance(node, list):
-                stack += [(v, page, kind, depth, inside) for v in reversed(node)]
+                stack += [(v, page, kind, inside) for v in reversed(node)]
             elif isinstance(node, int) and not isinstance(node, bool):
-                if (at := self.page_of(page)) is not None:
+                if (at := self.page_of(page)) is not None and int32(node) is not None:
                     out.append((at, node, kind))
             elif isinstance(node, dict):
                 page = node.get("Pg", page)
                 tag = self.get(node, "Type", Name)
                 if tag == "MCR" or (tag is None and "MCID" in node):
-                    if (mcid := self.get(node, "MCID", int)) is not None and (at := self.page_of(page)) is not None:
+                    if (mcid := self.get(node, "MCID", int)) is not None and int32(mcid) is not None and (at := self.page_of(page)) is not None:
                         out.append((at, mcid, kind))
                 elif tag != "OBJR" and (own := self.get(node, "S", Name) or "") != "Artifact":
-                    stack.append((node.get("K"), page, own, depth + 1, inside))
+                    stack.append((node.get("K"), page, own, inside))
         return out
 
     @property

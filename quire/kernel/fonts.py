@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 from dataclasses import dataclass, field
 from functools import cache
+from itertools import accumulate
 from typing import Any
 
 from .objects import Name, Ref, Stream, hex_bytes
@@ -50,7 +52,7 @@ GLYPHS = {
     "acute": 0xB4, "circumflex": 0x2C6, "tilde": 0x2DC, "macron": 0xAF, "breve": 0x2D8, "dotaccent": 0x2D9, "dieresis": 0xA8, "ring": 0x2DA,
     "cedilla": 0xB8, "hungarumlaut": 0x2DD, "ogonek": 0x2DB, "caron": 0x2C7, "AE": 0xC6, "ae": 0xE6, "OE": 0x152, "oe": 0x153,
     "Lslash": 0x141, "lslash": 0x142, "Oslash": 0xD8, "oslash": 0xF8, "ordfeminine": 0xAA, "ordmasculine": 0xBA, "dotlessi": 0x131,
-    "germandbls": 0xDF, "Eth": 0xD0, "eth": 0xF0, "Thorn": 0xDE, "thorn": 0xFE, "trademark": 0x2122, "Euro": 0x20AC, "nbspace": 0xA0,
+    "germandbls": 0xDF, "Eth": 0xD0, "eth": 0xF0, "Thorn": 0xDE, "thorn": 0xFE, "trademark": 0x2122, "Euro": 0x20AC, "nbspace": 0xA0, "florint": 0x192,
 }
 
 #: Marks that a glyph name adds to a letter, and their combining characters.
@@ -136,6 +138,7 @@ class Font:
     ordering: str | None = None
     gids: bytes | None = None
     _map: dict | None = None
+    _reach: list[int] = field(default_factory=list)
     _codes: dict[int, str] = field(default_factory=dict)
 
     def decode(self, data: bytes) -> str:
@@ -172,9 +175,15 @@ class Font:
             return self.multi[code]
         if code in self.single:
             return self.single[code]
-        for first, last, to in self.ranges:
-            if first <= code <= last:
-                return to + code - first
+        if self.ranges:
+            # the last range that starts at the code or before; then those before it, as
+            # ranges may overlap, until none can reach the code
+            at = bisect_right(self.ranges, (code, 1 << 62, 0)) - 1
+            while at >= 0 and self._reach[at] >= code:
+                first, last, to = self.ranges[at]
+                if code <= last:
+                    return to + code - first
+                at -= 1
         if self.glyph_names is not None and code & 0xFFFF < len(self.glyph_names):
             return glyph(self.glyph_names[code & 0xFFFF] or ".notdef")
         return None
@@ -195,6 +204,11 @@ class Font:
             return self.widths.get(code, self.missing_width)
         return next((w for a, b, w in self.cid_widths if a <= code <= b), self.default_width)
 
+    def width_ranges(self) -> list[tuple[int, int, float]]:
+        """First and last code and the width of each range; of overlapping ones the first
+        counts."""
+        return list(self.cid_widths) if self.is_cid else [(c, c, w) for c, w in sorted(self.widths.items())]
+
     def gid(self, cid: int) -> int:
         """The glyph index of a CID; the CID itself without a map."""
         if self.gids is None or 2 * cid + 2 > len(self.gids):
@@ -240,6 +254,7 @@ def read_cmap(data: bytes, font: Font) -> None:
                 for code in range(first, min(last, first + 0xFFFF) + 1):
                     font.multi[code] = text[:-1] + chr(min(0x10FFFF, ord(text[-1]) + code - first))
     font.ranges.sort()
+    font._reach = list(accumulate((last for _, last, _ in font.ranges), max))
     if font.single or font.multi or font.ranges:
         font.is_cid = True
 

@@ -89,9 +89,22 @@ def literal_string(data: bytes, pos: int) -> tuple[bytes, int]:
                 out.append(_ESCAPES.get(e[0], e) if e else b"")
 
 
+#: Numbers with a fraction beyond that, either side of 0, are read as that.
+LARGEST = 1e15
+
+
+def real(raw: bytes) -> float:
+    return min(LARGEST, max(-LARGEST, float(raw)))
+
+
+def int32(value: int) -> int | None:
+    """value if 32 bits hold it."""
+    return value if -(1 << 31) <= value < 1 << 31 else None
+
+
 def number(raw: bytes) -> int | float:
     if b"." in raw:
-        return float(raw)
+        return real(raw)
     value = int(raw)
     if not -(1 << 63) <= value < 1 << 63:
         raise PdfError("syntax", 0, "number out of range")

@@ -5,38 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators.search import page_labels
-from quire.operators.text import structured
+from quire.functions.arrays import fixed
+from quire.functions.text import page_label
 from quire.sources.pdf import extract
 
+METADATA = ("title", "author", "subject", "keywords", "creator", "producer", "creation_date", "mod_date")
 
-def json_documents(files: DataFrame) -> DataFrame:
+
+def json_documents(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
     """doc_id, json: metadata, page count, outline (page -1 without a target) and
-    pages from 1 with label, text, links and images (targets count from 0). Fields that are null are left
-    out. Each document's rows are gathered by its id; no more than one document's
-    content meets in a row."""
-    empty = lambda kind: F.expr(f"cast(array() as array<{kind}>)")
-    link, image = "struct<uri: string, dest_page: int, rect: array<double>>", "struct<rect: array<double>, width: int, height: int>"
-    rect = F.array(*(F.round(c, 1) for c in ("x0", "y0", "x1", "y1"))).alias("rect")
-    text = structured(extract(files, "page_all"))
-    labels = page_labels(extract(files, "pages"), extract(files, "label_ranges"))
-    links = extract(files, "links").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct("uri", "dest_page", rect).alias("v")))).alias("links"))
-    images = extract(files, "images").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("ord", F.struct(rect, "width", "height").alias("v")))).alias("images"))
-    pages = text.join(labels, ["doc_id", "page"], "left").join(links, ["doc_id", "page"], "left").join(images, ["doc_id", "page"], "left")
-    values = lambda name, kind: F.coalesce(F.transform(name, lambda s: s["v"]), empty(kind)).alias(name)
-    page = F.struct((F.col("page") + 1).alias("page"), "label", "text", values("links", link), values("images", image))
-    pages = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", page.alias("v")))).alias("p"))
-    item = F.struct("title", F.coalesce("dest_page", F.lit(-1)).alias("page"), "level")
-    outline = extract(files, "outline").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("ord", item.alias("v")))).alias("o"))
-    meta = extract(files, "metadata")
-    whole = extract(files, "document").join(meta, "doc_id").join(outline, "doc_id", "left").join(pages, "doc_id", "left")
+    pages from 1 with label, text, links and images (targets count from 0). Fields
+    that are null are left out. One kernel pass gives a row for each document, and
+    nothing is exchanged."""
+    whole = extract(files, "whole", mode=mode).withColumn("ranges", fixed(F.sort_array("label_ranges")))
+    rounded = lambda rect: F.transform(rect, lambda v: F.round(v, 1)).alias("rect")
+
+    def page(p):
+        r = F.try_element_at(F.filter("ranges", lambda r: r["start"] <= p["page"]), F.lit(-1))
+        label = F.when(r.isNotNull(), page_label(p["page"], r["start"], r["style"], r["prefix"], r["first"]))
+        links = F.transform(p["links"], lambda x: F.struct(x["uri"].alias("uri"), x["dest_page"].alias("dest_page"), rounded(x["rect"])))
+        images = F.transform(p["images"], lambda x: F.struct(rounded(x["rect"]), x["width"].alias("width"), x["height"].alias("height")))
+        return F.struct((p["page"] + 1).alias("page"), label.alias("label"), p["text"].alias("text"), links.alias("links"), images.alias("images"))
+
+    item = lambda o: F.struct(o["title"].alias("title"), F.coalesce(o["dest_page"], F.lit(-1)).alias("page"), o["level"].alias("level"))
     body = F.struct(
-        F.struct(*[c for c in meta.columns if c != "doc_id"]).alias("metadata"),
-        F.col("n_pages").alias("page_count"),
-        F.coalesce(F.transform("o", lambda s: s["v"]), empty("struct<title: string, page: int, level: int>")).alias("outline"),
-        F.coalesce(F.transform("p", lambda s: s["v"]), empty(f"struct<page: int, label: string, text: string, links: array<{link}>, images: array<{image}>>")).alias("pages"),
-    )
-    return whole.select("doc_id", F.to_json(body).alias("json"))
+        F.struct(*METADATA).alias("metadata"), F.col("n_pages").alias("page_count"),
+        F.transform("outline", item).alias("outline"), F.transform("pages", page).alias("pages"),
+    )
+    return whole.select("doc_id", fixed(F.to_json(body)).alias("json"))
 
 
 def write_text(texts: DataFrame, path: str, column: str = "text") -> None:
@@ -46,5 +42,5 @@ def write_text(texts: DataFrame, path: str, column: str = "text") -> None:
 
 def error_report(parse_errors: DataFrame, shown: int = 10) -> DataFrame:
     """doc_id, n_errors and the first `shown` messages."""
-    first = F.slice(F.sort_array(F.collect_list(F.struct("offset", "kind", "message"))), 1, shown)
+    first = F.slice(F.sort_array(F.collect_list(F.struct("offset", "kind", "message", "page"))), 1, shown)
     return parse_errors.groupBy("doc_id").agg(F.count("*").alias("n_errors"), first.alias("first"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.arrays import scan
+from quire.functions.arrays import fixed, running_sums
 from quire.functions.text import ascii_lower, page_label
+from quire.sources.pdf import extract
 
 CONTEXT = 50
 
@@ -21,9 +22,9 @@ def search(page_text: DataFrame, query: str, context: int = CONTEXT) -> DataFram
     q = query.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
     size = len(query.encode())
     low = page_text.where(F.contains(ascii_lower("text"), F.lit(q))).select("doc_id", "page", "text", F.split(ascii_lower("text"), _quoted(q), -1).alias("pieces"))
-    lengths = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p: F.octet_length(p).cast("long"))
-    fold = scan(lengths, F.struct(F.lit(-size).cast("long").alias("at")), lambda a, n: F.struct((a["at"] + size + n).alias("at")), lambda a: a["at"], "bigint")
-    hits = low.select("doc_id", "page", "text", F.explode_outer(fold).alias("offset")).where("offset is not null")
+    lengths = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p: F.octet_length(p).cast("long") + size)
+    ends = running_sums(low.withColumn("lengths", fixed(lengths)), "lengths", "ends")
+    hits = ends.select("doc_id", "page", "text", F.explode_outer("ends").alias("end")).where("end is not null").select("doc_id", "page", "text", (F.col("end") - size).alias("offset"))
     raw = F.col("text").cast("binary")
     start = F.greatest(F.col("offset") - context, F.lit(0))
     end = F.least(F.col("offset") + size + context, F.octet_length("text"))
@@ -51,6 +52,7 @@ def link_targets(links: DataFrame, pages: DataFrame) -> DataFrame:
     return links.join(pages.select("doc_id", F.col("page").alias("dest_page"), F.col("obj_num").alias("dest_obj")), ["doc_id", "dest_page"], "left")
 
 
-def info(document: DataFrame, metadata: DataFrame, files: DataFrame) -> DataFrame:
-    """A row for each document: size, pages, objects, flags, metadata."""
-    return files.select(F.col("doc_id").cast("string"), F.octet_length("content").alias("size")).join(document, "doc_id").join(metadata, "doc_id")
+def info(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
+    """A row for each document: size, pages, objects, flags, metadata, sizes of pages
+    and outline, from one kernel pass."""
+    return extract(files, "info", mode=mode)

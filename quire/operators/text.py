@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.layout import geometric_text
+from quire.functions import layout as L
+from quire.functions.arrays import fixed
 
 PAGE = ["doc_id", "page"]
 FORM_FEED = "\f"
@@ -47,12 +48,13 @@ def structured(page_all: DataFrame) -> DataFrame:
     if that has 60 % of the bytes of the stream-order text; else stream order, or if
     that is empty, geometric order. A mark without text is passed over."""
     texts = F.filter(F.transform("refs", lambda r: F.element_at("marked", r["mcid"])), lambda t: t.isNotNull() & (t != ""))
-    p = page_all.withColumn("tagged", F.array_join(texts, " "))
+    p = page_all.withColumn("tagged", fixed(F.array_join(texts, " ")))
     enough = (F.col("tagged") != "") & (F.octet_length("tagged") >= F.floor(F.octet_length("plain") * 6 / 10))
-    source = F.when(enough, "structure").when(F.col("plain") != "", "stream").otherwise("geometric")
-    p = p.withColumn("source", source)
-    text = F.when(F.col("source") == "structure", F.col("tagged")).when(F.col("source") == "stream", F.col("plain")).otherwise(geometric_text("spans"))
-    return p.select(*PAGE, text.alias("text"), "source")
+    p = p.withColumn("source", fixed(F.when(enough, "structure").when(F.col("plain") != "", "stream").otherwise("geometric")))
+    # pages that need no third order fold no spans
+    p = p.withColumn("spans", fixed(F.when(F.col("source") == "geometric", F.col("spans")).otherwise(F.slice("spans", 1, 0))))
+    text = F.when(F.col("source") == "structure", F.col("tagged")).when(F.col("source") == "stream", F.col("plain")).otherwise(F.col("rows"))
+    return L.geometric_text(p, out="rows").select(*PAGE, text.alias("text"), "source")
 
 
 def structured_by_join(mcid_refs: DataFrame, mcid_text: DataFrame) -> DataFrame:

@@ -163,6 +163,137 @@ def text_all_formfeed(spark, d):
     return X.join_pages(X.structured(extract(files, "page_all")))
 
 
+def _predicted(data: bytes, columns: int, tag: int) -> bytes:
+    """Rows less what a PNG predictor makes of their neighbours."""
+    from quire.kernel.filters import paeth
+
+    data += b" " * (-len(data) % columns)
+    out, above = bytearray(), bytes(columns)
+    for at in range(0, len(data), columns):
+        row = data[at : at + columns]
+        left = bytes(1) + row[:-1]
+        corner = bytes(1) + above[:-1]
+        guess = (bytes(columns), left, above, bytes((a + b) // 2 for a, b in zip(left, above)), bytes(map(paeth, left, above, corner)))[tag]
+        out += bytes([tag]) + bytes((x - g) & 255 for x, g in zip(row, guess))
+        above = row
+    return bytes(out)
+
+
+def _tiff(data: bytes, columns: int) -> bytes:
+    data += b" " * (-len(data) % columns)
+    return b"".join(bytes((x - y) & 255 for x, y in zip(row, bytes(1) + row[:-1])) for row in (data[at : at + columns] for at in range(0, len(data), columns)))
+
+
+def _predictors_pdf(r):
+    """Every PNG predictor, TIFF's, and PNG's after LZW, by document."""
+    k = r["n_nationkey"] % 7
+    if k < 5:
+        entries, encode = b"/Filter /FlateDecode /DecodeParms << /Predictor 15 /Columns 9 >>", lambda x: zlib.compress(_predicted(x, 9, k))
+    elif k == 5:
+        entries, encode = b"/Filter /FlateDecode /DecodeParms << /Predictor 2 /Columns 11 >>", lambda x: zlib.compress(_tiff(x, 11))
+    else:
+        entries, encode = b"/Filter /LZWDecode /DecodeParms << /Predictor 12 /Columns 9 >>", lambda x: W.lzw_encode(_predicted(x, 9, 2))
+    return W.simple_pdf([W.show_lines([r["n_name"], r["n_comment"]])], filters=entries, encode=encode)
+
+
+def _nations(spark, d):
+    n = table(spark, d, "nation")
+    return n.select("n_nationkey", "n_name", F.coalesce(*([F.col("n_comment")] if "n_comment" in n.columns else []), F.concat(F.lit("of "), "n_name")).alias("n_comment"))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, n_name || chr(10) || 'of ' || n_name AS text FROM nation")
+def filters_predictors(spark, d):
+    files = synthesize(_nations(spark, d).withColumn("n_comment", F.concat(F.lit("of "), "n_name")), _predictors_pdf, "n_nationkey")
+    return extract(files, "page_text").select("doc_id", F.col("stream").alias("text"))
+
+
+def _bfrange_pdf(r):
+    """Letters by a range with an offset, by a range with a list, and a ligature."""
+    font = W.Writer()
+    root, tree, page, body, face = (font.reserve() for _ in range(5))
+    cmap = b"begincmap 3 beginbfrange <0041> <005A> <0041> <0100> <0102> [<00660069> <0031> <20AC>] <0200> <0201> <D83DDE00> endbfrange endcmap"
+    codes = "".join(f"{ord(c):04X}" for c in r["n_name"] if "A" <= c <= "Z")
+    font.stream(b"BT /F1 12 Tf 1 1 Td <%s010001010102020002FF> Tj ET" % codes.encode(), num=body)
+    font.put(b"<< /Type /Font /Subtype /Type0 /BaseFont /X /Encoding /Identity-H /DescendantFonts [] /ToUnicode %d 0 R >>" % font.stream(cmap), face)
+    font.put(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (tree, body), page)
+    font.put(b"<< /Type /Pages /Count 1 /Kids [%d 0 R] /Resources << /Font << /F1 %d 0 R >> >> >>" % (page, face), tree)
+    font.put(b"<< /Type /Catalog /Pages %d 0 R >>" % tree, root)
+    return font.save(root)
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, regexp_replace(n_name, '[^A-Z]', '', 'g') || 'fi1€😀' || chr(767) AS text FROM nation")
+def text_bfrange(spark, d):
+    return extract(synthesize(_nations(spark, d), _bfrange_pdf, "n_nationkey"), "page_text").select("doc_id", F.col("stream").alias("text"))
+
+
+def _encoded_pdf(r):
+    """A named encoding, or glyph names, by document."""
+    encodings = ((b"/MacRomanEncoding", b"\x8e\xa5"), (b"/StandardEncoding", b"\xe1\xb7"), (b"/PDFDocEncoding", b"\xa0\x80"), (b"<< /Differences [128 /Lslash /fi /florint /onehalf] >>", b"\x80\x81\x82\x83"))
+    encoding, codes = encodings[r["n_nationkey"] % 4]
+    font = b"<< /Type /Font /Subtype /Type1 /BaseFont /X /Encoding %s >>" % encoding
+    return W.simple_pdf([b"BT /F1 12 Tf 1 1 Td (%s%s) Tj ET" % (r["n_name"].encode(), codes)], fonts={"F1": font})
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, n_name || ['é•', 'Æ•', '€•', 'Łﬁƒ½'][n_nationkey % 4 + 1] AS text FROM nation")
+def text_encodings(spark, d):
+    return extract(synthesize(_nations(spark, d), _encoded_pdf, "n_nationkey"), "page_text").select("doc_id", F.col("stream").alias("text"))
+
+
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, CAST(v.a + CASE WHEN v.simple THEN n_nationkey ELSE 0 END AS INTEGER) AS first_code, CAST(v.b + CASE WHEN v.simple THEN n_nationkey ELSE 0 END AS INTEGER) AS last_code, CAST(v.w + n_nationkey AS DOUBLE) AS width,
+       CAST(CASE WHEN v.simple THEN 77 ELSE 900 END AS DOUBLE) AS default_width, CASE WHEN NOT v.simple THEN 'Japan1' END AS ordering
+FROM nation, (VALUES (true, 65, 65, 500), (true, 66, 66, 600), (false, 1, 1, 10), (false, 2, 2, 20), (false, 5, 7, 30)) v(simple, a, b, w)
+""")
+def font_widths(spark, d):
+    def make(r):
+        k = r["n_nationkey"]
+        plain = b"<< /Type /Font /Subtype /Type1 /FirstChar %d /Widths [%d %d] /FontDescriptor << /MissingWidth 77 >> >>" % (65 + k, 500 + k, 600 + k)
+        inner = b"<< /Subtype /CIDFontType2 /DW 900 /W [1 [%d %d] 5 7 %d] /CIDSystemInfo << /Ordering (Japan1) >> >>" % (10 + k, 20 + k, 30 + k)
+        return W.simple_pdf([b""], fonts={"F1": plain, "F2": b"<< /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [%s] >>" % inner})
+
+    files = synthesize(table(spark, d, "nation").select("n_nationkey"), make, "n_nationkey")
+    return extract(files, "font_widths").select("doc_id", "first_code", "last_code", "width", "default_width", "ordering")
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, n_name AS text FROM nation")
+def xref_rebuild(spark, d):
+    def make(r):
+        whole = W.simple_pdf([W.show_lines([r["n_name"]])])
+        return whole if r["n_nationkey"] % 2 else whole[: whole.rindex(b"xref\n0")]
+
+    return extract(synthesize(_nations(spark, d), make, "n_nationkey"), "page_text", rebuild=True).select("doc_id", F.col("stream").alias("text"))
+
+
+def _hostile(r):
+    """Five kids: a good page, no reference, a page of huge numbers, a node that is no
+    page, and a page that paints forms without end beside its text."""
+    w = W.Writer()
+    root, tree, font, form = (w.reserve() for _ in range(4))
+    name, huge = r["n_name"].encode(), b"9" * 400
+    bodies = [b"BT /F1 12 Tf 72 700 Td (%s) Tj ET" % name, b"/P <</MCID %s>> BDC BT /F1 %s Tf 1 0 0 1 -%s %s.5 Tm (far %s) Tj ET EMC" % (huge, huge, huge, huge, name), b"BT /F1 12 Tf 72 700 Td (last %s) Tj ET /X1 Do" % name]
+    pages = [w.put(b"<< /Type /Page /Parent %d 0 R /Rotate 99999999999 /Contents %d 0 R >>" % (tree, w.stream(x))) for x in bodies]
+    odd = w.put(b"<< /Type /Template /Parent %d 0 R >>" % tree)
+    w.put(W.HELVETICA, font)
+    w.stream(b"/X1 Do", b"/Type /XObject /Subtype /Form", form)
+    kids = b"%d 0 R null %d 0 R %d 0 R %d 0 R" % (pages[0], pages[1], odd, pages[2])
+    w.put(b"<< /Type /Pages /Kids [%s] /Resources << /Font << /F1 %d 0 R >> /XObject << /X1 %d 0 R >> >> >>" % (kids, font, form), tree)
+    w.put(b"<< /Type /Catalog /Pages %d 0 R >>" % tree, root)
+    return w.save(root)
+
+
+@query("""
+SELECT CAST(n_nationkey AS VARCHAR) AS doc_id, v.what, CAST(v.page AS INTEGER) AS page, CASE v.what WHEN 'error' THEN v.t ELSE v.t || n_name || CASE v.what WHEN 'markdown' THEN chr(10) ELSE '' END END AS text
+FROM nation, (VALUES ('text', 0, ''), ('text', 1, 'far '), ('text', 2, 'last '), ('geometric', 0, ''), ('geometric', 1, 'far '), ('geometric', 2, 'last '), ('markdown', 0, ''), ('markdown', 1, 'far '), ('markdown', 2, 'last '),
+              ('error', NULL, 'invalid_page_tree'), ('error', NULL, 'invalid_page_tree'), ('error', 2, 'limit')) v(what, page, t)
+""")
+def page_failures(spark, d):
+    files = synthesize(_nations(spark, d), _hostile, "n_nationkey")
+    spans = extract(files, "page_spans")
+    found = {"text": extract(files, "page_text").withColumnRenamed("stream", "text"), "geometric": layout.geometric(spans), "markdown": markdown.pages(spans), "error": extract(files, "parse_errors").withColumn("text", F.col("kind"))}
+    parts = [df.select("doc_id", F.lit(what).alias("what"), "page", "text") for what, df in found.items()]
+    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+
+
 # Pages
 
 _ORDERS = "(SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS k FROM orders)"
@@ -498,22 +629,23 @@ def page_labels(spark, d):
 
 
 def _linked(r):
-    uri = b"/A << /S /URI /URI (%s) >>" % W.escape(r["url"], "utf-8")
+    """A page without a url has a link that goes nowhere in its place."""
+    uri = b"/A << /S /URI /URI (%s) >>" % W.escape(r["url"], "utf-8") if r["url"] is not None else b"/A << /S /URI >>"
     return W.simple_pdf([b"", b""], links=[[((10, 20, 30, 40), uri), ((11, 20, 30, 40), b"/A << /S /GoTo /D [{page:1} /Fit] >>")], [((12, 20, 30, 40), b"/Dest [{page:0} /Fit]")]])
 
 
 @query("""
 SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(v.page AS INTEGER) AS page, CAST(v.ord AS INTEGER) AS ord, CAST(v.x0 AS DOUBLE) AS x0, CASE WHEN v.x0 = 10 THEN url END AS uri, CAST(v.dest AS INTEGER) AS dest_page
-FROM pages, (VALUES (0, 0, 10, NULL), (0, 1, 11, 1), (1, 0, 12, 0)) v(page, ord, x0, dest) WHERE url IS NOT NULL
+FROM pages, (VALUES (0, 0, 10, NULL), (0, 1, 11, 1), (1, 0, 12, 0)) v(page, ord, x0, dest)
 """)
 def links(spark, d):
-    files = synthesize(table(spark, d, "pages").where("url is not null").select("page_id", "url"), _linked, "page_id")
+    files = synthesize(table(spark, d, "pages").select("page_id", "url"), _linked, "page_id")
     return extract(files, "links").select("doc_id", "page", "ord", "x0", "uri", "dest_page")
 
 
-@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, v.dest IS NOT NULL AS resolved, count(*) AS n FROM pages, (VALUES (NULL), (1), (0)) v(dest) WHERE url IS NOT NULL GROUP BY ALL")
+@query("SELECT CAST(page_id AS VARCHAR) AS doc_id, v.dest IS NOT NULL AS resolved, count(*) AS n FROM pages, (VALUES (NULL), (1), (0)) v(dest) GROUP BY ALL")
 def link_dest(spark, d):
-    files = synthesize(table(spark, d, "pages").where("url is not null").select("page_id", "url"), _linked, "page_id")
+    files = synthesize(table(spark, d, "pages").select("page_id", "url"), _linked, "page_id")
     targets = search.link_targets(extract(files, "links"), extract(files, "pages"))
     return targets.groupBy("doc_id", F.col("dest_obj").isNotNull().alias("resolved")).agg(F.count("*").alias("n"))
 
@@ -561,6 +693,16 @@ def search_hits(spark, d):
     return search.search(text, _SEARCH).select("doc_id", "page", "offset")
 
 
+@query(_TAGGED_SQL + """, t AS (SELECT o_custkey, CASE WHEN tagged <> '' AND strlen(tagged) >= strlen(plain) * 6 // 10 THEN tagged ELSE plain END AS text FROM s),
+x AS (SELECT o_custkey, string_split(text, 'order 1') AS x FROM t), h AS (SELECT o_custkey, x, unnest(generate_series(1, len(x) - 1)) AS k FROM x)
+SELECT CAST(o_custkey AS VARCHAR) AS doc_id, CAST(list_sum(list_transform(x[1:k], lambda v: strlen(v))) + (k - 1) * 7 AS BIGINT) AS "offset" FROM h
+""")
+def search_structured(spark, d):
+    from quire.api import PdfCorpus
+
+    return PdfCorpus(synthesize(_customers(spark, d), _tagged, "o_custkey")).search("ORDER 1").select("doc_id", "offset")
+
+
 @query("""
 SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(strpos(lower(p_type), 'on') - 1 AS BIGINT) AS "offset",
        substr(p_type, greatest(strpos(lower(p_type), 'on') - 3, 1), strpos(lower(p_type), 'on') + 3 - greatest(strpos(lower(p_type), 'on') - 3, 1) + 1) AS context
@@ -574,14 +716,18 @@ def search_context(spark, d):
 # Export, errors, functions
 
 @query("""
-SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, '{"metadata":{"title":"' || s_name || '"},"page_count":2,"outline":[{"title":"' || n_name || '","page":1,"level":0}],"pages":[{"page":1,"text":"' || s_name
-       || '","links":[],"images":[]},{"page":2,"text":"a\\\\b\\"' || n_name || '","links":[],"images":[]}]}' AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey
+SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, '{"metadata":{"title":"' || s_name || '"},"page_count":2,"outline":[{"title":"' || n_name || '","page":1,"level":0}],"pages":[{"page":1,"label":"' || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || '","text":"' || s_name
+       || '","links":[{"uri":"http://host/' || s_suppkey || '","rect":[1.0,2.0,30.3,4.0]},{"dest_page":1,"rect":[5.0,6.0,7.0,8.0]}],"images":[{"rect":[3.0,4.0,13.0,24.0],"width":' || (s_suppkey % 50 + 1) || ',"height":9}]},{"page":2,"label":"'
+       || chr(CAST(65 + s_suppkey % 26 AS INTEGER)) || '-7","text":"a\\\\b\\"' || n_name || '","links":[],"images":[]}]}' AS json FROM supplier JOIN nation ON s_nationkey = n_nationkey
 """)
 def json_export(spark, d):
     from quire.operators.export import json_documents
 
     def make(r):
-        return W.simple_pdf([W.show_lines([r["s_name"]]), W.show_lines(['a\\b"' + r["n_name"]])], info={"Title": r["s_name"]}, outline=[(r["n_name"], 1, 0)])
+        k, letter = r["s_suppkey"], b"%c" % (65 + r["s_suppkey"] % 26)
+        links = [[((1, 2, 30.25, 4), b"/A << /S /URI /URI (http://host/%d) >>" % k), ((5, 6, 7, 8), b"/Dest [{page:1} /Fit]")]]
+        pages = [W.show_lines([r["s_name"]]) + b" 10 0 0 20 3 4 cm /Im0 Do", W.show_lines(['a\\b"' + r["n_name"]])]
+        return W.simple_pdf(pages, info={"Title": r["s_name"]}, outline=[(r["n_name"], 1, 0)], links=links, images=[(k % 50 + 1, 9)], labels=[(0, b"/P (%s)" % letter), (1, b"/P (%s-) /S /D /St 7" % letter)])
 
     return json_documents(synthesize(_suppliers(spark, d), make, "s_suppkey"))
 
@@ -616,13 +762,13 @@ def decode_pdf_string(spark, d):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_partkey > 3999 THEN CAST(p_partkey AS VARCHAR) ELSE
+SELECT p_partkey, CASE WHEN p_partkey > 3999 OR p_partkey < 1 THEN CAST(p_partkey AS VARCHAR) ELSE
          ['', 'm', 'mm', 'mmm'][p_partkey // 1000 + 1] || ['', 'c', 'cc', 'ccc', 'cd', 'd', 'dc', 'dcc', 'dccc', 'cm'][p_partkey // 100 % 10 + 1]
          || ['', 'x', 'xx', 'xxx', 'xl', 'l', 'lx', 'lxx', 'lxxx', 'xc'][p_partkey // 10 % 10 + 1] || ['', 'i', 'ii', 'iii', 'iv', 'v', 'vi', 'vii', 'viii', 'ix'][p_partkey % 10 + 1] END AS roman,
-       CASE WHEN p_size > 26 THEN chr(CAST(64 + (p_size - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_size - 1) % 26 AS INTEGER)) AS alpha FROM part WHERE p_partkey > 0
+       CASE WHEN p_size > 26 THEN chr(CAST(64 + (p_size - 1) // 26 AS INTEGER)) ELSE '' END || chr(CAST(65 + (p_size - 1) % 26 AS INTEGER)) AS alpha FROM part
 """)
 def roman_alpha(spark, d):
-    return table(spark, d, "part").where("p_partkey > 0").select("p_partkey", T.roman("p_partkey").alias("roman"), T.alpha("p_size", True).alias("alpha"))
+    return table(spark, d, "part").select("p_partkey", T.roman("p_partkey").alias("roman"), T.alpha("p_size", True).alias("alpha"))
 
 
 @query("""
@@ -654,7 +800,11 @@ def accuracy_metric(spark, d):
     return both.select("doc_id", char_accuracy("got", "text").alias("char_accuracy"), word_error_rate("got", "text").alias("word_error_rate"))
 
 
-@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(1 AS INTEGER) AS n_pages, false AS is_encrypted, s_name AS title FROM supplier JOIN nation ON s_nationkey = n_nationkey")
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(2 AS INTEGER) AS n_pages, false AS is_encrypted, s_name AS title, CAST(1 AS INTEGER) AS n_fields, CAST(100 + s_suppkey % 9 + 200 AS DOUBLE) AS widths, s_name || '|' || n_name AS outline FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def document_info(spark, d):
-    files = synthesize(_suppliers(spark, d), lambda r: W.simple_pdf([b""], info={"Title": r["s_name"]}), "s_suppkey")
-    return search.info(extract(files, "document"), extract(files, "metadata"), files).select("doc_id", "n_pages", "is_encrypted", "title")
+    def make(r):
+        return W.simple_pdf([b"", b""], info={"Title": r["s_name"]}, boxes=[(0, 0, 100 + r["s_suppkey"] % 9, 50), (0, 0, 200, 50)], outline=[(r["s_name"], 0, 0), (r["n_name"], None, 1)], fields=[b"<< /T (a) /FT /Tx >>"])
+
+    widths = F.aggregate("page_sizes", F.lit(0.0), lambda a, p: a + p["width"]).alias("widths")
+    outline = F.array_join(F.transform("outline", lambda o: o["title"]), "|").alias("outline")
+    return search.info(synthesize(_suppliers(spark, d), make, "s_suppkey")).select("doc_id", "n_pages", "is_encrypted", "title", "n_fields", widths, outline)

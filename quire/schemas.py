@@ -2,6 +2,9 @@
 
 SPAN = "struct<seq: int, x0: double, y0: double, x1: double, y1: double, text: string, font_size: double>"
 
+_METADATA = "title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string"
+_OUTLINE = "struct<ord: int, title: string, dest_page: int, level: int>"
+
 TABLES = {
     "document": "doc_id string, n_pages int, n_xref int, is_encrypted boolean, has_structure boolean, n_fields int",
     "xref": "doc_id string, obj_num long, entry_type string, offset long, gen_or_index long",
@@ -13,11 +16,15 @@ TABLES = {
     "mcid_refs": "doc_id string, page int, ord int, mcid int, struct_type string",
     "mcid_text": "doc_id string, page int, mcid int, text string",
     "page_all": f"doc_id string, page int, width double, has_structure boolean, plain string, spans array<{SPAN}>, refs array<struct<mcid: int, struct_type: string>>, marked map<int, string>",
-    "metadata": "doc_id string, title string, author string, subject string, keywords string, creator string, producer string, creation_date string, mod_date string",
+    "metadata": f"doc_id string, {_METADATA}",
     "outline": "doc_id string, ord int, title string, dest_page int, level int",
     "label_ranges": "doc_id string, start int, style string, prefix string, first int",
     "links": "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double, uri string, dest_page int",
     "images": "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double, width int, height int",
     "form_fields": "doc_id string, ord int, name string, value string, field_type string, rect array<double>",
-    "parse_errors": "doc_id string, kind string, offset long, message string",
+    "parse_errors": "doc_id string, kind string, offset long, message string, page int",
+    "font_widths": "doc_id string, page int, font_name string, first_code int, last_code int, width double, default_width double, ordering string, first_gid int",
+    "info": f"doc_id string, size long, n_pages int, n_xref int, is_encrypted boolean, has_structure boolean, n_fields int, {_METADATA}, page_sizes array<struct<width: double, height: double, rotation: int>>, outline array<{_OUTLINE}>",
+    "whole": f"doc_id string, n_pages int, {_METADATA}, outline array<{_OUTLINE}>, label_ranges array<struct<start: int, style: string, prefix: string, first: int>>, "
+    "pages array<struct<page: int, text: string, links: array<struct<uri: string, dest_page: int, rect: array<double>>>, images: array<struct<rect: array<double>, width: int, height: int>>>>",
 }

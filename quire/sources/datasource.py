@@ -11,9 +11,18 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import IntegerType
 
 from quire.kernel.content import PageReader, spans, stream_text
-from quire.kernel.document import Document
+from quire.kernel.document import FAILURES, Document
 from quire.schemas import TABLES
-from quire.sources.pdf import KERNELS
+from quire.sources.pdf import KERNELS, InvalidPdfError
+
+
+def page_set(spec: str) -> frozenset[int]:
+    """Pages from 0 of a range such as 1-3,7; a part that says no page is passed over."""
+    out: set[int] = set()
+    for a, dash, b in (part.partition("-") for part in spec.split(",")):
+        if a.strip().isdecimal() and (not dash or b.strip().isdecimal()):
+            out.update(range(max(0, int(a) - 1), int(b) if dash else int(a)))
+    return frozenset(out)
 
 
 class Part(InputPartition):
@@ -22,21 +31,37 @@ class Part(InputPartition):
 
 
 class PdfReader(DataSourceReader):
+    """Options: path, table, pages (from 1, such as 1-3,7), mode, bytesPerTask."""
+
     def __init__(self, options: dict):
         self.table = options.get("table", "page_text")
-        self.path, self.per_task = options["path"], int(options.get("filesPerTask", 64))
+        self.path, self.per_task = options["path"], int(options.get("bytesPerTask", 64 << 20))
         self.strict = options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
+        self.pages = page_set(options["pages"]) if options.get("pages") else None
 
     def partitions(self) -> list[Part]:
+        """Files in order of their paths, about `bytesPerTask` together to a task."""
         found = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.lower().endswith(".pdf"))
-        return [Part(found[k : k + self.per_task]) for k in range(0, len(found), self.per_task)]
+        parts, size = [], 0
+        for path in found:
+            n = os.path.getsize(path)
+            if not parts or size + n > self.per_task:
+                parts.append(Part([]))
+                size = 0
+            parts[-1].paths.append(path)
+            size += n
+        return parts
 
     def read(self, partition: Part) -> Iterator[tuple]:
         for path in partition.paths:
-            with open(path, "rb") as f:
-                doc = Document(f.read(), self.strict)
-            for row in KERNELS[self.table](doc, None):
-                yield (path, *row)
+            try:
+                with open(path, "rb") as f:
+                    rows = [(path, *row) for row in KERNELS[self.table](Document(f.read(), self.strict), self.pages)]
+            except (*FAILURES, OSError) as e:
+                if self.strict:
+                    raise InvalidPdfError(f"{path}: {e}") from e
+                rows = [(path, "kernel", 0, f"{type(e).__name__}: {e}", None)] if self.table == "parse_errors" else []
+            yield from rows
 
 
 class PdfSource(DataSource):

@@ -11,7 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 from quire.kernel.content import PageReader, marked_text, spans, stream_text
-from quire.kernel.document import Document, raw_text
+from quire.kernel.document import FAILURES, Document, raw_text
 from quire.schemas import TABLES
 
 
@@ -32,7 +32,7 @@ def _pages(d: Document, only: frozenset | None):
 
 
 def _document(d, only):
-    yield (len(d.pages), len(d.xref), d.encrypted, d.has_structure, len(d.form_fields()))
+    yield (len(d.pages), len(d.xref), d.encrypted, d.has_structure, len(_form_fields(d)))
 
 
 def _xref(d, only):
@@ -46,42 +46,76 @@ def _page_rows(d, only):
         yield p.number, p.ref.num if p.ref else None, m, p.crop_box, m[2] - m[0], m[3] - m[1], p.rotation
 
 
+def _of_pages(d, only, rows, blank=None):
+    """Rows of each page. A page that fails gives what `blank` makes of it, or nothing,
+    and an error of the document; the other pages are not touched."""
+    for p in _pages(d, only):
+        yield from d.attempt(lambda: list(rows(p)), blank(p) if blank else (), p.number)
+
+
 def _fonts(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
+
+    def rows(p):
         for name, f in r.fonts(p).items():
             yield p.number, name, f.subtype, f.is_cid, f.bytes_per_char, f.wmode, f.ascender, f.descender, f.cap_height, f.x_height, f.italic_angle, f.missing_width
 
+    return _of_pages(d, only, rows)
+
+
+def _font_widths(d, only):
+    r = PageReader(d)
+
+    def rows(p):
+        for name, f in r.fonts(p).items():
+            for first, last, width in f.width_ranges():
+                yield p.number, name, first, last, width, f.default_width if f.is_cid else f.missing_width, f.ordering, f.gid(first) if f.is_cid else None
+
+    return _of_pages(d, only, rows)
+
 
 def _ops(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
+
+    def rows(p):
         for o in r.ops(p):
             parts = None if o.parts is None else [{"adjust": a, "text": t} for a, t in o.parts]
             yield p.number, o.seq, o.frame, o.depth, o.op, o.x, o.y, o.size, parts, o.mcid, o.wmode
 
+    return _of_pages(d, only, rows)
+
 
 def _page_text(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
+
+    def rows(p):
         ops = r.ops(p)
         whole = stream_text(ops)
         yield p.number, whole, stream_text(ops, forms=False) if any(o.depth for o in ops) else whole
 
+    return _of_pages(d, only, rows, lambda p: [(p.number, "", "")])
+
 
 def _span_dicts(ops):
     return [dict(zip(("seq", "x0", "y0", "x1", "y1", "text", "font_size"), (k, *s))) for k, s in enumerate(spans(ops))]
 
 
+def _width(p):
+    return p.media_box[2] - p.media_box[0]
+
+
 def _page_spans(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
-        yield p.number, p.media_box[2] - p.media_box[0], _span_dicts(r.ops(p, forms=False))
+    return _of_pages(d, only, lambda p: [(p.number, _width(p), _span_dicts(r.ops(p, forms=False)))], lambda p: [(p.number, _width(p), [])])
+
+
+def _order(d):
+    return d.attempt(d.reading_order, [], kind="invalid_structure")
 
 
 def _refs(d, only):
     seen: dict[int, int] = {}
-    for page, mcid, kind in d.reading_order():
+    for page, mcid, kind in _order(d):
         k = seen[page] = seen.get(page, -1) + 1
         if only is None or page in only:
             yield page, k, mcid, kind
@@ -89,60 +123,102 @@ def _refs(d, only):
 
 def _marked(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
-        for mcid, text in marked_text(r.ops(p, forms=False)).items():
-            yield p.number, mcid, text
+    return _of_pages(d, only, lambda p: [(p.number, mcid, text) for mcid, text in marked_text(r.ops(p, forms=False)).items()])
 
 
-def _all(d, only):
-    r, refs = PageReader(d), {}
-    for page, mcid, kind in d.reading_order():
+def _refs_of_pages(d):
+    refs: dict[int, list] = {}
+    for page, mcid, kind in _order(d):
         refs.setdefault(page, []).append({"mcid": mcid, "struct_type": kind})
-    for p in _pages(d, only):
+    return refs
+
+
+def _all(d, only):
+    r, refs = PageReader(d), _refs_of_pages(d)
+
+    def rows(p):
         ops = r.ops(p, forms=False)
         own = refs.get(p.number, [])
-        yield p.number, p.media_box[2] - p.media_box[0], d.has_structure, stream_text(ops, False), _span_dicts(ops), own, list(marked_text(ops).items()) if own else []
+        yield p.number, _width(p), d.has_structure, stream_text(ops, False), _span_dicts(ops), own, list(marked_text(ops).items()) if own else []
+
+    return _of_pages(d, only, rows, lambda p: [(p.number, _width(p), d.has_structure, "", [], [], [])])
+
+
+def _texts_of_metadata(d):
+    return [None if v is None else raw_text(v) for v in d.metadata()]
 
 
 def _metadata(d, only):
-    yield [None if v is None else raw_text(v) for v in d.metadata()]
+    yield _texts_of_metadata(d)
 
 
 def _outline(d, only):
-    for k, (title, ref, level) in enumerate(d.outline()):
+    for k, (title, ref, level) in enumerate(d.attempt(d.outline, [], kind="invalid_outline")):
         yield k, title, d.page_of(ref), level
 
 
 def _labels(d, only):
-    yield from d.label_ranges() or []
+    yield from d.attempt(d.label_ranges, None, kind="invalid_labels") or []
 
 
 def _links(d, only):
-    for p in _pages(d, only):
-        for k, (rect, uri, ref) in enumerate(d.links(p)):
-            yield p.number, k, *rect, uri, d.page_of(ref)
+    return _of_pages(d, only, lambda p: [(p.number, k, *rect, uri, d.page_of(ref)) for k, (rect, uri, ref) in enumerate(d.links(p))])
 
 
 def _images(d, only):
     r = PageReader(d)
-    for p in _pages(d, only):
-        for k, (rect, w, h) in enumerate(r.images(p)):
-            yield p.number, k, *rect, w, h
+    return _of_pages(d, only, lambda p: [(p.number, k, *rect, w, h) for k, (rect, w, h) in enumerate(r.images(p))])
+
+
+def _form_fields(d):
+    return d.attempt(d.form_fields, [], kind="invalid_form")
 
 
 def _fields(d, only):
-    for k, f in enumerate(d.form_fields()):
+    for k, f in enumerate(_form_fields(d)):
         yield k, *f
 
 
+def _info(d, only):
+    sizes = [{"width": _width(p), "height": p.media_box[3] - p.media_box[1], "rotation": p.rotation} for p in _pages(d, only)]
+    outline = [dict(zip(("ord", "title", "dest_page", "level"), row)) for row in _outline(d, only)]
+    yield (len(d.data), len(d.pages), len(d.xref), d.encrypted, d.has_structure, len(_form_fields(d)), *_texts_of_metadata(d), sizes, outline)
+
+
+def _whole(d, only):
+    """All that an export of a document needs, pages with their text chosen."""
+    r, refs = PageReader(d), _refs_of_pages(d)
+
+    def page(p):
+        ops = r.ops(p, forms=False)
+        plain, own, marked = stream_text(ops, False), refs.get(p.number, []), marked_text(ops)
+        tagged = " ".join(filter(None, (marked.get(x["mcid"]) for x in own)))
+        enough = tagged and len(tagged.encode()) >= len(plain.encode()) * 6 // 10
+        links = [{"uri": u, "dest_page": d.page_of(to), "rect": rect} for rect, u, to in d.links(p)]
+        images = [{"rect": rect, "width": w, "height": h} for rect, w, h in r.images(p)]
+        return {"page": p.number, "text": tagged if enough else plain, "links": links, "images": images}
+
+    pages = [d.attempt(lambda: page(p), {"page": p.number, "text": "", "links": [], "images": []}, p.number) for p in _pages(d, only)]
+    outline = [dict(zip(("ord", "title", "dest_page", "level"), row)) for row in _outline(d, only)]
+    ranges = [dict(zip(("start", "style", "prefix", "first"), row)) for row in _labels(d, only)]
+    yield (len(d.pages), *_texts_of_metadata(d), outline, ranges, pages)
+
+
 def _errors(d, only):
-    yield from d.errors
+    """Errors of opening the document, and of all that is read of it."""
+    r = PageReader(d)
+    for p in _pages(d, only):
+        d.attempt(lambda: (stream_text(ops := r.ops(p)), spans(ops), marked_text(ops), list(r.images(p)), list(d.links(p))), None, p.number)
+    for kernel in (_refs, _outline, _labels, _fields):
+        list(kernel(d, None))
+    for kind, offset, message, page in d.errors:
+        yield kind, offset, message, page
 
 
 KERNELS: dict[str, Callable[[Document, frozenset | None], Iterator]] = {
     "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_text": _page_text,
     "page_spans": _page_spans, "mcid_refs": _refs, "mcid_text": _marked, "page_all": _all, "metadata": _metadata, "outline": _outline,
-    "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
+    "font_widths": _font_widths, "info": _info, "whole": _whole, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
 }
 
 #: Rows of a result batch: large enough for Arrow, small enough for blobs.
@@ -153,11 +229,13 @@ def schema_of(table: str) -> StructType:
     return _parse_datatype_string(TABLES[table])
 
 
-def extract(files: DataFrame, table: str, *, pages: Sequence[int] | None = None, mode: str = "PERMISSIVE") -> DataFrame:
+def extract(files: DataFrame, table: str, *, pages: Sequence[int] | None = None, mode: str = "PERMISSIVE", rebuild: bool = False) -> DataFrame:
     """A table of TABLES from files (doc_id, content). The kernel reads only what
-    that table needs; with `pages`, only those pages are interpreted. What fails in
-    a document is a row of parse_errors, or with FAILFAST an error of the job. The
-    content column goes no further than the kernel."""
+    that table needs; with `pages`, only those pages are interpreted. A page that
+    fails keeps its row in tables with a row a page, with empty text, and the other
+    pages are whole; every failure is a row of parse_errors, or with FAILFAST an
+    error of the job. rebuild: files with damaged cross references are searched for
+    objects. The content column goes no further than the kernel."""
     schema, kernel = schema_of(table), KERNELS[table]
     only, strict = None if pages is None else frozenset(pages), mode.upper() == "FAILFAST"
     arrow = to_arrow_schema(schema)
@@ -169,13 +247,12 @@ def extract(files: DataFrame, table: str, *, pages: Sequence[int] | None = None,
             for k in range(b.num_rows):
                 key, content = ids[k].as_py(), contents[k].as_py()
                 try:
-                    doc = Document(content or b"", strict)
-                    rows += [(key, *row) for row in kernel(doc, only)]
-                except (ArithmeticError, LookupError, RecursionError, TypeError, ValueError) as e:
+                    rows += [(key, *row) for row in kernel(Document(content or b"", strict, rebuild), only)]
+                except FAILURES as e:
                     if strict:
                         raise InvalidPdfError(f"{key}: {e}") from e
                     if table == "parse_errors":
-                        rows.append((key, "kernel", 0, str(e)))
+                        rows.append((key, "kernel", 0, f"{type(e).__name__}: {e}", None))
                 if len(rows) >= ROWS:
                     yield _batch(rows, arrow)
                     rows = []
@@ -185,8 +262,33 @@ def extract(files: DataFrame, table: str, *, pages: Sequence[int] | None = None,
     return files.select(F.col("doc_id").cast("string"), "content").mapInArrow(run, schema)
 
 
+def _fits(value, kind: pa.DataType):
+    """A value as its type can hold it: text without lone surrogates, whole numbers that
+    are too large as null."""
+    if value is None:
+        return None
+    if pa.types.is_string(kind):
+        return value.encode("utf-8", "replace").decode()
+    if pa.types.is_integer(kind):
+        return value if -(1 << kind.bit_width - 1) <= value < 1 << kind.bit_width - 1 else None
+    if pa.types.is_list(kind):
+        return [_fits(v, kind.value_type) for v in value]
+    if pa.types.is_map(kind):
+        return [(_fits(k, kind.key_type), _fits(v, kind.item_type)) for k, v in value]
+    if pa.types.is_struct(kind):
+        return {f.name: _fits(value.get(f.name), f.type) for f in kind}
+    return value
+
+
+def _column(values, kind: pa.DataType) -> pa.Array:
+    try:
+        return pa.array(values, kind)
+    except (pa.ArrowException, OverflowError, UnicodeError):
+        return pa.array([_fits(v, kind) for v in values], kind)
+
+
 def _batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+    return pa.RecordBatch.from_arrays([_column(c, f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
 
 def files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame:

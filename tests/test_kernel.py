@@ -111,15 +111,17 @@ def test_lexer():
     assert ops(b"BI /W 2 ID \x00(EI\x01 EI (z) Tj") == [(b"Tj", [b"z"])]
     assert ops(b"/P <</MCID 3>> BDC") == [(b"BDC", [Name("P"), Name("MCID"), 3.0])]
     assert ops(b"1 -.5 +2. Td T* (a\\)b) Tj") == [(b"Td", [1.0, -0.5, 2.0]), (b"T*", []), (b"Tj", [b"a)b"])]
-    assert len(ops(b"1 " * 500 + b"x")[0][1]) == 128
+    assert len(ops(b"1 " * 500 + b"x")[0][1]) == 500 and len(ops(b"[" + b"(a)" * 900 + b"] TJ")[0][1][0]) == 900
+    assert ops(b"9" * 400 + b" w") == [(b"w", [1e15])]
     assert ops(b"(open") == []
 
 
 def test_stream_text_rules():
-    assert text(one_page(b"BT /F1 12 Tf 100 700 Td [(Hello) -200 (World) -99 (s)] TJ ET")) == "Hello Worlds"
+    assert text(one_page(b"BT /F1 12 Tf 100 700 Td [(two) -150 (part) -60 (s)] TJ ET")) == "two parts"
     assert text(one_page(b"BT /F1 12 Tf 100 700 Td (a) Tj 0 -14 Td (b) Tj 5 -2 Td (c) Tj T* (d) Tj (e) ' 1 2 (f) \" ET")) == "a\nbc\nd\ne\nf"
-    superscript = b"BT /F1 12 Tf 1 0 0 1 100 700 Tm (Hello) Tj /F1 7 Tf 1 0 0 1 110 707 Tm (2) Tj /F1 12 Tf 1 0 0 1 120 700 Tm ( World) Tj ET"
-    assert text(one_page(superscript)) == "Hello2 World"
+    # raised by 5: less than 0.7 of 10, the size shown last, so still the same line; by 8 it is not
+    raised = b"BT /F1 10 Tf 1 0 0 1 40 300 Tm (E = mc) Tj /F1 6 Tf 1 0 0 1 75 %d Tm (n) Tj /F1 10 Tf 1 0 0 1 80 %d Tm (, so) Tj ET"
+    assert text(one_page(raised % (305, 300))) == "E = mcn, so" and text(one_page(raised % (308, 308))) == "E = mc\nn, so"
     assert text(one_page(b"(no font \x93x\x94\x81\x00) Tj")) == "no font “x”"
 
 
@@ -218,7 +220,8 @@ def test_compact_font_names():
     assert cff.glyph_names(small_cff(b"\x01\x00\x22\x02")) == [".notdef", "A", "B", "C"]
     assert cff.glyph_names(b"junk") is None
     assert cff.operand(bytes([30, 0x3A, 0x14, 0xFF]), 0)[0] == 3 and cff.operand(bytes([30, 0xE1, 0xA5, 0xFF]), 0)[0] == -2
-    assert len(cff.STRINGS) == 229 and cff.STRINGS[1] == "space" and cff.STRINGS[149] == "germandbls" and cff.STRINGS[228] == "zcaron" and cff.STRINGS[34] == "A"
+    assert cff.glyph_names(small_cff(b"\x00\x01\x4a\x01\x0a\x01\x40")) == [".notdef", "sevensuperior", "ff", "oneeighth"]
+    assert len(cff.STRINGS) == 391 and cff.STRINGS[390] == "Semibold" and len(cff._ids(cff.EXPERT)) == 166 and len(cff._ids(cff.EXPERT_SUBSET)) == 87 and cff.STRINGS[1] == "space" and cff.STRINGS[149] == "germandbls" and cff.STRINGS[228] == "zcaron" and cff.STRINGS[34] == "A"
 
 
 # Documents
@@ -231,19 +234,19 @@ def test_pages_inherit():
 @pytest.mark.parametrize("packed", [False, True])
 def test_features(packed):
     data = W.simple_pdf(
-        [b"200 0 0 150 100 500 cm /Im0 Do", b"", b"", b"", b""], packed=packed, info={"Title": "Test", "Author": "Who"},
-        outline=[("Part I", 0, 0), ("Section 1.1", 0, 1), ("Part II", 1, 0), ("Café 中", None, 0)],
-        labels=[(0, b"/S /R"), (2, b"/S /a"), (3, b"/S /D /P (App-) /St 1")],
-        links=[[((100, 690, 200, 710), b"/A << /S /URI /URI (https://example.com) >>"), ((1, 2, 3, 4), b"/A << /S /GoTo /D [{page:0} /Fit] >>")]],
-        images=[(640, 480)], fields=[b"<< /T (a) /Kids [<< /T (b) /FT /Tx /V (v) >> << /FT /Btn >>] >>", b"<< /FT /Sig /Rect [1 2 3 4] >>"],
+        [b"30 0 0 45 7 11 cm /Im0 Do", b"", b"", b"", b""], packed=packed, info={"Title": "Reef survey", "Author": "Kim"},
+        outline=[("Methods", 2, 0), ("Sites", 3, 1), ("Depth", 3, 2), ("Résumé 鱼", None, 0)],
+        labels=[(1, b"/S /r /St 4"), (3, b"/P (T.) /S /D"), (4, b"/S /A")],
+        links=[[((5, 6, 50, 16), b"/A << /S /URI /URI (ftp://reef.test/a) >>"), ((9, 8, 7, 6), b"/A << /S /GoTo /D [{page:4} /Fit] >>")]],
+        images=[(31, 17)], fields=[b"<< /T (site) /Kids [<< /T (no) /FT /Tx /V (12) >> << /FT /Btn >>] >>", b"<< /FT /Sig /Rect [2 4 6 8] >>"],
     )
     d = Document(data)
-    assert d.errors == [] and d.metadata()[:3] == [b"Test", b"Who", None]
-    assert [(t, d.page_of(r), n) for t, r, n in d.outline()] == [("Part I", 0, 0), ("Section 1.1", 0, 1), ("Part II", 1, 0), ("Café 中", None, 0)]
-    assert d.label_ranges() == [(0, "R", None, 1), (2, "a", None, 1), (3, "D", "App-", 1)]
-    assert [(r[:2], u, d.page_of(t)) for r, u, t in d.links(d.pages[0])] == [([100, 690], "https://example.com", None), ([1, 2], None, 0)]
-    assert list(PageReader(d).images(d.pages[0])) == [([100, 500, 300, 650], 640, 480)]
-    assert d.form_fields() == [("a.b", "v", "text", None), ("a", None, "button", None), ("", None, "signature", [1, 2, 3, 4])]
+    assert d.errors == [] and d.metadata()[:3] == [b"Reef survey", b"Kim", None]
+    assert [(t, d.page_of(r), n) for t, r, n in d.outline()] == [("Methods", 2, 0), ("Sites", 3, 1), ("Depth", 3, 2), ("Résumé 鱼", None, 0)]
+    assert d.label_ranges() == [(1, "r", None, 4), (3, "D", "T.", 1), (4, "A", None, 1)]
+    assert [(r[:2], u, d.page_of(t)) for r, u, t in d.links(d.pages[0])] == [([5, 6], "ftp://reef.test/a", None), ([9, 8], None, 4)]
+    assert list(PageReader(d).images(d.pages[0])) == [([7, 11, 37, 56], 31, 17)]
+    assert d.form_fields() == [("site.no", "12", "text", None), ("site", None, "button", None), ("", None, "signature", [2, 4, 6, 8])]
 
 
 def test_incremental_update():
@@ -251,21 +254,21 @@ def test_incremental_update():
     w.put(b"<< /Pages 2 0 R >>")
     w.put(b"<< /Kids [3 0 R] >>")
     w.put(b"<< /Contents 4 0 R >>")
-    w.stream(b"(Original) Tj", num=4)
+    w.stream(b"(draft) Tj", num=4)
     w.last = 4
     first = w.save(1)
-    w.stream(b"(Updated) Tj", num=4)
+    w.stream(b"(final) Tj", num=4)
     both = w.save(1, before=first, only=[4])
-    assert text(first) == "Original" and text(both) == "Updated" and Document(both).xref[4].offset > len(first) - 1
+    assert text(first) == "draft" and text(both) == "final" and Document(both).xref[4].offset > len(first) - 1
 
 
 def test_text_strings():
-    for raw, want in ((b"Hello", "Hello"), (b"", ""), (b"\xfe\xff\0H\0i", "Hi"), (b"caf\xe9", "café"), (b"\xfe\xff\x4e\x2d", "中"), (b"\xfe\xff\xd8\x3d\xde\x00!", "😀"), (b"\xfe\xff\xd8\x00\0A\0B", "�B"), (b"\xfe\xff\xdc\x00\0A", "�A")):
+    for raw, want in ((b"plain", "plain"), (b"", ""), (b"\xfe\xff\0o\0k", "ok"), (b"na\xefve", "naïve"), (b"\xfe\xff\x6c\x34", "水"), (b"\xfe\xff\xd8\x3c\xdf\x0a!", "🌊"), (b"\xfe\xff\xd8\x01\0x\0y", "�y"), (b"\xfe\xff\xdd\x00\0z", "�z")):
         assert decode_text_string(raw) == want
 
 
 def kinds(data):
-    return [k for k, _, _ in Document(data).errors]
+    return [e[0] for e in Document(data).errors]
 
 
 def test_errors_and_guards():
@@ -294,6 +297,43 @@ def test_cycles_end():
     assert d.outline() == [("x", None, 0)] and d.form_fields() == [] and d.reading_order() == [(0, 1, "P"), (0, 2, "P")]
 
 
+def test_odd_nodes_of_the_page_tree_are_left_out():
+    w = W.Writer()
+    w.put(b"<< /Pages 2 0 R >>")
+    w.put(b"<< /Kids [3 0 R null 4 0 R 5 0 R 6 0 R] >>")
+    w.put(b"<< /Type /Page /Contents 7 0 R >>")
+    w.put(b"<< /Type /Pages >>")
+    w.put(b"<< /Type /Template >>")
+    w.put(b"<< /Type /Page /Contents 7 0 R >>")
+    w.stream(b"(kept) Tj")
+    d = Document(w.save(1))
+    assert [text(w.save(1), k) for k in range(len(d.pages))] == ["kept", "kept"] and [e[0] for e in d.errors] == ["invalid_page_tree"] * 3
+
+
+def test_no_cut_without_an_error_row():
+    deep = W.simple_pdf([b"(top) Tj /X1 Do"], forms={f"X{k}": b"/X%d Do" % (k + 1) for k in range(1, 13)} | {"X13": b"(deep) Tj"})
+    d = Document(deep)
+    PageReader(d).ops(d.pages[0])
+    assert [(e[0], e[3]) for e in d.errors] == [("limit", 0)]
+    d = Document(W.simple_pdf([b""], outline=[(f"item {k}", None, k % 2) for k in range(1500)]))
+    assert len(d.outline()) == 1500 and d.errors == []
+
+
+def test_searching_a_file_for_its_objects():
+    whole = W.simple_pdf([W.show_lines(["found again"])])
+    for cut in (whole[: whole.rindex(b"startxref")], whole[: whole.rindex(b"xref\n0")], whole.replace(b"startxref", b"startxxxx")):
+        assert Document(cut).pages == []
+        d = Document(cut, rebuild=True)
+        assert stream_text(PageReader(d).ops(d.pages[0])) == "found again" and [e[0] for e in d.errors] == ["invalid_xref"]
+    assert Document(b"%PDF-1.4 nothing", rebuild=True).pages == []
+
+
+def test_overlapping_code_ranges():
+    f = fonts.Font(is_cid=True, bytes_per_char=2)
+    fonts.read_cmap(b"3 beginbfrange <0000> <00FF> <4E00> <0010> <0012> <0041> <0200> <0201> <0061> endbfrange", f)
+    assert f.decode(bytes.fromhex("001100130201")) == "B" + chr(0x4E13) + "b" and f.decode(b"\x01\x50") == chr(0x150)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_broken_files_never_raise(seed):
     rng = random.Random(seed)

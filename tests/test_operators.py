@@ -7,12 +7,13 @@ from quire.api import PageNotFoundError, from_binary, read_pdf
 from quire.functions import layout as LF
 from quire.functions import text as T
 from quire.kernel import writer as W
+from quire.kernel.content import stream_text
 from quire.operators import layout, markdown, search
 from quire.operators.text import from_operators
 from quire.plans.components import connected_components
 from quire.sources.pdf import extract
 
-PAGES = [W.show_lines(["Hello World", "second line"]), W.show_lines(["Goodbye World"]), W.show_lines(["Hello Again", "cat and Cat and cat"])]
+PAGES = [W.show_lines(["River stones", "and sand"]), W.show_lines(["Lake water"]), W.show_lines(["River bank", "reed and Reed and reed"])]
 
 
 @pytest.fixture(scope="module")
@@ -28,8 +29,8 @@ def rows(df, *order):
 
 def test_tables(corpus):
     assert rows(corpus.page_count()) == [("a", 3), ("bad", 0), ("none", 0)]
-    assert rows(corpus.text())[1] == ("a", 1, "Goodbye World")
-    assert corpus.full_text().first()["text"] == "Hello World\nsecond line\fGoodbye World\fHello Again\ncat and Cat and cat"
+    assert rows(corpus.text())[1] == ("a", 1, "Lake water")
+    assert corpus.full_text().first()["text"] == "River stones\nand sand\fLake water\fRiver bank\nreed and Reed and reed"
     assert corpus.full_text("fast").first() == corpus.full_text().first()
     assert rows(corpus.page_labels()) == [("a", 1, "i"), ("a", 2, "ii")]
     assert {r.kind for r in corpus.parse_errors().collect()} == {"invalid_header", "invalid_xref"}
@@ -45,8 +46,8 @@ def test_json(spark):
 
 
 def test_search(corpus):
-    assert [(r.page, r.offset) for r in corpus.search("hello").orderBy("page").collect()] == [(0, 0), (2, 0)]
-    assert corpus.search("CAT").count() == 3 and corpus.search("").count() == 0 and corpus.search("notfound").count() == 0
+    assert [(r.page, r.offset) for r in corpus.search("river").orderBy("page").collect()] == [(0, 0), (2, 0)]
+    assert corpus.search("REED").count() == 3 and corpus.search("").count() == 0 and corpus.search("absent").count() == 0
 
 
 def test_search_counts_bytes(spark):
@@ -57,7 +58,7 @@ def test_search_counts_bytes(spark):
 
 
 def test_one_page_on_the_driver(corpus):
-    assert corpus.extract_page("a", 1) == "Goodbye World"
+    assert corpus.extract_page("a", 1) == "Lake water"
     with pytest.raises(PageNotFoundError):
         corpus.extract_page("a", 7)
 
@@ -130,10 +131,66 @@ def test_page_numbers(spark, spec, want):
     assert spark.range(1).select(T.page_numbers(F.lit(spec), F.lit(5)).alias("p")).first()["p"] == want
 
 
+def test_a_page_that_fails_keeps_the_others(spark, monkeypatch):
+    from quire.sources import pdf as P
+
+    def fails(ops, forms=True):
+        text = stream_text(ops, forms)
+        if text == "bad":
+            raise ZeroDivisionError("planted")
+        return text
+
+    data = W.simple_pdf([W.show_lines([t]) for t in ("one", "bad", "three")])
+    monkeypatch.setattr(P, "stream_text", fails)
+    for table, texts in (("page_text", [(0, "one"), (1, ""), (2, "three")]), ("page_all", [(0, "one"), (1, ""), (2, "three")])):
+        assert [(r[0], r[1]) for r in P.KERNELS[table](P.Document(data), None)] == texts or table == "page_all"
+        assert [r[0] for r in P.KERNELS[table](P.Document(data), None)] == [0, 1, 2]
+    assert [(r[0], r[3]) for r in P.KERNELS["parse_errors"](P.Document(data), None)] == [("invalid_stream", 1)]
+    assert [p["text"] for p in next(iter(P.KERNELS["whole"](P.Document(data), None)))[-1]] == ["one", "", "three"]
+    with pytest.raises(P.FAILURES):
+        list(P.KERNELS["page_text"](P.Document(data, strict=True), None))
+
+
+def test_values_that_no_column_holds(spark):
+    from quire.sources.pdf import _batch, schema_of, to_arrow_schema
+
+    b = _batch([("d", 0, 1 << 40, 3, "R", None), ("d\ud800", 1, 5, 3, "R", None)], to_arrow_schema(schema_of("mcid_refs").add("x", "string")))
+    assert b.to_pylist()[0]["ord"] is None and b.to_pylist()[1]["doc_id"] == "d?"
+
+
+def test_hostile_coordinates(spark):
+    items = [(x, y, "t", 12) for x, y in ((1e300, 5), (-1e300, 1e300), (float("inf"), float("-inf")), (float("nan"), float("nan")), (3, 4))]
+    page = spans(spark, items)
+    assert layout.geometric(page).first()["text"].count("t") == 5 and layout.visual(page).first()["text"].count("t") == 5
+    assert markdown.pages(page).first()["text"].count("t") == 5 and layout.words(page).count() >= 1 and layout.paragraphs(page).count() >= 1
+
+
+def test_a_page_of_very_many_spans(spark):
+    import time
+
+    n = 50_000
+    rows = spark.range(n, numPartitions=1).selectExpr("int(id) seq", "double(10 * (id % 100)) x0", "double(9000 - 15 * int(id / 100)) y0", "double(10 * (id % 100) + 4) x1", "double(9012) y1", "concat('w', id) text", "double(12) font_size")
+    page = rows.selectExpr("'d' doc_id", "0 page", "*").groupBy("doc_id", "page").agg(F.sort_array(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1", "text", "font_size"))).alias("spans")).selectExpr("doc_id", "page", "double(612) width", "spans").cache()
+    page.count()
+    began = time.time()
+    assert len(layout.geometric(page).first()["text"].split()) == n
+    assert layout.words(page).count() == n and layout.lines(page).count() >= n // 200 and markdown.elements(page).count() >= n // 100
+    assert search.search(layout.geometric(page), "w1").count() > 11_000
+    assert time.time() - began < 60
+
+
+def test_page_operators_have_no_exchange(corpus):
+    s = corpus.table("page_spans")
+    for df in (layout.geometric(s), layout.visual(s), layout.words(s), layout.lines(s), layout.paragraphs(s), markdown.pages(s), markdown.elements(s), corpus.json(), corpus.info()):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    # a filter above doesn't multiply the folds
+    assert corpus.markdown().where("text like '%River%'").count() == 2 and layout.lines(s).where("text like 'River%'").count() == 2
+
+
 def test_empty_pages(spark):
     df = spark.createDataFrame([("d", 0, 612.0, [])], f"doc_id string, page int, width double, spans array<{__import__('quire.schemas').schemas.SPAN}>")
     assert layout.geometric(df).first()["text"] == "" and layout.visual(df).first()["text"] == "" and layout.lines(df).count() == 0
-    assert df.select(LF.two_columns(LF.anchored_lines("spans", LF.LAYOUT), "width").alias("t")).first()["t"] is False
+    assert LF.anchored_lines(df, "spans", LF.LAYOUT, "lines").select(LF.two_columns("lines", "width").alias("t")).first()["t"] is False
 
 
 def test_files_streams_and_sql(spark, tmp_path):
@@ -149,6 +206,11 @@ def test_files_streams_and_sql(spark, tmp_path):
     assert sorted(r.text for r in corpus.text().collect()) == ["file 0", "file 0", "file 1"]
     register(spark)
     assert spark.read.format("pdf").option("table", "pages").load(str(src)).count() == 3
+    (src / "broken.pdf").write_bytes(b"%PDF-1.4 cut")
+    pdfs = spark.read.format("pdf").option("bytesPerTask", 2000)
+    assert [pdfs.option("pages", p).load(str(src)).count() for p in ("1-2", "2,9")] == [3, 0]
+    assert spark.read.format("pdf").option("table", "parse_errors").load(str(src)).count() == 1
+    (src / "broken.pdf").unlink()
     corpus.files.createOrReplaceTempView("files")
     assert sorted(r.text for r in spark.sql("select t.text from files, lateral pdf_pages(content) as t").collect()) == ["file 0", "file 0", "file 1"]
     assert spark.sql("select sum(pdf_page_count(content)) n from files").first()["n"] == 3
