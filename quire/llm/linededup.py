@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.session import materialize, materialize_sorted, release, scratch
+from quire.session import materialize, materialize_sorted, release, scratch, with_settings
 
 from .common import WHITE, column, free, hold, long_rows, slices, texts
 
 MIN_CHARS, MIN_DOCS, BATCHES, FANOUT = 40, 5, 4, 2
+#: Lines of the input that are worth a bucket of the runs, up to the session's shuffle
+#: partitions.
+PER_BUCKET = 200_000
 #: So many common keys (24 bytes each) go to every executor; more are joined.
 BROADCAST = 200_000
 
@@ -128,10 +131,14 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int =
     The hashes are extracted in one pass and dealt to batches by document; one batch
     after the other goes through the runs."""
     staged = materialize(line_hashes(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches))), "hashes", even=True)
+    # one task for each bucket, so that each writes one file
+    partitions = "spark.sql.shuffle.partitions"
+    now = staged.sparkSession.conf.get(partitions)
+    dealt = with_settings(staged, {partitions: (now, str(min(int(now), staged.count() // PER_BUCKET + 1)))})
     with scratch(docs.sparkSession) as keep:
-        store = LineRuns(fanout)
+        store = LineRuns(fanout, int(dealt.sparkSession.conf.get(partitions)))
         for k in range(batches):
-            store.add(staged.where(F.col("batch") == k).select("key", "doc_id"))
+            store.add(dealt.where(F.col("batch") == k).select("key", "doc_id"))
         common = keep(materialize(store.common(min_docs).select("key", "last_doc"), "common", even=True))
     return common, staged.select("key", "doc_id")
 
