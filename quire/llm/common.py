@@ -90,7 +90,7 @@ BROADCAST = 1 << 20
 def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
     """df, which is written, to be broadcast in a join if it has no more than `rows`
     rows; else to be merged, whatever its size is thought to be."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("merge")
+    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
 
 
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
