@@ -36,8 +36,8 @@ class MergeTransducer:
     longest token. States and moves are made when first met and kept in tables of
     bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_moves: int = 300_000):
+        self.ranks, self.max_states, self.max_moves = ranks, max_states, max_moves
         self.token = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
         self.ends: list[int] = [-1]
@@ -53,7 +53,7 @@ class MergeTransducer:
                     self.inner.append(False)
                 node = after
             self.ends[node] = i
-        self.pairs = Bounded(300_000, self._stays)
+        self.pairs = Bounded(200_000, self._stays)
         self._reset()
 
     def _reset(self) -> None:
@@ -101,7 +101,7 @@ class MergeTransducer:
         return number, tuple(stay), source, token
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.max_states:
+        if len(self.states) > self.max_states or len(self.moves) > self.max_moves:
             self._reset()
         state, out, held, moves = 0, [], [()], self.moves
         for b in data:
@@ -157,7 +157,7 @@ class Utf8Stream:
 class Codec:
     """Texts to ids and back. Pre-tokens are matches of `pattern`."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 400_000):
+    def __init__(self, path: str, pattern: str, cached: int = 300_000):
         ranks = read_ranks(path)
         self.fst = MergeTransducer(ranks)
         self.split = regex.compile(pattern)
