@@ -36,7 +36,8 @@ class MergeTransducer:
     longest token. States and moves are made when first met and kept in tables of
     bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 100_000, max_moves: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
+        max_states, max_moves = int(200_000 * share), int(1_500_000 * share)
         self.ranks, self.max_states, self.max_moves = ranks, max_states, max_moves
         self.token = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
@@ -53,7 +54,7 @@ class MergeTransducer:
                     self.inner.append(False)
                 node = after
             self.ends[node] = i
-        self.pairs = Bounded(200_000, self._stays)
+        self.pairs = Bounded(int(300_000 * share), self._stays)
         self._reset()
 
     def _reset(self) -> None:
@@ -155,13 +156,14 @@ class Utf8Stream:
 
 
 class Codec:
-    """Texts to ids and back. Pre-tokens are matches of `pattern`."""
+    """Texts to ids and back. Pre-tokens are matches of `pattern`. share: of the usual
+    size of the tables that it fills; smaller ones take less memory and more time."""
 
-    def __init__(self, path: str, pattern: str, cached: int = 300_000):
+    def __init__(self, path: str, pattern: str, share: float = 1.0):
         ranks = read_ranks(path)
-        self.fst = MergeTransducer(ranks)
+        self.fst = MergeTransducer(ranks, share)
         self.split = regex.compile(pattern)
-        self.packed = Recent(cached, self._pack)
+        self.packed = Recent(int(400_000 * share), self._pack)
         tokens = [self.fst.token.get(i) for i in range(max(ranks.values()) + 1)]
         self.token = np.array(tokens, dtype=object)
 
@@ -187,10 +189,10 @@ class Codec:
         return "".join(self.decode_stream(np.asarray(ids, dtype="<u4")))
 
 
-def codec(path: str, pattern: str) -> Codec:
+def codec(path: str, pattern: str, share: float = 1.0) -> Codec:
     """One codec for each vocabulary and Python process: the tables that it fills
     serve all tasks of the process."""
-    return hold("bpe", (path, pattern), lambda: Codec(path, pattern))
+    return hold("bpe", (path, pattern, share), lambda: Codec(path, pattern, share))
 
 
 def default_vocabulary() -> tuple[str, str]:
@@ -229,17 +231,18 @@ def detokenize(encoded: DataFrame, path: str | None = None, pattern: str | None
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, share: float = 1.0) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: every whole text is encoded,
     the ids are decoded again, and both are returned as digests.
 
-    A null text is the empty text (no tokens). Ties can't arise: ranks are
-    unique. Empty table: no rows. Extra columns are ignored."""
+    A null text is the empty text (no tokens). Texts of any length are taken whole.
+    Ties can't arise: ranks are unique. Repeated rows give repeated results. Empty
+    table: no rows. Extra columns are ignored. share: see Codec; it changes no result."""
     if path is None or pattern is None:
         path, pattern = default_vocabulary()
 
     def run(batches):
-        c = codec(path, pattern)
+        c = codec(path, pattern, share)
         for b in slices(batches):
             n, ids, back = [], [], []
             for t in texts(b):
