@@ -36,8 +36,8 @@ class MergeTransducer:
     longest token. States and moves are made when first met and kept in tables of
     bounded size."""
 
-    def __init__(self, ranks: dict[bytes, int], share: float = 1.0):
-        max_states, max_moves = int(200_000 * share), int(1_500_000 * share)
+    def __init__(self, ranks: dict[bytes, int], share: float = 1.0, max_states: int = 200_000, max_moves: int = 1_500_000):
+        max_states, max_moves = int(max_states * share), int(max_moves * share)
         self.ranks, self.max_states, self.max_moves = ranks, max_states, max_moves
         self.token = {i: t for t, i in ranks.items()}
         self.child: dict[int, int] = {}
