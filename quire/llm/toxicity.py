@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+import uuid
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bounded, column, in_fold, long_rows, slices, texts
+from .common import Bounded, column, hold, in_fold, long_rows, slices, texts
 from .quality import chosen, gathered
 
 MOD, FOLD, THRESHOLD = 5, 0, 0.5
@@ -100,6 +101,13 @@ def character_counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+class Short(Bounded):
+    """A cache that keeps nothing of long tokens."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= LONG else self.make(key)
+
+
 class Restorer:
     """Disguised words back to letters.
 
@@ -112,9 +120,9 @@ class Restorer:
 
     def __init__(self, model: CharModel, cached: int = 200_000):
         self.logp = model.logp
-        self.decoded = Bounded(cached, self._decode)
-        self.known = Bounded(cached, self._parts)
-        self.spaced = Bounded(cached, lambda t: self._decode(t, breaks=True))
+        self.decoded = Short(cached, self._decode)
+        self.known = Short(cached, self._parts)
+        self.spaced = Short(cached, lambda t: self._decode(t, breaks=True))
         self.single = Bounded(cached, lambda t: next((c for c in (t.strip(_EDGE), t.strip(_CLEAR), t) if len(c) == 1), ""))
 
     def _decode(self, token: str, breaks: bool = False) -> str:
@@ -162,10 +170,10 @@ class Restorer:
         shown = (core,) if core.isalpha() else tuple(_WORD.findall(core))
         if not kept.strip("*") or kept.strip(_EDGE).isnumeric():
             return shown
-        return (*shown, self.decoded[kept] if len(kept) <= LONG else self._decode(kept))
+        return (*shown, self.decoded[kept])
 
     def parts(self, token: str) -> tuple[str, ...]:
-        return self.known[token] if len(token) <= LONG else self._parts(token)
+        return self.known[token]
 
     def words(self, text: str) -> set[str]:
         """The distinct words of a text. Three single letters or more in a row, with or
@@ -173,8 +181,9 @@ class Restorer:
         tokens = text.split()
         out: set[str] = set()
         single = {}
+        known = self.known
         for t in set(tokens):
-            out.update(self.parts(t))
+            out.update(known[t])
             if c := self.single[t]:
                 single[t] = c
         if single:
@@ -203,6 +212,8 @@ class Model:
     chars: CharModel
     weights: dict[int, float]
     bias: float
+    #: By which a Python process knows the tables that it has filled with this model.
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def scorer(self):
         """A function from text to score, with tables of its own."""
@@ -314,7 +325,7 @@ def score(docs: DataFrame, model: Model, mod: int = MOD, fold: int = FOLD, thres
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        of = shared.value.scorer()
+        of = hold("toxicity", shared.value.key, shared.value.scorer)
         for b in slices(batches):
             s = [of(t) for t in texts(b)]
             held = [in_fold(i, mod, fold) for i in column(b, "doc_id")]
