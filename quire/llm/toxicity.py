@@ -187,19 +187,25 @@ class Restorer:
             if c := self.single[t]:
                 single[t] = c
         if single:
-            run: list[str] = []
-            for t in [*tokens, ""]:
-                if c := single.get(t):
-                    run.append(c)
-                else:
-                    spaced = "".join(run).lower()
-                    if len(run) >= 3 and spaced.strip("*") and not spaced.isnumeric():
-                        out.add(self.decoded[spaced])
-                        out.update(self.spaced[spaced].split())
-                    run = []
+            out |= self.apart(tokens, single)
         out.discard("")
         return out
 
+    def apart(self, tokens: list[str], single: dict[str, str]) -> set[str]:
+        """Words of runs of tokens that `single` has a letter for."""
+        out: set[str] = set()
+        run: list[str] = []
+        for t in [*tokens, ""]:
+            if c := single.get(t):
+                run.append(c)
+            else:
+                spaced = "".join(run).lower()
+                if len(run) >= 3 and spaced.strip("*") and not spaced.isnumeric():
+                    out.add(self.decoded[spaced])
+                    out.update(self.spaced[spaced].split())
+                run = []
+        return out
+
 
 def names(word: str) -> list[int]:
     """Hashes of a word and its prefixes."""
@@ -218,13 +224,21 @@ class Model:
     def scorer(self):
         """A function from text to score, with tables of its own."""
         restorer, weights = Restorer(self.chars), self.weights
-        useful = Bounded(400_000, lambda w: tuple(k for k in names(w) if k in weights))
+        useful = lambda words: tuple(k for w in words if w for k in names(w) if k in weights)
+        # of a token what counts, and its letter if it has but one
+        known = Short(400_000, lambda t: (useful(restorer._parts(t)), restorer.single[t]))
 
         def score(text: str) -> float:
             found: set[int] = set()
-            for w in restorer.words(text):
-                if hit := useful[w]:
+            tokens, single = text.split(), {}
+            for t in set(tokens):
+                hit, c = known[t]
+                if hit:
                     found.update(hit)
+                if c:
+                    single[t] = c
+            if single:
+                found.update(useful(restorer.apart(tokens, single)))
             z = self.bias + sum(weights[k] for k in sorted(found))
             return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 

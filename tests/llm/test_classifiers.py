@@ -198,6 +198,15 @@ def test_viterbi_finds_the_best_of_all_readings(restorer, token):
     assert total[got] == pytest.approx(max(total.values()))
 
 
+def test_scores_follow_from_the_words(restorer):
+    texts = ["you 1d10t", "i d i o t now, stuupid", "", "*** 12", "plain words here", "an idiot. m*ron! l0s3r"]
+    weights = {k: (0.3 if n % 2 else -0.2) + n / 100 for n, k in enumerate(sorted({k for t in texts for w in restorer.words(t) for k in X.names(w)}))}
+    of = X.Model(X.CharModel(restorer.logp), weights, -0.5).scorer()
+    for t in texts:
+        z = -0.5 + sum(weights[k] for k in {k for w in restorer.words(t) for k in X.names(w)})
+        assert of(t) == pytest.approx(1 / (1 + math.exp(-z)))
+
+
 def test_words_of_signs_alone(restorer):
     assert restorer.parts("@$") == ("as",) and restorer.parts("1$") == ("is",)
     assert restorer.parts("***") == restorer.parts("12") == restorer.parts("--") == ()
