@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -34,7 +35,9 @@ class MergeTransducer:
     token ends from and that token. Each cut has a register with its tokens not yet
     emitted; what all registers agree on is emitted, so lookahead is bounded by the
     longest token. States and moves are made when first met and kept in tables of
-    bounded size."""
+    two generations: when the young one has half of the states or moves allowed it
+    becomes the old one, and what is met again moves back, with the state that it
+    leads to. A cut is one number, node << 32 | last token + 1."""
 
     def __init__(self, ranks: dict[bytes, int], share: float = 1.0, max_states: int = 200_000, max_moves: int = 1_500_000):
         max_states, max_moves = int(max_states * share), int(max_moves * share)
@@ -55,11 +58,15 @@ class MergeTransducer:
                 node = after
             self.ends[node] = i
         self.pairs = Bounded(int(300_000 * share), self._stays)
-        self._reset()
-
-    def _reset(self) -> None:
-        start = ((0, -1),)
-        self.states: list[tuple] = [start]
+        self.stays: dict[tuple, tuple] = {}
+        self.made, self.states, self.number, self.moves = 0, {}, {}, {}
+        self._turn()
+
+    def _turn(self) -> None:
+        """The young generation becomes the old one."""
+        start = (0,)
+        self.old_states, self.old_number, self.old_moves = self.states, self.number, self.moves
+        self.states: dict[int, tuple] = {0: start}
         self.number: dict[tuple, int] = {start: 0}
         self.moves: dict[int, tuple[int, tuple, int, int]] = {}
 
@@ -80,35 +87,58 @@ class MergeTransducer:
             del edges[at + 1]
         return edges[1] == cut and data not in self.ranks
 
+    def _keep(self, state: int) -> None:
+        """The state is in the young generation."""
+        if state not in self.states:
+            cuts = self.states[state] = self.old_states[state]
+            self.number[cuts] = state
+
     def _move(self, state: int, byte: int) -> tuple[int, tuple, int, int]:
+        if 2 * len(self.states) > self.max_states or 2 * len(self.moves) > self.max_moves:
+            self._turn()
+            self._keep(state)
+        move = self.old_moves.get(state << 8 | byte)
+        if move is None:
+            move = self._new_move(state, byte)
+        else:
+            self._keep(move[0])
+        self.moves[state << 8 | byte] = move
+        return move
+
+    def _new_move(self, state: int, byte: int) -> tuple[int, tuple, int, int]:
         live, stay, source, token = [], [], -1, -1
-        for k, (node, last) in enumerate(self.states[state]):
-            after = self.child.get(node << 8 | byte)
+        for k, cut in enumerate(self.states[state]):
+            after = self.child.get(cut >> 32 << 8 | byte)
             if after is None:
                 continue
-            t = self.ends[after]
+            t, last = self.ends[after], (cut & 0xFFFFFFFF) - 1
             if t >= 0 and source < 0 and (last < 0 or self.pairs[last << 32 | t]):
                 source, token = k, t
             if self.inner[after]:
-                live.append((after, last))
+                live.append(after << 32 | last + 1)
                 stay.append(k)
         if source < 0:
             raise ValueError("these ranks have no token for some byte or some merge")
-        after = (*live, (0, token))
+        after = (*live, token + 1)
         number = self.number.get(after)
         if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        return number, tuple(stay), source, token
+            number = self.old_number.get(after)
+            if number is None:
+                self.made = number = self.made + 1
+                self.states[number] = after
+                self.number[after] = number
+            else:
+                self._keep(number)
+        stay = tuple(stay)
+        return number, self.stays.setdefault(stay, stay), source, token
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > self.max_states or len(self.moves) > self.max_moves:
-            self._reset()
         state, out, held, moves = 0, [], [()], self.moves
         for b in data:
             move = moves.get(state << 8 | b)
             if move is None:
-                move = moves[state << 8 | b] = self._move(state, b)
+                move = self._move(state, b)
+                moves = self.moves
             state, stay, source, token = move
             newest = (*held[source], token)
             if not stay:
@@ -163,12 +193,13 @@ class Codec:
         ranks = read_ranks(path)
         self.fst = MergeTransducer(ranks, share)
         self.split = regex.compile(pattern)
-        self.packed = Recent(int(400_000 * share), self._pack)
+        self.packed = Recent(int(600_000 * share), self._pack)
         tokens = [self.fst.token.get(i) for i in range(max(ranks.values()) + 1)]
         self.token = np.array(tokens, dtype=object)
 
     def _pack(self, word: str) -> bytes:
-        return np.array(self.fst.encode(word.encode()), dtype="<u4").tobytes()
+        ids = self.fst.encode(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as little-endian unsigned 32-bit integers."""

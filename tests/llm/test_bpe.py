@@ -59,6 +59,10 @@ def test_states_stay_bounded():
     whole = bpe.codec(PATH, PATTERN).fst
     assert all(small.encode(w) == whole.encode(w) for w in words)
     assert len(small.states) < 200
+    # also within one pre-token, whose earlier cuts live on from table to table
+    data = "".join(f"{k}ß{k * k}x".replace("1", "aé") for k in range(3000)).encode()
+    assert small.encode(data) == whole.encode(data)
+    assert len(small.states) <= 27 and len(small.moves) <= 26 * 3
 
 
 def test_round_trip_of_edge_cases(reference, sample, nothing):
