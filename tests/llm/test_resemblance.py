@@ -108,3 +108,59 @@ def test_edge_cases(spark, sample, nothing):
     df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 as set", "2 as h", "3 as fp", "4 as best", "5 as _h")
     assert sorted(str((r.doc_id, r.text)) for r in R.keep_one(df).collect()) == sorted(str(x) for x in (rows[0], rows[1], rows[3], rows[4], rows[5]))
     assert R.keep_one(df).columns == df.columns
+
+
+def test_no_link_is_left_to_chance(spark):
+    """Pairs of similarity 0.8 exactly: of so many, bands miss some."""
+    docs = []
+    for g in range(3000):
+        words = [f"g{g}w{k}" for k in range(9)]
+        docs += [" ".join(words), " ".join(words[g % 2 : g % 2 + 8])]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    assert {r.doc_id for r in R.keep_one(df).collect()} == set(range(0, 6000, 2))
+
+
+def test_pairs_by_prefixes_hold_all_links(spark):
+    """Without any link known, in one place and dealt in parts, with and without
+    common shingles; what roots connect is not paired."""
+    rng = random.Random(8)
+    docs = ["", "a b", "a b c"]
+    line = [f"c{k}" for k in range(60)]
+    for g in range(40):
+        words = line + [f"w{rng.randrange(400)}" for _ in range(rng.choice([5, 15, 60]))]
+        docs += [edited(rng, words, rng.randrange(len(words) // 25 + 1)) for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [shingle_set(t) for t in docs]
+    links = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x != y and len(x & y) / len(x | y) >= 0.8}
+    common = R.frequent(df, sample=1)
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
+    assert len(links) > 20 and len(common[0]) > 50 and (common[1] <= len(docs)).all()
+    for known, most in ((none, R.MEET), (common, R.MEET), (common, 30)):
+        seen = R.materialize(R.sketches(df, common=known), "seen")
+        names = {r.set: r.doc_id for r in seen.collect()}
+        one = seen.dropDuplicates(["set"])
+        roots = spark.createDataFrame([], "node long, root long")
+        pairs = R.unlinked(seen, one, roots, known, sample=1, most=most)
+        numbers = {s: min(k for k, t in enumerate(sets) if t == sets[names[s]]) for s in names}
+        pair = lambda r: tuple(sorted((numbers[r.u], numbers[r.v])))
+        first = {k: min(j for j, t in enumerate(sets) if t == x) for k, x in enumerate(sets)}
+        want = {tuple(sorted((first[a], first[b]))) for a, b in links}
+        assert want <= {pair(r) for r in pairs.collect()}
+        assert want == {pair(r) for r in R.similar(df, seen, one, pairs).collect()}
+        roots = spark.createDataFrame([(s, min(names)) for s in names], "node long, root long")
+        assert R.unlinked(seen, one, roots, known, sample=1, most=most).isEmpty()
+
+
+def test_parities_rule_out_no_link():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 400))
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = np.unique(np.concatenate([x[: int(rng.integers(0.75 * n, n + 1))], rng.integers(0, 1 << 63, int(rng.integers(0, n // 4 + 1))).astype(np.uint64)]))
+        shared = len(np.intersect1d(x, y))
+        if shared / (len(x) + len(y) - shared) >= 0.8:
+            assert R.can_reach(len(x), R.parity(x), len(y), R.parity(y), 0.8)
+            assert len(np.intersect1d(x[: R.prefix(len(x), 0.8)], y[: R.prefix(len(y), 0.8)]))
+    x, y = (rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(2))
+    assert not R.can_reach(300, R.parity(x), 300, R.parity(y), 0.8)
+    assert [R.prefix(n, 0.8) for n in (0, 1, 4, 5, 10)] == [0, 1, 1, 2, 3]
