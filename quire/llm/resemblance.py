@@ -42,7 +42,7 @@ SAMPLE, LEAST, LISTED = 16, 4, 1 << 20
 #: Pairs of sets that a shingle may make in one place; with more its sets are dealt in parts.
 MEET = 1 << 22
 #: Pairs compared, and rows joined to a batch, at a time.
-AT_ONCE, MERGED = 1 << 16, 1 << 16
+AT_ONCE, MERGED = 1 << 15, 1 << 15
 
 CELLS = [f"cell{k}" for k in range(BANDS)]
 _ODD = (np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -322,7 +322,7 @@ def similar(docs: DataFrame, seen: DataFrame, sets: DataFrame, pairs: DataFrame,
             yield part.select([0, 1]).filter(pa.array(can, pa.bool_()))
 
     def decide(batches):
-        for part in slices(batches):
+        for part in slices(batches, 50):
             near = []
             for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
