@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from quire.session import table
 
-from . import bpe, decontam, infill, langid, linededup, negatives, quality, rules, shards, simhash, tokencount, toxicity
+from . import bpe, decontam, infill, langid, linededup, minhash, negatives, quality, rules, shards, simhash, tokencount, toxicity
 
 
 def _docs(spark, sf_dir):
@@ -59,6 +59,10 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(docs, langid.fit(docs))
 
 
+def op11_superminhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(_docs(spark, sf_dir))
+
+
 def op12_hard_negatives(spark, sf_dir):
     return negatives.mine(table(spark, sf_dir, "embeddings"))
 
@@ -69,6 +73,6 @@ def op13_fill_in_middle(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_quality_nbsvm, op2_simhash_dedup, op3_shard, op4_token_counts, op5_quality_rules, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_toxicity, op10_language_id, op12_hard_negatives, op13_fill_in_middle)
+    for f in (op1_quality_nbsvm, op2_simhash_dedup, op3_shard, op4_token_counts, op5_quality_rules, op6_decontaminate, op7_line_dedup, op8_byte_bpe, op9_toxicity, op10_language_id, op11_superminhash_dedup, op12_hard_negatives, op13_fill_in_middle)
 }
 ORACLES = {"op7_line_dedup": linededup.SQL, "op12_hard_negatives": negatives.SQL, "op13_fill_in_middle": infill.SQL}
