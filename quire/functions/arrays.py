@@ -23,29 +23,46 @@ def fixed(c: Column) -> Column:
     return F.when(F.rand(0) >= 0.0, c)
 
 
-def positions(items, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+def positions(items: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
     """Places (from 0) of the items after which the state, a struct, has a true `new`.
-    A fold copies what it holds at each item, so it holds these places only."""
-    first = F.struct(start.alias("s"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
+    `items` names a column that is `fixed` or read.
+
+    A fold copies what it holds at each item. So a block of items is folded by itself,
+    from the state that the block before left, and holds its own places only; the fold
+    over blocks holds the lists of places that are done. `last` is what the block just
+    folded gave: it is added to the lists one block later, so that it is made once."""
+    n = F.size(items)
+    none = F.array().cast("array<int>")
 
     def one(a, x):
         s = step(a["s"], x)
         return F.struct(s.alias("s"), (a["i"] + 1).alias("i"), F.when(s["new"], F.concat(a["at"], F.array(a["i"]))).otherwise(a["at"]).alias("at"))
 
-    return F.aggregate(_col(items), first, one, lambda a: a["at"])
+    def block(a, b):
+        own = F.struct(a["last"]["s"].alias("s"), (b * BLOCK).alias("i"), none.alias("at"))
+        return F.struct(F.aggregate(F.slice(F.col(items), b * BLOCK + 1, F.lit(BLOCK)), own, one).alias("last"), F.concat(a["done"], F.array(a["last"]["at"])).alias("done"))
 
+    first = F.struct(F.struct(start.alias("s"), F.lit(0).alias("i"), none.alias("at")).alias("last"), F.array().cast("array<array<int>>").alias("done"))
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int"))).otherwise(none)
+    return F.aggregate(blocks, first, block, lambda a: F.flatten(F.concat(a["done"], F.array(a["last"]["at"]))))
 
-def running_sums(df: DataFrame, items: str, out: str) -> DataFrame:
-    """df with the sums of the long array `items` (fixed or read) up to each item."""
+
+def running(df: DataFrame, items: str, zero: Column, combine: Callable[[Column, Column], Column], out: str) -> DataFrame:
+    """df with what `combine`, which associates but need not commute, makes of the items
+    (fixed or read) up to each. `zero` is its identity. Blocks are combined by themselves,
+    then what the blocks give, then both: no array that is copied at each step is long."""
     n = F.size(items)
-    block = lambda b: F.slice(F.col(items), b * BLOCK + 1, F.lit(BLOCK))
-    zero = F.lit(0).cast("long")
-    sums = lambda a: F.aggregate(a, F.struct(zero.alias("s"), F.array().cast("array<bigint>").alias("out")), lambda a, x: F.struct((a["s"] + x).alias("s"), F.concat(a["out"], F.array(a["s"] + x)).alias("out")), lambda a: a["out"])
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: sums(block(b)))).otherwise(F.array().cast("array<array<bigint>>"))
+    scan = lambda a: F.slice(F.aggregate(a, F.array(zero), lambda so_far, x: F.concat(so_far, F.array(combine(F.element_at(so_far, -1), x)))), F.lit(2), F.size(a))
+    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")), lambda b: scan(F.slice(F.col(items), b * BLOCK + 1, F.lit(BLOCK))))).otherwise(F.slice(F.array(F.array(zero)), 1, 0))
     df = df.withColumn(f"{out}_in", fixed(blocks))
-    df = df.withColumn(f"{out}_upto", fixed(F.concat(F.array(zero), sums(F.transform(f"{out}_in", lambda b: F.element_at(b, -1))))))
-    added = F.transform(f"{out}_in", lambda b, k: F.transform(b, lambda v: v + F.get(f"{out}_upto", k)))
-    return df.withColumn(out, fixed(F.flatten(added))).drop(f"{out}_in", f"{out}_upto")
+    df = df.withColumn(f"{out}_upto", fixed(F.concat(F.array(zero), scan(F.transform(f"{out}_in", lambda b: F.element_at(b, -1))))))
+    whole = F.transform(f"{out}_in", lambda b, k: F.transform(b, lambda v: combine(F.get(f"{out}_upto", k), v)))
+    return df.withColumn(out, fixed(F.flatten(whole))).drop(f"{out}_in", f"{out}_upto")
+
+
+def running_sums(df: DataFrame, items: str, out: str) -> DataFrame:
+    """df with the sums of the long array `items` (fixed or read) up to each item."""
+    return running(df, items, F.lit(0).cast("long"), lambda a, x: a + x, out)
 
 
 def shifted(items: str) -> Column:

@@ -79,6 +79,23 @@ def _num(value: Any) -> float:
     return value if isinstance(value, float) else 0.0
 
 
+#: Operators that show text, and which operand they show.
+SHOWN = {b"Tj": 0, b"TJ": 0, b"'": 0, b'"': 2}
+
+
+def pieces(op: bytes, operands: list, font: Font | None) -> list[dict] | None:
+    """What an operator shows, decoded strings and adjustments; None if it shows none."""
+    if op not in SHOWN or len(operands) <= SHOWN[op]:
+        return None
+    value, out = operands[SHOWN[op]], []
+    for item in (value if isinstance(value, list) else []) if op == b"TJ" else [value]:
+        if isinstance(item, bytes):
+            out.append({"adjust": None, "text": font.decode(item) if font else decode_without_font(item)})
+        elif isinstance(item, float) and op == b"TJ":
+            out.append({"adjust": item, "text": None})
+    return out
+
+
 @dataclass
 class Op:
     """One operator that matters for text. frame numbers the content stream it
@@ -129,24 +146,14 @@ class PageReader:
         font: Font | None = None
         marks: list[int | None] = []
 
-        def show(value) -> list:
-            if isinstance(value, bytes):
-                return [(None, font.decode(value) if font else decode_without_font(value))]
-            return []
-
         def add(op, **what):
             mcid = next((m for m in reversed(marks) if m is not None and m >= 0), None) if marks else None
             out.append(Op(len(out), frame, depth, op, mcid=mcid, wmode=font.wmode if font else 0, **what))
 
         for raw, operands in operations(content):
             n = len(operands)
-            if raw in (b"Tj", b"'") and n >= 1:
-                add(raw.decode(), parts=show(operands[0]))
-            elif raw == b"TJ" and n >= 1:
-                parts = []
-                for item in operands[0] if isinstance(operands[0], list) else []:
-                    parts += [(item, None)] if isinstance(item, float) else show(item) if not isinstance(item, str) else []
-                add("TJ", parts=parts)
+            if (shown := pieces(raw, operands, font)) is not None:
+                add(raw.decode(), parts=[(p["adjust"], p["text"]) for p in shown])
             elif raw in (b"Td", b"TD") and n >= 2:
                 add(raw.decode(), x=_num(operands[0]), y=_num(operands[1]))
             elif raw == b"Tm" and n >= 6:
@@ -157,10 +164,8 @@ class PageReader:
                 add("Tf", size=_num(operands[1]))
             elif raw == b"T*":
                 add("T*")
-            elif raw == b'"' and n >= 3:
-                add('"', parts=show(operands[2]))
             elif raw == b"BDC" and n >= 2:
-                marks.append(_mcid(operands[1:]))
+                marks.append(property_mcid(operands[1:]))
             elif raw == b"BMC" and n >= 1:
                 marks.append(None)
             elif raw == b"EMC":
@@ -198,7 +203,7 @@ def multiply(a, b) -> tuple:
     )
 
 
-def _mcid(properties: list) -> int | None:
+def property_mcid(properties: list) -> int | None:
     """The number after an inline /MCID; named property lists have none."""
     for key, value in zip(properties, properties[1:]):
         if key == "MCID" and isinstance(value, float):
@@ -206,7 +211,6 @@ def _mcid(properties: list) -> int | None:
     return None
 
 
-SHOWS = ("Tj", "TJ", "'", '"')
 
 
 def stream_text(ops: list[Op], forms: bool = True) -> str:

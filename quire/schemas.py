@@ -11,6 +11,9 @@ TABLES = {
     "pages": "doc_id string, page int, obj_num long, media_box array<double>, crop_box array<double>, width double, height double, rotation int",
     "fonts": "doc_id string, page int, font_name string, subtype string, is_cid boolean, bytes_per_char int, wmode int, ascender double, descender double, cap_height double, x_height double, italic_angle double, missing_width double",
     "content_ops": "doc_id string, page int, seq int, frame int, depth int, op string, x double, y double, size double, parts array<struct<adjust: double, text: string>>, mcid int, wmode int",
+    "entries": "doc_id string, obj long, key string, place int, ref long, num double, bytes binary, name string",
+    "page_ops": "doc_id string, page int, ops array<struct<op: string, nums: array<double>, name: string, parts: array<struct<adjust: double, text: string>>, mcid: int>>, "
+    "xobjects array<struct<name: string, subtype: string, width: int, height: int>>",
     "page_text": "doc_id string, page int, stream string, plain string",
     "page_spans": f"doc_id string, page int, width double, spans array<{SPAN}>",
     "mcid_refs": "doc_id string, page int, ord int, mcid int, struct_type string",

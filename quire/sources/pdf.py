@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quire.kernel.content import PageReader, marked_text, spans, stream_text
+from quire.kernel.content import PageReader, marked_text, operations, pieces, property_mcid, spans, stream_text
 from quire.kernel.document import FAILURES, Document, raw_text
+from quire.kernel.objects import Name, Ref, Stream, int32
 from quire.schemas import TABLES
 
 
@@ -85,6 +87,79 @@ def _ops(d, only):
     return _of_pages(d, only, rows)
 
 
+def _whole_number(value):
+    return value if isinstance(value, int) and int32(value) is not None else None
+
+
+def _page_ops(d, only):
+    """The operators of each page's own content, with decoded text, and its XObjects."""
+    r = PageReader(d)
+
+    def rows(p):
+        out, font, fonts = [], None, r.fonts(p)
+        for op, operands in operations(d.contents(p)):
+            if op == b"Tf" and len(operands) >= 2 and isinstance(operands[0], str):
+                font = fonts.get(operands[0])
+            name = operands[0] if operands and isinstance(operands[0], str) else None
+            nums = [v if isinstance(v, float) else 0.0 for v in operands]
+            out.append({"op": op.decode("latin-1"), "nums": nums, "name": name, "parts": pieces(op, operands, font), "mcid": property_mcid(operands[1:]) if op == b"BDC" else None})
+        known = []
+        for name, value in (d.get(p.resources, "XObject", dict) or {}).items():
+            s = d.resolve(value)
+            if isinstance(s, Stream):
+                known.append({"name": name, "subtype": d.get(s.dict, "Subtype", Name), "width": _whole_number(d.get(s.dict, "Width", int)), "height": _whole_number(d.get(s.dict, "Height", int))})
+        yield p.number, out, known
+
+    return _of_pages(d, only, rows, lambda p: [(p.number, [], [])])
+
+
+#: Arrays in arrays are followed so deep.
+NESTED = 20
+
+
+def _entries(d, only):
+    """What dictionaries hold, a row for each value or member of an array: of every object
+    (by number), of the trailer (-1) and of dictionaries and arrays inside these, which
+    get numbers from -2 down; an empty array is a row without a value. A reference stays one if it leads to a dictionary, else what
+    it leads to stands for it."""
+    numbers, todo, rows = itertools.count(-2, -1), [(-1, d.trailer)], []
+
+    def add(obj, key, place, value, depth=0):
+        found = d.resolve(value)
+        if isinstance(found, Stream):
+            found = found.dict
+        if isinstance(found, dict):
+            if not isinstance(value, Ref):
+                todo.append((next_ := next(numbers), found))
+            rows.append((obj, key, place, value.num if isinstance(value, Ref) else next_, None, None, None))
+        elif isinstance(found, list) and depth < NESTED:
+            own, name = (obj, key) if place is None else (next(numbers), "")
+            if place is not None:
+                rows.append((obj, key, place, own, None, None, None))
+            for k, v in enumerate(found):
+                add(own, name, k, v, depth + 1)
+            if not found:
+                rows.append((own, name, None, None, None, None, None))
+        elif isinstance(found, bytes):
+            rows.append((obj, key, place, None, None, found, None))
+        elif isinstance(found, (int, float)):
+            rows.append((obj, key, place, None, float(found), None, None))
+        elif isinstance(found, str):
+            rows.append((obj, key, place, None, None, None, found))
+
+    for num in d.xref:
+        found = d.resolve(Ref(num, 0))
+        found = found.dict if isinstance(found, Stream) else found
+        if isinstance(found, dict):
+            todo.append((num, found))
+    while todo:
+        obj, entries = todo.pop()
+        for key, value in entries.items():
+            add(obj, key, None, value)
+        yield from rows
+        rows.clear()
+
+
 def _page_text(d, only):
     r = PageReader(d)
 
@@ -216,7 +291,7 @@ def _errors(d, only):
 
 
 KERNELS: dict[str, Callable[[Document, frozenset | None], Iterator]] = {
-    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_text": _page_text,
+    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "page_text": _page_text,
     "page_spans": _page_spans, "mcid_refs": _refs, "mcid_text": _marked, "page_all": _all, "metadata": _metadata, "outline": _outline,
     "font_widths": _font_widths, "info": _info, "whole": _whole, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
 }
