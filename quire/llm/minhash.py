@@ -25,6 +25,8 @@ BITS = 32
 #: Members of a band's cell that are compared in one place; sets most like the middle of a
 #: larger cell, with which all of it is compared first.
 CELL, HUBS = 512, 3
+#: Bits of a set's parity for each of its members; pairs whose parities are compared at a time.
+WIDE, AT_ONCE = 4, 1 << 14
 #: Shingles that are ranked at a time.
 CHUNK = 1 << 15
 
@@ -101,7 +103,7 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             names = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in own], np.uint64).view(np.int64)
             fp, low = low_bits(signed)
             found = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(cells(signed).reshape(-1)))
-            columns = [*b.columns[:3], pa.array(names), pa.array(n), pa.array([parity(x) for x in own], pa.binary()), pa.array(fp), pa.array(low), found]
+            columns = [*b.columns[:3], pa.array(names), pa.array(n), pa.array([parity(x, WIDE) for x in own], pa.binary()), pa.array(fp), pa.array(low), found]
             yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "set", "n", "parity", "fp", "low", "cells"])
 
     docs = long_rows(docs)
@@ -145,9 +147,27 @@ def _by_key(batches, columns: int, make):
         yield make(*kept)
 
 
-def across(cell: np.ndarray, root: np.ndarray, name: np.ndarray, fp: np.ndarray, low: np.ndarray, n: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+def _close(odd: np.ndarray, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether the parities (bytes, of sizes that are powers of two) at i and j differ in
+    no more than `most` bits, the larger one folded to the size of the other."""
+    size = np.array([len(x) for x in odd], np.int64)
+    least, out = np.minimum(size[i], size[j]), np.zeros(len(i), bool)
+    for s in np.unique(least).tolist():
+        here = np.flatnonzero(size >= s)
+        folded = np.zeros((len(odd), s // 8), np.uint64)
+        for k in here.tolist():
+            folded[k] = np.bitwise_xor.reduce(np.frombuffer(odd[k], np.uint64).reshape(-1, s // 8), axis=0)
+        of = np.flatnonzero(least == s)
+        for k in range(0, len(of), AT_ONCE):
+            p = of[k : k + AT_ONCE]
+            out[p] = np.bitwise_count(folded[i[p]] ^ folded[j[p]]).sum(axis=1, dtype=np.int64) <= most[p]
+    return out
+
+
+def across(cell: np.ndarray, root: np.ndarray, name: np.ndarray, fp: np.ndarray, low: np.ndarray, n: np.ndarray, odd: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by cell. u, v: pairs of sets of one cell that are not linked (their roots
-    differ) and whose sizes and bits allow the similarity."""
+    differ) and whose sizes, bits and parities allow the similarity. The parities, which
+    few dissimilar sets get past, are looked at here, where pairs cost no row."""
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     ends, u, v = np.append(starts[1:], len(cell)), [name[:0]], [name[:0]]
@@ -158,8 +178,10 @@ def across(cell: np.ndarray, root: np.ndarray, name: np.ndarray, fp: np.ndarray,
         near &= root[p, None] < root[None, p]
         near &= np.minimum(n[p, None], n[None, p]) >= similarity * np.maximum(n[p, None], n[None, p]) - 1e-6
         i, j = np.nonzero(near)
-        u.append(name[p][i])
-        v.append(name[p][j])
+        if len(i):
+            close = _close(odd[p], i, j, (1 - similarity) / (1 + similarity) * (n[p][i] + n[p][j]) + 1e-6)
+            u.append(name[p][i[close]])
+            v.append(name[p][j[close]])
     u, v = np.concatenate(u), np.concatenate(v)
     pair = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)]), axis=1)
     return pair[0], pair[1]
@@ -197,11 +219,11 @@ def _part(by: str, n) -> Column:
 
 
 def _dealt(shared: DataFrame, crowded: DataFrame, cell: int) -> DataFrame:
-    """cell, root, set, fp, low, n: members of cells whose members are not all linked. Those of
+    """cell, root, set, fp, low, n, parity: members of cells whose members are not all linked. Those of
     crowded cells are dealt so that each member outside the cell's largest group
     meets all others, in places of bounded size; members of that group, which are
     linked, don't meet one another."""
-    columns = ["root", "set", "fp", "low", "n"]
+    columns = ["root", "set", "fp", "low", "n", "parity"]
     if crowded.isEmpty():
         return shared.select("cell", *columns)
     known = small(crowded.select(F.col("cell").alias("of")))
@@ -245,11 +267,14 @@ def classes(docs: DataFrame, seen: DataFrame, sets: DataFrame, words: int = WORD
     roots = connected_components(similar(docs, seen, sets, likely, words, similarity))
     named = small(roots.withColumnRenamed("node", "of"))
     rooted = materialize(shared.join(named, shared["set"] == named["of"], "left").select("cell", F.coalesce("root", "set").alias("root"), "set", "fp", "low", "n"), "rooted")
+    mixed = rooted.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("cell")
+    parities = sets.select("set", "parity")
+    apart = materialize(rooted.join(mixed, "cell", "left_semi").join(parities, "set").select("cell", "root", "set", "fp", "low", "n", "parity"), "apart")
 
     def run(batches):
-        return by_key(batches, 6, lambda *part: across(*part, similarity))
+        return by_key(batches, 7, lambda *part: across(*part, similarity))
 
-    apart = _dealt(rooted, crowded, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
+    apart = _dealt(apart, crowded, cell).repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
     rest = similar(docs, seen, sets, apart, words, similarity)
     if rest.isEmpty():
         return roots
@@ -272,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     seen = materialize(sketches(docs, words), "sketches")
     first = materialize(seen.where("n > 0").groupBy("set").agg(F.min("row").alias("row"), F.min("doc_id").alias("least")), "first")
     one = small(first.select("row"))
-    sets = materialize(seen.select("set", "row", "fp", "low", "cells", "n").join(one, "row", "left_semi"), "sets")
+    sets = materialize(seen.select("set", "row", "fp", "low", "cells", "n", "parity").join(one, "row", "left_semi"), "sets")
     roots = classes(docs, seen, sets, words, similarity, cell)
     linked = roots.join(first, roots["node"] == first["set"]).select("node", "root", "least")
     of_root = linked.groupBy("root").agg(F.min("least").alias("of_all"))

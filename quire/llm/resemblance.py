@@ -66,11 +66,11 @@ def prefix(n: int, similarity: float) -> int:
     return n - max(1, int(np.ceil(similarity * n - 1e-6))) + 1 if n else 0
 
 
-def parity(own: np.ndarray) -> bytes:
+def parity(own: np.ndarray, wide: int = 1) -> bytes:
     """Bits by the number of members with the same low bits of the hash, odd or even;
-    a power of two of them, at least one for each member. Sets differ in as many
+    a power of two of them, at least `wide` for each member. Sets differ in as many
     members at least as their parities do in bits."""
-    bits = max(64, 1 << (len(own) - 1).bit_length()) if len(own) else 64
+    bits = max(64, 1 << (wide * len(own) - 1).bit_length()) if len(own) else 64
     odd = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
