@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from quire.plans import relational  # noqa: F401  (adds its queries)
 from quire.plans.queries import ORACLES, QUERIES
 
 FLAGSHIP = "text_stream"

@@ -12,6 +12,8 @@ TABLES = {
     "fonts": "doc_id string, page int, font_name string, subtype string, is_cid boolean, bytes_per_char int, wmode int, ascender double, descender double, cap_height double, x_height double, italic_angle double, missing_width double",
     "content_ops": "doc_id string, page int, seq int, frame int, depth int, op string, x double, y double, size double, parts array<struct<adjust: double, text: string>>, mcid int, wmode int",
     "entries": "doc_id string, obj long, key string, place int, ref long, num double, bytes binary, name string",
+    "code_maps": "doc_id string, page int, font_name string, first_code long, last_code long, to string, rank int",
+    "shown_codes": "doc_id string, page int, seq int, font_name string, codes array<long>",
     "page_ops": "doc_id string, page int, ops array<struct<op: string, nums: array<double>, name: string, parts: array<struct<adjust: double, text: string>>, mcid: int>>, "
     "xobjects array<struct<name: string, subtype: string, width: int, height: int>>",
     "page_text": "doc_id string, page int, stream string, plain string",
@@ -26,7 +28,7 @@ TABLES = {
     "images": "doc_id string, page int, ord int, x0 double, y0 double, x1 double, y1 double, width int, height int",
     "form_fields": "doc_id string, ord int, name string, value string, field_type string, rect array<double>",
     "parse_errors": "doc_id string, kind string, offset long, message string, page int",
-    "font_widths": "doc_id string, page int, font_name string, first_code int, last_code int, width double, default_width double, ordering string, first_gid int",
+    "font_widths": "doc_id string, page int, font_name string, first_code int, last_code int, width double, default_width double, ordering string, first_gid int, rank int",
     "info": f"doc_id string, size long, n_pages int, n_xref int, is_encrypted boolean, has_structure boolean, n_fields int, {_METADATA}, page_sizes array<struct<width: double, height: double, rotation: int>>, outline array<{_OUTLINE}>",
     "whole": f"doc_id string, n_pages int, {_METADATA}, outline array<{_OUTLINE}>, label_ranges array<struct<start: int, style: string, prefix: string, first: int>>, "
     "pages array<struct<page: int, text: string, links: array<struct<uri: string, dest_page: int, rect: array<double>>>, images: array<struct<rect: array<double>, width: int, height: int>>>>",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
-from quire.kernel.content import PageReader, marked_text, operations, pieces, property_mcid, spans, stream_text
+from quire.kernel.content import SHOWN, PageReader, marked_text, operations, pieces, property_mcid, spans, stream_text
 from quire.kernel.document import FAILURES, Document, raw_text
 from quire.kernel.objects import Name, Ref, Stream, int32
 from quire.schemas import TABLES
@@ -70,8 +70,8 @@ def _font_widths(d, only):
 
     def rows(p):
         for name, f in r.fonts(p).items():
-            for first, last, width in f.width_ranges():
-                yield p.number, name, first, last, width, f.default_width if f.is_cid else f.missing_width, f.ordering, f.gid(first) if f.is_cid else None
+            for rank, (first, last, width) in enumerate(f.width_ranges()):
+                yield p.number, name, first, last, width, f.default_width if f.is_cid else f.missing_width, f.ordering, f.gid(first) if f.is_cid else None, rank
 
     return _of_pages(d, only, rows)
 
@@ -87,6 +87,39 @@ def _ops(d, only):
     return _of_pages(d, only, rows)
 
 
+def _code_maps(d, only):
+    """What fonts map codes to, as ranges; of several that hold a code that of least rank
+    counts, of ranges with an offset the one that starts last."""
+    r = PageReader(d)
+
+    def rows(p):
+        for name, f in r.fonts(p).items():
+            ones = [(c, c, t, 0) for c, t in f.multi.items()] + [(c, c, chr(u), 1) for c, u in f.single.items() if c not in f.multi and 0 < u < 0xD800]
+            spans = [(a, b, chr(to), 2 + len(f.ranges) - k) for k, (a, b, to) in enumerate(f.ranges) if to + b - a < 0xD800]
+            for a, b, to, rank in ones + spans:
+                yield p.number, name, a, b, to, rank
+
+    return _of_pages(d, only, rows)
+
+
+def _shown_codes(d, only):
+    """The codes of the strings that a page's own content shows in composite fonts."""
+    r = PageReader(d)
+
+    def rows(p):
+        font = name = None
+        fonts = r.fonts(p)
+        for seq, (op, operands) in enumerate(operations(d.contents(p))):
+            if op == b"Tf" and len(operands) >= 2 and isinstance(operands[0], str):
+                name, font = operands[0], fonts.get(operands[0])
+            if font is not None and font.is_cid and op in SHOWN and len(operands) > SHOWN[op]:
+                shown, n = operands[SHOWN[op]], font.bytes_per_char
+                raw = b"".join(x for x in shown if isinstance(x, bytes)) if isinstance(shown, list) else shown if isinstance(shown, bytes) else b""
+                yield p.number, seq, name, [int.from_bytes(raw[k : k + n], "big") for k in range(0, len(raw) - n + 1, n)]
+
+    return _of_pages(d, only, rows)
+
+
 def _whole_number(value):
     return value if isinstance(value, int) and int32(value) is not None else None
 
@@ -291,7 +324,7 @@ def _errors(d, only):
 
 
 KERNELS: dict[str, Callable[[Document, frozenset | None], Iterator]] = {
-    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "page_text": _page_text,
+    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "code_maps": _code_maps, "shown_codes": _shown_codes, "page_text": _page_text,
     "page_spans": _page_spans, "mcid_refs": _refs, "mcid_text": _marked, "page_all": _all, "metadata": _metadata, "outline": _outline,
     "font_widths": _font_widths, "info": _info, "whole": _whole, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
 }
