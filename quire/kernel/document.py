@@ -79,6 +79,8 @@ class Document:
         self.data = bytes(data)
         self.strict, self.errors = strict, []
         self.xref: dict[int, Entry] = {}
+        #: Offset of each cross-reference section: that of the one before, and entries.
+        self.sections: dict[int, tuple[int | None, list]] = {}
         self.trailer: dict = {}
         self.pages: list[Page] = []
         self._cache: dict[int, Any] = {}
@@ -90,7 +92,7 @@ class Document:
         try:
             self._read_xref()
         except FAILURES as e:
-            self.xref, self.trailer = {}, {}
+            self.xref, self.trailer, self.sections = {}, {}, {}
             self._fail("invalid_xref", getattr(e, "offset", 0), str(e))
             if not rebuild or not self._search_objects():
                 return
@@ -131,16 +133,20 @@ class Document:
         m = _START.match(self.data, tail) if tail >= 0 else None
         if m is None:
             raise PdfError("invalid_xref", 0, "no startxref")
-        at, seen = int(m[1]), set()
-        while at is not None and at not in seen:
-            seen.add(at)
-            trailer = self._table(at) if self.data[at : at + 4] == b"xref" else self._xref_stream(at)
-            for key, value in trailer.items() if not self.trailer else ():
-                self.trailer.setdefault(key, value)
+        at = int(m[1])
+        while at is not None and at not in self.sections:
+            entries: list[tuple[int, Entry]] = []
+            trailer = (self._table if self.data[at : at + 4] == b"xref" else self._xref_stream)(at, entries)
+            if not self.sections:
+                self.trailer = dict(trailer)
             before = trailer.get("Prev")
-            at = int(before) if isinstance(before, (int, float)) and 0 <= before < len(self.data) else None
+            before = int(before) if isinstance(before, (int, float)) and 0 <= before < len(self.data) else None
+            self.sections[at] = before, entries
+            for num, entry in entries:
+                self.xref.setdefault(num, entry)
+            at = before
 
-    def _table(self, at: int) -> dict:
+    def _table(self, at: int, entries: list) -> dict:
         pos = at + 4
         while m := _SECTION.match(self.data, pos):
             first, count, pos = int(m[1]), int(m[2]), m.end()
@@ -149,7 +155,7 @@ class Document:
                 if e is None:
                     raise PdfError("invalid_xref", pos, "bad entry")
                 pos = e.end()
-                self.xref.setdefault(first + k, Entry("in_use" if e[3] == b"n" else "free", int(e[1]), int(e[2])))
+                entries.append((first + k, Entry("in_use" if e[3] == b"n" else "free", int(e[1]), int(e[2]))))
         parser = Parser(self.data, pos)
         parser.skip()
         if not self.data.startswith(b"trailer", parser.pos):
@@ -160,7 +166,7 @@ class Document:
             raise PdfError("invalid_xref", parser.pos, "trailer is no dictionary")
         return trailer
 
-    def _xref_stream(self, at: int) -> dict:
+    def _xref_stream(self, at: int, entries: list) -> dict:
         if not 0 <= at < len(self.data):
             raise PdfError("invalid_xref", 0, "startxref outside the file")
         _, s = Parser(self.data, at).indirect()
@@ -182,7 +188,7 @@ class Document:
                 kind = int.from_bytes(row[:w0], "big") if w0 else 1
                 a, b = int.from_bytes(row[w0 : w0 + w1], "big"), int.from_bytes(row[w0 + w1 :], "big")
                 if kind in (0, 1, 2):
-                    self.xref.setdefault(num, Entry(("free", "in_use", "compressed")[kind], a, b))
+                    entries.append((num, Entry(("free", "in_use", "compressed")[kind], a, b)))
         return s.dict
 
     def _search_objects(self) -> bool:

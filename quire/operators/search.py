@@ -25,6 +25,11 @@ def search(page_text: DataFrame, query: str, context: int = CONTEXT) -> DataFram
     lengths = F.transform(F.slice("pieces", F.lit(1), F.size("pieces") - 1), lambda p: F.octet_length(p).cast("long") + size)
     ends = running_sums(low.withColumn("lengths", fixed(lengths)), "lengths", "ends")
     hits = ends.select("doc_id", "page", "text", F.explode_outer("ends").alias("end")).where("end is not null").select("doc_id", "page", "text", (F.col("end") - size).alias("offset"))
+    return in_context(hits, size, context)
+
+
+def in_context(hits: DataFrame, size: int, context: int) -> DataFrame:
+    """doc_id, page, offset, and the bytes of the text around, as valid UTF-8."""
     raw = F.col("text").cast("binary")
     start = F.greatest(F.col("offset") - context, F.lit(0))
     end = F.least(F.col("offset") + size + context, F.octet_length("text"))

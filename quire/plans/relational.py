@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.kernel import writer as W
-from quire.operators import codes, content, trees
-from quire.plans.queries import _LI, _PAGES_SQL, LINES, QUERIES, _chunks, _documents, _form, _linked, _orders_of_lines, _outlined, _regions, query
+from quire.operators import codes, content, revisions, trees
+from quire.plans.queries import _LI, _PAGES_SQL, _SEARCH, LINES, QUERIES, _chunks, _documents, _form, _linked, _orders_of_lines, _outlined, _regions, query
 from quire.plans.queries import ORACLES as _SQL
-from quire.session import table
+from quire.operators.textindex import TextIndex
+from quire.session import materialize, new_path, table
 from quire.sources.pdf import extract
 from quire.sources.synth import synthesize
 
@@ -157,4 +158,49 @@ def widths_by_intervals(spark, d):
     return found.groupBy("doc_id", "page").agg(F.sum("width").alias("width"))
 
 
+# Revisions
+
+
+def revised(key: int, texts: list[str]) -> bytes:
+    """A file and a revision for each text but the first: each writes object 5 anew and adds
+    one. Every second file's oldest section leads back to its newest."""
+    w = W.Writer()
+    root, tree, page, body, info = (w.reserve() for _ in range(5))
+    w.stream(W.show_lines([texts[0]]), num=body)
+    w.put(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (tree, body), page)
+    w.put(b"<< /Type /Pages /Kids [%d 0 R] >>" % page, tree)
+    w.put(b"<< /Type /Catalog /Pages %d 0 R >>" % tree, root)
+    w.put(b"<< /Title (%s) >>" % W.escape(texts[0]), info)
+    data = w.save(root, b" /Info 5 0 R /Prev 1111111111" if key % 2 else b" /Info 5 0 R")
+    for text in texts[1:]:
+        w.put(b"<< /Title (%s) >>" % W.escape(text), info)
+        data = w.save(root, b" /Info 5 0 R", before=data, only=[info, w.put(b"<< /Note (%s) >>" % W.escape(text))])
+    return data.replace(b"/Prev 1111111111", b"/Prev %010d" % int(data[data.rindex(b"startxref") + 9 :].split()[0]))
+
+
+@query(f"""
+WITH l AS (SELECT l_orderkey, k FROM {_LI}), o AS (SELECT l_orderkey, max(k) AS last FROM l GROUP BY l_orderkey)
+SELECT CAST(l.l_orderkey AS VARCHAR) AS doc_id, CAST(k AS INTEGER) AS revision, CAST(n AS BIGINT) AS obj_num, CASE WHEN n = 0 THEN 'free' ELSE 'in_use' END AS entry_type,
+       CAST(CASE WHEN n < 5 THEN 0 WHEN n = 5 THEN k ELSE n - 5 END AS INTEGER) AS since, CAST(CASE WHEN n = 5 THEN k ELSE last END AS INTEGER) AS until
+FROM (SELECT l.*, unnest(generate_series(0, 5 + k)) AS n FROM l) l JOIN o ON l.l_orderkey = o.l_orderkey
+""")
+def objects_of_revisions(spark, d):
+    files = synthesize(_orders_of_lines(spark, d), lambda r: revised(r["l_orderkey"], [x["t"] for x in r["rows"]]), "l_orderkey")
+    held = revisions.in_force(materialize(extract(files, "xref_sections"), "sections"))
+    return revisions.each_revision(held).select("doc_id", "revision", "obj_num", "entry_type", "since", "until")
+
+
+# Search
+
+
+@query(_SQL["search_hits"])
+def search_by_index(spark, d):
+    text = extract(_documents(spark, d), "page_text").select("doc_id", "page", F.col("plain").alias("text"))
+    index = TextIndex(spark, new_path(spark, "index"))
+    half = F.crc32(F.col("doc_id").cast("binary")) % 2
+    for k in (0, 1, 1):  # the second batch is sent twice
+        index.add(text.where(half == k), f"batch {k}")
+    return index.search(_SEARCH).select("doc_id", "page", "offset")
+
+
 __all__ = ["QUERIES"]

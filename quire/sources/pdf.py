@@ -42,6 +42,11 @@ def _xref(d, only):
         yield num, e.kind, e.offset, e.gen_or_index
 
 
+def _xref_sections(d, only):
+    for k, (at, (before, entries)) in enumerate(d.sections.items()):
+        yield at, before, k == 0, [{"obj_num": n, "entry_type": e.kind, "offset": e.offset, "gen_or_index": e.gen_or_index} for n, e in entries]
+
+
 def _page_rows(d, only):
     for p in _pages(d, only):
         m = p.media_box
@@ -324,7 +329,7 @@ def _errors(d, only):
 
 
 KERNELS: dict[str, Callable[[Document, frozenset | None], Iterator]] = {
-    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "code_maps": _code_maps, "shown_codes": _shown_codes, "page_text": _page_text,
+    "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "xref_sections": _xref_sections, "code_maps": _code_maps, "shown_codes": _shown_codes, "page_text": _page_text,
     "page_spans": _page_spans, "mcid_refs": _refs, "mcid_text": _marked, "page_all": _all, "metadata": _metadata, "outline": _outline,
     "font_widths": _font_widths, "info": _info, "whole": _whole, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
 }
