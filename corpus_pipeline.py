@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, decontam, langid, linededup, resemblance
+from quire.llm import bpe, decontam, langid, linededup, nearcopies
 from quire.session import materialize, release, scratch, table
 
 
@@ -31,7 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of texts that resemble each other in 0.8 or more of their
     five-word shingles the row with the smallest doc_id stays."""
-    return resemblance.keep_one(docs)
+    return nearcopies.keep_one(docs)
 
 
 def test_items(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import materialize, with_settings
+from quire.operators.joins import lookup, small  # noqa: F401  (operators take them from here)
+from quire.session import with_settings
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -83,35 +84,6 @@ def text_hash(df: DataFrame) -> Column:
     return F.xxhash64(df["text"])
 
 
-#: So many rows of two numbers go to every executor (16 bytes each); more are joined.
-BROADCAST = 1 << 20
-
-
-def small(df: DataFrame, rows: int = BROADCAST) -> DataFrame:
-    """df, which is written, to be broadcast in a join if it has no more than `rows`
-    rows; else to be merged, whatever its size is thought to be."""
-    return F.broadcast(df) if df.count() <= rows else df.hint("merge")
-
-
-#: Rows with one key that are joined in one place.
-HEAVY = 1 << 16
-
-
-def lookup(rows: DataFrame, of: DataFrame, key: str, by: str, heavy: int = HEAVY, limit: int = BROADCAST) -> DataFrame:
-    """rows with the columns that `of` (written, one row for a key) has for their key, null
-    where it has none. It is broadcast if it is small; else keys of more than `heavy`
-    rows are dealt to several places by the column `by`, with a copy of their row in
-    each."""
-    if of.count() <= limit:
-        return rows.join(F.broadcast(of), key, "left")
-    many = rows.groupBy(key).count().where(F.col("count") > heavy).select(key, F.ceil(F.col("count") / heavy).cast("int").alias("_parts"))
-    many = small(materialize(many, "many"), limit)
-    part = F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)))
-    dealt = rows.join(many, key, "left").withColumn("_part", part).drop("_parts")
-    copies = of.join(many, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)).cast("long") - 1))).drop("_parts")
-    return dealt.join(copies.hint("merge"), [key, "_part"], "left").drop("_part")
-
-
 def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id (null like any other) and text are not in gone
     (_id, _h: doc_id and text_hash), which is written. Repeated rows stay or go

@@ -13,15 +13,15 @@ from quire.session import materialize
 
 from .common import hold, long_rows, lookup, slices, small, text_hash, texts
 from .resemblance import forest, parity, similar
-from .simhash import by_key, shingles
+from .simhash import by_key, majority, shingles
 
 WORDS, SIMILARITY = 5, 0.85
 #: Sets of that similarity share none of the bands' cells once in 10**10 times.
 BANDS, ROWS = 32, 4
 LANES = BANDS * ROWS
-#: Of the lowest bits of LANES components such sets differ in 10, and in over BITS once
-#: in 10**9 times.
-BITS = 32
+#: Standard deviations by which more lowest bits of the components may differ than do on
+#: average between sets of the similarity asked for.
+DEVIATIONS = 6.5
 #: Members of a band's cell that are compared in one place; sets most like the middle of a
 #: larger cell, with which all of it is compared first.
 CELL, HUBS = 512, 3
@@ -83,16 +83,24 @@ def cells(signature: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def most_bits(similarity: float) -> int:
+    """So many of the LANES lowest bits may differ between sets of that similarity: a bit
+    does where the components do, half of the time."""
+    p = (1 - similarity) / 2
+    return int(LANES * p + DEVIATIONS * (LANES * p * (1 - p)) ** 0.5) + 1
+
+
 def low_bits(signature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lowest bits of the components, as two 64-bit numbers a set."""
     packed = np.packbits((signature & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
     return packed[:, 0], packed[:, 1]
 
 
-def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def sketches(docs: DataFrame, words: int = WORDS, anchors: bool = False) -> DataFrame:
     """row (a number of its own), doc_id, h (hash of the text), set (64-bit hash of its
     shingle set), n (members of the set), parity (see resemblance), fp and low (bits of the
-    signature), cells (one for each band) of every whole text."""
+    signature), cells (one for each band) of every whole text; anchors: and simhash, the
+    SimHash fingerprint of the set."""
 
     def run(batches):
         hold("minhash", "", dict)
@@ -104,17 +112,21 @@ def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
             fp, low = low_bits(signed)
             found = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(own) + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(cells(signed).reshape(-1)))
             columns = [*b.columns[:3], pa.array(names), pa.array(n), pa.array([parity(x, WIDE) for x in own], pa.binary()), pa.array(fp), pa.array(low), found]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "set", "n", "parity", "fp", "low", "cells"])
+            names_of = ["row", "doc_id", "h", "set", "n", "parity", "fp", "low", "cells"]
+            if anchors:
+                columns.append(pa.array(np.array([majority(x) for x in own], np.uint64).view(np.int64)))
+                names_of.append("simhash")
+            yield pa.RecordBatch.from_arrays(columns, names_of)
 
     docs = long_rows(docs)
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("h"), "text")
-    return own.mapInArrow(run, "row long, doc_id long, h long, set long, n long, parity binary, fp long, low long, cells array<long>")
+    return own.mapInArrow(run, "row long, doc_id long, h long, set long, n long, parity binary, fp long, low long, cells array<long>" + (", simhash long" if anchors else ""))
 
 
 _MEMBER = "cell long, set long, fp long, low long, n long"
 
 
-def _first_round(batches):
+def _first_round(batches, most: int):
     """Rows sorted by cell. Links (u, v) of a few spanning trees of each cell, and again
     the members of cells with more than these can hold."""
     names = [c.split()[0] for c in _MEMBER.split(", ")]
@@ -122,7 +134,7 @@ def _first_round(batches):
     def links(cell, name, fp, low, n):
         size = np.diff(np.append(starts := np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell)))
         many = np.repeat(size > 2, size)
-        return forest(cell, name, fp, low, BITS), [x[many] for x in (cell, name, fp, low, n)]
+        return forest(cell, name, fp, low, most), [x[many] for x in (cell, name, fp, low, n)]
 
     for (u, v), members in _by_key(batches, len(names), links):
         none = pa.nulls(len(u), pa.int64())
@@ -171,10 +183,10 @@ def across(cell: np.ndarray, root: np.ndarray, name: np.ndarray, fp: np.ndarray,
     starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
     mixed = np.minimum.reduceat(root, starts) != np.maximum.reduceat(root, starts)
     ends, u, v = np.append(starts[1:], len(cell)), [name[:0]], [name[:0]]
-    fp, low = fp.view(np.uint64), low.view(np.uint64)
+    fp, low, most = fp.view(np.uint64), low.view(np.uint64), most_bits(similarity)
     for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist()):
         p = slice(a, b)
-        near = np.bitwise_count(fp[p, None] ^ fp[None, p]).astype(np.int16) + np.bitwise_count(low[p, None] ^ low[None, p]) <= BITS
+        near = np.bitwise_count(fp[p, None] ^ fp[None, p]).astype(np.int16) + np.bitwise_count(low[p, None] ^ low[None, p]) <= most
         near &= root[p, None] < root[None, p]
         near &= np.minimum(n[p, None], n[None, p]) >= similarity * np.maximum(n[p, None], n[None, p]) - 1e-6
         i, j = np.nonzero(near)
@@ -240,9 +252,9 @@ def _dealt(shared: DataFrame, crowded: DataFrame, cell: int) -> DataFrame:
     return calm.unionAll(split.select(F.xxhash64("cell", "a", "b").alias("cell"), *columns))
 
 
-def classes(docs: DataFrame, seen: DataFrame, sets: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL) -> DataFrame:
+def classes(docs: DataFrame, seen: DataFrame, sets: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, cell: int = CELL, more: DataFrame | None = None) -> DataFrame:
     """node, root of the sets that others resemble. seen: sketches; sets: a row for each
-    different set.
+    different set, none empty; more: pairs (u, v) of sets to look at besides.
 
     First a few spanning trees of each band's cell (of a large one, of parts of it, and
     links to its hubs) are verified, which joins most of what belongs together. Then
@@ -257,13 +269,14 @@ def classes(docs: DataFrame, seen: DataFrame, sets: DataFrame, words: int = WORD
         found = members.join(of, members["cell"] == of["of"], "left")
         hot = materialize(found.where("of is not null").select("cell", "set", "fp", "low", "n", "parts"), "hot")
         dealt = found.where("of is null").select("cell", "set", "fp", "low", "n").unionAll(hot.select(F.xxhash64("cell", _part("set", F.col("parts"))).alias("cell"), "set", "fp", "low", "n"))
-    round_one = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_first_round, f"u long, v long, {_MEMBER}")
+    round_one = dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(lambda batches: _first_round(batches, most_bits(similarity)), f"u long, v long, {_MEMBER}")
     looked = materialize(round_one, "cells")
     likely = looked.where("u is not null").select("u", "v")
     shared = looked.where("cell is not null").select("cell", "set", "fp", "low", "n")
     if hot is not None:
         likely = likely.unionAll(_hubs(hot.drop("parts")))
         shared = shared.unionAll(hot.drop("parts"))
+    likely = likely if more is None else likely.unionAll(more)
     roots = connected_components(similar(docs, seen, sets, likely, words, similarity))
     named = small(roots.withColumnRenamed("node", "of"))
     rooted = materialize(shared.join(named, shared["set"] == named["of"], "left").select("cell", F.coalesce("root", "set").alias("root"), "set", "fp", "low", "n"), "rooted")
@@ -303,6 +316,6 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, similarity: float = SIM
     of_root = linked.groupBy("root").agg(F.min("least").alias("of_all"))
     named = linked.join(of_root, "root").select("node", "of_all")
     of_set = first.join(named, first["set"] == named["node"], "left").select("set", F.coalesce("of_all", "least").alias("component_id"))
-    rows = lookup(seen.select("doc_id", F.col("n").alias("n_shingles"), "set"), materialize(of_set, "of_set"), "set", "doc_id")
+    rows = lookup(seen.select("doc_id", F.col("n").alias("n_shingles"), "set"), materialize(of_set, "of_set"), ["set"], ["doc_id"])
     alone = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return rows.select("doc_id", "n_shingles", alone.alias("component_id"), (F.col("doc_id") == alone).alias("kept"))

@@ -1,69 +1,21 @@
-"""Near copies by the resemblance of their shingle sets, for filtering stages.
-
-SimHash fingerprints under anchor covering (`simhash`) find texts whose
-fingerprints differ in 2 bits. Five-word shingle sets with a Jaccard similarity of
-0.8 differ in about 10 bits of 64, at times in 18, which no covering of affordable
-size reaches. So here the anchors give what they can, bands of minimum hashes give
-most other candidates, and the exact similarity of the sets decides on both. Links
-that chance or the bounds of a cell leave out are found after that by prefixes: of
-two sets of that similarity, in one order of all shingles, the first ones meet. What
-is linked by then is not compared again."""
+"""Which of some pairs of texts resemble each other: candidates from cells, and the
+exact similarity of their shingle sets."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.plans.components import connected_components
 from quire.session import materialize
 
-from .common import hold, long_rows, slices, small, text_hash, texts, without_rows
-from .simhash import by_key, links, majority, shingles
+from .common import hold, long_rows, slices, small, text_hash, texts
+from .simhash import shingles
 
 WORDS, SIMILARITY = 5, 0.8
-#: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS.
-BANDS, ROWS = 12, 4
-#: Members of a band's cell that are compared in one place.
-CELL = 512
-#: Of the 64 bits of the fingerprint and the BANDS * ROWS lowest bits of the minima
-#: together, sets of that similarity differ in 15, and in over 28 once in 10,000 times.
-BITS = 28
 #: Spanning trees of a cell whose links are looked at; more bits than can differ.
 TREES, FAR = 3, 200
-#: Shingles whose minimum hashes are taken at a time.
-CHUNK = 16_384
-#: One text in SAMPLE is looked at for common shingles, found in LEAST of these or more.
-#: At most LISTED of them are known to all tasks. They come last in the order of the
-#: shingles. The order, and so these numbers, affect no result, only what is compared.
-SAMPLE, LEAST, LISTED = 16, 4, 1 << 20
-#: Pairs of sets that a shingle may make in one place; with more its sets are dealt in parts.
-MEET = 1 << 22
-#: Pairs compared, and rows joined to a batch, at a time.
-AT_ONCE, MERGED = 1 << 15, 1 << 15
-
-CELLS = [f"cell{k}" for k in range(BANDS)]
-_ODD = (np.random.default_rng(20).integers(1, 1 << 63, BANDS * ROWS, np.int64).astype(np.uint64) << np.uint64(1)) | np.uint64(1)
-
-
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """The least value of BANDS * ROWS hash functions over the shingles."""
-    out = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for k in range(0, len(hashes), CHUNK):
-        x = hashes[k : k + CHUNK, None]
-        with np.errstate(over="ignore"):
-            z = (x ^ (x >> np.uint64(32))) * _ODD
-            z = (z ^ (z >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        np.minimum(out, (z ^ (z >> np.uint64(32))).min(axis=0), out=out)
-    return out
-
-
-def prefix(n: int, similarity: float) -> int:
-    """So many first members of a set of n, in an order of all shingles, hold one of any
-    set of that similarity's, and the other way round."""
-    return n - max(1, int(np.ceil(similarity * n - 1e-6))) + 1 if n else 0
 
 
 def parity(own: np.ndarray, wide: int = 1) -> bytes:
@@ -84,60 +36,7 @@ def can_reach(n: int, x: bytes, m: int, y: bytes, similarity: float) -> bool:
     return int(np.bitwise_count(x ^ y).sum()) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6
 
 
-def frequent(docs: DataFrame, words: int = WORDS, sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Common shingles, sorted, and in how many texts of the sample each is."""
-
-    def run(batches):
-        hold("resemblance", "", dict)
-        for b in slices(batches, 200):
-            own = [np.unique(shingles(t, words)).view(np.int64) for t in texts(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own), pa.int64())], ["key"])
-
-    docs = long_rows(docs)
-    drawn = docs.where(F.pmod(text_hash(docs), F.lit(sample)) == 0).select("text").distinct()
-    counted = drawn.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST)
-    got = counted.orderBy(F.desc("n"), "key").limit(LISTED).toArrow()
-    keys, n = (got[c].to_numpy().astype(np.int64) for c in ("key", "n"))
-    order = np.argsort(keys.view(np.uint64))
-    return keys.view(np.uint64)[order], n[order]
-
-
-def sketches(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, common: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """row (a number of its own), doc_id, h (hash of the text), set (64-bit hash of its
-    shingle set), fp (SimHash of the set), low (lowest bits of its minima), a cell for
-    each band, n (members of the set), parity and head (the prefix, packed; `common`
-    shingles come last in the order, by their number) of every whole text. A text
-    without words has the empty set."""
-    docs = long_rows(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(common) if common is not None and len(common[0]) else None
-
-    def run(batches):
-        hold("resemblance", "", dict)
-        keys, often = shared.value if shared else (None, None)
-        for b in slices(batches, 200):
-            names, fps, lows, cells, sizes, odd, heads = [], [], [], [], [], [], []
-            for t in texts(b):
-                own = np.unique(shingles(t, words))
-                names.append(xxhash.xxh64_intdigest(own.tobytes()))
-                fps.append(majority(own))
-                least = minima(own)
-                lows.append(int(((least & np.uint64(1)) << np.arange(len(least), dtype=np.uint64)).sum()))
-                cells.append([xxhash.xxh64_intdigest(row.tobytes(), k) for k, row in enumerate(least.reshape(BANDS, ROWS))])
-                sizes.append(len(own))
-                odd.append(parity(own))
-                if shared:
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    own = own[np.argsort(np.where(keys[at] == own, often[at], 0), kind="stable")]
-                heads.append(own[: prefix(len(own), similarity)].tobytes())
-            signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            columns = [*b.columns[:3], signed(names), signed(fps), signed(lows), *map(signed, zip(*cells)), pa.array(sizes, pa.int64()), pa.array(odd, pa.binary()), pa.array(heads, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "h", "set", "fp", "low", *CELLS, "n", "parity", "head"])
-
-    own = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash(docs).alias("h"), "text")
-    return own.mapInArrow(run, f"row long, doc_id long, h long, set long, fp long, low long, {', '.join(f'{c} long' for c in CELLS)}, n long, parity binary, head binary")
-
-
-def forest(cell: np.ndarray, name: np.ndarray, fp: np.ndarray, low: np.ndarray, most: int = BITS, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
+def forest(cell: np.ndarray, name: np.ndarray, fp: np.ndarray, low: np.ndarray, most: int, trees: int = TREES) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by cell. u, v: of each cell the links of `trees` spanning trees over
     its members that share no link and take the fewest differing bits, without links
     of over `most` bits. No more than `trees` links a member, and each member with
@@ -171,140 +70,6 @@ def forest(cell: np.ndarray, name: np.ndarray, fp: np.ndarray, low: np.ndarray,
     return np.concatenate(u), np.concatenate(v)
 
 
-def candidates(sets: DataFrame, hot: int = CELL) -> DataFrame:
-    """sets: set, fp, low and cells, one row for each different set. u, v: sets that share a
-    cell, as spanning trees. A cell with more members than `hot` is dealt in parts,
-    and each two parts are compared in a place of their own."""
-    cells = sets.select("set", "fp", "low", F.explode(F.array(*CELLS)).alias("cell"))
-    crowded = materialize(cells.groupBy("cell").count().where(F.col("count") > hot), "crowded")
-    members = cells.select("cell", "set", "fp", "low")
-    if not crowded.isEmpty():
-        parts = F.ceil(F.col("count") / (hot // 2)).cast("int")
-        dealt = members.join(crowded, "cell").withColumn("n", parts).withColumn("a", F.pmod(F.xxhash64("set"), F.col("n")).cast("int"))
-        dealt = dealt.withColumn("b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        dealt = dealt.select(F.xxhash64("cell", F.least("a", "b"), F.greatest("a", "b")).alias("cell"), "set", "fp", "low")
-        members = members.join(crowded, "cell", "left_anti").unionAll(dealt)
-
-    def run(batches):
-        return by_key(batches, 4, forest)
-
-    return members.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, v long")
-
-
-def likely(sets: DataFrame) -> DataFrame:
-    """sets: a row for each different set. u, v: pairs of sets that anchors and bands
-    propose."""
-    by_fp = sets.groupBy("fp").agg(F.min("set").alias("first"), F.count("*").alias("n"))
-    covered = links(sets.select("fp").distinct())
-    low, high = by_fp.select(F.col("fp").alias("u"), F.col("first").alias("a")), by_fp.select(F.col("fp").alias("v"), F.col("first").alias("b"))
-    anchored = covered.join(low, "u").join(high, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    equal = sets.join(by_fp.where("n > 1"), "fp").where("set <> first").select(F.col("set").alias("u"), F.col("first").alias("v"))
-    return candidates(sets).unionAll(anchored).unionAll(equal)
-
-
-def meet(key: np.ndarray, root: np.ndarray, name: np.ndarray, at: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
-    """Rows sorted by key (a shingle) and root: a set, its size and the shingle's place in
-    its order (at: size << 32 | place). u, v: sets of different roots that may have the
-    similarity if this is the first shingle that they share. Sets that are linked
-    already are not paired."""
-    n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
-    last = lambda change: np.repeat(ends := np.append(np.flatnonzero(change) + 1, len(key)), np.diff(ends, prepend=0))
-    new_key = key[1:] != key[:-1]
-    of_root, of_key = last(new_key | (root[1:] != root[:-1])), last(new_key)
-    many = of_key - of_root
-    total = np.cumsum(many)
-    u, v, k = [name[:0]], [name[:0]], 0
-    while k < len(key):
-        end = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + AT_ONCE, "right")))
-        m = many[k:end]
-        i = np.repeat(np.arange(k, end), m)
-        j = np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m) + of_root[i]
-        ok = np.minimum(n[i], n[j]) >= similarity * np.maximum(n[i], n[j]) - 1e-6
-        ok &= np.minimum(rest[i], rest[j]) * (1 + similarity) >= similarity * (n[i] + n[j]) - 1e-6
-        u.append(np.minimum(name[i[ok]], name[j[ok]]))
-        v.append(np.maximum(name[i[ok]], name[j[ok]]))
-        k = end
-    u, v = np.concatenate(u), np.concatenate(v)
-    order = np.lexsort((v, u))
-    u, v = u[order], v[order]
-    new = np.concatenate([np.ones(min(1, len(u)), bool), (u[1:] != u[:-1]) | (v[1:] != v[:-1])])
-    return u[new], v[new]
-
-
-def merged(batches, rows: int = MERGED):
-    """Batches joined to such of `rows` rows or more."""
-    kept, n = [], 0
-    for b in batches:
-        kept.append(b)
-        n += b.num_rows
-        if n >= rows:
-            yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
-            kept, n = [], 0
-    if n:
-        yield from pa.Table.from_batches(kept).combine_chunks().to_batches()
-
-
-def _parts(key: np.ndarray, root: np.ndarray, name: np.ndarray, at: np.ndarray, keys: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-    """Rows whose key is one of `keys` (sorted) are dealt in n parts by set, and go
-    once for each part, so that each two parts have a key of their own."""
-    k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-    times = np.where(keys[k] == key, n[k], 1)
-    row = np.repeat(np.arange(len(key)), times)
-    b = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-    a = ((name.view(np.uint64) >> np.uint64(20)) % times.astype(np.uint64)).astype(np.int64)[row]
-    pair = (np.minimum(a, b) << 32 | np.maximum(a, b)).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        own = key[row].view(np.uint64) ^ (pair * np.uint64(0x9E3779B97F4A7C15))
-    return [own.view(np.int64), root[row], name[row], at[row]]
-
-
-def unlinked(seen: DataFrame, sets: DataFrame, roots: DataFrame, common: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY, sample: int = SAMPLE, most: int = MEET) -> DataFrame:
-    """roots (node, root): what is linked. u, v: pairs of sets that it does not connect,
-    among them all that have the similarity: these share a shingle of both prefixes.
-    A shingle that makes more than `most` pairs is compared in several places."""
-    named = sets.join(roots, sets["set"] == roots["node"], "left").select("row", F.coalesce("root", "set").alias("root"))
-    named = small(materialize(named, "named"))
-    heads = seen.select("row", "set", "n", "head").join(named, "row").select("root", "set", "n", "head")
-    spark = seen.sparkSession
-
-    def explode(batches):
-        for b in batches:
-            root, name, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            packed = b.column(3).to_pylist()
-            m = np.array([len(x) // 8 for x in packed], np.int64)
-            place = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
-            yield [np.frombuffer(b"".join(packed), np.int64), np.repeat(root, m), np.repeat(name, m), np.repeat(n, m) << 32 | place]
-
-    rows = lambda part, names: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names)
-    # a shingle of so many sets is in a third of as many of the sample as expected, but for a chance that costs time only
-    often = np.sort(common[0][common[1] * sample >= (2 * most) ** 0.5 / 3].view(np.int64))
-    crowded = (often[:0], often[:0])
-    if len(often):
-        listed = spark.sparkContext.broadcast(often)
-
-        def found(batches):
-            for key, root, *_ in explode(batches):
-                at = np.minimum(np.searchsorted(listed.value, key), len(listed.value) - 1)
-                hit = listed.value[at] == key
-                yield rows([key[hit], root[hit]], ["key", "root"])
-
-        each = heads.mapInArrow(found, "key long, root long").groupBy("key", "root").agg(F.count("*").cast("double").alias("n"))
-        pairs = each.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs")).where(F.col("pairs") > most)
-        got = pairs.select("key", F.ceil(2 * F.sqrt(F.col("pairs") / most)).cast("long").alias("n")).orderBy("key").toArrow()
-        crowded = tuple(got[c].to_numpy().astype(np.int64) for c in ("key", "n"))
-    shared = spark.sparkContext.broadcast(crowded) if len(crowded[0]) else None
-
-    def members(batches):
-        for part in explode(batches):
-            yield rows(_parts(*part, *shared.value) if shared else part, ["key", "root", "set", "at"])
-
-    def run(batches):
-        return by_key(merged(batches), 4, lambda *part: meet(*part, similarity))
-
-    dealt = heads.mapInArrow(members, "key long, root long, set long, at long").repartition("key").sortWithinPartitions("key", "root")
-    return dealt.mapInArrow(run, "u long, v long")
-
-
 def similar(docs: DataFrame, seen: DataFrame, sets: DataFrame, pairs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """Of the pairs (u, v) of sets, in any order and repeated, those that have the
     similarity, written. What sizes and parities can't rule out is decided by the
@@ -347,32 +112,3 @@ def similar(docs: DataFrame, seen: DataFrame, sets: DataFrame, pairs: DataFrame,
     a, b = held.select(F.col("set").alias("u"), F.col("shingles").alias("x")), held.select(F.col("set").alias("v"), F.col("shingles").alias("y"))
     both = a.join(small(pairs), "u").join(b.hint("merge"), "v").select("u", "v", "x", "y")
     return materialize(both.mapInArrow(decide, "u long, v long"), "similar")
-
-
-def keep_one(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, sample: int = SAMPLE, most: int = MEET) -> DataFrame:
-    """docs without the rows that another of their group stands for. Texts are linked
-    if their sets of `words`-word shingles (A-Z lower-cased) have a Jaccard similarity
-    of at least `similarity`, all of them; a group is what links reach.
-
-    Of a group the row with the smallest doc_id stays (of equal ones that with the
-    smallest text hash; rows without a doc_id come last), with all its repeats: it is
-    decided by doc_id and text, not by doc_id alone. Texts without words (null,
-    empty) are one group. Texts of any length are taken whole. Empty table: no rows.
-    `sample` and `most` (SAMPLE, MEET) affect the work, not the result. Columns stay as
-    they are, whatever their names."""
-    common = frequent(docs, words, sample)
-    seen = materialize(sketches(docs, words, similarity, common), "sketches")
-    one = small(materialize(seen.groupBy("set").agg(F.min("row").alias("row")).select("row"), "one"))
-    sets = materialize(seen.select("set", "row", "fp", "low", *CELLS).join(one, "row", "left_semi"), "sets")
-    roots = connected_components(similar(docs, seen, sets, likely(sets), words, similarity))
-    rest = similar(docs, seen, sets, unlinked(seen, sets, roots, common, similarity, sample, most), words, similarity)
-    if not rest.isEmpty():
-        roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionAll(rest))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    first = seen.groupBy("set").agg(F.min(rank).alias("own"))
-    grouped = first.join(roots, first["set"] == roots["node"], "left").select("set", "own", F.coalesce("root", "set").alias("root"))
-    best = grouped.groupBy("root").agg(F.min("own").alias("best"))
-    kept = grouped.join(best, "root").select("set", "best")
-    rows = seen.select("doc_id", "h", "set").join(kept, "set")
-    gone = rows.where(~(F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))))
-    return without_rows(long_rows(docs), materialize(gone.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct(), "gone", even=True))

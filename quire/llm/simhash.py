@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.plans.components import connected_components
 from quire.session import materialize
 
-from .common import hold, long_rows, slices, texts
+from .common import hold, long_rows, lookup, slices, texts
 
 WORDS, SEED, DISTANCE, HOT = 3, 42, 2, 512
 #: Distinct fingerprints that are worth a task, up to the session's shuffle partitions.
@@ -206,4 +206,4 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("fp", "root", "least")
     named = linked.join(linked.groupBy("root").agg(F.min("least").alias("of_all")), "root").select(F.col("fp").alias("node"), "of_all")
     of_fp = distinct.join(named, distinct["fp"] == named["node"], "left").select("fp", F.coalesce("of_all", "least").alias("component_id"))
-    return fps.join(of_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return lookup(fps, materialize(of_fp, "of_fp"), ["fp"], ["doc_id"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,7 +1,7 @@
 import pyarrow as pa
 import pytest
 
-from quire.llm import bpe, common, langid, linededup, resemblance, simhash
+from quire.llm import bpe, common, langid, linededup, nearcopies, simhash
 
 
 def test_slices_by_rows_and_bytes():
@@ -18,7 +18,7 @@ def test_free_names():
     assert common.free("n", ["a"]) == "n" and common.free("n", ["N", "n_", "x"]) == "n__"
 
 
-@pytest.mark.parametrize("use", [simhash.near_duplicates, resemblance.keep_one, bpe.tokenize, lambda d: linededup.dedup_lines(d), lambda d: langid.identify(d, langid.fit(d))])
+@pytest.mark.parametrize("use", [simhash.near_duplicates, nearcopies.keep_one, bpe.tokenize, lambda d: linededup.dedup_lines(d), lambda d: langid.identify(d, langid.fit(d))])
 def test_the_session_stays_as_it_was(spark, sample, use):
     before = dict(spark.conf.getAll)
     use(sample).count()

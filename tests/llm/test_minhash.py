@@ -4,8 +4,6 @@ import numpy as np
 import pytest
 
 from quire.llm import minhash as M
-from quire.llm.common import lookup
-from quire.session import materialize
 
 from test_resemblance import edited, groups, shingle_set
 
@@ -108,11 +106,3 @@ def test_edges(spark, sample, nothing):
     docs = sample.unionByName(spark.createDataFrame(rows[len(rows) - 6 :], "doc_id long, text string"), allowMissingColumns=True)
     assert found(docs) == by_contract(rows)
     assert M.near_duplicates(nothing).collect() == []
-
-
-def test_lookup_deals_heavy_keys(spark):
-    rows = spark.range(3000).selectExpr("id as v", "case when id < 2000 then 7 when id % 50 = 0 then null else id end as k").repartition(5)
-    of = materialize(spark.createDataFrame([(7, "x"), (2001, "y"), (9, "z")], "k long, name string"), "of")
-    want = sorted(str((v, "x" if v < 2000 else "y" if v == 2001 else None)) for v in range(3000))
-    for limit in (10, 0):
-        assert sorted(str((r.v, r.name)) for r in lookup(rows, of, "k", "v", heavy=100, limit=limit).collect()) == want

@@ -4,6 +4,8 @@ import re
 import numpy as np
 import pytest
 
+from quire.llm import minhash as M
+from quire.llm import nearcopies as N
 from quire.llm import resemblance as R
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -40,7 +42,7 @@ def survivors(rows, similarity=0.8):
 
 
 def kept(df):
-    return sorted(str((r.doc_id, r.text)) for r in R.keep_one(df).collect())
+    return sorted(str((r.doc_id, r.text)) for r in N.keep_one(df).collect())
 
 
 def test_whole_table(documents):
@@ -64,7 +66,7 @@ def test_edited_copies(spark):
         docs += [edited(rng, words, rng.randrange(len(words) // 30 + 1)) for _ in range(4)]
     rows = list(enumerate(docs))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    want, got = {i for i, _ in survivors(rows)}, {r.doc_id for r in R.keep_one(df).collect()}
+    want, got = {i for i, _ in survivors(rows)}, {r.doc_id for r in N.keep_one(df).collect()}
     assert want <= got and len(got) <= len(want) + 0.03 * (len(rows) - len(want))
 
 
@@ -73,41 +75,32 @@ def test_a_crowd_of_different_copies_is_one_group(spark):
     words = [f"w{k}" for k in range(200)]
     rows = [(k, edited(rng, words, 2)) for k in range(700)] + [(5000 + k, f"other text number {k} with words of its own {k * 7} {k * 11}") for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {r.doc_id for r in R.keep_one(df).collect()} == {0} | {5000 + k for k in range(20)}
-    sets = R.sketches(df).drop("shingles").dropDuplicates(["set"])
-    assert R.candidates(sets, hot=64).distinct().count() >= 699  # in parts, and all are reached
+    assert {r.doc_id for r in N.keep_one(df).collect()} == {0} | {5000 + k for k in range(20)}
+    assert {r.doc_id for r in N.keep_one(df, cell=64).collect()} == {0} | {5000 + k for k in range(20)}
 
 
 def test_spanning_tree_takes_the_nearest():
     fp = np.array([0, 0b1, 0b11, 0b111, (1 << 40) - 1], np.int64)
     name = np.arange(10, 15)
-    u, v = R.forest(np.zeros(5, np.int64), name, fp, np.zeros(5, np.int64), trees=1)
+    u, v = R.forest(np.zeros(5, np.int64), name, fp, np.zeros(5, np.int64), 28, trees=1)
     assert {frozenset(x) for x in zip(u.tolist(), v.tolist())} == {frozenset(x) for x in ((10, 11), (11, 12), (12, 13))}
-    u, v = R.forest(np.zeros(5, np.int64), name, fp, np.zeros(5, np.int64))
+    u, v = R.forest(np.zeros(5, np.int64), name, fp, np.zeros(5, np.int64), 28)
     assert {frozenset(x) for x in zip(u.tolist(), v.tolist())} == {frozenset((a, b)) for a in range(10, 14) for b in range(a + 1, 14)} and len(u) == 6
-    u, v = R.forest(np.zeros(3, np.int64), name[:3], fp[:3], fp[:3])
+    u, v = R.forest(np.zeros(3, np.int64), name[:3], fp[:3], fp[:3], 28)
     assert {frozenset(x) for x in zip(u.tolist(), v.tolist())} == {frozenset((a, b)) for a in range(10, 13) for b in range(a + 1, 13)}
-    u, v = R.forest(np.array([1, 2, 2, 3, 3]), name, fp, fp)
+    u, v = R.forest(np.array([1, 2, 2, 3, 3]), name, fp, fp, 28)
     assert list(zip(u.tolist(), v.tolist())) == [(11, 12)]
 
 
-def test_minima_estimate_the_similarity():
-    rng = np.random.default_rng(1)
-    a = rng.integers(0, 1 << 63, 1000).astype(np.uint64)
-    b = np.concatenate([a[:800], rng.integers(0, 1 << 63, 200).astype(np.uint64)])
-    same = [(R.minima(a + np.uint64(s)) == R.minima(b + np.uint64(s))).mean() for s in range(60)]
-    assert np.mean(same) == pytest.approx(800 / 1200, abs=0.03)
-
-
 def test_edge_cases(spark, sample, nothing):
-    assert R.keep_one(nothing).count() == 0
-    out = R.keep_one(sample)
+    assert N.keep_one(nothing).count() == 0
+    out = N.keep_one(sample)
     assert out.columns == sample.columns
     assert kept(sample) == sorted(str(x) for x in survivors([(r.doc_id, r.text) for r in sample.collect()]))
     rows = [(1, "a b c d e f g"), (1, "other words that are not like these at all"), (None, "A B C D E F G"), (None, "only here and nowhere else, twice"), (None, "only here and nowhere else, twice"), (0, "a b")]
     df = spark.createDataFrame(rows, "doc_id int, text string").selectExpr("*", "1 as set", "2 as h", "3 as fp", "4 as best", "5 as _h")
-    assert sorted(str((r.doc_id, r.text)) for r in R.keep_one(df).collect()) == sorted(str(x) for x in (rows[0], rows[1], rows[3], rows[4], rows[5]))
-    assert R.keep_one(df).columns == df.columns
+    assert sorted(str((r.doc_id, r.text)) for r in N.keep_one(df).collect()) == sorted(str(x) for x in (rows[0], rows[1], rows[3], rows[4], rows[5]))
+    assert N.keep_one(df).columns == df.columns
 
 
 def test_no_link_is_left_to_chance(spark):
@@ -117,38 +110,29 @@ def test_no_link_is_left_to_chance(spark):
         words = [f"g{g}w{k}" for k in range(9)]
         docs += [" ".join(words), " ".join(words[g % 2 : g % 2 + 8])]
     df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    assert {r.doc_id for r in R.keep_one(df).collect()} == set(range(0, 6000, 2))
-
-
-def test_pairs_by_prefixes_hold_all_links(spark):
-    """Without any link known, in one place and dealt in parts, with and without
-    common shingles; what roots connect is not paired."""
-    rng = random.Random(8)
-    docs = ["", "a b", "a b c"]
-    line = [f"c{k}" for k in range(60)]
-    for g in range(40):
-        words = line + [f"w{rng.randrange(400)}" for _ in range(rng.choice([5, 15, 60]))]
-        docs += [edited(rng, words, rng.randrange(len(words) // 25 + 1)) for _ in range(3)]
-    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
-    sets = [shingle_set(t) for t in docs]
-    links = {(a, b) for b, y in enumerate(sets) for a, x in enumerate(sets[:b]) if x != y and len(x & y) / len(x | y) >= 0.8}
-    common = R.frequent(df, sample=1)
-    none = np.empty(0, np.uint64), np.empty(0, np.int64)
-    assert len(links) > 20 and len(common[0]) > 50 and (common[1] <= len(docs)).all()
-    for known, most in ((none, R.MEET), (common, R.MEET), (common, 30)):
-        seen = R.materialize(R.sketches(df, common=known), "seen")
-        names = {r.set: r.doc_id for r in seen.collect()}
-        one = seen.dropDuplicates(["set"])
-        roots = spark.createDataFrame([], "node long, root long")
-        pairs = R.unlinked(seen, one, roots, known, sample=1, most=most)
-        numbers = {s: min(k for k, t in enumerate(sets) if t == sets[names[s]]) for s in names}
-        pair = lambda r: tuple(sorted((numbers[r.u], numbers[r.v])))
-        first = {k: min(j for j, t in enumerate(sets) if t == x) for k, x in enumerate(sets)}
-        want = {tuple(sorted((first[a], first[b]))) for a, b in links}
-        assert want <= {pair(r) for r in pairs.collect()}
-        assert want == {pair(r) for r in R.similar(df, seen, one, pairs).collect()}
-        roots = spark.createDataFrame([(s, min(names)) for s in names], "node long, root long")
-        assert R.unlinked(seen, one, roots, known, sample=1, most=most).isEmpty()
+    assert {r.doc_id for r in N.keep_one(df).collect()} == set(range(0, 6000, 2))
+
+
+def test_a_family_below_the_threshold_stays(spark):
+    """Copies at about 0.75 of one another, in crowded cells, and a few that link some."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, edited(rng, words, 6)) for k in range(300)]
+    rows += [(1000 + k, edited(rng, rows[k][1].split(" "), 2)) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(i for i, _ in survivors(rows))
+    assert sorted(r.doc_id for r in N.keep_one(df, cell=32).collect()) == want and 150 < len(want) < len(rows)
+
+
+def test_pairs_that_cannot_reach_cost_no_row(spark):
+    """Of all pairs of a family at about 0.7 of one another, parities let few through."""
+    rng = random.Random(10)
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, edited(rng, words, 9)) for k in range(200)]
+    own = M.sketches(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("set").toPandas()
+    column = lambda c: own[c].to_numpy()
+    u, _ = M.across(np.zeros(200, np.int64), column("set"), column("set"), column("fp"), column("low"), column("n"), column("parity"), 0.8)
+    assert len(u) < 200
 
 
 def test_parities_rule_out_no_link():
@@ -160,7 +144,8 @@ def test_parities_rule_out_no_link():
         shared = len(np.intersect1d(x, y))
         if shared / (len(x) + len(y) - shared) >= 0.8:
             assert R.can_reach(len(x), R.parity(x), len(y), R.parity(y), 0.8)
-            assert len(np.intersect1d(x[: R.prefix(len(x), 0.8)], y[: R.prefix(len(y), 0.8)]))
+            for wide in (2, 4):
+                px, py = np.array([R.parity(x, wide), R.parity(y, wide)], object), (0.2 / 1.8) * (len(x) + len(y)) + 1e-6
+                assert M._close(px, np.array([0]), np.array([1]), np.array([py]))[0]
     x, y = (rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(2))
     assert not R.can_reach(300, R.parity(x), 300, R.parity(y), 0.8)
-    assert [R.prefix(n, 0.8) for n in (0, 1, 4, 5, 10)] == [0, 1, 1, 2, 3]
