@@ -12,6 +12,7 @@ from quire.operators import markdown as M
 from quire.operators import text as X
 from quire.sources import pdf
 from quire.sources.pdf import ExtractionError, InvalidPdfError, PageNotFoundError, extract
+from quire.sources.sink import write_documents
 
 
 class PdfCorpus:
@@ -109,6 +110,12 @@ class PdfCorpus:
     def json(self) -> DataFrame:
         return export.json_documents(self.files, self.mode)
 
+    def write(self, path: str, form: str = "text", overwrite: bool = False) -> None:
+        """One file for each document under a path: text, markdown or json."""
+        made = {"text": (self.full_text, "text", "txt"), "markdown": (self.full_markdown, "text", "md"), "json": (self.json, "json", "json")}
+        read, column, extension = made[form]
+        write_documents(read(), path, column, extension, overwrite)
+
     # One document, on the driver
 
     def extract_page(self, doc_id: str, page: int, order: str = "stream") -> str:
