@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.kernel import writer as W
-from quire.operators import layout, markdown, search
+from quire.operators import layout, likeness, markdown, search
 from quire.operators import text as X
 from quire.session import table
 from quire.sources.pdf import extract, headers
@@ -790,14 +790,12 @@ def structure_kinds(spark, d):
     return table(spark, d, "nation").select("n_nationkey", T.structure_kind(F.get(names, F.col("n_nationkey") % 5)).alias("kind"))
 
 
-@query()
+@query("SELECT doc_id, CAST(1 AS DOUBLE) AS char_accuracy, CAST(0 AS DOUBLE) AS word_error_rate FROM documents")
 def accuracy_metric(spark, d):
-    from quire.functions.metrics import char_accuracy, word_error_rate
-
     pages = extract(_documents(spark, d), "page_text").select("doc_id", "page", F.col("stream").alias("text"))
-    text = X.join_pages(pages, "\n").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("got"))
-    both = table(spark, d, "documents").select("doc_id", "text").join(text, "doc_id")
-    return both.select("doc_id", char_accuracy("got", "text").alias("char_accuracy"), word_error_rate("got", "text").alias("word_error_rate"))
+    got = X.join_pages(pages, "\n").select(F.col("doc_id").cast("long").alias("id"), F.col("text").alias("x"))
+    both = got.join(table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("y")), "id")
+    return likeness.accuracy(both).withColumnRenamed("id", "doc_id")
 
 
 @query("SELECT CAST(s_suppkey AS VARCHAR) AS doc_id, CAST(2 AS INTEGER) AS n_pages, false AS is_encrypted, s_name AS title, CAST(1 AS INTEGER) AS n_fields, CAST(100 + s_suppkey % 9 + 200 AS DOUBLE) AS widths, s_name || '|' || n_name AS outline FROM supplier JOIN nation ON s_nationkey = n_nationkey")

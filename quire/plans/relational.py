@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.kernel import writer as W
-from quire.operators import codes, content, revisions, trees
+from quire.operators import codes, content, likeness, revisions, trees
 from quire.plans.queries import _LI, _PAGES_SQL, _SEARCH, LINES, QUERIES, _chunks, _documents, _form, _linked, _orders_of_lines, _outlined, _regions, query
 from quire.plans.queries import ORACLES as _SQL
 from quire.operators.textindex import TextIndex
@@ -203,4 +203,19 @@ def search_by_index(spark, d):
     return index.search(_SEARCH).select("doc_id", "page", "offset")
 
 
+# Likeness
+
+
+@query("""
+WITH RECURSIVE t AS (SELECT p_partkey, p_name || ' ' || p_type AS x, p_type || ' ' || p_name AS y FROM part),
+dp AS (SELECT p_partkey, x, y, 0 AS k, (1::HUGEINT << length(y)) - 1 AS v FROM t
+UNION ALL SELECT p_partkey, x, y, k + 1, (((v + (v & m)) | (v - (v & m))) & ((1::HUGEINT << length(y)) - 1)) FROM (
+  SELECT *, coalesce(list_sum(list_transform(generate_series(1, length(y)), lambda j: CASE WHEN substr(y, j, 1) = substr(x, k + 1, 1) THEN 1::HUGEINT << (j - 1) ELSE 0::HUGEINT END)), 0)::HUGEINT AS m FROM dp WHERE k < length(x)))
+SELECT p_partkey, length(x) AS n, length(y) AS m, length(y) - len(list_filter(generate_series(1, length(y)), lambda j: (v >> (j - 1)) & 1 = 1)) AS common FROM dp WHERE k = length(x)
+""")
+def common_parts(spark, d):
+    x, y = F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_type", "p_name")
+    return likeness.common(table(spark, d, "part").select(F.col("p_partkey").alias("id"), x.alias("x"), y.alias("y"))).withColumnRenamed("id", "p_partkey")
+
+
 __all__ = ["QUERIES"]
