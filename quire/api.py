@@ -52,7 +52,7 @@ class PdfCorpus:
 
     def full_text(self, mode: str = "accuracy") -> DataFrame:
         """doc_id, text: all pages, a form feed between. accuracy or fast."""
-        return X.join_pages(self.text({"accuracy": "structured", "fast": "plain"}[mode]))
+        return X.document_text(self.table("document_pages"), {"accuracy": "structured", "fast": "plain"}[mode])
 
     def spans(self) -> DataFrame:
         """Flat spans, with width and height."""

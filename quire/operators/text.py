@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import layout as L
@@ -18,6 +18,28 @@ def join_pages(page_text: DataFrame, separator: str = FORM_FEED, text: str = "te
     return page_text.groupBy("doc_id").agg(F.array_join(F.transform(pages, lambda p: p["t"]), separator).alias("text"))
 
 
+def tagged(refs: Column, marked: Column) -> Column:
+    """Marked content in the order of the structure tree; a mark without text is passed
+    over."""
+    return F.array_join(F.filter(F.transform(refs, lambda r: F.element_at(marked, r["mcid"])), lambda t: t.isNotNull() & (t != "")), " ")
+
+
+def enough(tagged_text: Column, plain: Column) -> Column:
+    """Whether tagged text counts: it has 60 % of the bytes of the stream-order text."""
+    return (tagged_text != "") & (F.octet_length(tagged_text) >= F.floor(F.octet_length(plain) * 6 / 10))
+
+
+def document_text(document_pages: DataFrame, order: str = "structured", separator: str = FORM_FEED) -> DataFrame:
+    """doc_id, text: a document's pages in order, a separator between; nothing is exchanged.
+    structured or plain, page by page. A page whose stream order is empty shows nothing,
+    so geometric order has nothing for it either."""
+    # two steps, so that the tagged text of a page is made once
+    made = F.transform("pages", lambda p: F.struct(p["plain"].alias("plain"), tagged(p["refs"], p["marked"]).alias("tagged")))
+    both = document_pages.select("doc_id", fixed(made).alias("made")) if order == "structured" else None
+    texts = F.transform("pages", lambda p: p["plain"]) if both is None else F.transform("made", lambda p: F.when(enough(p["tagged"], p["plain"]), p["tagged"]).otherwise(p["plain"]))
+    return (document_pages if both is None else both).select("doc_id", F.array_join(texts, separator).alias("text"))
+
+
 def from_operators(content_ops: DataFrame, forms: bool = True) -> DataFrame:
     """doc_id, page, text in stream order from content operators, by windows over
     each content stream: the state before an operator is the last value set."""
@@ -47,10 +69,8 @@ def structured(page_all: DataFrame) -> DataFrame:
     """doc_id, page, text, source. Marked content in the order of the structure tree
     if that has 60 % of the bytes of the stream-order text; else stream order, or if
     that is empty, geometric order. A mark without text is passed over."""
-    texts = F.filter(F.transform("refs", lambda r: F.element_at("marked", r["mcid"])), lambda t: t.isNotNull() & (t != ""))
-    p = page_all.withColumn("tagged", fixed(F.array_join(texts, " ")))
-    enough = (F.col("tagged") != "") & (F.octet_length("tagged") >= F.floor(F.octet_length("plain") * 6 / 10))
-    p = p.withColumn("source", fixed(F.when(enough, "structure").when(F.col("plain") != "", "stream").otherwise("geometric")))
+    p = page_all.withColumn("tagged", fixed(tagged(F.col("refs"), F.col("marked"))))
+    p = p.withColumn("source", fixed(F.when(enough(F.col("tagged"), F.col("plain")), "structure").when(F.col("plain") != "", "stream").otherwise("geometric")))
     # pages that need no third order fold no spans
     p = p.withColumn("spans", fixed(F.when(F.col("source") == "geometric", F.col("spans")).otherwise(F.slice("spans", 1, 0))))
     text = F.when(F.col("source") == "structure", F.col("tagged")).when(F.col("source") == "stream", F.col("plain")).otherwise(F.col("rows"))

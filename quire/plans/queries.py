@@ -72,7 +72,7 @@ def text_accuracy(spark, d):
 WITH p AS ({_PAGES_SQL}) SELECT doc_id, string_agg(text, chr(12) ORDER BY page) AS text FROM p GROUP BY doc_id
 """)
 def text_fast_all(spark, d):
-    return X.join_pages(extract(_documents(spark, d), "page_text").withColumnRenamed("plain", "text"))
+    return X.document_text(extract(_documents(spark, d), "document_pages"), "plain")
 
 
 def _cid_pdf(r):
@@ -160,7 +160,7 @@ FROM conversations GROUP BY conv_id
 def text_all_formfeed(spark, d):
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("t")))).alias("turns"))
     files = synthesize(turns, lambda r: W.simple_pdf([W.show_lines(t["t"].split("\n")) for t in r["turns"]]), "conv_id")
-    return X.join_pages(X.structured(extract(files, "page_all")))
+    return X.document_text(extract(files, "document_pages"))
 
 
 def _predicted(data: bytes, columns: int, tag: int) -> bytes:

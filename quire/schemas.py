@@ -22,6 +22,7 @@ TABLES = {
     "mcid_refs": "doc_id string, page int, ord int, mcid int, struct_type string",
     "mcid_text": "doc_id string, page int, mcid int, text string",
     "page_all": f"doc_id string, page int, width double, has_structure boolean, plain string, spans array<{SPAN}>, refs array<struct<mcid: int, struct_type: string>>, marked map<int, string>",
+    "document_pages": "doc_id string, pages array<struct<page: int, plain: string, refs: array<struct<mcid: int, struct_type: string>>, marked: map<int, string>>>",
     "metadata": f"doc_id string, {_METADATA}",
     "outline": "doc_id string, ord int, title string, dest_page int, level int",
     "label_ranges": "doc_id string, start int, style string, prefix string, first int",

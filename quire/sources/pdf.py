@@ -257,6 +257,17 @@ def _all(d, only):
     return _of_pages(d, only, rows, lambda p: [(p.number, _width(p), d.has_structure, "", [], [], [])])
 
 
+def _document_pages(d, only):
+    """All pages of a document in one row, with what their text is chosen from."""
+    r, refs = PageReader(d), _refs_of_pages(d)
+
+    def page(p):
+        ops, own = r.ops(p, forms=False), refs.get(p.number, [])
+        return {"page": p.number, "plain": stream_text(ops, False), "refs": own, "marked": list(marked_text(ops).items()) if own else []}
+
+    yield ([d.attempt(lambda: page(p), {"page": p.number, "plain": "", "refs": [], "marked": []}, p.number) for p in _pages(d, only)],)
+
+
 def _texts_of_metadata(d):
     return [None if v is None else raw_text(v) for v in d.metadata()]
 
@@ -331,7 +342,7 @@ def _errors(d, only):
 KERNELS: dict[str, Callable[[Document, frozenset | None], Iterator]] = {
     "document": _document, "xref": _xref, "pages": _page_rows, "fonts": _fonts, "content_ops": _ops, "page_ops": _page_ops, "entries": _entries, "xref_sections": _xref_sections, "code_maps": _code_maps, "shown_codes": _shown_codes, "page_text": _page_text,
     "page_spans": _page_spans, "mcid_refs": _refs, "mcid_text": _marked, "page_all": _all, "metadata": _metadata, "outline": _outline,
-    "font_widths": _font_widths, "info": _info, "whole": _whole, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
+    "font_widths": _font_widths, "info": _info, "whole": _whole, "document_pages": _document_pages, "label_ranges": _labels, "links": _links, "images": _images, "form_fields": _fields, "parse_errors": _errors,
 }
 
 #: Rows of a result batch: large enough for Arrow, small enough for blobs.
