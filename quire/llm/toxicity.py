@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import uuid
 from dataclasses import dataclass, field
 
@@ -29,6 +30,11 @@ DISGUISES = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "¢": "c", "§": "s", "*": "aeiou",
 }
+#: Letters of other scripts that look like Latin ones.
+ALIKE = {
+    "а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "к": "k", "ѕ": "s", "ј": "j", "ԁ": "d", "һ": "h", "ԛ": "q", "ԝ": "w", "т": "t", "м": "m", "н": "h", "в": "b", "д": "d", "п": "n", "г": "r", "и": "u", "ш": "w",
+    "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ɑ": "a", "ɡ": "g", "ո": "n", "ս": "u",
+}
 #: Log probabilities of the channel: a letter stands for itself; is disguised; is
 #: said again; something is put between letters.
 PLAIN, DISGUISED, AGAIN, BETWEEN = 0.0, math.log(0.02), math.log(0.2), math.log(0.05)
@@ -41,6 +47,11 @@ _PLACE = {c: k for k, c in enumerate(ALPHABET)}
 _WORD = re.compile(r"[^\W\d_]+")
 _TWICE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
+_ALIKE = str.maketrans(ALIKE)
+#: Mean log probability of a letter below which a short token is hardly a word; that from
+#: which on a reading of figures may be one (93 of 100 numbers read less likely, but so
+#: do words whose letters are rare together); letters of a piece; pieces that are joined.
+LIKELY, NUMBER, PIECE, PIECES = -2.4, -4.0, 3, 4
 _EDGE = ".,;:!?\"'()[]{}<>…“”„«»-–—_*#%&~`=/\\^"
 #: Signs at the edge of a token that stand for no letter.
 _CLEAR = "".join(c for c in _EDGE if c not in DISGUISES)
@@ -57,6 +68,24 @@ def letter_classes() -> np.ndarray:
     return out
 
 
+def plain_letters(token: str) -> str:
+    """A token with compatibility forms as plain characters; in one that mixes scripts,
+    Latin letters and such as look like them, all Latin. Words of another script stay."""
+    if token.isascii():
+        return token
+    folded = unicodedata.normalize("NFKC", token)
+    lower = folded.lower()
+    seen = lower.translate(_ALIKE)
+    mixed = seen != lower and any(c in _PLACE for c in lower if c.isalpha()) and all(c in _PLACE for c in seen if c.isalpha())
+    return seen if mixed else folded
+
+
+def _one_letter(token: str) -> str:
+    """The letter or sign that a token consists of, but for what stands at its edges."""
+    plain = plain_letters(token)
+    return next((c for c in (plain.strip(_EDGE), plain.strip(_CLEAR), plain) if len(c) == 1), "")
+
+
 @dataclass
 class CharModel:
     """Log probability of a letter after two others, from counts of the corpus."""
@@ -123,7 +152,36 @@ class Restorer:
         self.decoded = Short(cached, self._decode)
         self.known = Short(cached, self._parts)
         self.spaced = Short(cached, lambda t: self._decode(t, breaks=True))
-        self.single = Bounded(cached, lambda t: next((c for c in (t.strip(_EDGE), t.strip(_CLEAR), t) if len(c) == 1), ""))
+        self.single = Bounded(cached, _one_letter)
+        self.odd = Bounded(cached, self._odd)
+        self.joined = Bounded(cached, self._joined)
+
+    def likely(self, word: str) -> float:
+        """The mean log probability of a word's letters and its end."""
+        a = b = 0
+        total = 0.0
+        for c in [*word, "\x00"]:
+            k = _PLACE.get(c, N - 1)
+            total += float(self.logp[a, b, k])
+            a, b = b, k
+        return total / (len(word) + 1)
+
+    def _odd(self, token: str) -> int:
+        """2 for a token of a few letters that is hardly a word, 1 for another of a few
+        letters, else 0."""
+        t = plain_letters(token).strip(_EDGE).lower()
+        if not 0 < len(t) <= PIECE or not t.isalpha():
+            return 0
+        return 2 if self.likely(t) < LIKELY else 1
+
+    def _joined(self, pieces: tuple[str, ...]) -> str:
+        """What neighbouring pieces make together, if that is more of a word than they
+        are."""
+        plain = [plain_letters(t).strip(_EDGE).lower() for t in pieces]
+        word = "".join(plain)
+        read = self.decoded[word] if _TWICE.search(word) else word
+        apart = sum(self.likely(t) * (len(t) + 1) for t in plain)
+        return read if self.likely(read) * (len(read) + 1) > apart else ""
 
     def _decode(self, token: str, breaks: bool = False) -> str:
         """The likeliest reading. Where a token has no letter, its signs that look like
@@ -163,18 +221,46 @@ class Restorer:
     def _parts(self, token: str) -> tuple[str, ...]:
         """The words of a white-space token, lower-case; disguised ones restored
         beside what they show. Only letters, none of them said twice in a row, have
-        one reading: themselves. A number, or asterisks alone, says no letter."""
+        one reading: themselves. Asterisks alone say no letter, nor does a number whose
+        reading is no likely word. A token in look-alikes or compatibility forms is read
+        as the plain letters, too."""
+        seen = plain_letters(token)
+        if seen != token:
+            return (*self._parts(seen), *_WORD.findall(token.lower()))
         core, kept = token.strip(_EDGE).lower(), token.strip(_CLEAR).lower()
         if kept.isalpha() and not _TWICE.search(kept):
             return (kept,)
         shown = (core,) if core.isalpha() else tuple(_WORD.findall(core))
-        if not kept.strip("*") or kept.strip(_EDGE).isnumeric():
+        if not kept.strip("*"):
             return shown
+        if (figures := kept.strip(_EDGE)).isnumeric():
+            # a number, unless its reading looks like a word
+            read = self.decoded[figures] if 3 <= len(figures) <= LONG else ""
+            return (*shown, read) if read and self.likely(read) >= NUMBER else shown
         return (*shown, self.decoded[kept])
 
     def parts(self, token: str) -> tuple[str, ...]:
         return self.known[token]
 
+    def pieced(self, tokens: list[str], odd: dict[str, int]) -> set[str]:
+        """Words that short tokens in a row make together: two to PIECES of them, of which
+        two are hardly words."""
+        out: set[str] = set()
+        get = odd.get
+        for k, t in enumerate(tokens):
+            if not get(t):
+                continue
+            n = get(t) == 2
+            for m in range(k + 1, min(k + PIECES, len(tokens))):
+                kind = get(tokens[m])
+                if not kind:
+                    break
+                n += kind == 2
+                if n >= 2:
+                    out.add(self.joined[tuple(tokens[k : m + 1])])
+        out.discard("")
+        return out
+
     def words(self, text: str) -> set[str]:
         """The distinct words of a text. Three single letters or more in a row, with or
         without punctuation, are read as one spaced word too, and as several."""
@@ -188,6 +274,9 @@ class Restorer:
                 single[t] = c
         if single:
             out |= self.apart(tokens, single)
+        odd = {t: k for t in set(tokens) if (k := self.odd[t])}
+        if sum(k == 2 for k in odd.values()) >= 1:
+            out |= self.pieced(tokens, odd)
         out.discard("")
         return out
 
@@ -226,19 +315,23 @@ class Model:
         restorer, weights = Restorer(self.chars), self.weights
         useful = lambda words: tuple(k for w in words if w for k in names(w) if k in weights)
         # of a token what counts, and its letter if it has but one
-        known = Short(400_000, lambda t: (useful(restorer._parts(t)), restorer.single[t]))
+        known = Short(400_000, lambda t: (useful(restorer._parts(t)), restorer.single[t], restorer.odd[t]))
 
         def score(text: str) -> float:
             found: set[int] = set()
-            tokens, single = text.split(), {}
+            tokens, single, odd = text.split(), {}, {}
             for t in set(tokens):
-                hit, c = known[t]
+                hit, c, short = known[t]
                 if hit:
                     found.update(hit)
                 if c:
                     single[t] = c
+                if short:
+                    odd[t] = short
             if single:
                 found.update(useful(restorer.apart(tokens, single)))
+            if 2 in odd.values():
+                found.update(useful(restorer.pieced(tokens, odd)))
             z = self.bias + sum(weights[k] for k in sorted(found))
             return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
