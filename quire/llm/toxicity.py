@@ -48,10 +48,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 _TWICE = re.compile(r"(.)\1")
 _RUN = re.compile(r"(.)\1{3,}", re.S)
 _ALIKE = str.maketrans(ALIKE)
-#: Mean log probability of a letter below which a short token is hardly a word; that from
-#: which on a reading of figures may be one (93 of 100 numbers read less likely, but so
-#: do words whose letters are rare together); letters of a piece; pieces that are joined.
-LIKELY, NUMBER, PIECE, PIECES = -2.4, -4.0, 3, 4
+#: Mean log probability of a letter from which on a reading of figures may be a word (93 of
+#: 100 numbers read less likely, but so do words whose letters are rare together).
+NUMBER = -4.0
 _EDGE = ".,;:!?\"'()[]{}<>…“”„«»-–—_*#%&~`=/\\^"
 #: Signs at the edge of a token that stand for no letter.
 _CLEAR = "".join(c for c in _EDGE if c not in DISGUISES)
@@ -153,8 +152,6 @@ class Restorer:
         self.known = Short(cached, self._parts)
         self.spaced = Short(cached, lambda t: self._decode(t, breaks=True))
         self.single = Bounded(cached, _one_letter)
-        self.odd = Bounded(cached, self._odd)
-        self.joined = Bounded(cached, self._joined)
 
     def likely(self, word: str) -> float:
         """The mean log probability of a word's letters and its end."""
@@ -166,23 +163,6 @@ class Restorer:
             a, b = b, k
         return total / (len(word) + 1)
 
-    def _odd(self, token: str) -> int:
-        """2 for a token of a few letters that is hardly a word, 1 for another of a few
-        letters, else 0."""
-        t = plain_letters(token).strip(_EDGE).lower()
-        if not 0 < len(t) <= PIECE or not t.isalpha():
-            return 0
-        return 2 if self.likely(t) < LIKELY else 1
-
-    def _joined(self, pieces: tuple[str, ...]) -> str:
-        """What neighbouring pieces make together, if that is more of a word than they
-        are."""
-        plain = [plain_letters(t).strip(_EDGE).lower() for t in pieces]
-        word = "".join(plain)
-        read = self.decoded[word] if _TWICE.search(word) else word
-        apart = sum(self.likely(t) * (len(t) + 1) for t in plain)
-        return read if self.likely(read) * (len(read) + 1) > apart else ""
-
     def _decode(self, token: str, breaks: bool = False) -> str:
         """The likeliest reading. Where a token has no letter, its signs that look like
         letters are read and not passed over. breaks: words may end between signs."""
@@ -242,25 +222,6 @@ class Restorer:
     def parts(self, token: str) -> tuple[str, ...]:
         return self.known[token]
 
-    def pieced(self, tokens: list[str], odd: dict[str, int]) -> set[str]:
-        """Words that short tokens in a row make together: two to PIECES of them, of which
-        two are hardly words."""
-        out: set[str] = set()
-        get = odd.get
-        for k, t in enumerate(tokens):
-            if not get(t):
-                continue
-            n = get(t) == 2
-            for m in range(k + 1, min(k + PIECES, len(tokens))):
-                kind = get(tokens[m])
-                if not kind:
-                    break
-                n += kind == 2
-                if n >= 2:
-                    out.add(self.joined[tuple(tokens[k : m + 1])])
-        out.discard("")
-        return out
-
     def words(self, text: str) -> set[str]:
         """The distinct words of a text. Three single letters or more in a row, with or
         without punctuation, are read as one spaced word too, and as several."""
@@ -274,9 +235,6 @@ class Restorer:
                 single[t] = c
         if single:
             out |= self.apart(tokens, single)
-        odd = {t: k for t in set(tokens) if (k := self.odd[t])}
-        if sum(k == 2 for k in odd.values()) >= 1:
-            out |= self.pieced(tokens, odd)
         out.discard("")
         return out
 
@@ -315,23 +273,19 @@ class Model:
         restorer, weights = Restorer(self.chars), self.weights
         useful = lambda words: tuple(k for w in words if w for k in names(w) if k in weights)
         # of a token what counts, and its letter if it has but one
-        known = Short(400_000, lambda t: (useful(restorer._parts(t)), restorer.single[t], restorer.odd[t]))
+        known = Short(400_000, lambda t: (useful(restorer._parts(t)), restorer.single[t]))
 
         def score(text: str) -> float:
             found: set[int] = set()
-            tokens, single, odd = text.split(), {}, {}
+            tokens, single = text.split(), {}
             for t in set(tokens):
-                hit, c, short = known[t]
+                hit, c = known[t]
                 if hit:
                     found.update(hit)
                 if c:
                     single[t] = c
-                if short:
-                    odd[t] = short
             if single:
                 found.update(useful(restorer.apart(tokens, single)))
-            if 2 in odd.values():
-                found.update(useful(restorer.pieced(tokens, odd)))
             z = self.bias + sum(weights[k] for k in sorted(found))
             return 1 / (1 + math.exp(-min(30.0, max(-30.0, z))))
 
