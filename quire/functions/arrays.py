@@ -19,8 +19,9 @@ def fixed(c: Column) -> Column:
     """c, computed where it stands and once. The optimizer puts the expression behind a
     column into filters above it and into what else refers to it, lambdas too, and
     folds over folds would grow without end; it leaves alone what isn't
-    deterministic, so the value hangs on a random number that is always large enough."""
-    return F.when(F.rand(0) >= 0.0, c)
+    deterministic, so the value hangs on a random number that is always large enough. (On a
+    sum, as the optimizer knows what comparing a random number alone with zero gives.)"""
+    return F.when(F.rand(0) + 1.0 >= 1.0, c)
 
 
 def positions(items: str, start: Column, step: Callable[[Column, Column], Column]) -> Column:
