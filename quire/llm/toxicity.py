@@ -70,7 +70,7 @@ def letter_classes() -> np.ndarray:
 def plain_letters(token: str) -> str:
     """A token with compatibility forms as plain characters; in one that mixes scripts,
     Latin letters and such as look like them, all Latin. Words of another script stay."""
-    if token.isascii():
+    if token.isascii() or max(token) < "\u0180":  # Latin letters, accents and all
         return token
     folded = unicodedata.normalize("NFKC", token)
     lower = folded.lower()
