@@ -346,3 +346,11 @@ def test_broken_files_never_raise(seed):
     for p in d.pages:
         stream_text(r.ops(p)), spans(r.ops(p)), list(r.images(p)), list(d.links(p))
     d.metadata(), d.outline(), d.label_ranges(), d.form_fields(), d.reading_order()
+
+
+def test_fonts_with_one_table_share_what_codes_show():
+    from quire.kernel.fonts import Font
+
+    a, b, c = Font(), Font(), Font(multi={65: "fi"})
+    assert a.decode(b"A\xe9") == b.decode(b"A\xe9") == "Aé" and c.decode(b"AB") == "fiB" and a.decode(b"A") == "A"
+    assert a._map is b._map and a._map is not c._map
