@@ -14,7 +14,7 @@ from quire.operators import layout, likeness, markdown, search
 from quire.operators import text as X
 from quire.session import table
 from quire.sources.pdf import extract, headers
-from quire.sources.synth import synthesize
+from quire.sources.synth import spread, synthesize
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -348,7 +348,7 @@ def _tj(r):
 
 @query("SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_name || chr(10) || p_brand AS text FROM part")
 def text_tj_spacing(spark, d):
-    files = synthesize(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), _tj, "p_partkey")
+    files = synthesize(spread(table(spark, d, "part").select("p_partkey", "p_name", "p_brand"), "p_partkey"), _tj, "p_partkey")
     return extract(files, "page_text").select("doc_id", F.col("stream").alias("text"))
 
 
@@ -372,7 +372,7 @@ SELECT CAST(o_orderkey AS VARCHAR) AS doc_id,
        CASE WHEN o_orderkey % 2 = 1 THEN 'before ' || o_orderstatus ELSE 'after ' || o_orderpriority END AS text FROM orders
 """)
 def xref_incremental(spark, d):
-    files = synthesize(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), _revised, "o_orderkey")
+    files = synthesize(spread(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), "o_orderkey"), _revised, "o_orderkey")
     return extract(files, "page_text").select("doc_id", F.col("stream").alias("text"))
 
 
@@ -561,7 +561,7 @@ def _page_of_part(r):
 
 
 def _part_spans(spark, d):
-    files = synthesize(table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), _page_of_part, "p_partkey")
+    files = synthesize(spread(table(spark, d, "part").select("p_partkey", "p_brand", "p_name", "p_type", "p_size"), "p_partkey"), _page_of_part, "p_partkey")
     return extract(files, "page_spans")
 
 
@@ -639,13 +639,13 @@ SELECT CAST(page_id AS VARCHAR) AS doc_id, CAST(v.page AS INTEGER) AS page, CAST
 FROM pages, (VALUES (0, 0, 10, NULL), (0, 1, 11, 1), (1, 0, 12, 0)) v(page, ord, x0, dest)
 """)
 def links(spark, d):
-    files = synthesize(table(spark, d, "pages").select("page_id", "url"), _linked, "page_id")
+    files = synthesize(spread(table(spark, d, "pages").select("page_id", "url"), "page_id"), _linked, "page_id")
     return extract(files, "links").select("doc_id", "page", "ord", "x0", "uri", "dest_page")
 
 
 @query("SELECT CAST(page_id AS VARCHAR) AS doc_id, v.dest IS NOT NULL AS resolved, count(*) AS n FROM pages, (VALUES (NULL), (1), (0)) v(dest) GROUP BY ALL")
 def link_dest(spark, d):
-    files = synthesize(table(spark, d, "pages").select("page_id", "url"), _linked, "page_id")
+    files = synthesize(spread(table(spark, d, "pages").select("page_id", "url"), "page_id"), _linked, "page_id")
     targets = search.link_targets(extract(files, "links"), extract(files, "pages"))
     return targets.groupBy("doc_id", F.col("dest_obj").isNotNull().alias("resolved")).agg(F.count("*").alias("n"))
 
@@ -660,7 +660,7 @@ SELECT CAST(p_partkey AS VARCHAR) AS doc_id, CAST(25 AS DOUBLE) AS x0, CAST(67 A
        CAST(p_size * 10 AS INTEGER) AS width, CAST(p_size + 5 AS INTEGER) AS height FROM part
 """)
 def images(spark, d):
-    files = synthesize(table(spark, d, "part").select("p_partkey", "p_size"), _pictured, "p_partkey")
+    files = synthesize(spread(table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey"), _pictured, "p_partkey")
     return extract(files, "images").select("doc_id", "x0", "y0", "x1", "y1", "width", "height")
 
 
@@ -674,7 +674,7 @@ SELECT CAST(c_custkey AS VARCHAR) AS doc_id, CAST(v.ord AS INTEGER) AS ord, v.na
 FROM customer, (VALUES (0, 'customer.name', 'text'), (1, 'customer.segment', 'choice'), (2, 'customer', 'button'), (3, 'sign', 'signature')) v(ord, name, kind)
 """)
 def form_fields(spark, d):
-    files = synthesize(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), _form, "c_custkey")
+    files = synthesize(spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"), _form, "c_custkey")
     return extract(files, "form_fields").select("doc_id", "ord", "name", "value", "field_type")
 
 

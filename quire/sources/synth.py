@@ -8,6 +8,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """rows of a narrow table, dealt by key. A small file is one task's, or a few's, however
+    many rows it has, and making and reading a document takes far longer than its row."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def synthesize(rows: DataFrame, make: Callable[[dict], bytes], key: str) -> DataFrame:
     """doc_id, content: one PDF for each row, made from its columns."""
 

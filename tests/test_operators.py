@@ -246,3 +246,13 @@ def test_metrics_cover_whole_texts(spark):
     r = few.select(char_accuracy("got", "want").alias("a"), word_error_rate("got", "want").alias("e")).first()
     assert r.a > 0.999 and 0 < r.e < 0.001
     assert [tuple(r)[1:4] for r in rows[1:]] == [(1, 0, 1), (0, 1, 0), (1, 0, 1)]
+
+
+def test_rows_of_a_small_file_are_dealt(spark, tmp_path):
+    """A file of narrow rows is one task's; the documents made of them are not."""
+    from quire.sources.synth import spread
+
+    spark.range(1000).coalesce(1).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    parts = spread(rows, "id").groupBy(F.spark_partition_id()).count().collect()
+    assert rows.rdd.getNumPartitions() == 1 and len(parts) == 4 and max(r["count"] for r in parts) < 400
