@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.arrays import fixed, grouped
 from quire.operators.joins import in_ranges
 
 FONT = ["doc_id", "page", "font_name"]
@@ -35,3 +36,27 @@ def widths(codes: DataFrame, font_widths: DataFrame) -> DataFrame:
     default = font_widths.groupBy(*FONT).agg(F.first("default_width").alias("default_width"))
     found = in_ranges(codes, ranges, FONT, "code", "first_code", "last_code", "rank").drop("first_code", "last_code", "rank")
     return found.join(default, FONT, "left").withColumn("width", F.coalesce("width", "default_width", F.lit(1000.0))).drop("default_width")
+
+
+def texts(shown_codes: DataFrame, code_maps: DataFrame) -> DataFrame:
+    """doc_id, page, seq, font_name, text of each string shown that has a code. Only the
+    different codes of a page's font are rows and meet the ranges; what they stand for
+    comes back as a map, in which a string's codes are looked up. Maps are searched from
+    end to end, so a font's has one for each 256 codes inside."""
+    shown = shown_codes.where(F.size("codes") > 0)
+    own = shown.select(*FONT, F.explode(F.array_distinct("codes")).alias("code")).distinct()
+    entries = characters(own, code_maps).groupBy(*FONT).agg(F.sort_array(F.collect_list(F.struct("code", "text"))).alias("known"))
+    high = lambda c: F.shiftright(c, 8)
+    make = lambda part: F.struct(high(F.get(part, 0)["code"]).alias("high"), F.map_from_entries(part).alias("of"))
+    blocks = grouped(entries.withColumn("known", fixed(F.col("known"))), "known", lambda x, before: high(x["code"]) != high(before["code"]), make, "blocks")
+    maps = blocks.select(*FONT, fixed(F.map_from_entries("blocks")).alias("map"))
+    found = shown.join(maps.hint("merge"), FONT, "left")
+    text = F.array_join(F.transform("codes", lambda c: F.try_element_at(F.try_element_at("map", high(c)), c)), "")
+    return found.select("doc_id", "page", "seq", "font_name", text.alias("text"))
+
+
+def page_widths(shown_codes: DataFrame, font_widths: DataFrame) -> DataFrame:
+    """doc_id, page, width: of all codes that a page shows. Only different codes, counted,
+    meet the ranges."""
+    counted = shown_codes.select(*FONT, F.explode("codes").alias("code")).groupBy(*FONT, "code").agg(F.count("*").alias("n"))
+    return widths(counted, font_widths).groupBy("doc_id", "page").agg(F.sum(F.col("width") * F.col("n")).alias("width"))

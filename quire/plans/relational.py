@@ -12,7 +12,7 @@ from quire.plans.queries import ORACLES as _SQL
 from quire.operators.textindex import TextIndex
 from quire.session import materialize, new_path, table
 from quire.sources.pdf import extract
-from quire.sources.synth import synthesize
+from quire.sources.synth import spread, synthesize
 
 # Scans over operators
 
@@ -83,7 +83,7 @@ def outline_by_ranks(spark, d):
 
 @query(_SQL["form_fields"])
 def fields_by_ranks(spark, d):
-    files = synthesize(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), _form, "c_custkey")
+    files = synthesize(spread(table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "c_custkey"), _form, "c_custkey")
     return trees.form_fields(extract(files, "entries")).select("doc_id", "ord", "name", "value", "field_type")
 
 
@@ -121,7 +121,8 @@ def _ranged(r):
     cmap = b"begincmap 2 beginbfrange <00F0> <BFFF> <0021> %s endbfrange 1 beginbfchar <0120> <0020> endbfchar endcmap" % entries
     w = W.Writer()
     root, tree, font = w.reserve(), w.reserve(), w.reserve()
-    pages = [[line.translate(_Shift()) for line in p] for p in _chunks(text.split("\n"), LINES)]
+    shift = _Shift()
+    pages = [[line.translate(shift) for line in p] for p in _chunks(text.split("\n"), LINES)]
     kids = [w.put(b"<< /Type /Page /Parent %d 0 R /Contents %d 0 R >>" % (tree, w.stream(W.show_lines(p, hexa="utf-16-be"), flate=True))) for p in pages]
     inner = b"<< /Subtype /CIDFontType2 /DW 900 /W [288 382 500 200 [1 2 3] 257 511 700 511 600 800] >>"
     w.put(b"<< /Type /Font /Subtype /Type0 /Encoding /Identity-H /DescendantFonts [%s] /ToUnicode %d 0 R >>" % (inner, w.stream(cmap)), font)
@@ -132,6 +133,7 @@ def _ranged(r):
 
 class _Shift(dict):
     def __missing__(self, c):
+        self[c] = c + 256
         return c + 256
 
 
@@ -143,10 +145,9 @@ WITH p AS ({_PAGES_SQL}), l AS (SELECT doc_id, page, unnest(string_split(text, c
 @query(_CODES_SQL + "SELECT doc_id, page, CAST(n - 1 AS INTEGER) AS line, line AS text FROM l WHERE line <> ''")
 def codes_by_intervals(spark, d):
     files = _documents(spark, d, _ranged)
-    found = codes.characters(codes.code_rows(extract(files, "shown_codes")), extract(files, "code_maps"))
-    lines = found.groupBy("doc_id", "page", "seq").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("t"))
+    lines = codes.texts(extract(files, "shown_codes"), extract(files, "code_maps"))
     # a line is BT, Tf, Td, Tj and then Td, Tj each
-    return lines.select("doc_id", "page", ((F.col("seq") - 3) / 2).cast("int").alias("line"), F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+    return lines.select("doc_id", "page", ((F.col("seq") - 3) / 2).cast("int").alias("line"), "text")
 
 
 @query(_CODES_SQL + """, c AS (SELECT doc_id, page, unicode(unnest(string_split(line, ''))) AS c FROM l WHERE line <> '')
@@ -154,8 +155,7 @@ SELECT doc_id, page, CAST(sum(CASE WHEN c BETWEEN 32 AND 126 THEN 500 WHEN c BET
 """)
 def widths_by_intervals(spark, d):
     files = _documents(spark, d, _ranged)
-    found = codes.widths(codes.code_rows(extract(files, "shown_codes")), extract(files, "font_widths"))
-    return found.groupBy("doc_id", "page").agg(F.sum("width").alias("width"))
+    return codes.page_widths(extract(files, "shown_codes"), extract(files, "font_widths"))
 
 
 # Revisions

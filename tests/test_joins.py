@@ -67,3 +67,17 @@ def test_characters_equal_the_decoder(spark):
     got = codes.characters(shown, extract(df, "code_maps")).orderBy("place").collect()
     assert "".join(r.text for r in got) == extract(df, "page_text").first()["stream"]
     assert {r.width for r in codes.widths(shown, extract(df, "font_widths")).collect()} <= {7.0, 1000.0}
+
+
+def test_codes_meet_ranges_once_for_each_font(spark):
+    """Texts and widths of long strings: rows are different codes, not places."""
+    shown = spark.createDataFrame([("d", k, 3, "F", [65 + (j * (k + 1)) % 700 for j in range(5000)]) for k in range(4)] + [("d", 9, 0, "F", [])], "doc_id string, page int, seq int, font_name string, codes array<long>")
+    maps = spark.createDataFrame([("d", k, "F", 65, 400, "a", 1) for k in range(3)] + [("d", 0, "F", 70, 70, "fi", 0)], "doc_id string, page int, font_name string, first_code long, last_code long, to string, rank int")
+    wide = spark.createDataFrame([("d", k, "F", 65, 100, 250.0, 900.0, 0) for k in range(3)], "doc_id string, page int, font_name string, first_code int, last_code int, width double, default_width double, rank int")
+    rows = codes.code_rows(shown)
+    want = codes.characters(rows, maps).groupBy("page").agg(F.sort_array(F.collect_list(F.struct("place", "text"))).alias("t")).collect()
+    got = {r.page: r.text for r in codes.texts(shown, maps).collect()}
+    assert got == {r.page: "".join(x.text for x in r.t) for r in want} and sorted(got) == [0, 1, 2, 3]
+    summed = {r.page: r.width for r in codes.widths(rows, wide).groupBy("page").agg(F.sum("width").alias("width")).collect()}
+    assert {r.page: r.width for r in codes.page_widths(shown, wide).collect()} == summed
+    assert "place" not in codes.texts(shown, maps)._jdf.queryExecution().executedPlan().toString()
