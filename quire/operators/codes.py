@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.arrays import fixed, grouped
 from quire.operators.joins import in_ranges
+from quire.session import materialize
 
 FONT = ["doc_id", "page", "font_name"]
 
@@ -45,6 +46,8 @@ def texts(shown_codes: DataFrame, code_maps: DataFrame) -> DataFrame:
     end to end, so a font's has one for each 256 codes inside."""
     shown = shown_codes.where(F.size("codes") > 0)
     own = shown.select(*FONT, F.explode(F.array_distinct("codes")).alias("code")).distinct()
+    # written, as joining counts them first: else documents are read again each time
+    own, code_maps = materialize(own, "codes"), materialize(code_maps, "maps")
     entries = characters(own, code_maps).groupBy(*FONT).agg(F.sort_array(F.collect_list(F.struct("code", "text"))).alias("known"))
     high = lambda c: F.shiftright(c, 8)
     make = lambda part: F.struct(high(F.get(part, 0)["code"]).alias("high"), F.map_from_entries(part).alias("of"))
@@ -59,4 +62,5 @@ def page_widths(shown_codes: DataFrame, font_widths: DataFrame) -> DataFrame:
     """doc_id, page, width: of all codes that a page shows. Only different codes, counted,
     meet the ranges."""
     counted = shown_codes.select(*FONT, F.explode("codes").alias("code")).groupBy(*FONT, "code").agg(F.count("*").alias("n"))
+    counted, font_widths = materialize(counted, "codes"), materialize(font_widths, "widths")
     return widths(counted, font_widths).groupBy("doc_id", "page").agg(F.sum(F.col("width") * F.col("n")).alias("width"))
