@@ -1,9 +1,12 @@
 """A positional index of page texts, for searches that don't read all of them.
 
 In a folder: runs of postings and of pages, and manifests that name the runs in force. A
-posting is a trigram of bytes (A-Z lower-cased), a page, and the offsets at which the
-trigram stands there. A run's postings are in buckets by the trigram's first byte, sorted
-by trigram, so a search opens the buckets of its own trigrams and skips most of these."""
+page's key is the number of the run that took it in (`at`) and its own in that run (`no`).
+A row of postings is a trigram of bytes (A-Z lower-cased) and, for a block of pages, those
+that have it, how often and at which offsets, as differences in bytes of seven bits: about
+two bytes for a byte of text. Blocks are made where the pages are read and nothing is
+exchanged. A run's postings are in buckets by the trigram's first byte, sorted by trigram,
+so a search opens the buckets of its own trigrams and skips most of these."""
 
 from __future__ import annotations
 
@@ -11,6 +14,7 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,41 +24,112 @@ from quire.operators.search import CONTEXT, in_context
 
 #: Runs beyond this are merged into one. Folders that a run's pages are dealt to.
 RUNS, SLOTS = 8, 64
-#: Bytes of postings, about, in a file.
-PER_FILE = 1 << 20
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+#: Bytes of text, about, whose postings are rows together.
+BLOCK = 2 << 20
+#: How runs are written; manifests say so.
+FORMAT = 2
+_LOWER = bytes(c + 32 if 65 <= c < 91 else c for c in range(256))
+_POSTINGS = "gram int, at int, first long, pages binary, counts binary, offsets binary, bucket int"
+_PAGES = "at int, no long, doc_id string, page int, text string, slot int"
 
 
-def _grams(text: bytes) -> np.ndarray:
-    """The trigram at each byte, as a number; two zero bytes follow the text."""
-    b = np.concatenate([_LOWER[np.frombuffer(text, np.uint8)], np.zeros(2, np.uint8)]).astype(np.int32)
-    return b[:-2] << 16 | b[1:-1] << 8 | b[2:]
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers (none negative) as bytes with seven bits each, the last of a number below
+    128; and where each number ends."""
+    size = np.ones(len(values), np.int64)
+    for k in range(1, 9):
+        size += values >= 1 << 7 * k
+    ends = np.cumsum(size)
+    starts, out = ends - size, np.empty(int(ends[-1]) if len(ends) else 0, np.uint8)
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        out[starts[some] + k] = values[some] >> 7 * k & 127 | (size[some] > k + 1) << 7
+    return out, ends
 
 
-def postings(page_text: DataFrame) -> DataFrame:
-    """bucket, gram, doc_id, page, offsets of doc_id, page, text. Null texts have none."""
+def unpacked(data: bytes) -> np.ndarray:
+    b = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(b < 128) + 1
+    size = np.diff(ends, prepend=0)
+    starts, out = ends - size, np.zeros(len(ends), np.int64)
+    for k in range(int(size.max(initial=0))):
+        some = np.flatnonzero(size > k)
+        out[some] |= (b[starts[some] + k] & 127).astype(np.int64) << 7 * k
+    return out
+
+
+def _binaries(values: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Packed numbers as binaries; rows: place of the first number of each."""
+    data, ends = packed(values)
+    at = np.append(np.concatenate([[0], ends])[rows], len(data)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(at), pa.py_buffer(data)])
+
+
+def _block(no: np.ndarray, texts: list[bytes]) -> pa.RecordBatch:
+    """The postings of pages, whose numbers grow. Two zero bytes follow each text."""
+    size = np.array([len(t) for t in texts], np.int64)
+    b = np.frombuffer((b"\0\0".join(texts) + b"\0\0").translate(_LOWER), np.uint8)
+    starts = np.cumsum(size + 2) - size - 2
+    inside = np.ones(len(b), bool)
+    inside[starts + size] = inside[starts + size + 1] = False
+    at = np.flatnonzero(inside)
+    key = (b[at].astype(np.uint64) << 16 | b[at + 1].astype(np.uint64) << 8 | b[at + 2]) << 32 | at.astype(np.uint64)
+    key.sort()
+    gram, at = (key >> 32).astype(np.int32), (key & 0xFFFFFFFF).astype(np.int64)
+    page = np.repeat(np.arange(len(texts), dtype=np.int32), size + 2)[at]
+    offset = at - starts[page]
+    new = np.ones(len(key), bool)
+    new[1:] = (gram[1:] != gram[:-1]) | (page[1:] != page[:-1])
+    pairs = np.flatnonzero(new)
+    offset[1:] -= np.where(new[1:], 0, offset[:-1])
+    of, pages = gram[pairs], no[page[pairs]]
+    rows = np.flatnonzero(np.diff(of, prepend=-1))
+    steps = np.diff(pages, prepend=0)
+    steps[rows] = 0
+    columns = [pa.array(of[rows] >> 16), pa.array(of[rows]), pa.array(pages[rows]), _binaries(steps, rows), _binaries(np.diff(pairs, append=len(key)), rows), _binaries(offset, pairs[rows])]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "gram", "first", "pages", "counts", "offsets"])
+
+
+def postings(pages: DataFrame) -> DataFrame:
+    """bucket, gram, first, pages, counts, offsets of no, text: `first` is the number of a
+    row's first page. Null and empty texts have none."""
+
+    def run(batches):
+        for b in batches:
+            b = b.take(pc.sort_indices(b.column(0)))
+            ends = np.cumsum(pc.binary_length(b.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+            k = 0
+            while k < b.num_rows:
+                n = max(1, int(np.searchsorted(ends, (int(ends[k - 1]) if k else 0) + BLOCK, side="right")) - k)
+                yield _block(b.column(0).slice(k, n).to_numpy(), b.column(1).slice(k, n).to_pylist())
+                k += n
+
+    own = pages.where("text <> ''").select("no", F.col("text").cast("binary").alias("text"))
+    return own.mapInArrow(run, "bucket int, gram int, first long, pages binary, counts binary, offsets binary")
+
+
+def _listed(found: DataFrame) -> DataFrame:
+    """gram, at, no, offsets: rows of postings, a row for each page."""
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).cast(pa.binary())
             for k in range(b.num_rows):
-                g = _grams(texts[k].as_py() or b"")
-                order = np.argsort(g, kind="stable").astype(np.int32)
-                g = g[order]
-                starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(g)), bool), g[1:] != g[:-1]])).astype(np.int32)
-                offsets = pa.ListArray.from_arrays(pa.array(np.append(starts, np.int32(len(g)))), pa.array(order))
-                n = len(starts)
-                row = b.slice(k, 1)
-                same = lambda c: pa.repeat(row.column(c)[0], n)  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([pa.array(g[starts] >> 16), pa.array(g[starts]), same(0), same(1), offsets], ["bucket", "gram", "doc_id", "page", "offsets"])
+                gram, at, first, pages, counts, offsets = (c[k] for c in b.columns)
+                no = np.cumsum(unpacked(pages.as_py())) + first.as_py()
+                n, steps = unpacked(counts.as_py()), unpacked(offsets.as_py())
+                ends, upto = np.cumsum(n), np.cumsum(steps)
+                starts = ends - n
+                own = (upto - np.repeat(upto[starts] - steps[starts], n)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(own)).astype(np.int32)), pa.array(own))
+                yield pa.RecordBatch.from_arrays([pa.repeat(gram, len(no)), pa.repeat(at, len(no)), pa.array(no), lists], ["gram", "at", "no", "offsets"])
 
-    own = page_text.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, "bucket int, gram int, doc_id string, page int, offsets array<int>")
+    return found.select("gram", "at", "first", "pages", "counts", "offsets").mapInArrow(run, "gram int, at int, no long, offsets array<int>")
 
 
-def _slot(doc_id: str = "doc_id", page: str = "page"):
-    return F.pmod(F.xxhash64(doc_id, page), F.lit(SLOTS)).cast("int")
+def _slot():
+    """Neighbours, 4,096 of a task, are in one folder. (Spark's numbers have the task above
+    33 bits.)"""
+    return F.expr(f"cast(pmod(shiftright(no, 33) + shiftright(no & 8589934591, 12), {SLOTS}) AS int)")
 
 
 class TextIndex:
@@ -76,7 +151,10 @@ class TextIndex:
         names = sorted(s.getPath().getName() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
         if not names:
             return {"number": -1, "runs": [], "batches": []}
-        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{names[-1]}").collect()))
+        state = json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/manifests/{names[-1]}").collect()))
+        if state.pop("format", 1) != FORMAT:
+            raise RuntimeError(f"the index {self.path} was written in another format")
+        return state
 
     def _commit(self, before: dict, runs: list[str], batches: list[str]) -> None:
         """A new manifest, written aside and renamed; it must not be there yet."""
@@ -84,21 +162,14 @@ class TextIndex:
         name = f"{state['number']:08d}"
         fs, draft = self._fs(f"{self.path}/manifests/{name}.draft")
         out = fs.create(draft, True)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps(state | {"format": FORMAT}).encode()))
         out.close()
         if fs.exists(self._fs(f"{self.path}/manifests/{name}.json")[1]) or not fs.rename(draft, self._fs(f"{self.path}/manifests/{name}.json")[1]):
             raise RuntimeError(f"another writer changed the index {self.path}")
 
-    def _write(self, found: DataFrame, pages: DataFrame | None, run: str) -> None:
-        size = F.sum(F.size("offsets") * 4 + 40)
-        each = {r["bucket"]: r["n"] for r in found.groupBy("bucket").agg(size.alias("n")).collect()}  # 256 at most
-        parts = F.create_map(*(F.lit(x) for k, n in each.items() for x in (k, n // PER_FILE + 1))) if each else F.create_map(F.lit(0), F.lit(1))
-        part = F.pmod(F.xxhash64("doc_id", "page"), parts[F.col("bucket")])
-        total = sum(n // PER_FILE + 1 for n in each.values()) or 1
-        dealt = found.withColumn("part", part).repartition(min(total, 4096), "bucket", "part").sortWithinPartitions("bucket", "gram", "doc_id", "page").drop("part")
-        dealt.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/{run}")
-        if pages is not None:
-            pages.write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/pages/{run}")
+    def _write(self, what: str, rows: DataFrame, run: str) -> None:
+        by, *order = ("bucket", "gram") if what == "postings" else ("slot", "at", "no")
+        rows.sortWithinPartitions(by, *order).write.mode("overwrite").partitionBy(by).parquet(f"{self.path}/{what}/{run}")
 
     def add(self, page_text: DataFrame, batch: str) -> bool:
         """Takes in doc_id, page, text as a run. A batch is named by the caller; one that was
@@ -108,11 +179,11 @@ class TextIndex:
         state = self.state()
         if batch in state["batches"]:
             return False
-        run = f"b{state['number'] + 1:08d}"
-        own = page_text.select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("text").cast("string").alias("text"))
-        own.withColumn("slot", _slot()).repartition("slot").sortWithinPartitions("slot", "doc_id", "page").write.mode("overwrite").partitionBy("slot").parquet(f"{self.path}/pages/{run}")
-        written = self.spark.read.schema("doc_id string, page int, text string, slot int").parquet(f"{self.path}/pages/{run}")
-        self._write(postings(written), None, run)
+        number = state["number"] + 1
+        run = f"b{number:08d}"
+        own = page_text.select(F.lit(number).alias("at"), F.monotonically_increasing_id().alias("no"), F.col("doc_id").cast("string").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("text").cast("string").alias("text"))
+        self._write("pages", own.withColumn("slot", _slot()), run)
+        self._write("postings", postings(self._pages([run])).withColumn("at", F.lit(number)), run)
         self._commit(state, [*state["runs"], run], [*state["batches"], batch])
         if len(state["runs"]) + 1 > RUNS:
             self.compact()
@@ -125,8 +196,8 @@ class TextIndex:
         if len(state["runs"]) < 2:
             return
         run = f"m{state['number'] + 1:08d}"
-        pages = self._pages(state["runs"]).repartition("slot").sortWithinPartitions("slot", "doc_id", "page")
-        self._write(self._postings(state["runs"]), pages, run)
+        self._write("pages", self._pages(state["runs"]).hint("rebalance", F.col("slot")), run)
+        self._write("postings", self._postings(state["runs"]).hint("rebalance", F.col("bucket")), run)
         self._commit(state, [run], state["batches"])
 
     def vacuum(self) -> None:
@@ -139,10 +210,10 @@ class TextIndex:
                     fs.delete(s.getPath(), True)
 
     def _postings(self, runs: list[str]) -> DataFrame:
-        return self._union("postings", "gram int, doc_id string, page int, offsets array<int>, bucket int", runs)
+        return self._union("postings", _POSTINGS, runs)
 
     def _pages(self, runs: list[str]) -> DataFrame:
-        return self._union("pages", "doc_id string, page int, text string, slot int", runs)
+        return self._union("pages", _PAGES, runs)
 
     def _union(self, what: str, schema: str, runs: list[str]) -> DataFrame:
         out = self.spark.createDataFrame([], schema)
@@ -155,22 +226,30 @@ class TextIndex:
         """doc_id, page, starts: offsets at which all trigrams of the query stand in their
         places. A query of one or two bytes takes all trigrams that start with it, which
         stand in one bucket."""
-        q = _LOWER[np.frombuffer(query.encode(), np.uint8)].astype(int).tolist()
+        return self._found(query, "doc_id", "page", "starts")
+
+    def _found(self, query: str, *columns: str) -> DataFrame:
+        held = self._starts(query).withColumn("slot", _slot())
+        return self._pages(self.state()["runs"]).join(held, ["slot", "at", "no"]).select(*columns)
+
+    def _starts(self, query: str) -> DataFrame:
+        """at, no, starts of the pages that candidates() has."""
+        q = list(query.encode().translate(_LOWER))
         found = self._postings(self.state()["runs"])
         if len(q) < 3:
             low = int.from_bytes(bytes(q + [0] * (3 - len(q))), "big")
             high = int.from_bytes(bytes(q + [255] * (3 - len(q))), "big")
-            held = found.where((F.col("bucket") == q[0]) & F.col("gram").between(low, high))
-            return held.groupBy("doc_id", "page").agg(F.sort_array(F.flatten(F.collect_list("offsets"))).alias("starts"))
+            held = _listed(found.where((F.col("bucket") == q[0]) & F.col("gram").between(low, high)))
+            return held.groupBy("at", "no").agg(F.sort_array(F.flatten(F.collect_list("offsets"))).alias("starts"))
         grams: dict[int, list[int]] = {}
         for k in range(len(q) - 2):
             grams.setdefault(q[k] << 16 | q[k + 1] << 8 | q[k + 2], []).append(k)
-        held = found.where(F.col("bucket").isin(sorted({g >> 16 for g in grams})) & F.col("gram").isin(list(grams)))
+        held = _listed(found.where(F.col("bucket").isin(sorted({g >> 16 for g in grams})) & F.col("gram").isin(list(grams))))
         of = F.create_map(*(x for g, places in grams.items() for x in (F.lit(g), F.array(*map(F.lit, places)))))
-        lists = held.select("doc_id", "page", F.explode(F.transform(of[F.col("gram")], lambda k: F.transform("offsets", lambda o: o - k))).alias("starts"))
-        all_ = lists.groupBy("doc_id", "page").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == len(q) - 2)
+        lists = held.select("at", "no", F.explode(F.transform(of[F.col("gram")], lambda k: F.transform("offsets", lambda o: o - k))).alias("starts"))
+        all_ = lists.groupBy("at", "no").agg(F.collect_list("starts").alias("lists")).where(F.size("lists") == len(q) - 2)
         met = F.aggregate(F.slice("lists", 2, len(q)), F.get("lists", F.lit(0)), F.array_intersect)
-        return all_.select("doc_id", "page", F.sort_array(met).alias("starts")).where(F.size("starts") > 0)
+        return all_.select("at", "no", F.sort_array(met).alias("starts")).where(F.size("starts") > 0)
 
     def search(self, query: str, context: int = CONTEXT) -> DataFrame:
         """doc_id, page, offset, context, as search() gives them: hits without overlap, from
@@ -180,8 +259,7 @@ class TextIndex:
         pages = self._pages(self.state()["runs"])
         if not query or not self.state()["runs"]:
             return pages.limit(0).select("doc_id", "page", F.lit(0).cast("long").alias("offset"), F.lit("").alias("context"))
-        held = self.candidates(query).withColumn("slot", _slot())
-        texts = pages.join(held, ["slot", "doc_id", "page"])
+        texts = self._found(query, "doc_id", "page", "text", "starts")
         low = texts.withColumn("low", fixed(ascii_lower("text").cast("binary")))
         true = F.filter("starts", lambda o: F.substr(F.col("low"), o + 1, F.lit(size)) == F.lit(q.encode()))
         apart = F.aggregate(true, F.array().cast("array<int>"), lambda a, o: F.when(o >= F.coalesce(F.try_element_at(a, F.lit(-1)) + size, F.lit(0)), F.concat(a, F.array(o))).otherwise(a)) if _overlaps(q.encode()) else true

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.kernel import writer as W
 from quire.operators import codes, content, likeness, revisions, trees
-from quire.plans.queries import _LI, _PAGES_SQL, _SEARCH, LINES, QUERIES, _chunks, _documents, _form, _linked, _orders_of_lines, _outlined, _regions, query
+from quire.plans.queries import _LI, _PAGES_SQL, _SEARCH, LINES, QUERIES, _chunks, _documents, _form, _lines_pdf, _linked, _orders_of_lines, _outlined, _regions, query
 from quire.plans.queries import ORACLES as _SQL
 from quire.operators.textindex import TextIndex
 from quire.session import materialize, new_path, table
@@ -195,11 +195,11 @@ def objects_of_revisions(spark, d):
 
 @query(_SQL["search_hits"])
 def search_by_index(spark, d):
-    text = extract(_documents(spark, d), "page_text").select("doc_id", "page", F.col("plain").alias("text"))
     index = TextIndex(spark, new_path(spark, "index"))
-    half = F.crc32(F.col("doc_id").cast("binary")) % 2
+    half = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2
     for k in (0, 1, 1):  # the second batch is sent twice
-        index.add(text.where(half == k), f"batch {k}")
+        files = synthesize(table(spark, d, "documents").where(half == k).select("doc_id", "text"), _lines_pdf, "doc_id")
+        index.add(extract(files, "page_text").select("doc_id", "page", F.col("plain").alias("text")), f"batch {k}")
     return index.search(_SEARCH).select("doc_id", "page", "offset")
 
 

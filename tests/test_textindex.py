@@ -1,10 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import search
-from quire.operators.textindex import RUNS, TextIndex
+from quire.operators.textindex import RUNS, TextIndex, packed, postings, unpacked
 
 SCHEMA = "doc_id string, page int, text string"
 
@@ -61,3 +62,24 @@ def test_a_search_opens_the_buckets_of_its_trigrams(spark, pages, tmp_path):
     plan = index.candidates("aba")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "PushedFilters: [IsNotNull(gram), EqualTo(gram" in plan
     assert "dynamicpruning" in index.search("aba")._jdf.queryExecution().executedPlan().toString().lower()
+
+
+def test_postings_are_written_once_and_small(spark, tmp_path):
+    """No exchange, and a few bytes of postings for a byte of text."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(500)]
+    made = [(str(k), 0, " ".join(rng.choices(words, k=400))) for k in range(300)]
+    index = TextIndex(spark, f"file://{tmp_path}/i")
+    index.add(spark.createDataFrame(made, SCHEMA).coalesce(2), "0")
+    found = postings(index._pages(index.state()["runs"]))
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    size = sum(f.stat().st_size for f in (tmp_path / "i" / "postings").rglob("*.parquet"))
+    assert size < 4 * sum(len(t) for *_, t in made)
+    assert rows(index.search(words[0])) == rows(search.search(spark.createDataFrame(made, SCHEMA), words[0]))
+
+
+def test_numbers_are_packed():
+    values = np.array([0, 1, 127, 128, 16383, 16384, 1 << 33, (1 << 62) + 5, 3])
+    data, ends = packed(values)
+    assert unpacked(data.tobytes()).tolist() == values.tolist() and ends[-1] == len(data) and ends[3] == 5
+    assert len(packed(values[:0])[0]) == 0 == len(unpacked(b""))
