@@ -10,7 +10,7 @@ from quire.operators import codes, content, likeness, revisions, trees
 from quire.plans.queries import _LI, _PAGES_SQL, _SEARCH, LINES, QUERIES, _chunks, _documents, _form, _lines_pdf, _linked, _orders_of_lines, _outlined, _regions, query
 from quire.plans.queries import ORACLES as _SQL
 from quire.operators.textindex import TextIndex
-from quire.session import materialize, new_path, table
+from quire.session import new_path, table
 from quire.sources.pdf import extract
 from quire.sources.synth import spread, synthesize
 
@@ -186,7 +186,7 @@ FROM (SELECT l.*, unnest(generate_series(0, 5 + k)) AS n FROM l) l JOIN o ON l.l
 """)
 def objects_of_revisions(spark, d):
     files = synthesize(_orders_of_lines(spark, d), lambda r: revised(r["l_orderkey"], [x["t"] for x in r["rows"]]), "l_orderkey")
-    held = revisions.in_force(materialize(extract(files, "xref_sections"), "sections"))
+    held = revisions.in_force(extract(files, "document_sections"))
     return revisions.each_revision(held).select("doc_id", "revision", "obj_num", "entry_type", "since", "until")
 
 

@@ -15,6 +15,7 @@ TABLES = {
     "code_maps": "doc_id string, page int, font_name string, first_code long, last_code long, to string, rank int",
     "shown_codes": "doc_id string, page int, seq int, font_name string, codes array<long>",
     "xref_sections": "doc_id string, start long, prev long, newest boolean, entries array<struct<obj_num: long, entry_type: string, offset: long, gen_or_index: long>>",
+    "document_sections": "doc_id string, sections array<struct<start: long, prev: long, newest: boolean, entries: array<struct<obj_num: long, entry_type: string, offset: long, gen_or_index: long>>>>",
     "page_ops": "doc_id string, page int, ops array<struct<op: string, nums: array<double>, name: string, parts: array<struct<adjust: double, text: string>>, mcid: int>>, "
     "xobjects array<struct<name: string, subtype: string, width: int, height: int>>",
     "page_text": "doc_id string, page int, stream string, plain string",
