@@ -117,9 +117,14 @@ def release(df: DataFrame) -> None:
         _delete(df.sparkSession, path)
 
 
-def with_settings(df: DataFrame, settings: dict[str, tuple[str, str]]) -> DataFrame:
+#: Bytes of a batch that Python gets, where the session has no value of its own: a batch is held
+#: several times (as it came, as objects, as what is made of them) by each of a task's workers.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": (None, "4194304b")}
+
+
+def with_settings(df: DataFrame, settings: dict[str, tuple[str | None, str]]) -> DataFrame:
     """df in a session of its own, a clone of its session in which the settings (name:
-    Spark's own value, other value) have the other value where they have Spark's.
+    Spark's own value, None for unset, other value) have the other value where they have Spark's.
     The session that df came from stays as it is. df itself if nothing changes or it
     isn't run by this process (a remote session)."""
     spark = df.sparkSession
