@@ -69,3 +69,17 @@ def test_words(spark):
     rows = [("a  b\nc d", "a b x d"), ("one", "one"), ("", "")]
     got = {r.id: (r.char_accuracy, r.word_error_rate) for r in L.accuracy(frame(spark, rows)).collect()}
     assert got == {0: (6 / 7, 0.25), 1: (1.0, 0.0), 2: (1.0, 0.0)}
+
+
+def test_equal_texts_are_neither_written_nor_compared(spark):
+    from quire.operators import likeness as L
+
+    rows = [(1, "a  b ", "a b"), (2, None, ""), (3, "", None)]
+    df = spark.createDataFrame(rows, "id long, x string, y string")
+    got = L.accuracy(df)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, got.collect())) == [(k, 1.0, 0.0) for k in (1, 2, 3)]
+    more = L.accuracy(df.unionAll(spark.createDataFrame([(4, "a b", "a c"), (5, "x", "")], df.schema))).orderBy("id").collect()
+    assert [tuple(r) for r in more[:3]] == [(k, 1.0, 0.0) for k in (1, 2, 3)]
+    assert (round(more[3].char_accuracy, 9), more[3].word_error_rate, more[4].char_accuracy, more[4].word_error_rate) == (round(4 / 6, 9), 0.5, 0.0, 1.0)
