@@ -424,7 +424,7 @@ def fonts(spark, d):
 
 def _orders_of_lines(spark, d):
     li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus", F.col("l_partkey").cast("string")).alias("t"))
-    return li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "t"))).alias("rows"))
+    return spread(li, "l_orderkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "t"))).alias("rows"))
 
 
 #: Lines of an order, numbered from 0: line numbers repeat in the test tables.

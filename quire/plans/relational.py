@@ -59,7 +59,7 @@ def marks_by_depth(spark, d):
 
 def _moved(r):
     """A scale, then a shift and an image for each line; shifts add up, scaled."""
-    shown = [b"1 0 0 1 %d %d cm /Im0 Do" % (x["l_partkey"] % 7, x["l_partkey"] % 5) for x in r["rows"]]
+    shown = [b"1 0 0 1 %d %d cm /Im0 Do" % (k % 7, k % 5) for k in r["keys"]]
     return W.simple_pdf([b"2 0 0 3 5 7 cm /None Do " + b" ".join(shown)], images=[(8, 9)])
 
 
@@ -68,8 +68,9 @@ WITH s AS (SELECT l_orderkey, k, 5 + 2 * sum(l_partkey % 7) OVER w AS x, 7 + 3 *
 SELECT CAST(l_orderkey AS VARCHAR) AS doc_id, CAST(k AS INTEGER) AS ord, CAST(x AS DOUBLE) AS x0, CAST(y AS DOUBLE) AS y0, CAST(x + 2 AS DOUBLE) AS x1, CAST(y + 3 AS DOUBLE) AS y1, CAST(8 AS INTEGER) AS width, CAST(9 AS INTEGER) AS height FROM s
 """)
 def images_by_products(spark, d):
-    files = synthesize(_orders_of_lines(spark, d), _moved, "l_orderkey")
-    return content.images(extract(files, "page_ops")).drop("page")
+    lines = F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    orders = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey").groupBy("l_orderkey").agg(F.transform(lines, lambda x: x["l_partkey"]).alias("keys"))
+    return content.images(extract(synthesize(orders, _moved, "l_orderkey"), "page_paints")).drop("page")
 
 
 # Trees

@@ -18,6 +18,7 @@ TABLES = {
     "document_sections": "doc_id string, sections array<struct<start: long, prev: long, newest: boolean, entries: array<struct<obj_num: long, entry_type: string, offset: long, gen_or_index: long>>>>",
     "page_ops": "doc_id string, page int, ops array<struct<op: string, nums: array<double>, name: string, parts: array<struct<adjust: double, text: string>>, mcid: int>>, "
     "xobjects array<struct<name: string, subtype: string, width: int, height: int>>",
+    "page_paints": "doc_id string, page int, ops array<struct<op: string, nums: array<double>, name: string>>, xobjects array<struct<name: string, subtype: string, width: int, height: int>>",
     "page_text": "doc_id string, page int, stream string, plain string",
     "page_spans": f"doc_id string, page int, width double, spans array<{SPAN}>",
     "mcid_refs": "doc_id string, page int, ord int, mcid int, struct_type string",

@@ -140,7 +140,7 @@ def _test(f: Filter) -> Compares | None:
 
 
 #: Tables that have a row or more for a page and read nothing of others.
-PAGED = ("page_text", "page_spans", "page_ops", "page_all", "content_ops", "mcid_text", "links", "pages", "fonts", "font_widths", "code_maps", "shown_codes")
+PAGED = ("page_text", "page_spans", "page_ops", "page_paints", "page_all", "content_ops", "mcid_text", "links", "pages", "fonts", "font_widths", "code_maps", "shown_codes")
 #: Files changed within so many nanoseconds wait for the next batch of a stream.
 SETTLE = 1_000_000_000
 
