@@ -3,7 +3,7 @@ and widths."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.arrays import fixed, grouped
@@ -11,6 +11,9 @@ from quire.operators.joins import in_ranges
 from quire.session import materialize
 
 FONT = ["doc_id", "page", "font_name"]
+#: Ranges of a page's fonts that its codes are looked up in where they are, one after another;
+#: longer maps are joined.
+IN_ROW = 1024
 
 
 def code_rows(shown_codes: DataFrame) -> DataFrame:
@@ -18,16 +21,20 @@ def code_rows(shown_codes: DataFrame) -> DataFrame:
     return shown_codes.select(*FONT, "seq", F.posexplode("codes").alias("place", "code"))
 
 
+def _character(code: Column, first: Column, to: Column) -> Column:
+    """What a code stands for in a range that starts at `first`, with `to`; its own character
+    without a range."""
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    last = F.conv(F.hex(F.encode(F.right(to, F.lit(1)), "UTF-32")), 16, 10).cast("long")
+    mapped = F.when((code == first) & (to == "\0"), " ").when(code == first, to).otherwise(char(last + code - first))
+    return F.when(to.isNotNull(), mapped).when(code == 0, " ").otherwise(char(code))
+
+
 def characters(codes: DataFrame, code_maps: DataFrame) -> DataFrame:
     """Code rows with `text`: what the font's maps make of them; a code without a map is its
     own character, and zero is a space."""
     found = in_ranges(codes, code_maps.select(*FONT, "first_code", "last_code", "to", "rank"), FONT, "code", "first_code", "last_code", "rank")
-    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-    moved = F.expr("code - first_code")
-    last = F.conv(F.hex(F.encode(F.right("to", F.lit(1)), "UTF-32")), 16, 10).cast("long")
-    mapped = F.when((moved == 0) & (F.col("to") == "\0"), " ").when(moved == 0, F.col("to")).otherwise(char(last + moved))
-    own = F.when(F.col("code") == 0, " ").otherwise(char(F.col("code")))
-    return found.withColumn("text", F.when(F.col("to").isNotNull(), mapped).otherwise(own)).drop("first_code", "last_code", "to", "rank")
+    return found.withColumn("text", _character(F.col("code"), F.col("first_code"), F.col("to"))).drop("first_code", "last_code", "to", "rank")
 
 
 def widths(codes: DataFrame, font_widths: DataFrame) -> DataFrame:
@@ -58,6 +65,36 @@ def texts(shown_codes: DataFrame, code_maps: DataFrame) -> DataFrame:
     return found.select("doc_id", "page", "seq", "font_name", text.alias("text"))
 
 
+def texts_of_pages(page_codes: DataFrame, in_row: int = IN_ROW) -> DataFrame:
+    """As texts(), from rows that hold what a page shows and its fonts' ranges. Documents are
+    read once. Pages of up to `in_row` ranges have their different codes looked up in their
+    row, without an exchange; the rest, if any, by joins."""
+    pages = materialize(page_codes, "codes")
+    out = _in_row(pages.where(F.size("maps") <= in_row))
+    far = pages.where(F.size("maps") > in_row)
+    if far.isEmpty():
+        return out
+    shown = far.select("doc_id", "page", F.explode("shown").alias("s")).select("doc_id", "page", "s.*")
+    return out.unionAll(texts(shown, far.select("doc_id", "page", F.explode("maps").alias("m")).select("doc_id", "page", "m.*")))
+
+
+def _in_row(pages: DataFrame) -> DataFrame:
+    names = F.array_distinct(F.transform("shown", lambda s: s["font_name"]))
+    own = lambda n: F.array_distinct(F.flatten(F.transform(F.filter("shown", lambda s: s["font_name"] == n), lambda s: F.array_distinct(s["codes"]))))
+    fonts = F.transform(names, lambda n: F.struct(n.alias("font_name"), own(n).alias("codes"), F.filter("maps", lambda m: m["font_name"] == n).alias("maps")))
+    pages = pages.withColumn("fonts", fixed(fonts)).drop("maps")
+    best = lambda c, maps: F.array_min(F.transform(F.filter(maps, lambda m: (m["first_code"] <= c) & (c <= m["last_code"])), lambda m: F.struct(m["rank"], m["first_code"], m["last_code"], m["to"])))
+    ranged = F.transform("fonts", lambda f: F.struct(f["font_name"].alias("font_name"), F.transform(f["codes"], lambda c: F.struct(c.alias("code"), best(c, f["maps"]).alias("m"))).alias("codes")))
+    pages = pages.withColumn("fonts", fixed(ranged))
+    high = lambda c: F.shiftright(c, 8)
+    blocks = lambda known: F.map_from_entries(F.transform(F.array_distinct(F.transform(known, lambda k: high(k["code"]))), lambda h: F.struct(h, F.map_from_entries(F.transform(F.filter(known, lambda k: high(k["code"]) == h), lambda k: F.struct(k["code"], _character(k["code"], k["m"]["first_code"], k["m"]["to"])))))))
+    pages = pages.withColumn("known", fixed(F.map_from_entries(F.transform("fonts", lambda f: F.struct(f["font_name"], blocks(f["codes"])))))).drop("fonts")
+    rows = pages.select("doc_id", "page", "known", F.explode(F.filter("shown", lambda s: F.size(s["codes"]) > 0)).alias("s"))
+    rows = rows.select("doc_id", "page", "s.seq", "s.font_name", F.col("s.codes").alias("codes"), fixed(F.try_element_at("known", F.col("s.font_name"))).alias("map"))
+    text = F.array_join(F.transform("codes", lambda c: F.try_element_at(F.try_element_at("map", high(c)), c)), "")
+    return rows.select("doc_id", "page", "seq", "font_name", text.alias("text"))
+
+
 def page_widths(shown_codes: DataFrame, font_widths: DataFrame) -> DataFrame:
     """doc_id, page, width: of all codes that a page shows. Only different codes, counted,
     meet the ranges."""

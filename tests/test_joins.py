@@ -81,3 +81,20 @@ def test_codes_meet_ranges_once_for_each_font(spark):
     summed = {r.page: r.width for r in codes.widths(rows, wide).groupBy("page").agg(F.sum("width").alias("width")).collect()}
     assert {r.page: r.width for r in codes.page_widths(shown, wide).collect()} == summed
     assert "place" not in codes.texts(shown, maps)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_codes_are_looked_up_in_their_page(spark):
+    """Pages in their row, and beside longer maps that are joined, against joins for all."""
+    from quire.plans.relational import _ranged
+
+    rng = random.Random(3)
+    made = [(str(k), bytearray(_ranged({"text": "\n".join("".join(rng.choices("ab é中文ж\x00Ġ", k=rng.randrange(0, 30))) for _ in range(k * 5))}))) for k in range(12)]
+    files = spark.createDataFrame(made, "doc_id string, content binary").cache()
+    names = ("doc_id", "page", "seq", "font_name", "text")
+    rows = lambda df: sorted(map(str, map(tuple, df.select(*names).collect())))
+    want = rows(codes.texts(extract(files, "shown_codes"), extract(files, "code_maps")))
+    assert len(want) > 200
+    for limit in (codes.IN_ROW, 6):
+        assert rows(codes.texts_of_pages(extract(files, "page_codes"), limit)) == want
+    plan = codes.texts_of_pages(extract(files, "page_codes"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
